@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licences, mixing, near_dedup
+from . import class_lm, decontamination, language_id, licences, media, mixing, near_dedup, private_data, quality, token_counts
 from .store import read_table
 
 
@@ -19,15 +19,51 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("item_ids", "hit_at")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("row")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(read_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(read_table(spark, sf_dir, "documents"), token_counts.planned_edits())
+
+
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_scores(read_table(spark, sf_dir, "documents"))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(read_table(spark, sf_dir, "documents"))
+
+
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.private_data(read_table(spark, sf_dir, "documents"))
+
+
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(read_table(spark, sf_dir, "documents")).drop("places")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_decontamination, op5_source_mixing, op10_licence_scan)
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_decontamination,
+        op3_quality_classifier,
+        op4_language_id,
+        op5_source_mixing,
+        op6_token_counts,
+        op7_class_lm,
+        op8_media_columns,
+        op9_private_data,
+        op10_licence_scan,
+    )
 }
 ORACLES: dict[str, str] = {}

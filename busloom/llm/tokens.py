@@ -17,6 +17,8 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
+#: words of letters, digits and non-ASCII characters only
+ALNUM = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
 _pow = {"n": 0}
 
 
@@ -58,7 +60,7 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 class Words:
     """Words of some texts: hashes, byte spans in `data`, and per text the range `at[i]:at[i+1]` of its words."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, is_word: np.ndarray = _IS_WORD):
         self.data = b"".join(t + b" " for t in texts)
         raw = np.frombuffer(self.data, np.uint8)
         if lower:
@@ -66,7 +68,7 @@ class Words:
         self.bytes = raw
         n = len(raw)
         w = np.zeros(n + 2, bool)
-        w[1:-1] = _IS_WORD[raw]
+        w[1:-1] = is_word[raw]
         step = np.flatnonzero(w[1:] != w[:-1])
         self.start, self.end = step[::2], step[1::2]
         p, q = _powers(n + 1)
@@ -86,10 +88,10 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def batches(texts: list[bytes], lower: bool = True) -> Iterator[tuple[int, Words]]:
+def batches(texts: list[bytes], lower: bool = True, is_word: np.ndarray = _IS_WORD) -> Iterator[tuple[int, Words]]:
     """(index of the first text, its words) by chunk."""
     for a, b in chunks(texts):
-        yield a, Words(texts[a:b], lower)
+        yield a, Words(texts[a:b], lower, is_word)
 
 
 def word_hash(words: list[str]) -> np.ndarray:
