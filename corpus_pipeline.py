@@ -4,28 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from busloom.llm import decontamination, mixing, near_dedup
+from busloom.llm import decontamination, mixing, near_dedup, private_data, quality
 from busloom.llm.store import read_table, settle
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
     return near_dedup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated with benchmark passages go."""
     return decontamination.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it are replaced in the texts; n_chars follows."""
+    return private_data.sanitised(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat so that sources meet their target weights; `copy` numbers the repeats."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("near_dedup", near_dedup_stage), ("decontamination", decontamination_stage), ("mixing", mixing_stage)]
-#: the classifier and the sanitiser are no SQL
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("private_data", private_data_stage),
+    ("source_mixing", mixing_stage),
+]
+#: the classifier and the sanitiser can't be expressed in SQL
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
