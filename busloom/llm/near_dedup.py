@@ -141,9 +141,9 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _typical(crowded: DataFrame) -> DataFrame:
-    """Each member with its region's most typical member: the one that has most of the region's commonest hashes."""
-    turn = F.pmod(F.col("k") - (HASHES // TREES) * F.col("tree"), F.lit(HASHES))
-    cell = crowded.select("root", "node", "tree", F.posexplode("sig").alias("k", "v")).filter(turn.between(4, 15))
+    """Each member with its region's most typical member: the one that has most of the region's commonest next hashes."""
+    after = F.slice(F.concat("sig", "sig"), (HASHES // TREES) * (F.col("tree") + 1) + 1, HASHES // TREES)
+    cell = crowded.select("root", "node", F.posexplode(after).alias("k", "v"))
     common = cell.groupBy("root", "k", "v").agg(F.count("*").alias("n")).groupBy("root", "k").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     score = cell.join(common, ["root", "k", "v"], "left_semi").groupBy("root", "node").agg(F.count("*").alias("n"))
     lead = score.groupBy("root").agg(F.max_by("node", F.struct("n", "node")).alias("lead"))
