@@ -2,8 +2,8 @@
 
 A text splits into pre-tokens by the tokenizer's pattern; merges never cross them, so a text's tokens are the sum over
 its pre-tokens. A document keeps its pre-tokens' ends and counts in blocks of BLOCK, with a tree of sums over the
-blocks. An edit (start, end, replacement in code points) keeps the pre-tokens that end before start (they and the one
-character their pattern looks at are untouched), encodes on from there until a boundary after the edit meets an old one,
+blocks. An edit (start, end, replacement in code points) keeps the pre-tokens that end two or more characters before start
+(the pattern looks at no more than two characters past a match), encodes on from there until a boundary after the edit meets an old one,
 and keeps the rest: only that region is re-encoded and only the sums above it change.
 
 Edits apply in the order given, each to the text the ones before left; positions beyond the text's end stop there.
@@ -97,7 +97,7 @@ class Tree:
         shift = len(replacement) - (end - start)
         text = self.text[:start] + replacement + self.text[end:]
         flat = [e for b in self.ends for e in b]
-        keep = bisect_left(flat, start)  # pre-tokens [0, keep) end before start
+        keep = bisect_left(flat, start - 1)  # pre-tokens [0, keep) end two or more characters before start
         at = flat[keep - 1] if keep else 0
         ends, counts, resume = [], [], len(flat)
         for m in self.counter.split.finditer(text, at):
