@@ -26,7 +26,7 @@ from .postings import row_key
 from .store import settle
 from .tokens import as_bytes, batches
 
-LABELLED, POOL, ROUNDS, TAKE, REJECT = 20_000, 20_000, 3, 400, 0.5
+LABELLED, POOL, ROUNDS, TAKE, REJECT = 10_000, 10_000, 3, 300, 0.5
 SHAPES, WORDS, META = 64, 128, 48
 STATS = 10
 
@@ -152,7 +152,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fit = with_label.orderBy("doc_id", "row").toArrow()
     total = features.count()
     pool = _sample(features, POOL, total).join(known, "doc_id", "left_anti").select("doc_id", "row", "meta", "text").toArrow().sort_by([("doc_id", "ascending"), ("row", "ascending")])
-    array = lambda t, c, w: np.array(t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, w)
+    array = lambda t, c, w: np.array(t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float32).reshape(-1, w)
     y = (fit.column("y").to_numpy() >= 0.5).astype(float)
     models = None
     if len(set(y)) == 2:
