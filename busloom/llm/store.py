@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +28,34 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+_collectors: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables settled inside, for drop() once nothing reads them any more."""
+    paths: list[str] = []
+    _collectors.append(paths)
+    try:
+        yield paths
+    finally:
+        _collectors.remove(paths)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for paths in _collectors:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
