@@ -1,33 +1,61 @@
-"""The training-text pipeline over `documents`: each stage's result is written as Parquet and reread for the next."""
+"""The training-text pipeline over `documents`: each stage's result is written as Parquet and reread for the next.
+
+A stage's intermediate tables are deleted when the next stage starts, as its result has been written by then.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from busloom.llm import decontamination, mixing, near_dedup, private_data, quality
-from busloom.llm.store import read_table, settle
+from busloom.llm.store import collected, drop, read_table, settle
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left_over: list[str] = []
+
+
+def staged(stage: Stage) -> Stage:
+    """The stage, after deleting what stages before it settled."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _left_over)
+        with collected() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left_over.extend(paths)
+        return out
+
+    return run_stage
 
 
+@staged
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
+@staged
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return near_dedup.keep_one(docs)
 
 
+@staged
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated with benchmark passages go."""
     return decontamination.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+@staged
 def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that reveal it are replaced in the texts; n_chars follows."""
     return private_data.sanitised(docs)
 
 
+@staged
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat so that sources meet their target weights; `copy` numbers the repeats."""
     return mixing.mixed_documents(docs)
