@@ -2,7 +2,8 @@
 
 The text view holds shapes and frequencies of a text's words; the metadata view holds language, source and length. Both
 are logistic regressions. Over ROUNDS rounds each view labels the unlabelled documents it is surest of, and these
-pseudo-labels join the other view's training set. Each view is then calibrated on labelled documents that neither has
+pseudo-labels join the other view's training set. A view is sure where documents it has not been trained on show that at
+least SURE of its labels of that kind are right; a view that never is teaches nothing. Each view is then calibrated on labelled documents that neither has
 been trained on, and a small regression on the two calibrated log-odds scores all documents.
 
 The models are fitted on bounded samples: at most about LABELLED labelled documents and POOL unlabelled ones, drawn by
@@ -27,6 +28,8 @@ from .store import settle
 from .tokens import as_bytes, batches
 
 LABELLED, POOL, ROUNDS, TAKE, REJECT = 10_000, 10_000, 3, 300, 0.5
+#: share of right labels, on at least so many documents, from which a view may teach
+SURE, SHOWN = 0.98, 10
 SHAPES, WORDS, META = 64, 128, 48
 STATS = 10
 
@@ -106,6 +109,14 @@ class Logistic:
         return np.clip(self._z(x) @ self.w, -30, 30)
 
 
+def _sure(odds: np.ndarray, right: np.ndarray) -> float:
+    """The lowest odds from which at least SURE of the labels are right, or infinity."""
+    order = np.argsort(-odds, kind="stable")
+    n = np.arange(1, len(order) + 1)
+    good = np.flatnonzero((np.cumsum(right[order]) >= SURE * n) & (n >= SHOWN))
+    return float(odds[order[good[-1]]]) if len(good) else np.inf
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> tuple[Logistic, Logistic, Logistic, Logistic, Logistic]:
     """(text view, metadata view, their calibrations, the combination). Every fifth labelled row calibrates."""
     hold = np.arange(len(y)) % 5 == 0
@@ -116,24 +127,25 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     share = y[~hold].mean()
     models = [Logistic(*own[0]), Logistic(*own[1])]
     free = np.ones(len(pool_text), bool)
+    seen = hold if hold.any() else ~hold
     for _ in range(ROUNDS):
-        for k in (0, 1):
-            odds = models[k].odds(pools[k])
+        for k, own_view in enumerate((text, meta)):
+            odds, shown = models[k].odds(pools[k]), models[k].odds(own_view[seen])
+            from_up, from_down = _sure(shown, y[seen] == 1), -_sure(-shown, y[seen] == 0)
             good, bad = int(TAKE * share), TAKE - int(TAKE * share)
             rank = np.argsort(-odds, kind="stable")
             rank = rank[free[rank]]
             up, down = rank[:good], rank[::-1][:bad]
-            up, down = up[odds[up] > 1.5], down[odds[down] < -1.5]
+            up, down = up[odds[up] >= from_up], down[odds[down] <= from_down]
             free[up] = free[down] = False
             x, t = own[1 - k]
             chosen = np.concatenate([up, down])
             own[1 - k] = (np.concatenate([x, pools[1 - k][chosen]]), np.concatenate([t, np.ones(len(up)), np.zeros(len(down))]))
         models = [Logistic(*own[0]), Logistic(*own[1])]
-    check = hold if hold.any() else np.ones(len(y), bool)
-    odds = [models[0].odds(text[check]), models[1].odds(meta[check])]
-    fit = [Logistic(o[:, None], y[check], 0.1) for o in odds]
+    odds = [models[0].odds(text[seen]), models[1].odds(meta[seen])]
+    fit = [Logistic(o[:, None], y[seen], 0.1) for o in odds]
     both = np.stack([f.odds(o[:, None]) for f, o in zip(fit, odds, strict=True)], 1)
-    return models[0], models[1], fit[0], fit[1], Logistic(both, y[check], 0.1)
+    return models[0], models[1], fit[0], fit[1], Logistic(both, y[seen], 0.1)
 
 
 def _sample(rows: DataFrame, limit: int, total: int) -> DataFrame:
