@@ -34,6 +34,8 @@ CAN_FD64 = struct.Struct("<BBBBLLLLLLLHBBL")
 CAN_ERROR = struct.Struct("<HHLBBBxLLH2x8s")
 MARKER = struct.Struct("<LLL3xBLLL12x")
 T_CAN, T_CONTAINER, T_ERROR, T_CAN2, T_MARKER, T_FD, T_FD64 = 1, 10, 73, 86, 96, 100, 101
+T_STATISTIC, T_TEXT, T_COMMENT, T_LOST_BEGIN, T_LOST_END = 4, 65, 92, 125, 126
+STATISTIC, TEXT, COMMENT, LOST_BEGIN, LOST_END = (struct.Struct(x) for x in ("<HH6L", "<LLL4x", "<LL8x", "<L", "<LQL"))
 NO_COMPRESSION, ZLIB = 0, 2
 TEN_MICROS, NANOS = 1, 2
 EXTENDED = 1 << 31
@@ -45,6 +47,7 @@ FRAMES = T.StructType(
     + [T.StructField(n, t) for n, t in (("timestamp_ns", T.LongType()), ("channel", T.IntegerType()), ("id", T.LongType()), ("extended", T.BooleanType()), ("direction", T.StringType()), ("kind", T.StringType()), ("data", T.BinaryType()), ("brs", T.BooleanType()), ("esi", T.BooleanType()), ("dlc", T.IntegerType()))]
 )
 MARKERS = T.StructType([T.StructField(n, t) for n, t in (("file", T.StringType()), ("object_no", T.LongType()), ("timestamp_ns", T.LongType()), ("group", T.StringType()), ("label", T.StringType()), ("description", T.StringType()), ("color", T.LongType()))])
+EXTRAS = T.StructType([T.StructField(n, t) for n, t in (("file", T.StringType()), ("object_no", T.LongType()), ("timestamp_ns", T.LongType()), ("kind", T.StringType()), ("numbers", T.MapType(T.StringType(), T.LongType())), ("text", T.StringType()))])
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
@@ -146,6 +149,33 @@ def marker_of(body: bytes) -> tuple[str, str, str, int]:
     return read(at, group), read(at + group, name), read(at + group + name, text), color
 
 
+def extra_of(kind: int, body: bytes) -> tuple[str, dict[str, int], str | None] | None:
+    """(kind, numbers, text) of bus statistics, texts, comments and gap brackets, or None for other objects."""
+    if kind == T_STATISTIC:
+        names = ("channel", "bus_load", "standard_data", "extended_data", "standard_remote", "extended_remote", "errors", "overloads")
+        numbers = dict(zip(names, STATISTIC.unpack_from(body), strict=True))
+        return "statistic", numbers | {"channel": numbers["channel"] - 1}, None
+    if kind in (T_TEXT, T_COMMENT):
+        layout, name = (TEXT, "source") if kind == T_TEXT else (COMMENT, "object_type")
+        first, *_, size = layout.unpack_from(body)
+        if layout.size + size > len(body):
+            raise BlfError("a text leaves its object")
+        return "text" if kind == T_TEXT else "comment", {name: first}, body[layout.size : layout.size + size].rstrip(b"\0").decode("utf-8", "replace")
+    if kind == T_LOST_BEGIN:
+        return "lost_begin", {"queue": LOST_BEGIN.unpack_from(body)[0]}, None
+    if kind == T_LOST_END:
+        return "lost_end", dict(zip(("queue", "first_lost_ns", "events"), LOST_END.unpack_from(body), strict=True)), None
+    return None
+
+
+def parse_extras(content: bytes, file: str) -> Iterator[tuple]:
+    """Rows of EXTRAS: what a frame import skips."""
+    start = _start_ns(FILE_HEADER.unpack_from(content)[14:22])
+    for n, (kind, offset, body) in enumerate(objects(content)):
+        if found := extra_of(kind, body):
+            yield (file, n, start + offset, *found)
+
+
 def parse(content: bytes, file: str, markers: bool = False) -> Iterator[tuple]:
     if len(content) < FILE_HEADER_SIZE or content[:4] != b"LOGG":
         raise BlfError(f"{file} has no BLF signature")
@@ -160,18 +190,21 @@ def parse(content: bytes, file: str, markers: bool = False) -> Iterator[tuple]:
 
 def _rows(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
     arrow = to_arrow_schema(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(arrow)
+    as_arrow = lambda c: [list(x.items()) if isinstance(x, dict) else x for x in c]
+    return pa.RecordBatch.from_arrays([pa.array(as_arrow(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
 
-def read_blf(spark: SparkSession, path: str | list[str], markers: bool = False) -> DataFrame:
-    """Frames (or markers) of files in any store that Spark reads. (file, object_no) is the order of the file."""
-    schema = MARKERS if markers else FRAMES
+def read_blf(spark: SparkSession, path: str | list[str], markers: bool = False, extras: bool = False) -> DataFrame:
+    """Frames (or markers, or the other objects) of files in any store that Spark reads. (file, object_no) is the order of
+    the file."""
+    schema = EXTRAS if extras else MARKERS if markers else FRAMES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
-                for row in parse(content, file, markers):
+                for row in parse_extras(content, file) if extras else parse(content, file, markers):
                     rows.append(row)
                     if len(rows) == 20_000:
                         yield _rows(schema, rows)

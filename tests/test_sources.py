@@ -50,3 +50,19 @@ def test_spark_formats(spark, tmp_path):
     bus = spark.createDataFrame([(0, "a", 0), (1, "b", 1), (0, "z", 2)], "channel int, bus_id string, ord int")
     routed = model.route(read, bus)
     assert {r.bus_id for r in routed.collect()} == {"a", "b"} and model.guard(routed, START + 3000).agg(F.min("timestamp_ns")).first()[0] == START + 3000
+
+
+def test_other_objects(spark, tmp_path):
+    out = blf._Out(START // 1_000_000 * 1_000_000, [], bytearray())
+    out.add(blf.T_STATISTIC, START, blf.STATISTIC.pack(1, 250, 1, 2, 3, 4, 5, 6) + bytes(4))
+    out.add(blf.T_TEXT, START + 1, blf.TEXT.pack(7, 0, 3) + b"abc")
+    out.add(blf.T_COMMENT, START + 2, blf.COMMENT.pack(86, 2) + b"hi")
+    out.add(blf.T_LOST_BEGIN, START + 3, blf.LOST_BEGIN.pack(9))
+    out.add(blf.T_LOST_END, START + 4, blf.LOST_END.pack(9, 11, 12))
+    out.add(*(lambda o: (o[0], START + 5, o[1]))(blf.object_of(_frames()[3])))
+    content = out.close(START + 5)
+    (tmp_path / "a.blf").write_bytes(content)
+    rows = blf.read_blf(spark, str(tmp_path / "a.blf"), extras=True).orderBy("object_no").collect()
+    assert [(r.kind, r.text) for r in rows] == [("statistic", None), ("text", "abc"), ("comment", "hi"), ("lost_begin", None), ("lost_end", None)]
+    assert rows[0].numbers["bus_load"] == 250 and rows[4].numbers == {"queue": 9, "first_lost_ns": 11, "events": 12}
+    assert len(list(blf.parse(content, "f"))) == 1
