@@ -170,11 +170,20 @@ def index_at(frames: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def filtered_position_at(frames: DataFrame, matches: DataFrame, times: DataFrame, window_base: int = 0) -> DataFrame:
-    """For rows (event, ns): matches whose idx lies before the event's row, less the window base (may be negative)."""
+    """For rows (event, ns): matches whose idx lies before the event's row, less the window base (may be negative).
+
+    Matches and events are dealt together by ranges of idx; matches of earlier ranges come from one count per range.
+    """
     at = index_at(frames, times)
-    ranked = matches.select(F.col("idx").alias("m"))
-    placed = ranked.join(F.broadcast(at.select("event", "idx")), F.col("m") < F.col("idx")).groupBy("event").agg(F.count("*").alias("n"))
-    return at.join(placed, "event", "left").select("event", "ns", (F.coalesce("n", F.lit(0)) - window_base).alias("position"))
+    both = matches.select("idx", F.lit(1).alias("_match"), F.lit(None).cast("string").alias("event"), F.lit(None).cast("long").alias("ns")).unionByName(
+        at.select("idx", F.lit(0).alias("_match"), "event", "ns")
+    )
+    dealt = both.repartitionByRange("idx").withColumn("_part", F.spark_partition_id()).persist()
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.sum("_match").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("_part").orderBy("idx", "_match").rowsBetween(Window.unboundedPreceding, 0)
+    counted = dealt.withColumn("_before", F.sum("_match").over(inside)).filter("event is not null").join(F.broadcast(offsets), "_part")
+    return counted.select("event", "ns", (F.col("_before") + F.col("_offset") - window_base).alias("position"))
 
 
 def status(frames: DataFrame) -> DataFrame:

@@ -382,3 +382,116 @@ def section_arrangement(spark: SparkSession, d: str) -> DataFrame:
     given = trace.Sections(["Battery", "Counters", "Battery"], patterns={"Battery": ["^batt/", "("], "Counters": ["/Counter$"]})
     out = trace.arrange_sections(rows, given)
     return out.filter("not is_header").groupBy("section").agg(F.count("*").alias("signals"), F.min("path").alias("first_path"))
+
+
+@query("SELECT idx, CASE channel WHEN 0 THEN 'first' ELSE 'second' END AS bus_id FROM f WHERE channel IN (0, 2)")
+def channel_routing(spark: SparkSession, d: str) -> DataFrame:
+    mapping = spark.createDataFrame([(0, "first", 0), (2, "second", 1), (0, "late", 2)], "channel int, bus_id string, ord int")
+    return model.route(frames(spark, d), mapping).select("idx", "bus_id")
+
+
+@query(", w AS (SELECT min(timestamp_ns) + 86400000000000 AS a, min(timestamp_ns) + 172800000000000 AS b FROM f) SELECT idx FROM f, w WHERE timestamp_ns BETWEEN a AND b")
+def time_window(spark: SparkSession, d: str) -> DataFrame:
+    every = frames(spark, d)
+    start = every.agg(F.min("timestamp_ns")).first()[0] or 0
+    return trace.time_window(every, start + 86_400_000_000_000, start + 172_800_000_000_000, prefix_stop=True).select("idx")
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    """An event for every 97th frame, at its row."""
+    return frames(spark, d).filter("idx % 97 = 3").select(F.col("idx").alias("anchor"), F.lit(0).alias("rank"), F.concat(F.lit("note"), F.col("idx").cast("string")).alias("event"))
+
+
+@query(""", u AS (SELECT idx AS anchor, 1 AS is_frame, idx, NULL AS event FROM f UNION ALL SELECT idx, 0, NULL, 'note' || idx FROM f WHERE idx % 97 = 3)
+SELECT anchor, is_frame, idx, event, row_number() OVER (ORDER BY anchor, is_frame) AS place FROM u""")
+def interleaved_events(spark: SparkSession, d: str) -> DataFrame:
+    every = frames(spark, d)
+    merged = trace.interleave_events(every, _notes(spark, d), every.count())
+    return model.with_dense_index(merged, "anchor", "is_frame", "rank", name="place").select("anchor", "is_frame", "idx", "event", (F.col("place") + 1).alias("place"))
+
+
+@query(", m AS (SELECT idx FROM f WHERE id BETWEEN 256 AND 260) SELECT 'note' || f.idx AS event, f.timestamp_ns AS ns, (SELECT count(*) FROM m WHERE m.idx < f.idx) - 5 AS position FROM f WHERE f.idx % 97 = 3")
+def filtered_positions(spark: SparkSession, d: str) -> DataFrame:
+    every = frames(spark, d)
+    times = every.filter("idx % 97 = 3").select(F.concat(F.lit("note"), F.col("idx").cast("string")).alias("event"), F.col("timestamp_ns").alias("ns"))
+    matches = predicate.filter_frames(every, {"id_range": [256, 260]}, sample_catalog())
+    return trace.filtered_position_at(every, matches, times, 5)
+
+
+@query(""", x AS (SELECT bus_id AS series, CASE bus_id WHEN 'body' THEN '' ELSE 'V' END AS unit, min(value) AS lo, max(value) AS hi FROM s GROUP BY ALL)
+SELECT series, unit, lo, hi, min(lo) OVER w AS axis_lo, max(hi) OVER w AS axis_hi FROM x WINDOW w AS (PARTITION BY unit)""")
+def unit_axes(spark: SparkSession, d: str) -> DataFrame:
+    e = series.extents(value_series(spark, d), "bus_id").select(F.col("bus_id").alias("series"), F.when(F.col("bus_id") == "body", "").otherwise("V").alias("unit"), "lo", "hi")
+    return series.unit_ranges(e)
+
+
+@query(""", w AS (SELECT min(t) + 50000 AS a, min(t) + 900000 AS b FROM s), r AS (SELECT s.*, row_number() OVER (PARTITION BY bus_id ORDER BY t, idx) - 1 AS rn, count(*) OVER (PARTITION BY bus_id) AS n FROM s, w WHERE t BETWEEN a AND b)
+SELECT bus_id, idx FROM r WHERE rn % CAST(ceil(n / 40.0) AS BIGINT) = 0 OR rn = n - 1""")
+def thinned_markers(spark: SparkSession, d: str) -> DataFrame:
+    s = value_series(spark, d)
+    start = s.agg(F.min("t")).first()[0] or 0.0
+    return series.thin_markers(s, start + 50000, start + 900000, 40, "bus_id").select("bus_id", "idx")
+
+
+@query(", w AS (SELECT min(t) + 123456.5 AS x FROM s), r AS (SELECT s.*, row_number() OVER (PARTITION BY bus_id ORDER BY abs(t - x), t DESC, idx DESC) AS rn FROM s, w) SELECT bus_id, t, value FROM r WHERE rn = 1")
+def nearest_sample(spark: SparkSession, d: str) -> DataFrame:
+    s = value_series(spark, d)
+    start = s.agg(F.min("t")).first()[0] or 0.0
+    return series.nearest(s, start + 123456.5, "bus_id")
+
+
+@query("SELECT bus_id, round(coalesce(regr_slope(value, (timestamp_ns - o) / 1000000), 0) * 60000, 9) AS slope FROM f JOIN s USING (bus_id, idx), (SELECT min(timestamp_ns) AS o FROM f) GROUP BY ALL")
+def gauge_slope(spark: SparkSession, d: str) -> DataFrame:
+    every = frames(spark, d)
+    start = every.agg(F.min("timestamp_ns")).first()[0] or 0
+    samples = every.select("bus_id", "idx", ((F.col("timestamp_ns") - start) / F.lit(1e6)).alias("t")).join(value_series(spark, d).select("idx", F.col("value").alias("v")), "idx")
+    return measure.slope_per_minute(samples, "bus_id").withColumn("slope", F.round("slope", 9))
+
+
+@query("SELECT bus_id, round(avg(value), 6) AS mean, max(value) AS \"max\", round(quantile_cont(value, 0.95), 6) AS p95, round(median(value), 6) AS median FROM s GROUP BY ALL")
+def gauge_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = measure.summary(value_series(spark, d).select("bus_id", F.col("value").alias("v")), "bus_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "p95", "median")})
+
+
+@query(""", r AS (SELECT *, row_number() OVER (PARTITION BY bus_id ORDER BY t, idx) - 1 AS rn, count(*) OVER (PARTITION BY bus_id) // 2 AS h FROM s)
+SELECT bus_id, round(avg(value) FILTER (rn >= h) / avg(value) FILTER (rn < h), 9) AS retention FROM r GROUP BY ALL""")
+def half_run_retention(spark: SparkSession, d: str) -> DataFrame:
+    return measure.retention(value_series(spark, d).select("bus_id", "t", F.col("value").alias("v")), "bus_id").withColumn("retention", F.round("retention", 9))
+
+
+@query("SELECT idx, counter AS n FROM (SELECT idx, (first_value(counter) OVER w + row_number() OVER w) % 16 AS counter FROM f WHERE bus_id = 'pt' AND id = 257 AND NOT extended WINDOW w AS (PARTITION BY bus_id ORDER BY idx))")
+def calculated_counter(spark: SparkSession, d: str) -> DataFrame:
+    from .operators import encode
+
+    message = sample_catalog().find("pt", 257, False)
+    own = frames(spark, d).filter("bus_id = 'pt' AND id = 257 AND NOT extended")
+    return encode.apply_calc(own, message, "bus_id").select("idx", decode.raw_value(message.signal("Counter")).alias("n"))
+
+
+@query("SELECT idx, CAST(least(floor(raw * 0.01 + 0.5), 255) AS BIGINT) AS k FROM f WHERE idx % 7 = 0")
+def encoded_signal(spark: SparkSession, d: str) -> DataFrame:
+    from .operators import encode
+
+    message = sample_catalog().find("pt", 257, False)
+    own = frames(spark, d).filter("idx % 7 = 0")
+    value = decode.signal_value(message.signal("Value"), message)
+    out = encode.encode_frames(own, message, {"K": value})
+    return out.select("idx", decode.raw_value(message.signal("K")).alias("k"))
+
+
+@query("SELECT idx FROM f WHERE idx > (SELECT max(idx) FROM f) - 300")
+def drop_oldest(spark: SparkSession, d: str) -> DataFrame:
+    from .streaming import live
+
+    return live.drop_oldest(frames(spark, d), 300).select("idx")
+
+
+@query(""", r AS (SELECT idx, bus_id, mode, timestamp_ns, count(*) OVER (PARTITION BY bus_id, mode ORDER BY timestamp_ns RANGE BETWEEN 86399999999999 PRECEDING AND CURRENT ROW) - 1 AS n FROM f)
+SELECT idx, n < 20 AS shown FROM r""")
+def log_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    from .streaming import live
+
+    mode = decode.mux_selector(sample_catalog().find("pt", 257, False))
+    messages = frames(spark, d).select("idx", F.col("bus_id").alias("source"), mode.alias("template"), F.col("timestamp_ns").alias("t"))
+    return live.rate_limited(messages, 20, 86_400_000_000_000).select("idx", "shown")
