@@ -2,10 +2,10 @@
 
 A document's set holds its distinct 5-word shingles (words are runs of non-space, A-Z lower-cased); a text of fewer
 words is one shingle; a text without words (or null) has an empty set and is linked with nothing. Documents link if
-100 * |intersection| >= 85 * |union|.
+100 * |intersection| >= percent * |union|; every bound of the plan follows from `percent`.
 
 Plan: equal sets collapse first, so a group of exact copies is one node. Each node stands in TREES signature orders
-(rotations of one signature). Nodes with a common prefix of DEPTHS[0] hashes form a region; a region larger than SMALL
+(rotations of one signature). Nodes with a common prefix of first_depth() hashes form a region; a region larger than SMALL
 is split by longer and longer prefixes, so its candidates are the neighbours with the longest common prefixes. Each
 crowded region is also compared with its most typical member (one row per member). What the deep prefixes of crowded
 regions may miss is found exactly: their members are joined on the rarest shingles of their sets (prefix and position
@@ -17,6 +17,7 @@ reported one by one. Empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,12 @@ from .store import settle
 from .tokens import as_bytes, batches, mix
 
 HASHES, TREES = 64, 16
-DEPTHS = (4, 8, 16, 32, 64)
+DEPTHS = (8, 16, 32, 64)
 SMALL = 24
-#: Of HASHES equal hashes; a pair at the threshold expects 54 (sd 2.9).
-AGREE = 41
+#: Similarity that links documents, in percent: op1's contract.
+PERCENT = 85
+#: Chance that a pair at the threshold meets in no tree.
+MISS = 2e-5
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -94,15 +97,26 @@ def _sets(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["node", "items"])
 
 
+def first_depth(percent: int) -> int:
+    """Hashes of the longest prefix in which a pair at the threshold meets in some tree, but for MISS."""
+    return max(d for d in range(1, HASHES // TREES + 1) if d == 1 or (1 - (percent / 100) ** d) ** TREES <= MISS)
+
+
+def least_agreement(percent: int) -> int:
+    """Of HASHES equal hashes: what a pair at the threshold expects, less 4.65 standard deviations."""
+    p = percent / 100
+    return math.floor(HASHES * p - 4.65 * math.sqrt(HASHES * p * (1 - p)))
+
+
 def _agree(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
 
 
-def _pairs(members: DataFrame) -> DataFrame:
+def _pairs(members: DataFrame, percent: int) -> DataFrame:
     """All pairs within regions of at most SMALL members."""
     a = members.select("region", F.col("node").alias("a"), F.col("sig").alias("sa"))
     b = members.select("region", F.col("node").alias("b"), F.col("sig").alias("sb"))
-    return a.join(b, (a.region == b.region) & (F.col("a") < F.col("b")) & (_agree(F.col("sa"), F.col("sb")) >= AGREE)).select("a", "b")
+    return a.join(b, (a.region == b.region) & (F.col("a") < F.col("b")) & (_agree(F.col("sa"), F.col("sb")) >= least_agreement(percent))).select("a", "b")
 
 
 def _with_size(members: DataFrame) -> DataFrame:
@@ -110,7 +124,7 @@ def _with_size(members: DataFrame) -> DataFrame:
     return members.join(size, "region")
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(candidate pairs a < b of the forest, nodes that stand in a crowded region)."""
     width = HASHES // TREES
 
@@ -119,17 +133,17 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.xxhash64("tree", F.slice(turned, 1, depth))
 
     trees = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    keyed = trees.select("node", "tree", region(DEPTHS[0]).alias("region"))
+    keyed = trees.select("node", "tree", region(first_depth(percent)).alias("region"))
     first = settle(_with_size(keyed))
     small = first.filter(f"size <= {SMALL}").join(nodes.select("node", "sig"), "node")
-    pairs = [_pairs(small)]
+    pairs = [_pairs(small, percent)]
     crowded = first.filter(f"size > {SMALL}").select("node", "tree", F.col("region").alias("root")).join(nodes.select("node", "sig"), "node")
     crowded = settle(crowded)
     pairs.append(_typical(crowded))
     members = crowded
-    for depth in DEPTHS[1:]:
+    for depth in DEPTHS:
         sized = settle(_with_size(members.withColumn("region", region(depth))))
-        pairs.append(_pairs(sized.filter(f"size <= {SMALL}")))
+        pairs.append(_pairs(sized.filter(f"size <= {SMALL}"), percent))
         members = sized.filter(f"size > {SMALL}").drop("region", "size")
     # whole signatures agree: a chain in each such region
     w = Window.partitionBy("tree", "sig").orderBy("node")
@@ -151,12 +165,12 @@ def _typical(crowded: DataFrame) -> DataFrame:
     return both.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets pass the threshold."""
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("xa"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("xb"))
     both = F.size(F.array_intersect("xa", "xb"))
-    return pairs.join(a, "a").join(b, "b").withColumn("common", both).filter(F.col("common") * 185 >= (F.size("xa") + F.size("xb")) * 85).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").withColumn("common", both).filter(F.col("common") * (100 + percent) >= (F.size("xa") + F.size("xb")) * percent).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,10 +191,10 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(links.select(F.col("v"), F.col("v"))).distinct()
 
 
-def exact_rest(crowded: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
+def exact_rest(crowded: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs between components among the members of crowded regions: rarest-shingle prefixes of full sets.
 
-    Two sets that pass the threshold share a shingle within the first n - ceil(0.85 n) + 1 of each, in any one order;
+    Two sets that pass the threshold share a shingle within the first n - ceil(n * percent / 100) + 1 of each, in any one order;
     here rarest first, and the position filter bounds what can still be common after it.
     """
     some = crowded.select("node").distinct()
@@ -188,30 +202,30 @@ def exact_rest(crowded: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFram
     seen = items.groupBy("x").agg(F.count("*").alias("df"))
     order = Window.partitionBy("node").orderBy("df", "x")
     head = items.join(seen, "x").withColumn("pos", F.row_number().over(order) - 1)
-    head = head.filter((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 85 / 100)) & (F.col("df") > 1))
+    head = head.filter((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)) & (F.col("df") > 1))
     head = settle(head.join(comp, "node", "left").select("x", "node", "n", "pos", F.coalesce("comp", "node").alias("comp")))
     # a shingle's main component needs no probe of its own: pairs lie between a lesser component's posting and any other
     main = head.groupBy("x", "comp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     probe = head.join(main, "x").filter("comp != main").drop("main")
     p, q = probe.alias("p"), head.alias("q")
-    need = F.ceil((F.col("p.n") + F.col("q.n")) * 85 / 185)
-    met = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.comp") != F.col("q.comp")) & (F.least(F.col("p.n"), F.col("q.n")) * 100 >= F.greatest(F.col("p.n"), F.col("q.n")) * 85) & (F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos")) >= need))
+    need = F.ceil((F.col("p.n") + F.col("q.n")) * percent / (100 + percent))
+    met = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.comp") != F.col("q.comp")) & (F.least(F.col("p.n"), F.col("q.n")) * 100 >= F.greatest(F.col("p.n"), F.col("q.n")) * percent) & (F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos")) >= need))
     return met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("row"))
     signed = settle(rows.mapInArrow(_signed, "doc_id long, row long, n_shingles long, node binary, sig array<int>"))
     nodes = settle(signed.filter("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
-    pairs, crowded = candidates(nodes)
+    pairs, crowded = candidates(nodes, percent)
     pairs, crowded = settle(pairs), settle(crowded)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct().join(nodes.select("node", "row"), "node")
     sets = settle(rows.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(_sets, "node binary, items array<long>"))
-    edges = settle(confirm(pairs, sets))
+    edges = settle(confirm(pairs, sets, percent))
     comp = components(edges)
-    more = confirm(exact_rest(crowded, sets, settle(comp)), sets)
+    more = confirm(exact_rest(crowded, sets, settle(comp), percent), sets, percent)
     edges = settle(edges.unionByName(more))
     comp = components(edges)
     named = comp.join(nodes.select("node", "doc_id"), "node")
@@ -224,7 +238,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that stay: one of each group of near duplicates, all columns."""
-    keep = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    keep = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")

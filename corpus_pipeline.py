@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from busloom.llm import decontamination, mixing, near_dedup, private_data, quality
 from busloom.llm.store import collected, drop, read_table, settle
 
+#: similarity of the stage's near duplicates, in percent
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left_over: list[str] = []
 
@@ -39,8 +42,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @staged
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near duplicates (similarity 0.8 or more) stays."""
+    return near_dedup.keep_one(docs, NEAR_PERCENT)
 
 
 @staged

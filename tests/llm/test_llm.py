@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from busloom.llm import class_lm, decontamination, entries, language_id, licences, media, mixing, near_dedup, private_data, quality, token_counts
 from busloom.llm.tokens import batches, word_hash
 
@@ -80,7 +81,7 @@ def test_word_hashes():
     assert len(set(seen.values())) == len(seen) and word_hash(["one"])[0] == seen["one"]
 
 
-def _components(texts):
+def _components(texts, percent=85):
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for t in texts]
     parent = list(range(len(texts)))
 
@@ -91,7 +92,7 @@ def _components(texts):
 
     for i in range(len(sets)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return [len(s) for s in sets], [find(i) for i in range(len(texts))]
@@ -119,6 +120,30 @@ def test_crowded_region(spark):
     assert [got[i].component_id for i in range(len(texts))] == _components(texts)[1]
 
 
+def test_thresholds(spark):
+    """Pairs of similarity between 0.80 and 0.85 link at 80 and don't at 85, alone and in a crowded region."""
+    texts = []
+    for k, changed in enumerate((1, 2, 3)):
+        base = [f"t{k}_{i}" for i in range(104)]
+        other = list(base)
+        for p in [10, 40, 80][:changed]:
+            other[p] = "changed"
+        texts += [" ".join(base), " ".join(other)]
+    base = [f"c{i}" for i in range(104)]
+    for k in range(40):  # 95 / 105 with the first text; 90 / 110 = 0.818 with each other
+        texts.append(" ".join(w if not k or i != 2 * k + 10 else f"e{k}" for i, w in enumerate(base)))
+    base = [f"d{i}" for i in range(104)]
+    for k in range(40):  # 90 / 110 = 0.818 with the first text alone
+        texts.append(" ".join(w if not k or i not in (k + 4, k + 55) else f"f{k}" for i, w in enumerate(base)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for percent in (80, 85):
+        got = by_id(near_dedup.near_duplicates(df, percent))
+        assert [got[i].component_id for i in range(len(texts))] == _components(texts, percent)[1]
+    assert [near_dedup.first_depth(p) for p in (80, 85)] == [3, 4] and [near_dedup.least_agreement(p) for p in (80, 85)] == [36, 41]
+    wide = df.filter("doc_id in (2, 3)")
+    assert near_dedup.keep_one(wide).count() == 2 and corpus_pipeline.near_dedup_stage(spark, wide, DATA).count() == 1
+
+
 def test_contamination(spark, docs, empty):
     items = [(1, ITEM), (2, "alpha beta gamma delta"), (3, None), (4, "!!"), (11, ITEM)]
     bench = spark.createDataFrame(items, "item_id long, text string")
