@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .postings import bind, candidates, equal_words, with_candidates
+from .postings import bind, candidates, equal_words, every_window, with_candidates
 from .store import alnum_words
 
 WINDOW = 13
@@ -34,7 +34,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, hit_at (word positions)."""
     phrases = benchmark.select(F.col("item_id").cast("string").alias("id"), alnum_words(F.col("text").cast("string")).alias("words")).filter(F.size("words") > 0)
     docs = docs.select("doc_id", "text")
-    found = with_candidates(docs, candidates(docs, phrases, WINDOW))
+    found = with_candidates(docs, candidates(docs, phrases, every_window(WINDOW)))
     per_item = bind(
         F.col("words"),
         lambda w: F.filter(F.transform("cands", lambda c: F.struct(c["id"].alias("id"), F.array_distinct(_hits(w, c)).alias("at"))), lambda h: F.size(h["at"]) > 0),

@@ -1,8 +1,8 @@
 """Licence scan by a positional rare-token index (DataFrame functions only).
 
-Words are the runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. Licence wordings are looked up by their
-words of highest inverse document frequency in the corpus; template postings are intersected by relative position, and
-a wording counts only where its mandatory key phrase stands word for word. The base phrases are wordings of their own:
+Words are the runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. Licence wordings are looked up by the
+word of highest inverse document frequency in their mandatory key phrase, as no place without it can count; template
+postings are intersected by relative position, and a wording counts only where its key phrase stands word for word. The base phrases are wordings of their own:
 every place where one stands is reported. The score is the largest part of a wording's words found in place.
 
 Null or empty texts have no words and no labels; repeated rows are judged one by one; extra columns are ignored.
@@ -47,12 +47,18 @@ def wordings(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame(rows, "id string, words array<string>")
 
 
+def _key(id_: Column) -> Column:
+    """(first, size) of the key phrase within its wording."""
+    part = F.split(id_, r"\|")
+    return F.struct(part[2].cast("int").alias("first"), part[3].cast("int").alias("size"))
+
+
 def _judge(words: Column, cand: Column) -> Column:
-    part = F.split(cand["id"], r"\|")
+    part, place = F.split(cand["id"], r"\|"), _key(cand["id"])
 
     def judged(equal: Column) -> Column:
         cover = F.aggregate(equal, F.lit(0), lambda n, x: n + x.cast("int")) / F.size(equal)
-        key = F.forall(F.slice(equal, part[2].cast("int") + 1, part[3].cast("int")), lambda x: x)
+        key = F.forall(F.slice(equal, place["first"] + 1, place["size"]), lambda x: x)
         return F.struct(part[0].alias("kind"), part[1].alias("label"), cand["at"].alias("at"), cover.alias("cover"), (key & (cover >= COVER)).alias("ok"))
 
     return bind(equal_words(words, cand), judged)
@@ -61,8 +67,8 @@ def _judge(words: Column, cand: Column) -> Column:
 def licence_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places (kind, label, at, cover)."""
     docs = docs.select("doc_id", "text")
-    # a wording with 8-word windows is met by its rarest words even if part of it is reworded
-    found = with_candidates(docs, candidates(docs, wordings(docs), 8))
+    # looked up within the key phrase alone: all the rest of a wording may be reworded, or be words that no document has
+    found = with_candidates(docs, candidates(docs, wordings(docs), F.array(_key(F.col("id")))))
     judged = bind(F.col("words"), lambda w: F.filter(F.transform("cands", lambda c: _judge(w, c)), lambda h: h["ok"]))
     none = F.array().cast("array<struct<kind:string,label:string,at:int,cover:double,ok:boolean>>")
     out = found.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("cands").isNotNull(), judged).otherwise(none).alias("places"))

@@ -1,7 +1,7 @@
 """A positional inverted index over documents, queried from the rarest terms: DataFrame functions only.
 
-The corpus is indexed for the terms of the phrases looked for. Each window of a phrase is looked up by its rarest term
-(fewest documents); a posting at position p of a term that stands at offset o in the phrase puts the phrase at p - o.
+The corpus is indexed for the terms of the phrases looked for. Each window of a phrase (by default every run of some
+words; the caller may name the parts that must stand) is looked up by its rarest term (fewest documents); a posting at position p of a term that stands at offset o in the phrase puts the phrase at p - o.
 Postings that agree on (document, phrase, p - o) are one candidate, which the caller verifies on the document's words.
 """
 
@@ -33,25 +33,30 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
 
 
-def lookups(docs: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
-    """phrases (id, words): for each window's rarest term a row (term, id, off, words). Windows with a term that no
-    document has are dropped, as they can't occur."""
+def every_window(width: int) -> Column:
+    """All runs of `width` words of a phrase, or the whole of a shorter one: array of (first, size)."""
+    k = F.least(F.lit(width), F.size("words"))
+    return F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda s: F.struct(s.alias("first"), k.alias("size")))
+
+
+def lookups(docs: DataFrame, phrases: DataFrame, windows: Column) -> DataFrame:
+    """phrases (id, words): for each window's rarest term a row (term, id, off, words). `windows` is an array of
+    (first, size) by id and words. Windows with a term that no document has are dropped, as they can't occur."""
     terms = settle(phrases.select(F.explode("words").alias("term")).distinct())
     found = docs.select(F.explode(F.array_distinct(alnum_words(F.col("text").cast("string")))).alias("term"))
     df = settle(found.join(if_small(terms, F.col("term")), "term").groupBy("term").agg(F.count("*").alias("df")))
     cells = phrases.select("id", "words", F.posexplode("words").alias("off", "term"))
     cells = cells.join(df, "term", "left").fillna(0, ["df"])
     by_phrase = cells.groupBy("id", "words").agg(F.array_sort(F.collect_list(F.struct("off", "df", "term"))).alias("cells"))
-    k = F.least(F.lit(window), F.size("words"))
     ranked = F.transform("cells", lambda c: F.struct(c["df"].alias("df"), c["term"].alias("term"), c["off"].alias("off")))
-    rarest = F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda s: F.array_min(F.slice("ranked", s + 1, k)))
+    rarest = F.transform(windows, lambda w: F.array_min(F.slice("ranked", w["first"] + 1, w["size"])))
     picked = by_phrase.withColumn("ranked", ranked).select("id", "words", F.explode(F.array_distinct(rarest)).alias("c"))
     return settle(picked.filter("c.df > 0").select(F.col("c.term").alias("term"), "id", F.col("c.off").alias("off"), "words"))
 
 
-def candidates(docs: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
+def candidates(docs: DataFrame, phrases: DataFrame, windows: Column) -> DataFrame:
     """(row, cands): per document an array of (id, words, at), where the phrase's first word would stand."""
-    looked = lookups(docs, phrases, window)
+    looked = lookups(docs, phrases, windows)
     postings = docs.select(row_key().alias("row"), F.posexplode(alnum_words(F.col("text").cast("string"))).alias("pos", "term"))
     met = postings.join(if_small(looked, F.concat_ws(" ", "words")), "term")
     met = met.select("row", "id", (F.col("pos") - F.col("off")).alias("at"), "words").distinct()
