@@ -4,7 +4,7 @@ Words are the runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z.
 an item; a shorter item with words is one window; an item without words has none. A document word inside any
 occurrence of any window is hit. A document is contaminated if it has hits and 20 * n_hit >= n_words.
 
-Null or empty texts have no words, so no hits. Repeated documents and items are judged one by one. Items without an id
+Null or empty texts have no words, so no hits. Repeated documents are judged one by one; repeated items count once. Items without an id
 hit words but are not listed. Empty tables give no hits; extra columns are ignored.
 """
 

@@ -42,6 +42,7 @@ def every_window(width: int) -> Column:
 def lookups(docs: DataFrame, phrases: DataFrame, windows: Column) -> DataFrame:
     """phrases (id, words): for each window's rarest term a row (term, id, off, words). `windows` is an array of
     (first, size) by id and words. Windows with a term that no document has are dropped, as they can't occur."""
+    phrases = settle(phrases.select("id", "words").distinct())  # repeated phrases would mix their words in one group
     terms = settle(phrases.select(F.explode("words").alias("term")).distinct())
     found = docs.select(F.explode(F.array_distinct(alnum_words(F.col("text").cast("string")))).alias("term"))
     df = settle(found.join(if_small(terms, F.col("term")), "term").groupBy("term").agg(F.count("*").alias("df")))

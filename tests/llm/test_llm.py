@@ -177,6 +177,19 @@ def test_licences(docs, empty):
     assert "apache-2.0" in got[14].labels and licences.licence_scan(empty).count() == 0
 
 
+def test_repeated_items(spark):
+    """Items that repeat with their id, or without one, hit like a single one, also by their last words alone."""
+    long = [f"long{i}" for i in range(60)]
+    item = " ".join(long)
+    texts = ["only " + " ".join(long[40:58]), "start " + " ".join(long[:15]), " ".join(long), "nothing of it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for id_, copies in ((7, 1), (7, 3), (None, 3)):
+        bench = spark.createDataFrame([(id_, item)] * copies, "item_id long, text string")
+        got = by_id(decontamination.contamination(df, bench))
+        assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in range(4)] == [(n, int(n > 0 and id_ is not None), n > 0) for n in (18, 15, 60, 0)]
+        assert [r.doc_id for r in decontamination.clean_documents(df, bench).collect()] == [3]
+
+
 def test_reworded_licences(spark):
     """Every wording is found wherever its key stands and half of its words are in place, whatever else the corpus holds."""
     texts = ["old software released into the public domain", "software released into the public domain", "licensed under CC BY-NC 3.0", "some CC BY-NC", "4 4 and 4"]
