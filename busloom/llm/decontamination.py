@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .postings import bind, candidates, equal_words, every_window, with_candidates
+from .postings import bind, candidates, equal_words, every_window, row_key, with_candidates
 from .store import alnum_words
 
 WINDOW = 13
@@ -30,8 +30,8 @@ def _hits(words: Column, cand: Column) -> Column:
     return bind(equal_words(words, cand), covered)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, hit_at (word positions)."""
+def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contamination() with the rows' keys."""
     phrases = benchmark.select(F.col("item_id").cast("string").alias("id"), alnum_words(F.col("text").cast("string")).alias("words")).filter(F.size("words") > 0)
     docs = docs.select("doc_id", "text")
     found = with_candidates(docs, candidates(docs, phrases, every_window(WINDOW)))
@@ -40,12 +40,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda w: F.filter(F.transform("cands", lambda c: F.struct(c["id"].alias("id"), F.array_distinct(_hits(w, c)).alias("at"))), lambda h: F.size(h["at"]) > 0),
     )
     none = F.array().cast("array<struct<id:string,at:array<int>>>")
-    out = found.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("cands").isNotNull(), per_item).otherwise(none).alias("hits"))
+    out = found.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("cands").isNotNull(), per_item).otherwise(none).alias("hits"))
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["id"]), lambda i: i.isNotNull())))
     at = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["at"]))))
-    out = out.select("doc_id", "n_words", ids.alias("item_ids"), at.alias("hit_at"))
+    out = out.select("row", "doc_id", "n_words", ids.alias("item_ids"), at.alias("hit_at"))
     n_hit = F.size("hit_at").cast("long")
     return out.select(
+        "row",
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
@@ -57,7 +58,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, hit_at (word positions)."""
+    return _judged(docs, benchmark).drop("row")
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all columns. Documents are told apart by doc_id and text."""
-    judged = contamination(docs.select("doc_id", "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(judged, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = _judged(docs, benchmark).filter("contaminated").select(F.col("row").alias("_row")).distinct()
+    return docs.withColumn("_row", row_key()).join(bad, "_row", "left_anti").select(docs.columns)

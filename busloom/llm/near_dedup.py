@@ -12,7 +12,7 @@ regions may miss is found exactly: their members are joined on the rarest shingl
 filter), only between different components. No step emits the pairs of a group that are already connected.
 
 Null doc_ids: such rows are judged like others, but a null never names a component. Rows that share a doc_id are
-reported one by one. Empty tables give empty results; extra columns are ignored.
+reported one by one; keep_one() lets one row of a group stay. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import settle
+from .postings import if_small, row_key
+from .store import WORD, settle
 from .tokens import as_bytes, batches, mix
 
 HASHES, TREES = 64, 16
@@ -213,21 +214,25 @@ def exact_rest(crowded: DataFrame, sets: DataFrame, comp: DataFrame, percent: in
     return met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("row"))
+def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((doc_id, row, n_shingles, node, sig) per row, (node, sig, doc_id, row) per node, (node, comp) per linked node)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
     signed = settle(rows.mapInArrow(_signed, "doc_id long, row long, n_shingles long, node binary, sig array<int>"))
     nodes = settle(signed.filter("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
     pairs, crowded = candidates(nodes, percent)
     pairs, crowded = settle(pairs), settle(crowded)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct().join(nodes.select("node", "row"), "node")
-    sets = settle(rows.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(_sets, "node binary, items array<long>"))
+    sets = rows.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(_sets, "node binary, items array<long>")
+    sets = settle(sets.dropDuplicates(["node"]))  # repeated rows share their key
     edges = settle(confirm(pairs, sets, percent))
     comp = components(edges)
     more = confirm(exact_rest(crowded, sets, settle(comp), percent), sets, percent)
-    edges = settle(edges.unionByName(more))
-    comp = components(edges)
+    return signed, nodes, components(settle(edges.unionByName(more)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    signed, nodes, comp = _linked(docs, percent)
     named = comp.join(nodes.select("node", "doc_id"), "node")
     best = named.groupBy("comp").agg(F.min("doc_id").alias("component"))
     named = named.join(best, "comp").select("node", "component").unionByName(
@@ -239,6 +244,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay: one of each group of near duplicates, all columns."""
-    keep = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """The documents that stay: exactly one row of each group of near duplicates, and all texts without words; all columns.
+
+    Rows are told apart by doc_id and text. A group keeps its smallest doc_id, a null one only if it has no other.
+    """
+    signed, _, comp = _linked(docs, percent)
+    rows = signed.filter("node is not null").groupBy("node", "doc_id", "row").agg(F.count("*").alias("copies"))
+    rows = rows.join(comp, "node", "left").groupBy(F.coalesce("comp", "node").alias("group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "copies")).alias("first")
+    keep = settle(rows.agg(first).select(F.col("first.row").alias("_row"), F.col("first.copies").alias("_copies")))
+    keyed = docs.withColumn("_row", row_key())
+    once = keyed.join(keep.filter("_copies = 1"), "_row", "left_semi")
+    repeated = keep.filter("_copies > 1").select("_row")
+    one = keyed.join(if_small(repeated, F.lit("")), "_row", "left_semi").dropDuplicates(["_row"])
+    wordless = keyed.filter(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD))
+    return once.unionByName(one).unionByName(wordless).select(docs.columns)

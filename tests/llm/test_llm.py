@@ -144,6 +144,36 @@ def test_thresholds(spark):
     assert near_dedup.keep_one(wide).count() == 2 and corpus_pipeline.near_dedup_stage(spark, wide, DATA).count() == 1
 
 
+def test_repeated_rows(spark):
+    """Rows that repeat in a crowded region lose no links; null and repeated ids take no other text with them."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        w = list(base)
+        for p in rng.choice(150, 1 + k % 5, replace=False):
+            w[p] = f"e{k}_{p}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)) * 5, "doc_id long, text string")
+    rows = near_dedup.near_duplicates(df).collect()
+    expect = _components(texts)[1]
+    assert len(rows) == 5 * len(texts) and all(r.component_id == expect[r.doc_id] for r in rows)
+    assert near_dedup.keep_one(df).count() == len(set(expect))
+
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(40))
+
+    rows = [(None, text("a")), (None, text("a") + " tail"), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("d")), (None, text("c")), (None, None), (None, ""), (7, "")]
+    df = spark.createDataFrame([(i, t, str(n)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, extra string")
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id or 0, (r.text or "")[:1]) for r in kept.collect())
+    assert got == [(0, ""), (0, ""), (0, "a"), (0, "b"), (5, "c"), (5, "d"), (7, "")]
+    bench = spark.createDataFrame([(1, text("b")), (2, text("c"))], "item_id long, text string")
+    clean = decontamination.clean_documents(df, bench)
+    assert clean.columns == df.columns and sorted(r.extra for r in clean.collect()) == ["0", "1", "5", "7", "8", "9"]
+
+
 def test_contamination(spark, docs, empty):
     items = [(1, ITEM), (2, "alpha beta gamma delta"), (3, None), (4, "!!"), (11, ITEM)]
     bench = spark.createDataFrame(items, "item_id long, text string")
