@@ -16,7 +16,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.drop("item_ids", "hit_at")
+    return found.drop("n_near", "item_ids", "near_ids", "hit_at")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,77 +1,65 @@
 """Licence scan by a positional rare-token index (DataFrame functions only).
 
-Words are the runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. Licence wordings are looked up by the
-word of highest inverse document frequency in their mandatory key phrase, as no place without it can count; template
-postings are intersected by relative position, and a wording counts only where its key phrase stands word for word. The base phrases are wordings of their own:
-every place where one stands is reported. The score is the largest part of a wording's words found in place.
-
-Null or empty texts have no words and no labels; repeated rows are judged one by one; extra columns are ignored.
+Words are the runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. A wording (a notice or a whole licence
+text) counts at a place if its mandatory key phrase stands there word for word and at least COVER of its words are in
+place. As the key must stand, a file's licence words of highest inverse document frequency that decide about a wording
+are the rarest terms of its key: these are looked up, the template's postings are intersected by relative position, and
+what is left is verified on the file's words. The base phrases are wordings of their own: every place where one stands
+is reported. The score is the largest part of a wording's words found in place.
+
+Null or empty texts have no words and no labels; repeated rows are judged one by one; extra columns are ignored; empty
+tables give empty results.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .postings import bind, candidates, equal_words, with_candidates
+from .licence_texts import NOTICES, WHOLE
+from .postings import if_small, intersected, lookups, numbered, tokenised, verified
+from .store import settle
 
 #: phrase and label that are reported as base
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: label, mandatory key phrase, wording that holds it
-WORDINGS = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "released under the mit license", "released under the mit license"),
-    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
-    ("gpl-3.0", "gnu general public license version 3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "gnu lesser general public license", "under the terms of the gnu lesser general public license"),
-    ("agpl", "gnu affero general public license", "under the terms of the gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2.0", "mozilla public license", "subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
-    ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
-)
-#: part of a longer wording's words that must stand in place
+#: part of a wording's words that must stand in place
 COVER = 0.5
+_GAP = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def wordings(docs: DataFrame) -> DataFrame:
-    """(id, words): id is `base|label` or `more|label|first key word|last key word`."""
-    rows = [(f"base|{label}|0|{len(p.split())}", p.split()) for p, label in BASE]
-    for label, key, text in WORDINGS:
-        words, inner = text.split(), key.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(inner)] == inner)
-        rows.append((f"more|{label}|{at}|{len(inner)}", words))
-    return docs.sparkSession.createDataFrame(rows, "id string, words array<string>")
-
-
-def _key(id_: Column) -> Column:
-    """(first, size) of the key phrase within its wording."""
-    part = F.split(id_, r"\|")
-    return F.struct(part[2].cast("int").alias("first"), part[3].cast("int").alias("size"))
+def words_of(text: str) -> list[str]:
+    return [w for w in _GAP.split(text.lower()) if w]
 
 
-def _judge(words: Column, cand: Column) -> Column:
-    part, place = F.split(cand["id"], r"\|"), _key(cand["id"])
+#: label, words of the key phrase, words of the wording that holds it
+WORDINGS = tuple((label, words_of(key), words_of(text)) for label, key, text in NOTICES + WHOLE)
 
-    def judged(equal: Column) -> Column:
-        cover = F.aggregate(equal, F.lit(0), lambda n, x: n + x.cast("int")) / F.size(equal)
-        key = F.forall(F.slice(equal, place["first"] + 1, place["size"]), lambda x: x)
-        return F.struct(part[0].alias("kind"), part[1].alias("label"), cand["at"].alias("at"), cover.alias("cover"), (key & (cover >= COVER)).alias("ok"))
 
-    return bind(equal_words(words, cand), judged)
+def wordings(docs: DataFrame) -> DataFrame:
+    """(words, kind, label, first, size): the key phrase is `size` words from `first`."""
+    rows = [(p.split(), "base", label, 0, len(p.split())) for p, label in BASE]
+    for label, key, words in WORDINGS:
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        rows.append((words, "more", label, at, len(key)))
+    return docs.sparkSession.createDataFrame(rows, "words array<string>, kind string, label string, first int, size int")
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places (kind, label, at, cover)."""
-    docs = docs.select("doc_id", "text")
-    # looked up within the key phrase alone: all the rest of a wording may be reworded, or be words that no document has
-    found = with_candidates(docs, candidates(docs, wordings(docs), F.array(_key(F.col("id")))))
-    judged = bind(F.col("words"), lambda w: F.filter(F.transform("cands", lambda c: _judge(w, c)), lambda h: h["ok"]))
-    none = F.array().cast("array<struct<kind:string,label:string,at:int,cover:double,ok:boolean>>")
-    out = found.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("cands").isNotNull(), judged).otherwise(none).alias("places"))
+    tokens = tokenised(docs.select("doc_id", "text"))
+    phrases = numbered(wordings(docs), "kind", "label", "first", "size")
+    keys = F.array(F.struct("first", "size"))
+    exact, _ = intersected(tokens, lookups(tokens, phrases, keys), None)
+    found = verified(tokens, exact, phrases).join(F.broadcast(phrases.drop("words")), "pid")  # as many rows as wordings
+    cover = F.aggregate("equal", F.lit(0), lambda n, x: n + x.cast("int")) / F.size("equal")
+    key = F.forall(F.slice("equal", F.col("first") + 1, F.col("size")), lambda x: x)
+    found = found.select("row", key.alias("key"), F.struct("kind", "label", "at", cover.alias("cover")).alias("place"))
+    found = found.filter(F.col("key") & (F.col("place.cover") >= COVER)).select("row", "place").distinct()
+    found = settle(found.groupBy("row").agg(F.array_sort(F.collect_list("place")).alias("places")))  # non-overlapping keys: at most the document's length
+    out = tokens.select("row", "doc_id", "n_words").join(if_small(found, F.to_json("places")), "row", "left")
+    out = out.withColumn("places", F.coalesce("places", F.array().cast("array<struct<kind:string,label:string,at:int,cover:double>>")))
     base = F.filter("places", lambda h: h["kind"] == "base")
     starts = F.transform(base, lambda h: h["at"].cast("long"))
 

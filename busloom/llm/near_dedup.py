@@ -1,4 +1,4 @@
-"""Near-duplicate documents by an LSH forest over MinHash signatures, with links confirmed on full shingle sets.
+"""Near-duplicate documents by an LSH forest over MinHash signatures, with links confirmed on full sets of shingle hashes.
 
 A document's set holds its distinct 5-word shingles (words are runs of non-space, A-Z lower-cased); a text of fewer
 words is one shingle; a text without words (or null) has an empty set and is linked with nothing. Documents link if
@@ -11,6 +11,9 @@ crowded region is also compared with its most typical member (one row per member
 regions may miss is found exactly: their members are joined on the rarest shingles of their sets (prefix and position
 filter), only between different components. No step emits the pairs of a group that are already connected.
 
+Shingles stand as 64-bit hashes. Joins on keys that may be hot (regions, shingles, components, sets) read written tables
+on both sides and aggregate in a later step, so that Spark can split their large partitions.
+
 Null doc_ids: such rows are judged like others, but a null never names a component. Rows that share a doc_id are
 reported one by one; keep_one() lets one row of a group stay. Empty tables give empty results; extra columns are ignored.
 """
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .postings import if_small, row_key
+from .postings import BROADCAST_ROWS, if_small, joinable, keyed, row_key
 from .store import WORD, settle
 from .tokens import as_bytes, batches, mix
 
@@ -120,9 +123,10 @@ def _pairs(members: DataFrame, percent: int) -> DataFrame:
     return a.join(b, (a.region == b.region) & (F.col("a") < F.col("b")) & (_agree(F.col("sa"), F.col("sb")) >= least_agreement(percent))).select("a", "b")
 
 
-def _with_size(members: DataFrame) -> DataFrame:
+def _with_size(members: DataFrame, rows: int) -> DataFrame:
+    """members (at most `rows`) with the size of their region, if over 1."""
     size = members.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
-    return members.join(size, "region")
+    return members.join(joinable(size, rows), "region")
 
 
 def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -135,34 +139,38 @@ def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     trees = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     keyed = trees.select("node", "tree", region(first_depth(percent)).alias("region"))
-    first = settle(_with_size(keyed))
+    first = settle(_with_size(keyed, TREES * nodes.count()))
     small = first.filter(f"size <= {SMALL}").join(nodes.select("node", "sig"), "node")
     pairs = [_pairs(small, percent)]
     crowded = first.filter(f"size > {SMALL}").select("node", "tree", F.col("region").alias("root")).join(nodes.select("node", "sig"), "node")
     crowded = settle(crowded)
-    pairs.append(_typical(crowded))
+    rows = crowded.count()
+    if not rows:
+        return pairs[0].distinct(), crowded.select("node", "root")
+    pairs.append(_typical(crowded, rows))
     members = crowded
     for depth in DEPTHS:
-        sized = settle(_with_size(members.withColumn("region", region(depth))))
+        sized = settle(_with_size(members.withColumn("region", region(depth)), rows))
         pairs.append(_pairs(sized.filter(f"size <= {SMALL}"), percent))
         members = sized.filter(f"size > {SMALL}").drop("region", "size")
-    # whole signatures agree: a chain in each such region
-    w = Window.partitionBy("tree", "sig").orderBy("node")
-    pairs.append(members.select(F.lag("node").over(w).alias("a"), F.col("node").alias("b")).filter("a is not null"))
+    # whole signatures agree: each with the first of its region
+    members = members.withColumn("region", region(HASHES))
+    first = members.groupBy("region").agg(F.min("node").alias("a"))
+    pairs.append(members.select("region", F.col("node").alias("b")).join(joinable(first, rows), "region").filter("a < b").select("a", "b"))
     out = pairs[0]
     for p in pairs[1:]:
         out = out.unionByName(p)
     return out.distinct(), crowded.select("node", "root").distinct()
 
 
-def _typical(crowded: DataFrame) -> DataFrame:
+def _typical(crowded: DataFrame, rows: int) -> DataFrame:
     """Each member with its region's most typical member: the one that has most of the region's commonest next hashes."""
     after = F.slice(F.concat("sig", "sig"), (HASHES // TREES) * (F.col("tree") + 1) + 1, HASHES // TREES)
     cell = crowded.select("root", "node", F.posexplode(after).alias("k", "v"))
     common = cell.groupBy("root", "k", "v").agg(F.count("*").alias("n")).groupBy("root", "k").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-    score = cell.join(common, ["root", "k", "v"], "left_semi").groupBy("root", "node").agg(F.count("*").alias("n"))
+    score = cell.join(joinable(common, rows), ["root", "k", "v"], "left_semi").groupBy("root", "node").agg(F.count("*").alias("n"))
     lead = score.groupBy("root").agg(F.max_by("node", F.struct("n", "node")).alias("lead"))
-    both = crowded.select("root", "node").join(lead, "root").filter("node != lead")
+    both = crowded.select("root", "node").join(joinable(lead, rows), "root").filter("node != lead")
     return both.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
 
 
@@ -177,18 +185,19 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the smallest node reachable. Large-star and small-star rounds."""
     links = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    before, n = None, links.count()
+    while n:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(joinable(low, 2 * n), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = settle(large) if 2 * n > BROADCAST_ROWS else large
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        small = large.join(joinable(least, n), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         links = settle(small)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     return links.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(links.select(F.col("v"), F.col("v"))).distinct()
 
 
@@ -199,16 +208,20 @@ def exact_rest(crowded: DataFrame, sets: DataFrame, comp: DataFrame, percent: in
     here rarest first, and the position filter bounds what can still be common after it.
     """
     some = crowded.select("node").distinct()
-    items = some.join(sets, "node").select("node", F.size("items").alias("n"), F.explode("items").alias("x"))
-    seen = items.groupBy("x").agg(F.count("*").alias("df"))
+    items = settle(some.join(sets, "node").select("node", "items"))
+    every = items.select("node", F.size("items").alias("n"), F.explode("items").alias("x"))
+    seen = settle(every.groupBy("x").agg(F.count("*").alias("df")))
     order = Window.partitionBy("node").orderBy("df", "x")
-    head = items.join(seen, "x").withColumn("pos", F.row_number().over(order) - 1)
+    head = every.join(seen, "x").withColumn("pos", F.row_number().over(order) - 1)
     head = head.filter((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)) & (F.col("df") > 1))
     head = settle(head.join(comp, "node", "left").select("x", "node", "n", "pos", F.coalesce("comp", "node").alias("comp")))
-    # a shingle's main component needs no probe of its own: pairs lie between a lesser component's posting and any other
-    main = head.groupBy("x", "comp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    probe = head.join(main, "x").filter("comp != main").drop("main")
-    p, q = probe.alias("p"), head.alias("q")
+    # only shingles of several components matter, and a shingle's main component needs no probe of its own: pairs lie
+    # between a lesser component's posting and any other
+    by_comp = head.groupBy("x", "comp").agg(F.count("*").alias("c"))
+    main = by_comp.groupBy("x").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    main = settle(main.drop("comps"))
+    head = settle(head.join(if_small(main, F.lit("")), "x"))
+    p, q = head.filter("comp != main").alias("p"), head.alias("q")
     need = F.ceil((F.col("p.n") + F.col("q.n")) * percent / (100 + percent))
     met = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.comp") != F.col("q.comp")) & (F.least(F.col("p.n"), F.col("q.n")) * 100 >= F.greatest(F.col("p.n"), F.col("q.n")) * percent) & (F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos")) >= need))
     return met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
@@ -217,7 +230,7 @@ def exact_rest(crowded: DataFrame, sets: DataFrame, comp: DataFrame, percent: in
 def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((doc_id, row, n_shingles, node, sig) per row, (node, sig, doc_id, row) per node, (node, comp) per linked node)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
-    signed = settle(rows.mapInArrow(_signed, "doc_id long, row long, n_shingles long, node binary, sig array<int>"))
+    signed = settle(rows.mapInArrow(_signed, "doc_id long, row binary, n_shingles long, node binary, sig array<int>"))
     nodes = settle(signed.filter("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
     pairs, crowded = candidates(nodes, percent)
     pairs, crowded = settle(pairs), settle(crowded)
@@ -226,18 +239,19 @@ def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     sets = settle(sets.dropDuplicates(["node"]))  # repeated rows share their key
     edges = settle(confirm(pairs, sets, percent))
     comp = components(edges)
-    more = confirm(exact_rest(crowded, sets, settle(comp), percent), sets, percent)
-    return signed, nodes, components(settle(edges.unionByName(more)))
+    if not crowded.count():
+        return signed, nodes, settle(comp)
+    more = confirm(settle(exact_rest(crowded, sets, settle(comp), percent)), sets, percent)
+    return signed, nodes, settle(components(settle(edges.unionByName(more))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     signed, nodes, comp = _linked(docs, percent)
-    named = comp.join(nodes.select("node", "doc_id"), "node")
-    best = named.groupBy("comp").agg(F.min("doc_id").alias("component"))
-    named = named.join(best, "comp").select("node", "component").unionByName(
-        nodes.join(comp.select("node"), "node", "left_anti").select("node", F.col("doc_id").alias("component"))
-    )
+    named = settle(comp.join(nodes.select("node", "doc_id"), "node"))
+    best = settle(named.groupBy("comp").agg(F.min("doc_id").alias("component")))
+    alone = nodes.join(comp.select("node"), "node", "left_anti").select("node", F.col("doc_id").alias("component"))
+    named = settle(named.join(best, "comp").select("node", "component").unionByName(alone))
     out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
@@ -250,12 +264,13 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     signed, _, comp = _linked(docs, percent)
     rows = signed.filter("node is not null").groupBy("node", "doc_id", "row").agg(F.count("*").alias("copies"))
-    rows = rows.join(comp, "node", "left").groupBy(F.coalesce("comp", "node").alias("group"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "copies")).alias("first")
-    keep = settle(rows.agg(first).select(F.col("first.row").alias("_row"), F.col("first.copies").alias("_copies")))
-    keyed = docs.withColumn("_row", row_key())
-    once = keyed.join(keep.filter("_copies = 1"), "_row", "left_semi")
-    repeated = keep.filter("_copies > 1").select("_row")
-    one = keyed.join(if_small(repeated, F.lit("")), "_row", "left_semi").dropDuplicates(["_row"])
-    wordless = keyed.filter(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD))
-    return once.unionByName(one).unionByName(wordless).select(docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "copies"))
+    by_node = settle(rows.groupBy("node").agg(first.alias("first")))
+    group = by_node.join(comp, "node", "left").groupBy(F.coalesce("comp", "node").alias("group"))
+    keep = settle(group.agg(F.min("first").alias("first")).select("first.row", "first.copies"))
+    whole = keyed(docs)
+    once = whole.join(keep.filter("copies = 1"), "row", "left_semi")
+    repeated = keep.filter("copies > 1").select("row")
+    one = whole.join(if_small(repeated, F.lit("")), "row", "left_semi").dropDuplicates(["row"])
+    wordless = whole.filter(~F.coalesce(F.col("doc.text").cast("string"), F.lit("")).rlike(WORD))
+    return once.unionByName(one).unionByName(wordless).select("doc.*")
