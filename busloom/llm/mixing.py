@@ -8,7 +8,7 @@ doc_id and text alone, so reruns agree and repeated rows fare alike.
 
 Sources are few rows (one each) and are handled as a table: ranks come from per-partition counts and the water level
 from a few sums, so neither documents nor sources pass through one task. A source of words 0 gets target 0.
-Empty tables give empty results; extra columns are kept.
+Empty tables give empty results. Extra columns are kept by the mix itself, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .postings import if_small
 from .store import WORD, settle
 
 WEIGHTS = (5, 2, 1)
@@ -52,19 +53,29 @@ def targets(sized: DataFrame) -> DataFrame:
     return table.select("source", "source_size", F.least(cap, F.col("weight") * level).alias("target"))
 
 
-def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target, rate, copies and taken (= size * copies), one row per document."""
-    text = F.col("text").cast("string")
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-    goal = settle(targets(sized.select("source", "size")).withColumn("_source", F.col("source")).drop("source"))
+def _taken(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc, mix): whole rows of docs, and size, source_size, target, rate, copies and taken of each."""
+    text = F.col("doc.text").cast("string")
+    sized = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
+    sized = sized.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
+    goal = settle(targets(sized.select("doc.source", "size")).withColumnRenamed("source", "of"))
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text), F.lit(1 << 53)) / float(1 << 53)
-    out = sized.join(goal, sized["source"].eqNullSafe(goal["_source"])).drop("_source").withColumn("rate", rate)
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc.doc_id").cast("string"), text), F.lit(1 << 53)) / float(1 << 53)
+    out = sized.join(if_small(goal, F.col("of")), sized["doc.source"].eqNullSafe(goal["of"])).withColumn("rate", rate)
     copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
+    out = out.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
+    return out.select("doc", F.struct("size", "source_size", "target", "rate", "copies", "taken").alias("mix"))
+
+
+def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies and taken (= size * copies), one row per document."""
+    return _taken(docs, seed).select("doc.doc_id", "doc.source", "mix.*")
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, the columns of docs and `copy` (from 0)."""
-    out = mixture(docs.select("*"), seed).filter("copies > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    """The mix itself: each document as many times as it is taken, the columns of docs and `copy` (from 0).
+
+    A column `copy` of docs gives way to it.
+    """
+    out = _taken(docs, seed).filter("mix.copies > 0").select("doc", F.explode(F.sequence(F.lit(0), F.col("mix.copies") - 1)).alias("copy"))
+    return out.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c != "copy"], "copy")

@@ -1,11 +1,16 @@
 """Personal data by patterns, and information-theoretic sanitisation of the terms that reveal it.
 
-Base spans (kinds email, ip, card, phone) come from patterns; each is a protected entity. Corpus co-occurrence then
-estimates how strongly a term (a run of letters or digits, A-Z lower-cased) within REACH words of an entity reveals it:
-disclosure(t, e) = n(e, t) / n(t) over distinct texts, and its gain log2(disclosure * texts / n(e)). A term is
-sanitised if at least SUPPORT distinct texts show it beside the same entity, its disclosure is DISCLOSE or more and the
-gain is GAIN bits or more: at REMOVE or more it is removed (`reveal`), below that generalised (`hint`). All its places in
-the corpus become spans. Copies of a text count once, so copying makes no term revealing.
+Base spans (kinds email, ip, card, phone) come from patterns. Protected entities are every literal value found, and every
+kind as a whole. Corpus co-occurrence then estimates how strongly a term (a run of letters or digits, A-Z lower-cased)
+within REACH words of an entity reveals it: disclosure(t, e) = n(e, t) / n(t) over distinct texts, and its gain
+log2(disclosure * texts / n(e)). A term is sanitised if its gain is GAIN bits or more and
+
+* at least SUPPORT distinct texts show it beside the same literal value and its disclosure is DISCLOSE or more: at REMOVE
+  or more it is removed (`reveal`), below that generalised (`hint`); or
+* at least KIND_SUPPORT distinct texts show it beside values of one kind, its disclosure is REMOVE or more and the gains
+  of all these texts together are EVIDENCE bits or more, which chance does not reach: it is generalised (`hint`).
+
+All its places in the corpus become spans. Copies of a text count once, so copying makes no term revealing.
 
 Terms that common usage already rules out are dropped before the corpus is counted: n(t) is at least the number of
 texts that have t beside any entity. The rest are counted over all texts, found by a bit table of fixed size and then
@@ -23,13 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .postings import if_small, row_key
+from .postings import if_small, keyed, row_key
 from .store import settle
 from .tokens import ALNUM, as_bytes, batches
 
 KINDS = ("email", "ip", "card", "phone", "hint", "reveal")
 REACH, SUPPORT, DISCLOSE, REMOVE, GAIN = 8, 3, 0.5, 0.9, 3.0
+KIND_SUPPORT, EVIDENCE = 5, 24.0
 #: bits of the table that finds candidate terms
 TABLE = 1 << 23
 
@@ -103,10 +110,10 @@ def _scan(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edges = [(np.searchsorted(start, s), np.searchsorted(start, e)) for s, _, e in found]
                 for a, b in edges:
                     covered[a:b] = True
-                for (s, _, e), (a, b) in zip(found, edges, strict=True):
+                for (s, k, e), (a, b) in zip(found, edges, strict=True):
                     entity = np.uint64(xxh64_intdigest(text[s:e].lower().encode())).astype(np.int64).item()
                     for lo, hi in ((max(0, a - REACH), a), (b, b + REACH)):
-                        beside.update((entity, t) for t in words.hash[lo:hi][~covered[lo:hi]].view(np.int64).tolist())
+                        beside.update((x, t) for t in words.hash[lo:hi][~covered[lo:hi]].view(np.int64).tolist() for x in (entity, k))
             near.append([{"entity": x, "term": t} for x, t in sorted(beside)])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(spans, _SPANS), pa.array(near, _NEAR)], ["row", "doc_id", "same", "base", "near"])
 
@@ -126,7 +133,7 @@ def _found_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches_:
-            row, same = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            row, same = batch.column(0), batch.column(2).to_numpy()
             texts = as_bytes(batch.column(1))
             for first, words in batches(texts, is_word=ALNUM):
                 term = words.hash.view(np.int64)
@@ -140,11 +147,11 @@ def _found_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 begin = point[np.cumsum(sizes) - sizes][text]
                 start = point[words.start[hit]] - begin
                 end = point[words.end[hit]] - begin  # the separator after the word is a code point of its own
-                yield pa.RecordBatch.from_arrays([pa.array(row[first + text]), pa.array(same[first + text]), pa.array(term[hit]), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["row", "same", "term", "start", "end"])
+                yield pa.RecordBatch.from_arrays([row.take(pa.array(first + text)), pa.array(same[first + text]), pa.array(term[hit]), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["row", "same", "term", "start", "end"])
 
     rows = docs.select(row_key().alias("row"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("same"))
-    places = rows.mapInArrow(run, "row long, same long, term long, start int, end int")
-    return places.join(if_small(terms.select("term").distinct(), F.lit("")), "term")
+    places = rows.mapInArrow(run, "row binary, same long, term long, start int, end int")
+    return places.join(if_small(terms, F.lit("")), "term")
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,20 +160,23 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(row_key().alias("row"), "doc_id", "text", F.xxhash64("text").alias("same"))
     spans = "array<struct<start:int,kind:int,end:int>>"
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = settle(rows.mapInArrow(_scan, f"row long, doc_id {kind}, same long, base {spans}, near array<struct<entity:long,term:long>>"))
+    scanned = settle(rows.mapInArrow(_scan, f"row binary, doc_id {kind}, same long, base {spans}, near array<struct<entity:long,term:long>>"))
     near = scanned.select("same", F.inline("near")).distinct()
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(f"both >= {SUPPORT}")
+    of_kind = F.col("entity").between(0, 3)
+    together = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= F.when(of_kind, KIND_SUPPORT).otherwise(SUPPORT))
     beside = near.groupBy("term").agg(F.count_distinct("same").alias("beside"))
-    likely = settle(together.join(beside, "term").filter(F.col("both") >= DISCLOSE * F.col("beside")))
+    likely = settle(together.join(beside, "term").filter(F.col("both") >= F.when(of_kind, REMOVE).otherwise(DISCLOSE) * F.col("beside")))
     texts = scanned.select("same").distinct().count()
     with_entity = near.groupBy("entity").agg(F.count_distinct("same").alias("texts"))
-    places = settle(_found_terms(docs, likely))
+    places = settle(_found_terms(docs, settle(likely.select("term").distinct())))
     used = places.groupBy("term").agg(F.count_distinct("same").alias("used"))
     share = F.col("both") / F.col("used")
-    judged = likely.join(used, "term").join(with_entity, "entity").withColumn("share", share)
-    judged = judged.filter((F.col("share") >= DISCLOSE) & (F.log2(F.col("share") * texts / F.col("texts")) >= GAIN))
-    worst = judged.groupBy("term").agg(F.max("share").alias("share"))
-    number = F.when(F.col("share") >= REMOVE, KINDS.index("reveal")).otherwise(KINDS.index("hint"))
+    gain = F.log2(share * texts / F.col("texts"))
+    judged = likely.join(used, "term").join(with_entity, "entity").withColumns({"share": share, "gain": gain}).filter(F.col("gain") >= GAIN)
+    sure = F.when(of_kind, (F.col("share") >= REMOVE) & (F.col("both") * F.col("gain") >= EVIDENCE)).otherwise(F.col("share") >= DISCLOSE)
+    worst = judged.filter(sure).groupBy("term").agg(F.max(~of_kind & (F.col("share") >= REMOVE)).alias("out"))
+    number = F.when(F.col("out"), KINDS.index("reveal")).otherwise(KINDS.index("hint"))
+    worst = if_small(settle(worst), F.lit(""))
     extra = places.join(worst, "term").select("row", F.struct("start", number.alias("kind"), "end").alias("span"))
     return scanned.select("row", "doc_id", "base"), settle(extra.groupBy("row").agg(F.collect_set("span").alias("extra")))
 
@@ -206,16 +216,16 @@ def _clean(text: str, extra: list[dict]) -> str:
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with personal data in `text` replaced by its kind and revealing terms generalised or removed."""
     _, extra = find(docs)
-    keyed = docs.withColumn("_row", row_key())
-    given = keyed.join(if_small(extra.withColumnRenamed("row", "_row"), F.lit("")), "_row", "left")
-    at = given.columns.index("text")
+    given = keyed(docs).join(if_small(extra, F.lit("")), "row", "left")
+    given = given.select("doc", F.col("doc.text").cast("string").alias("text"), "extra")
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            texts = [None if t is None else _clean(t, x or []) for t, x in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns[1:-1], batch.schema.names[1:-1])
-
-    fields = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in given.schema.fields[1:-1])
-    out = given.mapInArrow(run, fields)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+            texts = [None if t is None else _clean(t, x or []) for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc", "text"])
+
+    out = given.mapInArrow(run, T.StructType([given.schema["doc"], T.StructField("text", T.StringType())]))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

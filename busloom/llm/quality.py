@@ -157,7 +157,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """row, doc_id, text_score, meta_score, score, rejected: one row per document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(row_key().alias("row"), "doc_id", F.col("text").cast("string").alias("text"), _meta_view(docs).alias("meta"))
-    features = settle(rows.mapInArrow(_featured, f"row long, doc_id {kind}, meta array<float>, text array<float>"))
+    features = settle(rows.mapInArrow(_featured, f"row binary, doc_id {kind}, meta array<float>, text array<float>"))
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     known = settle(known)
     with_label = settle(_sample(features, LABELLED, known.count()).join(_sample(known, LABELLED, known.count()), "doc_id"))
@@ -184,7 +184,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 out = [sigmoid(odds[0]), sigmoid(odds[1]), sigmoid(models[4].odds(np.stack(odds, 1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(o, pa.float64()) for o in out)], ["row", "doc_id", "text_score", "meta_score", "score"])
 
-    scored = features.select("row", "doc_id", "meta", "text").mapInArrow(run, f"row long, doc_id {kind}, text_score double, meta_score double, score double")
+    scored = features.select("row", "doc_id", "meta", "text").mapInArrow(run, f"row binary, doc_id {kind}, text_score double, meta_score double, score double")
     return scored.withColumn("rejected", F.col("score") < REJECT)
 
 

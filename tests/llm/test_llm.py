@@ -248,10 +248,15 @@ def test_reworded_licences(spark):
 def test_mixing(docs, empty):
     rows = mixing.mixture(docs).collect()
     again = mixing.mixture(docs.repartition(5)).collect()
-    key = lambda r: (r.doc_id is None, r.doc_id, r.text or "", r.taken)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
     assert sorted(map(key, rows)) == sorted(map(key, again))
     total, sources = sum(r.size for r in rows), {r.source: r for r in rows}
-    assert all(r.size == len(words(r.text)) and r.taken in (0, r.size, 2 * r.size) for r in rows)
+    assert all(r.size == len(words(BODY if r.doc_id is None else TEXTS[r.doc_id])) and r.taken in (0, r.size, 2 * r.size) for r in rows)
+    names = ("size", "source_size", "target", "rate", "copies", "taken", "copy", "of", "part", "rank", "doc", "mix", "row", "extra", "words", "copies")
+    clash = docs.withColumns({n: F.lit(n) for n in names})
+    mix = mixing.mixed_documents(clash)
+    assert sorted(mix.columns) == sorted(set(clash.columns)) and mix.filter("size != 'size' or target != 'target'").count() == 0
+    assert mix.count() == sum(r.copies for r in rows) == mix.filter("copy in (0, 1)").count()
     order = sorted((s for s in sources if s is not None)) + [None]
     cap = {s: 2.0 * sources[s].source_size for s in order}
     weight = {s: float((5, 2, 1)[i % 3]) for i, s in enumerate(order)}
@@ -280,6 +285,27 @@ def test_language(spark, docs, empty):
     assert out > 0.95
 
 
+def test_language_letters():
+    """Letters of every plane count, other characters of any plane don't; n-grams equal a plain count of them."""
+    texts = ["\U0001d11e \U0001d7ce", "\U0001d7ce12", "\U000e0041", "ab \u00c9\u00e9 \u03b1\u4f60", "\U00010400x", "aab", None]
+    code, n = language_id._total(texts)
+    expect = {}
+    for t in texts:
+        c = [" "] + [x.lower() if x.isalpha() else " " for x in t or ""] + [" "]
+        c = c + [" "]
+        for i in range(1, len(c) - 1):
+            if c[i] != " ":
+                expect[c[i]] = expect.get(c[i], 0) + 1
+                expect["".join(c[i - 1 : i + 2])] = expect.get("".join(c[i - 1 : i + 2]), 0) + 1
+            if c[i - 1] != " " or c[i] != " ":
+                expect[c[i - 1] + c[i]] = expect.get(c[i - 1] + c[i], 0) + 1
+    assert dict(zip(code.tolist(), n.tolist(), strict=True)) == {language_id.gram_code(g): k for g, k in expect.items()}
+    ranks = language_id.Ranks({"x": [language_id.gram_code("a"), language_id.gram_code("ab")], "y": [language_id.gram_code("\u03b1")]})
+    langs, scores = ranks.predict(texts)
+    assert langs == ["und"] * 3 + ["x", "x", "x", "und"] and scores[:3] == [0, 0, 0] and scores[4] == 0
+    assert language_id.Ranks({}).predict(["a"]) == (["und"], [0.0])
+
+
 def test_class_model(spark, empty):
     real = spark.read.parquet(f"{DATA}/documents.parquet")
     real = real.unionByName(spark.createDataFrame([(10**9, None), (10**9 + 1, "")], "doc_id long, text string"), allowMissingColumns=True)
