@@ -1,6 +1,8 @@
 """Training-text operators against brute-force versions on small fixtures."""
 
+import base64
 import hashlib
+import html as htmllib
 import math
 import re
 import zlib
@@ -344,6 +346,9 @@ def test_media(spark, docs, empty):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256, r.feature, r.caption) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature(payload), f"{len(data)} bytes")
+        first, *rest = (" ".join(line.split()) for line in (t or "").split("\n"))
+        rest = " ".join(" ".join(rest).split())
+        assert (r.pos, r.n_parts, r.n_text) == (int(first != ""), 1 + (first != "") + (rest != ""), len(first) + len(rest))
     assert media.document_media(docs).count() == len(TEXTS) + 2 and media.document_media(empty).count() == 0
     with pytest.raises(ValueError):
         media.from_png(stored[:40] + b"\0" + stored[41:])
@@ -354,7 +359,23 @@ def test_interleaving(spark):
     parts = media.interleave(html)
     assert [(p["pos"], p["kind"], p["text"], p["digest"], p["caption"]) for p in parts] == [(0, "text", "One two", None, None), (1, "media", "sha256:aa", "aa", "Cap & tion"), (2, "text", "three", None, None), (3, "media", "x.png", None, "alt"), (4, "text", "four", None, None)]
     assert media.interleave(None) == [] and media.interleave("") == []
-    pages = spark.createDataFrame([(1, html)], "id long, html string").select("id", media.sequence_of("html").alias("parts"))
+    raw = base64.b64encode(b"pay load").decode()
+    html = f'<figure><img src="a.png"><figure><img src="data:image/x;base64,{raw}"><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure><picture><source srcset="b.webp 2x"><img srcset="c.png 1x, d.png 2x" alt="pic"></picture><img src="data:;base64,@@"><video src="/v"></video>'
+    parts = media.interleave(html, "https://x.example.com/q/r")
+    digest = hashlib.sha256(b"pay load").hexdigest()
+    assert [(p["text"], p["digest"], p["caption"]) for p in parts] == [("https://x.example.com/q/a.png", None, "outer"), ("data:image/x;base64", digest, "inner"), ("https://x.example.com/q/c.png", None, "pic"), ("data:;base64,@@", None, None), ("https://x.example.com/v", None, None)]
+    inline = media.inline_payloads(spark.createDataFrame([(html,), (html,), (None,)], "html string")).collect()
+    assert [(r.digest, media.from_png(bytes(r.media))) for r in inline] == [(digest, media.pad(b"pay load"))]
+    html = '<p>One <b>two</b></p><script>no</script><figure><img src="sha256:aa"><figcaption>Cap &amp; tion</figcaption></figure>three<img src="x.png" alt="alt"><p>four'
+    # the real pages hold no media: their whole visible text, in order
+    real = spark.read.parquet(f"{DATA}/pages.parquet").select("html", F.inline(media.sequence_of("html", "url"))).collect()
+    assert len(real) == len({r.html for r in real})
+    for r in real:
+        seen = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<(script|style)\b.*?</\1>", "", r.html)
+        tag = re.compile(r"</?([a-zA-Z0-9]+)[^>]*>")
+        seen = htmllib.unescape(tag.sub(lambda m: " " if m[1].lower() in media.BREAKS else "", seen))
+        assert (r.pos, r.kind, r.text) == (0, "text", " ".join(seen.split()))
+    pages = spark.createDataFrame([(1, html)], "id long, html string").select("id", media.sequence_of("html", F.lit(None).cast("string")).alias("parts"))
     store = spark.createDataFrame([("aa", bytearray(b"xy")), ("aa", bytearray(b"xy"))], "digest string, media binary")
     out = media.resolved(pages, store).orderBy("pos").collect()
     assert [(r.pos, r.media) for r in out] == [(0, None), (1, bytearray(b"xy")), (2, None), (3, None), (4, None)]
