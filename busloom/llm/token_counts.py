@@ -1,25 +1,35 @@
-"""Edit-aware token counting: a segment tree of pre-token counts per document.
+"""Edit-aware token counting: a stored segment tree of pre-token counts per document.
 
 A text splits into pre-tokens by the tokenizer's pattern; merges never cross them, so a text's tokens are the sum over
-its pre-tokens. A document keeps its pre-tokens' ends and counts in blocks of BLOCK, with a tree of sums over the
-blocks. An edit (start, end, replacement in code points) keeps the pre-tokens that end two or more characters before start
-(the pattern looks at no more than two characters past a match), encodes on from there until a boundary after the edit meets an old one,
-and keeps the rest: only that region is re-encoded and only the sums above it change.
+its pre-tokens. with_trees() keeps, beside each document, the lengths and token counts of its pre-tokens, cut into
+leaves of BLOCK, and a binary tree with the characters and tokens below every node. Lengths are relative, so what stands
+after an edit never changes.
+
+edited() loads the stored trees and applies edits (start, end, replacement in code points). The tree is descended by
+characters to the last pre-token that ends two or more characters before the edit (the pattern looks at no more than two
+characters past a match); from there pre-tokens are encoded until a boundary after the edit meets an old one. The new
+pre-tokens take the places of the old in their leaves, and the sums on the paths above those leaves are updated. A leaf
+that outgrows twice BLOCK is split; the tree of sums is laid out anew only when a split finds no empty leaf beside it.
 
 Edits apply in the order given, each to the text the ones before left; positions beyond the text's end stop there.
-Null texts are empty. Repeated rows are counted one by one; extra columns are ignored. Texts are handled whole.
+Null texts are empty. Repeated rows are counted one by one; extra columns are ignored; empty tables give empty results.
+Texts are handled whole.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import settle
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 64
@@ -28,14 +38,13 @@ REMEMBER = 300_000
 
 
 class Counter:
-    """Tokens of pre-tokens under a rank file."""
+    """Tokens of pre-tokens under a rank file's content."""
 
-    def __init__(self, ranks: str = RANKS):
+    def __init__(self, ranks: bytes):
         import regex
         import tiktoken
 
-        with open(ranks, "rb") as lines:
-            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
         self.split = regex.compile(PATTERN)
         self.seen: dict[str, int] = {}
@@ -49,106 +58,180 @@ class Counter:
         return n
 
 
+@cache
+def _counter(ranks: bytes) -> Counter:
+    return Counter(ranks)
+
+
+def rank_file(path: str) -> bytes:
+    """The content of a rank file of the driver, to be shipped with the job (about half a megabyte)."""
+    with open(path, "rb") as ranks:
+        return ranks.read()
+
+
 class Tree:
-    """Blocks of (end, count) of pre-tokens, and sums of the blocks' tokens in a binary tree (`sums[1]` is the total)."""
+    """Leaves of pre-tokens (lengths, counts) under a binary tree of sums; chars[1] and tokens[1] are the totals."""
 
-    def __init__(self, counter: Counter, text: str):
+    def __init__(self, counter: Counter, text: str, lens, counts, sizes, chars=None, tokens=None):
         self.counter, self.text = counter, text
-        self.ends: list[list[int]] = []
-        self.counts: list[list[int]] = []
-        self.encoded = 0
-        ends, counts = [], []
-        for m in counter.split.finditer(text):
-            ends.append(m.end())
-            counts.append(counter.count(m[0]))
-        self._blocks(ends, counts)
-
-    def _blocks(self, ends: list[int], counts: list[int]) -> None:
-        self.ends = [ends[i : i + BLOCK] for i in range(0, len(ends), BLOCK)]
-        self.counts = [counts[i : i + BLOCK] for i in range(0, len(counts), BLOCK)]
-        self._build()
-
-    def _build(self) -> None:
-        self.size = 1 << max(0, (max(1, len(self.counts)) - 1).bit_length())
-        self.sums = [0] * (2 * self.size)
-        for i, c in enumerate(self.counts):
-            self.sums[self.size + i] = sum(c)
-        for i in range(self.size - 1, 0, -1):
-            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
-
-    @property
-    def total(self) -> int:
-        return self.sums[1]
+        at = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))]).tolist()
+        self.leaves = [(lens[a:b], counts[a:b]) for a, b in pairwise(at)]
+        self.chars, self.tokens = chars, tokens
+        self.encoded = self.touched = self.laid_out = 0
+        if chars is None:
+            self._lay_out()
+
+    @classmethod
+    def of(cls, counter: Counter, text: str) -> Tree:
+        pieces = counter.split.findall(text)
+        lens, counts = [len(p) for p in pieces], [counter.count(p) for p in pieces]
+        return cls(counter, text, lens, counts, [len(lens[i : i + BLOCK]) for i in range(0, len(lens), BLOCK)])
+
+    def _lay_out(self) -> None:
+        self.leaves = [leaf for leaf in self.leaves if len(leaf[0])] or [([], [])]
+        size = 1 << (len(self.leaves) - 1).bit_length()
+        self.leaves += [([], [])] * (size - len(self.leaves))
+        self.chars = [0] * size + [int(sum(n)) for n, _ in self.leaves]
+        self.tokens = [0] * size + [int(sum(c)) for _, c in self.leaves]
+        for sums in (self.chars, self.tokens):
+            for i in range(size - 1, 0, -1):
+                sums[i] = sums[2 * i] + sums[2 * i + 1]
 
     @property
     def pieces(self) -> int:
-        return sum(map(len, self.counts))
+        return sum(len(n) for n, _ in self.leaves)
 
-    def _update(self, block: int) -> None:
-        i = self.size + block
-        self.sums[i] = sum(self.counts[block])
+    def _put(self, i: int, lens: list[int], counts: list[int]) -> None:
+        """Leaf i anew, and the sums on its path."""
+        self.leaves[i] = (lens, counts)
+        i += len(self.leaves)
+        self.chars[i], self.tokens[i] = sum(lens), sum(counts)
         while i > 1:
             i //= 2
-            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
+            self.touched += 1
+            for sums in (self.chars, self.tokens):
+                sums[i] = sums[2 * i] + sums[2 * i + 1]
+
+    def _leaf_at(self, position: int) -> tuple[int, int]:
+        """(leaf with that character, characters before it); the last leaf beyond the end."""
+        i, before, size = 1, 0, len(self.leaves)
+        while i < size:
+            i *= 2
+            if position - before >= self.chars[i] and self.chars[i + 1]:
+                before += self.chars[i]
+                i += 1
+        return i - size, before
 
     def edit(self, start: int, end: int, replacement: str) -> None:
         start = min(start, len(self.text))
         end = max(start, min(end, len(self.text)))
         shift = len(replacement) - (end - start)
-        text = self.text[:start] + replacement + self.text[end:]
-        flat = [e for b in self.ends for e in b]
-        keep = bisect_left(flat, start - 1)  # pre-tokens [0, keep) end two or more characters before start
-        at = flat[keep - 1] if keep else 0
-        ends, counts, resume = [], [], len(flat)
+        self.text = text = self.text[:start] + replacement + self.text[end:]
+        first, at = self._leaf_at(max(0, start - 2))
+        own, own_counts = (list(map(int, x)) for x in self.leaves[first])
+        keep = 0
+        while keep < len(own) and at + own[keep] <= start - 2:
+            at += own[keep]
+            keep += 1
+        new, new_counts, last, old, lens, k = [], [], first, at, own, keep  # old: the old boundary before piece k of leaf `last`
         for m in self.counter.split.finditer(text, at):
-            ends.append(m.end())
-            counts.append(self.counter.count(m[0]))
+            new.append(m.end() - m.start())
+            new_counts.append(self.counter.count(m[0]))
             self.encoded += 1
-            if m.end() >= start + len(replacement):
-                old = m.end() - shift
-                i = bisect_left(flat, old)
-                if old >= end and i < len(flat) and flat[i] == old:
-                    resume = i + 1
-                    break
-        self.text = text
-        first, last = keep // BLOCK if self.ends else 0, len(self.ends)
-        if resume - keep == len(ends) and len(flat) == sum(map(len, self.ends)) and all(len(b) == BLOCK for b in self.ends[:-1]):
-            # as many pre-tokens as before: blocks stay, only the touched ones' sums and their ancestors change
-            for k, (e, c) in enumerate(zip(ends, counts, strict=True)):
-                block, i = divmod(keep + k, BLOCK)
-                self.ends[block][i], self.counts[block][i] = e, c
-            if shift:
-                for i in range(resume, len(flat)):
-                    self.ends[i // BLOCK][i % BLOCK] += shift
-            for block in range(first, min(last, (keep + max(len(ends), 1) - 1) // BLOCK + 1)):
-                self._update(block)
-            return
-        old_counts = [c for b in self.counts for c in b]
-        self._blocks(flat[:keep] + ends + [e + shift for e in flat[resume:]], old_counts[:keep] + counts + old_counts[resume:])
+            met = m.end() - shift
+            while old < met and (k < len(lens) or last + 1 < len(self.leaves)):
+                if k == len(lens):
+                    last, k = last + 1, 0
+                    lens = self.leaves[last][0]
+                else:
+                    old += int(lens[k])
+                    k += 1
+            if m.end() >= start + len(replacement) and met >= end and old == met:
+                break
+        else:  # nothing of the old text is left after the edit
+            last, k = len(self.leaves) - 1, len(self.leaves[-1][0])
+        rest = ([int(x) for x in part[k:]] for part in self.leaves[last])
+        lens, counts = own[:keep] + new, own_counts[:keep] + new_counts
+        lens += next(rest)
+        counts += next(rest)
+        room = last - first + 1
+        step = max(1, -(-len(lens) // room)) if len(lens) <= 2 * BLOCK * room else BLOCK
+        parts = [(lens[i : i + step], counts[i : i + step]) for i in range(0, len(lens), step)] or [([], [])]
+        if len(parts) <= room:
+            for i in range(room):
+                if i < len(parts) or len(self.leaves[first + i][0]):
+                    self._put(first + i, *(parts[i] if i < len(parts) else ([], [])))
+        else:
+            self.leaves[first : last + 1] = parts
+            self.laid_out += 1
+            self._lay_out()
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+_TREE = "n_pieces long, lens array<int>, counts array<int>, sizes array<int>, chars array<int>, tokens array<int>"
+
+
+def with_trees(docs: DataFrame, ranks: bytes, *keep: Column) -> DataFrame:
+    """doc_id, text, keep columns and the tree of each document, stored."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(shared.value)
+        ints = pa.list_(pa.int32())
+        for batch in _parts(batches):
+            trees = [Tree.of(counter, t or "") for t in batch.column(1).to_pylist()]
+            flat = lambda k: pa.array([[x for leaf in t.leaves for x in leaf[k]] for t in trees], ints)
+            columns = [pa.array([t.pieces for t in trees], pa.int64()), flat(0), flat(1), pa.array([[len(n) for n, _ in t.leaves] for t in trees], ints), pa.array([t.chars for t in trees], ints), pa.array([t.tokens for t in trees], ints)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "n_pieces", "lens", "counts", "sizes", "chars", "tokens"])
 
-_EDITS = "array<struct<start:int,end:int,text:string>>"
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
+    return settle(chosen.mapInArrow(run, f"{fields}, {_TREE}"))
 
 
-def edited_counts(docs: DataFrame, edits: Column, ranks: str = RANKS) -> DataFrame:
-    """doc_id, n_pieces, n_tokens, n_tokens_edited, n_reencoded: counts before and after edits (start, end, text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as views of one array."""
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[a:b] for a, b in pairwise(at.tolist())]
+
+
+def edited(trees: DataFrame, ranks: bytes) -> DataFrame:
+    """doc_id, n_pieces, n_tokens, n_tokens_edited, n_reencoded, n_touched from stored trees with a column `edits` of
+    (start, end, text): counts before and after, pre-tokens encoded and nodes of the tree updated."""
+    kind = trees.schema["doc_id"].dataType.simpleString()
+    shared = trees.sparkSession.sparkContext.broadcast(ranks)
+    names = ["n_pieces", "n_tokens", "n_tokens_edited", "n_reencoded", "n_touched"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(ranks)
-        for batch in batches:
+        counter = _counter(shared.value)
+        for batch in _parts(batches):
             rows = []
-            for text, given in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                tree = Tree(counter, text or "")
-                pieces, before = tree.pieces, tree.total
+            lists = [_lists(batch.column(i)) for i in range(4, 9)]
+            for text, given, n, lens, counts, sizes, chars, tokens in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), *lists, strict=True):
+                tree = Tree(counter, text or "", lens, counts, sizes, chars.tolist(), tokens.tolist())
+                before = tree.tokens[1]
                 for e in given or []:
                     tree.edit(e["start"], e["end"], e["text"] or "")
-                rows.append((pieces, before, tree.total, tree.encoded))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.int64()) for c in columns)], ["doc_id", "n_pieces", "n_tokens", "n_tokens_edited", "n_reencoded"])
+                rows.append((n, before, tree.tokens[1], tree.encoded, tree.touched))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.int64()) for c in columns)], ["doc_id", *names])
+
+    chosen = trees.select("doc_id", "text", "edits", "n_pieces", "lens", "counts", "sizes", "chars", "tokens")
+    return chosen.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+
 
-    chosen = docs.select("doc_id", F.col("text").cast("string"), edits.cast(_EDITS).alias("edits"))
-    return chosen.mapInArrow(run, f"doc_id {kind}, n_pieces long, n_tokens long, n_tokens_edited long, n_reencoded long")
+_EDITS = "array<struct<start:int,end:int,text:string>>"
+
+
+def edited_counts(docs: DataFrame, edits: Column, ranks: str = RANKS) -> DataFrame:
+    """Trees of docs, stored, then their counts before and after edits (start, end, text); `ranks` is a path of the driver."""
+    content = rank_file(ranks)
+    return edited(with_trees(docs, content, edits.cast(_EDITS).alias("edits")), content)
 
 
 def planned_edits() -> Column:

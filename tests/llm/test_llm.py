@@ -431,7 +431,7 @@ def test_quality(spark, docs, empty):
 
 
 def test_token_counts(docs, empty):
-    counter = token_counts.Counter()
+    counter = token_counts.Counter(token_counts.rank_file(token_counts.RANKS))
     rows = docs.filter("doc_id is not null").select("doc_id", "text", token_counts.planned_edits().alias("edits")).collect()
     got = by_id(token_counts.edited_counts(docs, token_counts.planned_edits()))
     for r in rows:
@@ -444,17 +444,37 @@ def test_token_counts(docs, empty):
 
 
 def test_tree_edits():
-    counter, rng = token_counts.Counter(), np.random.default_rng(1)
-    text = "It's  a tést, 12 and   more\n\n words " * 30
-    tree = token_counts.Tree(counter, text)
-    for _ in range(300):
+    counter, rng = token_counts.Counter(token_counts.rank_file(token_counts.RANKS)), np.random.default_rng(1)
+    text = "It's  a tést, 12 and   more\n\n words " * 300
+    tree = token_counts.Tree.of(counter, text)
+    depth = len(tree.leaves).bit_length()
+    for k in range(400):
         a = int(rng.integers(0, len(text) + 3))
         b = a + int(rng.integers(0, 9))
         put = ("", " ", "x", "  ", "'s", "\n", " 7", "word ", "é!")[int(rng.integers(0, 9))]
         text = text[: min(a, len(text))] + put + text[max(min(a, len(text)), min(b, len(text))) :]
+        encoded, touched = tree.encoded, tree.touched
         tree.edit(a, b, put)
-        assert tree.text == text and tree.total == sum(counter.count(m[0]) for m in counter.split.finditer(text))
-        assert [e for block in tree.ends for e in block] == [m.end() for m in counter.split.finditer(text)]
+        assert tree.encoded - encoded <= 16 and tree.touched - touched <= 2 * (depth + 1)
+        if k % 20 == 0:
+            pieces = counter.split.findall(text)
+            assert tree.text == text and tree.tokens[1] == sum(map(counter.count, pieces)) and tree.chars[1] == len(text)
+            assert [n for leaf in tree.leaves for n in leaf[0]] == [len(p) for p in pieces]
+    assert tree.laid_out <= 2
+    for a, b, put in ((0, 10**9, ""), (0, 0, "new words " * 500), (7, 4000, "x"), (3, 3, "y" * 700), (0, 1, "")):
+        text = text[:a] + put + text[max(a, min(b, len(text))) :]
+        tree.edit(a, b, put)
+        pieces = counter.split.findall(text)
+        assert tree.text == text and tree.tokens[1] == sum(map(counter.count, pieces)) and [n for leaf in tree.leaves for n in leaf[0]] == [len(p) for p in pieces]
+        assert all(len(n) <= 2 * token_counts.BLOCK for n, _ in tree.leaves)
+
+
+def test_stored_trees(spark):
+    """Edits of real documents re-encode and update a few nodes of the stored trees, however long the text."""
+    real = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = token_counts.edited_counts(real, token_counts.planned_edits()).collect()
+    long = [r for r in rows if r.n_pieces > 2000]
+    assert len(rows) == real.count() and long and all(r.n_reencoded <= 60 and r.n_touched <= 3 * 2 * 12 for r in long)
 
 
 def test_registered():
