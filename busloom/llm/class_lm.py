@@ -3,20 +3,26 @@
 Tokens are the words of a text (runs of non-space, A-Z lower-cased) and one end. Learned from the training rows only:
 
 * the count of every token, summed by Spark over the whole corpus;
-* bigram counts over the CLUSTERED most frequent tokens (rarer tokens stand as frequency bands), summed by Spark;
-* classes of those tokens by exchange clustering: each token in turn moves to the class that most raises the
-  likelihood of the class bigrams, for ROUNDS rounds. The table it works on is bounded by (CLUSTERED + bands) squared.
+* seed classes: bigram counts over the SEEDS most frequent tokens (all others are one unit) are summed by Spark, and an
+  exchange clustering gives these tokens classes: each in turn moves to the class that most raises the likelihood of the
+  class bigrams, for ROUNDS rounds. Its table of at most (SEEDS + 1) squared cells is all that the driver holds;
+* classes of all other tokens seen twice or more, whatever their number: Spark counts each token's neighbours by seed
+  class, and each token is exchanged into the class that most raises the likelihood, to first order in its counts;
+* class transitions, counted over the whole training corpus under these classes.
 
 A token's probability is P(class | previous class) * P(token | class). Transitions are smoothed with the class
-frequencies. Within the class of rare tokens, emissions have 0.1 added per token and one share for unknown ones, so the
-probabilities of all known tokens and the unknown one sum to one. Tokens seen once always belong to that class. The first token follows the end's class.
+frequencies. Tokens seen once and unknown ones are one more class: emissions there have 0.1 added per token and one share
+for unknown ones. So the probabilities of all known tokens and the unknown one sum to one after every token. The first
+token follows the end's class.
 
-The HEAD most frequent tokens go to the tasks as a bounded table; counts of all others are joined by shuffle.
-Null texts are empty: one end token. Repeated rows are scored one by one, extra columns are ignored.
+The HEAD most frequent tokens go to the tasks as a table of bounded size; counts and classes of all others are joined by
+shuffle. Null texts are empty: one end token. Repeated rows are scored one by one, extra columns are ignored; empty
+tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +34,9 @@ from .language_id import held_out
 from .store import settle
 from .tokens import as_bytes, batches, mix
 
-CLUSTERED, CLASSES, ROUNDS, HEAD = 1200, 60, 4, 65_536
-#: lower bounds of the counts, in powers of two, of the bands of head tokens that are not clustered
-BANDS = 4
+SEEDS, CLASSES, ROUNDS, HEAD = 2000, 60, 4, 65_536
+#: number of the class of tokens seen once and unknown ones
+RARE = CLASSES
 _ADD = 0.1
 END = int(mix(np.array([0xE05], np.uint64)).view(np.int64)[0])
 
@@ -55,31 +61,32 @@ def _counts(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], ["token", "n"])
 
 
-class Head:
-    """The most frequent tokens, by hash: count and unit (a clustered token's own number, else its band's)."""
+class Table:
+    """Values of some tokens, found by their hash."""
 
-    def __init__(self, token: np.ndarray, n: np.ndarray):
-        order = np.lexsort((token, -n))
-        unit = np.empty(len(n), np.int32)
-        unit[order] = np.arange(len(n))
-        rare = unit >= CLUSTERED
-        top = np.log2(n[order[CLUSTERED]] + 1) if rare.any() else 1
-        low = np.log2(n.min() + 1) if len(n) else 0
-        band = np.clip((np.log2(n + 1) - low) / max(top - low, 1e-9) * BANDS, 0, BANDS - 1).astype(np.int32)
-        unit[rare] = CLUSTERED + band[rare]
+    def __init__(self, token: np.ndarray, *values: np.ndarray):
         by = np.argsort(token)
-        self.token, self.n, self.unit = token[by], n[by], unit[by]
+        self.token, self.values = token[by], [v[by] for v in values]
 
-    #: unit of all tokens outside the head, and the number of units
-    REST, UNITS = CLUSTERED + BANDS, CLUSTERED + BANDS + 1
-
-    def find(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, count) of tokens; REST and 0 outside the head."""
+    def find(self, token: np.ndarray, *missing: int) -> list[np.ndarray]:
+        """Per kind of value, those of the tokens; `missing` for others."""
         if not len(self.token):
-            return np.full(len(token), self.REST, np.int32), np.zeros(len(token), np.int64)
+            return [np.full(len(token), m) for m in missing]
         i = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
         hit = self.token[i] == token
-        return np.where(hit, self.unit[i], self.REST), np.where(hit, self.n[i], 0)
+        return [np.where(hit, v[i], m) for v, m in zip(self.values, missing, strict=True)]
+
+
+def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The largest set of most frequent tokens seen twice or more that `limit` holds: by counts, so ties stay together."""
+    levels = counts.filter("n > 1").groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(limit).collect()
+    least, held = None, 0
+    for level in levels:
+        held += level["words"]
+        if held > limit:
+            break
+        least = level["n"]
+    return counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
 
 
 def _previous(unit: np.ndarray, n: np.ndarray, end_unit: int) -> np.ndarray:
@@ -136,92 +143,205 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, units: int, fix
     return cls
 
 
-def class_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(0, 10).alias("held_out"))
-    train = rows.filter("not held_out").select("text")
-    counts = settle(train.mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    tokens, known = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    # the largest set of most frequent tokens that HEAD holds: by counts, whose distinct values bound the table
-    levels = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(HEAD).collect()
-    least, held = None, 0
-    for level in levels:
-        held += level["words"]
-        if held > HEAD or level["n"] < 2:  # tokens seen once stand for unknown ones
-            break
-        least = level["n"]
-    top = counts.filter(F.col("n") >= least).toArrow() if least is not None else pa.table({"token": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    head = Head(top.column("token").to_numpy(), top.column("n").to_numpy())
-    held_tokens, held_types = int(head.n.sum()), len(head.n)
-    shared = spark.sparkContext.broadcast(head)
+def _emitted(rows: DataFrame, seeds) -> DataFrame:
+    """(token, slot, n): how often a neighbour of seed class k stands before (slot k) or after (slot CLASSES + k) a token."""
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            for _, token, n in _token_rows(as_bytes(batch.column(0))):
+                (cls,) = seeds.value.find(token, -1)
+                kind, number = np.unique(token, return_inverse=True)
+                before = _previous(cls, n, int(seeds.value.find(np.array([END]), -1)[0][0]))
+                after = np.empty_like(cls)
+                after[:-1] = cls[1:]
+                after[np.cumsum(n) - 1] = -1  # nothing follows an end
+                code = np.concatenate([number[before >= 0] * (2 * CLASSES) + before[before >= 0], number[after >= 0] * (2 * CLASSES) + CLASSES + after[after >= 0]])
+                code, times = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kind[code // (2 * CLASSES)]), pa.array((code % (2 * CLASSES)).astype(np.int32)), pa.array(times.astype(np.int32))], ["token", "slot", "n"])
+
+    return rows.select("text").mapInArrow(run, "token long, slot int, n int")
+
+
+def assign(slot: np.ndarray, n: np.ndarray, start: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """The class of each token whose neighbours (slot, n) begin at `start`, given class bigram counts of the seeds.
+
+    The likelihood's gain by putting a token of left counts l and right counts r into class c is, to first order,
+    sum l[k] log(big[k, c] / size[c]) + sum r[k] log(big[c, k] / size[c]), here with counts smoothed by the classes' shares.
+    """
+    big = big[:CLASSES, :CLASSES]
+    size = np.maximum(big.sum(1), big.sum(0)) + 1
+    share = size / size.sum()
+    log = np.log(np.concatenate([(big + share[:, None]) / size, ((big + share) / size[:, None]).T]))
+    return np.add.reduceat(log[slot] * n[:, None], start, axis=0).argmax(1) if len(start) else np.zeros(0, np.int64)
+
+
+def _assigned(contexts: DataFrame, shared) -> DataFrame:
+    """(token, cls) of every token of contexts (token, slot, n)."""
+
+    def out(token: np.ndarray, slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(token[start]), pa.array(assign(slot, n, start, shared.value).astype(np.int32))], ["token", "cls"])
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3  # the last token's rows so far
+        for batch in batches_:
+            part = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            cut = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
+            if cut:
+                yield out(*(x[:cut] for x in part))
+            held = [x[cut:] for x in part]
+        yield out(*held)
+
+    return contexts.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, cls int")
+
+
+def classes_of(train: DataFrame, counts: DataFrame) -> DataFrame:
+    """(token, n, cls) of every token of the training rows (text); counts (token, n) are theirs."""
+    spark = train.sparkSession
+    top = _most_frequent(counts, SEEDS).toArrow()
+    token = top.column("token").to_numpy()
+    order = np.lexsort((token, -top.column("n").to_numpy()))
+    seeds = spark.sparkContext.broadcast(Table(token[order], np.arange(len(token))))
+    units = len(token) + 1
 
     def bigrams(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value
-        end = int(head.find(np.array([END]))[0][0])
+        end = int(seeds.value.find(np.array([END]), units - 1)[0][0])
         for batch in batches_:
             parts = []
             for _, token, n in _token_rows(as_bytes(batch.column(0))):
-                unit = head.find(token)[0]
-                parts.append(_previous(unit, n, end).astype(np.int64) * Head.UNITS + unit)
+                (unit,) = seeds.value.find(token, units - 1)
+                parts.append(_previous(unit, n, end).astype(np.int64) * units + unit)
             pair, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
-    pairs = train.mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = train.select("text").mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().sort_by("pair")
     pair, n = pairs.column("pair").to_numpy(), pairs.column("n").to_numpy().astype(float)
-    left, right = pair // Head.UNITS, pair % Head.UNITS
-    fixed = np.full(Head.UNITS, -1)
-    fixed[CLUSTERED:] = CLASSES + np.arange(BANDS + 1)
-    cls = exchange(left, right, n, Head.UNITS, fixed)
-    classes = CLASSES + BANDS + 1
-    big = np.bincount(cls[left] * classes + cls[right], n, classes * classes).reshape(classes, classes)
-    prior = (big.sum(0) + _ADD) / (big.sum() + _ADD * classes)
-    step = np.log10((big + prior) / (big.sum(1, keepdims=True) + 1))
-    size = np.bincount(cls[head.unit], head.n, classes)
-    rest_log = float(np.log10(tokens - held_tokens + _ADD * (known - held_types + 1)))
-    base_log = float(np.log10(tokens + _ADD * (known + 1)))
-    size_log = np.log10(np.maximum(size, 1))
-    model = spark.sparkContext.broadcast((cls, step, size_log))
-
-    def scored(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, (cls, step, size_log) = shared.value, model.value
-        end = int(head.find(np.array([END]))[0][0])
+    left, right = pair // units, pair % units
+    fixed = np.full(units, -1)
+    fixed[-1] = RARE
+    cls = exchange(left, right, n, units, fixed)
+    big = np.bincount(cls[left] * (CLASSES + 1) + cls[right], n, (CLASSES + 1) ** 2).reshape(CLASSES + 1, CLASSES + 1)
+    seeded = spark.sparkContext.broadcast(Table(token[order], cls[:-1]))
+    known = pa.table({"token": pa.array(token[order]), "seed": pa.array(cls[:-1].astype(np.int32))})
+    contexts = _emitted(train, seeded).groupBy("token", "slot").agg(F.sum("n").alias("n"))
+    other = settle(_assigned(contexts, spark.sparkContext.broadcast(big)))
+    seed = F.broadcast(spark.createDataFrame(known))  # at most SEEDS rows
+    out = counts.join(other, "token", "left").join(seed, "token", "left")
+    # a token beside no seed goes where the ends are followed from, the first class; tokens seen once are rare
+    return settle(out.select("token", "n", F.when(F.col("n") < 2, RARE).otherwise(F.coalesce("seed", "cls", F.lit(0))).alias("cls")))
+
+
+def _sequences(rows: DataFrame, classes: DataFrame, tokens: int, known: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, held_out, n_tokens, n_known, base, emit, seq) per row, stored: log10 probabilities of the tokens by themselves
+    and within their classes, and the classes as bytes; and the size of each class."""
+    spark = rows.sparkSession
+    sizes = {r["cls"]: (r["n"], r["words"]) for r in classes.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    size = np.array([sizes.get(c, (0, 0))[0] for c in range(CLASSES + 1)], float)
+    base_log = math.log10(tokens + _ADD * (known + 1))
+    log_size = np.log10(np.maximum(size, 1))
+    log_size[RARE] = math.log10(size[RARE] + _ADD * (sizes.get(RARE, (0, 0))[1] + 1))
+    top = _most_frequent(classes, HEAD).toArrow()
+    shared = spark.sparkContext.broadcast(Table(*(top.column(c).to_numpy() for c in ("token", "n", "cls"))))
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            texts = as_bytes(batch.column(batch.schema.get_field_index("text")))
-            n_tokens, n_known, base, score, rest = [], [], [], [], []
-            for _, token, n in _token_rows(texts):
-                unit, count = head.find(token)
+            columns: list[list] = [[] for _ in range(7)]
+            for _, token, n in _token_rows(as_bytes(batch.column(batch.num_columns - 1))):
+                count, cls = shared.value.find(token, 0, 255)
                 at = np.cumsum(n) - n
-                c = cls[unit]
-                inside = count > 0
-                log = np.log10(count + (count == 0) + _ADD)
-                emit = np.where(inside, np.log10(np.maximum(count, 1)) - size_log[c], 0.0)
-                n_tokens += n.tolist()
-                n_known += np.add.reduceat(inside.astype(np.int64), at).tolist()
-                base += np.add.reduceat(np.where(inside, log - base_log, 0.0), at).tolist()
-                score += np.add.reduceat(step[cls[_previous(unit, n, end)], c] + emit, at).tolist()
+                inside = cls != 255
+                log = np.log10(np.maximum(count, 1))
+                seq = cls.astype(np.uint8)
                 out = np.flatnonzero(~inside)
-                cut = np.searchsorted(out, at[1:]) if len(at) > 1 else []
-                rest += np.split(token[out], cut)
-            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                cut = np.searchsorted(out, at[1:])
+                sums = (n, *(np.add.reduceat(x, at) for x in (inside.astype(np.int64), np.where(inside, np.log10(count + _ADD) - base_log, 0.0), np.where(inside, log - log_size[np.minimum(cls, RARE)], 0.0))))
+                for c, x in zip(columns, sums, strict=False):
+                    c += x.tolist()
+                columns[4] += [x.tobytes() for x in np.split(seq, at[1:])]
+                columns[5] += np.split(out - np.repeat(at, n)[out], cut)
+                columns[6] += np.split(token[out], cut)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"]
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    part = settle(numbered.mapInArrow(scored, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>"))
-    rare = part.select("row", F.explode("rest").alias("token"))
-    rare = rare.join(counts, "token", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"))
-    log = F.log10(F.col("n") + _ADD)
-    rare = rare.groupBy("row").agg(F.sum((F.col("n") > 0).cast("long")).alias("more"), F.sum(log - base_log).alias("rare_base"), F.sum(log - rest_log).alias("rare_score"))
-    out = part.drop("rest").join(rare, "row", "left").fillna(0, ["more"]).fillna(0.0, ["rare_base", "rare_score"])
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.col("more")).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_base")).alias("base_score"),
-        (F.col("score") + F.col("rare_score")).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("score") + F.col("rare_score")) / F.col("n_tokens")).alias("perplexity"),
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "emit", "seq", "at", "rest"]
+    given = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    part = settle(given.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, emit double, seq binary, at array<int>, rest array<long>"))
+    rare = part.select("row", F.inline(F.arrays_zip("at", "rest"))).withColumnRenamed("rest", "token").join(classes, "token", "left")
+    rare = rare.select("row", "at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(RARE)).alias("cls"))
+    log = F.when(F.col("cls") == RARE, F.log10(F.col("n") + _ADD)).otherwise(F.log10("n")) - F.get(F.array(*[F.lit(float(x)) for x in log_size]), F.col("cls"))
+    rare = rare.groupBy("row").agg(
+        F.sum((F.col("n") > 0).cast("long")).alias("more"),
+        F.sum(F.log10(F.col("n") + _ADD) - base_log).alias("rare_base"),
+        F.sum(log).alias("rare_emit"),
+        F.collect_list(F.struct("at", "cls")).alias("put"),  # as long as the text
     )
+    out = part.drop("at", "rest").join(rare, "row", "left").fillna(0, ["more"]).fillna(0.0, ["rare_base", "rare_emit"])
+    out = out.select("doc_id", "held_out", "n_tokens", F.col("n_known") + F.col("more"), F.col("base") + F.col("rare_base"), F.col("emit") + F.col("rare_emit"), "seq", "put.at", "put.cls")
+
+    def fill(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            seqs = []
+            for seq, at, cls in zip(batch.column(6), batch.column(7), batch.column(8), strict=True):
+                own = np.frombuffer(seq.as_py(), np.uint8)
+                if at.is_valid:
+                    own = own.copy()
+                    own[at.values.to_numpy()] = cls.values.to_numpy()
+                seqs.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(seqs, pa.binary())], ["doc_id", "held_out", "n_tokens", "n_known", "base", "emit", "seq"])
+
+    filled = out.mapInArrow(fill, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, emit double, seq binary")
+    return settle(filled), size
+
+
+def _pairs(seqs: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class pairs of all tokens, where each sequence starts)."""
+    n = np.array([len(s) for s in seqs], np.int64)
+    cls = np.frombuffer(b"".join(seqs), np.uint8)
+    return _previous(cls, n, end).astype(np.int64) * (CLASSES + 1) + cls, np.cumsum(n) - n
+
+
+def transitions(sequences: DataFrame, end: int) -> np.ndarray:
+    """log10 P(class | previous class), learned from the sequences that are not held out."""
+
+    def count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((CLASSES + 1) ** 2, np.int64)
+        for batch in batches_:
+            if batch.num_rows:
+                total += np.bincount(_pairs(batch.column(0).to_pylist(), end)[0], minlength=len(total))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["pair", "n"])
+
+    big = np.zeros((CLASSES + 1) ** 2)
+    for r in sequences.filter("not held_out").select("seq").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        big[r["pair"]] = r["n"]
+    big = big.reshape(CLASSES + 1, CLASSES + 1)
+    prior = (big.sum(0) + _ADD) / (big.sum() + _ADD * (CLASSES + 1))
+    return np.log10((big + prior) / (big.sum(1, keepdims=True) + 1))
+
+
+def class_scores(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(0, 10).alias("held_out"))
+    train = rows.filter("not held_out").select("text")
+    counts = settle(train.mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    tokens, known = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
+    classes = classes_of(train, counts)
+    sequences, _ = _sequences(rows, classes, tokens, known)
+    ends = classes.filter(F.col("token") == END).first()
+    end = ends["cls"] if ends else RARE
+    shared = docs.sparkSession.sparkContext.broadcast(transitions(sequences, end))
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = shared.value.ravel()
+        for batch in batches_:
+            sums = np.zeros(0)
+            if batch.num_rows:
+                pair, at = _pairs(batch.column(6).to_pylist(), end)
+                sums = np.add.reduceat(step[pair], at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "emit", "step"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = sequences.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, emit double, step double")
+    score = F.col("emit") + F.col("step")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))

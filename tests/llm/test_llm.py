@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from busloom.llm import class_lm, decontamination, entries, language_id, licences, media, mixing, near_dedup, private_data, quality, token_counts
+from busloom.llm.store import settle
 from busloom.llm.tokens import batches, word_hash
 
 DATA = "/root/testdata/sf0.001"
@@ -328,12 +329,75 @@ def test_class_model(spark, empty):
     assert class_lm.class_scores(empty).count() == 0
 
 
-def test_exchange_sums():
-    """The clustering finds alternating classes, and its bigram table stays that of its classes."""
-    left = np.array([0, 1, 2, 3] * 2)
-    right = np.array([1, 0, 3, 2, 3, 2, 1, 0])
-    cls = class_lm.exchange(left, right, np.ones(8) * 5, 4, np.full(4, -1))
-    assert len(cls) == 4 and (cls < class_lm.CLASSES).all()
+def _likelihood(left, right, n, cls):
+    total = {}
+    for a, b, k in zip(cls[left], cls[right], n, strict=True):
+        total[a, b] = total.get((a, b), 0) + k
+    f = lambda x: x * math.log(x) if x else 0.0
+    return sum(map(f, total.values())) - 2 * sum(map(f, np.bincount(cls[left], n)))
+
+
+def test_exchange(monkeypatch):
+    """Two alternating groups of words become two classes, and no single move then raises the likelihood."""
+    monkeypatch.setattr(class_lm, "CLASSES", 2)
+    rng = np.random.default_rng(3)
+    group = np.arange(12) % 3 == 0
+    pairs = [(a, b, int(rng.integers(5, 50))) for a in range(12) for b in range(12) if group[a] != group[b]]
+    left, right, n = (np.array(x) for x in zip(*pairs, strict=True))
+    cls = class_lm.exchange(left, right, n.astype(float), 12, np.full(12, -1))
+    assert len(set(cls[group])) == 1 and len(set(cls[~group])) == 1 and set(cls) == {0, 1}
+    rows = [(a, b, int(rng.integers(1, 9))) for a in range(15) for b in range(15) if rng.random() < 0.4]
+    left, right, n = (np.array(x) for x in zip(*rows, strict=True))
+    n = np.concatenate([n, n]).astype(float)
+    left, right = np.concatenate([left, right]), np.concatenate([right, left])  # as many on either side
+    monkeypatch.setattr(class_lm, "ROUNDS", 50)
+    cls = class_lm.exchange(left, right, n, 15, np.full(15, -1))
+    best = _likelihood(left, right, n, cls)
+    for w in range(15):
+        other = cls.copy()
+        other[w] = 1 - cls[w]
+        assert _likelihood(left, right, n, other) <= best + 1e-6
+
+
+def test_assigned():
+    """A token goes to the class whose neighbours it shares."""
+    big = np.ones((class_lm.CLASSES + 1,) * 2)
+    big[3, 5] = big[5, 7] = big[4, 6] = big[6, 8] = 1000
+    slot = np.array([3, class_lm.CLASSES + 7, 4, class_lm.CLASSES + 8, 4])
+    assert class_lm.assign(slot, np.array([2, 2, 1, 5, 9]), np.array([0, 2, 4]), big).tolist() == [5, 6, 6]
+    assert len(class_lm.assign(slot[:0], slot[:0], slot[:0], big)) == 0
+
+
+def test_class_score(spark, monkeypatch):
+    """`score` equals a plain recomputation from the classes, whose probabilities sum to one after every class."""
+    monkeypatch.setattr(class_lm, "SEEDS", 40)
+    monkeypatch.setattr(class_lm, "HEAD", 100)
+    real = spark.read.parquet(f"{DATA}/documents.parquet").limit(120)
+    real = settle(real.unionByName(spark.createDataFrame([(10**9, None)], "doc_id long, text string"), allowMissingColumns=True))
+    texts = {r.doc_id: [*words(r.text), None] for r in real.collect()}
+    train = real.filter(~language_id.held_out(0, 10)).select(F.col("text"))
+    counts = settle(train.mapInArrow(class_lm._counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    found = {r.token: (r.n, r.cls) for r in class_lm.classes_of(train, counts).collect()}
+    assert {c for n, c in found.values() if n < 2} == {class_lm.RARE} and len({c for n, c in found.values() if n > 1}) > 20
+    hashes = {w: int(h) for t in texts.values() for w, h in zip(t[:-1], word_hash(t[:-1]).view(np.int64), strict=True)} | {None: class_lm.END}
+    cls = lambda w: found.get(hashes[w], (0, class_lm.RARE))
+    k = class_lm.CLASSES + 1
+    big = np.zeros((k, k))
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            for a, b in zip([None, *t], t, strict=False):
+                big[cls(a)[1], cls(b)[1]] += 1
+    prior = (big.sum(0) + 0.1) / (big.sum() + 0.1 * k)
+    step = (big + prior) / (big.sum(1, keepdims=True) + 1)
+    size = np.bincount([c for _, c in found.values()], [n for n, _ in found.values()], k)
+    rare = size[-1] + 0.1 * (sum(c == class_lm.RARE for _, c in found.values()) + 1)
+    emit = lambda n, c: n / size[c] if c < class_lm.RARE else (n + 0.1) / rare
+    every = np.bincount([c for _, c in found.values()], [emit(n, c) for n, c in found.values()], k)
+    every[-1] += emit(0, class_lm.RARE)
+    assert step.sum(1) == pytest.approx(1) and all(every[c] == pytest.approx(1) for c in range(k) if size[c])
+    for r in class_lm.class_scores(real).collect():
+        t = texts[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(step[cls(a)[1], cls(b)[1]] * emit(*cls(b))) for a, b in zip([None, *t], t, strict=False)), rel=1e-9)
 
 
 def test_media(spark, docs, empty):
