@@ -199,6 +199,35 @@ def test_contamination(spark, docs, empty):
     assert decontamination.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_proximity(spark):
+    """Items whose rarest terms stand nearly in place are near, also with words put in, dropped or moved."""
+    base = [f"item{i}" for i in range(30)]
+    put = [w for i, w in enumerate(base) for w in ([w, "new"] if i % 6 == 5 else [w])]
+    dropped = [w for i, w in enumerate(base) if i % 7 != 3]
+    texts = [" ".join(base), " ".join(put), " ".join(dropped), " ".join(reversed(base)), " ".join(w for i, w in enumerate(base) for w in (w, *["far"] * 6)), "item1 item2 " * 30, "", "common words only", " ".join(base[:4])]
+    items = [(1, " ".join(base)), (2, "item1 item2 item3"), (3, "lacking item5"), (4, "common")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = by_id(decontamination.contamination(df, spark.createDataFrame(items, "item_id long, text string")))
+    count = {}
+    for t in texts:
+        for w in t.split():
+            count[w] = count.get(w, 0) + 1
+    seen = 0
+    for i, t in enumerate(texts):
+        w, near, exact = t.split(), set(), set()
+        for item, text in items:
+            x = text.split()
+            k = min(13, len(x))
+            for s in range(len(x) - k + 1):
+                exact |= {item for p in range(len(w) - k + 1) if w[p : p + k] == x[s : s + k]}
+                picks = sorted((count[x[o]], x[o], o) for o in range(s, s + k) if x[o] in count)[:3]
+                starts = [[p - o for p, v in enumerate(w) if v == term] for _, term, o in picks]
+                near |= {item for a in starts[0] if all(any(abs(b - a) <= decontamination.SLOP for b in other) for other in starts[1:])} if starts else set()
+        assert (got[i].item_ids, got[i].near_ids) == (sorted(map(str, exact)), sorted(map(str, near - exact))), i
+        seen += len(near - exact)
+    assert seen >= 3
+
+
 def test_licences(docs, empty):
     got = by_id(licences.licence_scan(docs))
     for i, t in enumerate(TEXTS):
@@ -494,6 +523,44 @@ def test_quality(spark, docs, empty):
     assert quality.accepted(docs, labels.limit(0)).count() == docs.count() and quality.quality_scores(empty, labels).count() == 0
 
 
+def _auc(score, good):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    n = good.sum()
+    return (rank[good].sum() - n * (n + 1) / 2) / (n * (len(good) - n))
+
+
+def test_quality_held_out(spark):
+    """Labels that the classifier has not seen: both views carry signal of their own, and together they tell junk apart."""
+    data = DATA.replace("0.001", "0.01")
+    real, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    seen = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    rows = quality.quality_scores(real, labels.filter(seen)).join(labels.filter(~seen), "doc_id").collect()
+    good = np.array([r.quality == 1 for r in rows])
+    area = {v: _auc(np.array([r[v] for r in rows]), good) for v in ("text_score", "meta_score", "score")}
+    assert area["text_score"] > 0.95 and area["meta_score"] > 0.75 and area["score"] > 0.97, area
+    assert np.mean([r.rejected != (r.quality == 1) for r in rows]) > 0.93
+
+
+def test_co_training(spark):
+    """Two views that hold half of the signal each: from few labels they teach each other, on all unlabelled rows."""
+    rng = np.random.default_rng(11)
+    n = 6000
+    y = (rng.random(n) < 0.5).astype(float)
+    views = [np.concatenate([(2 * y - 1)[:, None] * 1.4 + rng.normal(size=(n, 1)), rng.normal(size=(n, 30))], 1) for _ in range(2)]
+    few = slice(0, 250)
+    pool = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(views[0][250:5000], views[1][250:5000], strict=True)], "text array<float>, meta array<float>")
+    alone = quality.co_train([v[few] for v in views], y[few], pool, 0)
+    taught = quality.co_train([v[few] for v in views], y[few], pool)
+    sums = quality._taught_sums(pool, taught)
+    lessons = taught.taught([v[250:5000] for v in views])
+    assert [sums[k][c][-1, -1] for k in range(2) for c in range(2)] == [(lessons[1 - k] == c).sum() for k in range(2) for c in range(2)]
+    assert all(s[c][-1, -1] > 50 for s in sums for c in range(2))
+    right = [[np.mean((s > 0.5) == (y[5000:] == 1)) for s in v.scores([x[5000:] for x in views])] for v in (alone, taught)]
+    assert right[1][0] + right[1][1] > right[0][0] + right[0][1] and right[1][2] > max(right[1][:2]) and right[1][2] >= right[0][2] - 0.005, right
+
+
 def test_token_counts(docs, empty):
     counter = token_counts.Counter(token_counts.rank_file(token_counts.RANKS))
     rows = docs.filter("doc_id is not null").select("doc_id", "text", token_counts.planned_edits().alias("edits")).collect()
