@@ -40,7 +40,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     phrases = numbered(items)
     ids = settle(items.join(phrases, "words").filter("id is not null").select("pid", "id").distinct())
     tokens = tokenised(docs.select("doc_id", "text"))
-    exact, near = intersected(tokens, lookups(tokens, phrases, every_window(WINDOW)), SLOP)
+    exact, near = intersected(tokens, lookups(tokens, phrases, every_window(WINDOW), near=True), SLOP)
     hits = verified(tokens, exact, phrases).select("row", "pid", "at", _hit_offsets(F.col("equal")).alias("offs"))
     hits = settle(hits.filter(F.size("offs") > 0).distinct())
     at = hits.select("row", F.explode("offs").alias("off"), "at").select("row", (F.col("at") + F.col("off")).alias("pos")).distinct()

@@ -72,10 +72,11 @@ def numbered(phrases: DataFrame, *given: str) -> DataFrame:
     return settle(phrases.select("words", *given).distinct().withColumn("pid", F.monotonically_increasing_id()))
 
 
-def lookups(tokens: DataFrame, phrases: DataFrame, parts: Column) -> DataFrame:
+def lookups(tokens: DataFrame, phrases: DataFrame, parts: Column, near: bool = False) -> DataFrame:
     """(term, pid, part, rank, off, size): by which terms each part of a phrase (pid, words) is looked up, rarest first.
 
-    `parts` is an array of (first, size). Terms that the corpus lacks are passed over; parts with equal terms are one.
+    `parts` is an array of (first, size); parts with equal terms are one. A part with a term that the corpus lacks can't
+    stand anywhere and is dropped; with `near`, such terms are passed over instead.
     """
     cells = phrases.select("pid", F.posexplode("words").alias("off", "term"))
     terms = settle(cells.select("term").distinct())
@@ -84,10 +85,12 @@ def lookups(tokens: DataFrame, phrases: DataFrame, parts: Column) -> DataFrame:
     ranked = cells.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("off", "n", "term"))).alias("cells"))  # as long as the phrase
 
     def rarest(part: Column) -> Column:
-        inside = F.filter(F.slice("cells", part["first"] + 1, part["size"]), lambda c: c["n"] > 0)
-        return F.slice(F.array_sort(F.transform(inside, lambda c: F.struct(c["n"], c["term"], c["off"]))), 1, PICKS)
+        inside = F.slice("cells", part["first"] + 1, part["size"])
+        there = F.filter(inside, lambda c: c["n"] > 0)
+        picks = F.slice(F.array_sort(F.transform(there, lambda c: F.struct(c["n"], c["term"], c["off"]))), 1, PICKS)
+        return picks if near else F.when(F.size(there) == F.size(inside), picks)
 
-    picked = phrases.join(ranked, "pid").select("pid", F.posexplode(F.array_distinct(F.transform(parts, rarest))).alias("part", "picks"))
+    picked = phrases.join(ranked, "pid").select("pid", F.posexplode(F.array_distinct(F.filter(F.transform(parts, rarest), lambda p: p.isNotNull()))).alias("part", "picks"))
     out = picked.select("pid", "part", F.size("picks").alias("size"), F.posexplode("picks").alias("rank", "c"))
     return settle(out.select(F.col("c.term").alias("term"), "pid", "part", "rank", F.col("c.off").alias("off"), "size"))
 

@@ -17,15 +17,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests, a laptop) one of our own."""
+    """This application's folder in the cluster's spark.checkpoint.dir. Where that is unset, a local master (tests, a
+    laptop) gets a folder of its own; a cluster must name one, as its machines don't share local folders."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
-        import os
-
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        given = "file://" + tempfile.mkdtemp(prefix="busloom-", dir="/tmp/checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        given = "file://" + tempfile.mkdtemp(prefix="busloom-")
         spark.conf.set("spark.checkpoint.dir", given)
-    return given.rstrip("/")
+    return f"{given.rstrip('/')}/busloom-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this application has settled, once no DataFrame reads them any more."""
+    drop(spark, [shared_dir(spark)])
 
 
 _collectors: list[list[str]] = []

@@ -17,7 +17,8 @@ from busloom.llm.store import collected, drop, read_table, settle
 NEAR_PERCENT = 80
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left_over: list[str] = []
+#: tables of the last stage, by application
+_left_over: dict[str, list[str]] = {}
 
 
 def staged(stage: Stage) -> Stage:
@@ -25,10 +26,11 @@ def staged(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop(spark, _left_over)
+        before = _left_over.setdefault(spark.sparkContext.applicationId, [])
+        drop(spark, before)
         with collected() as paths:
             out = stage(spark, docs, sf_dir)
-        _left_over.extend(paths)
+        before.extend(paths)
         return out
 
     return run_stage
@@ -60,7 +62,8 @@ def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat so that sources meet their target weights; `copy` numbers the repeats."""
-    drop(spark, _left_over)  # the last stage's own few rows stay, as its result may be read at any time
+    # the last stage's own few rows stay, as its result may be read at any time
+    drop(spark, _left_over.get(spark.sparkContext.applicationId, []))
     return mixing.mixed_documents(docs)
 
 
