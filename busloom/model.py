@@ -63,12 +63,40 @@ def guard_counts(frames: DataFrame, session_start_ns: int) -> DataFrame:
     )
 
 
+#: most rows of a table that is collected to be broadcast
+SMALL = 200_000
+_held: list[DataFrame] = []
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df kept (memory, then disk) because several steps must see the same partitions; free() lets go of all such tables."""
+    _held.append(df.persist())
+    return _held[-1]
+
+
+def free() -> None:
+    """Unpersist what held() kept, once the results that read it have been used."""
+    while _held:
+        _held.pop().unpersist()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df computed once and broadcast if it has at most SMALL rows; as it is otherwise, so that the join shuffles."""
+    rows = df.limit(SMALL + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= SMALL else df
+
+
+def ranges(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows dealt by ranges of the order, with the number of their range: each range is one task's share."""
+    return held(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
 def with_dense_index(frames: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     """Number rows 0, 1, ... in the given order without a global window: range partitions, then offsets from their counts.
 
     Only one count per partition is gathered. The order must be total, or equal rows may swap.
     """
-    dealt = frames.drop(name).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = ranges(frames.drop(name), *order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy("_part").orderBy(*order)

@@ -6,17 +6,58 @@ each starts a run of its own, as comparisons with them are false.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import held, ranges, small
+
 BRANCH, GAP_FACTOR = 8, 10.0
 ORDER = ("t", "idx")
 
 
 def numbered(series: DataFrame, *key: str) -> DataFrame:
-    """series with rn (from 0) and n within each key: one sort, and the count from a second pass over the same partition."""
-    w = Window.partitionBy(*key)
-    return series.withColumn("rn", F.row_number().over(w.orderBy(*ORDER)) - 1).withColumn("n", F.count("*").over(w))
+    """series with rn (from 0) and n within each key. Rows are dealt by ranges of (key, t, idx), so one long series is many
+    tasks; a row's number is its rank in its range and key plus the counts of the key's earlier ranges (one row each)."""
+    dealt = ranges(series, *key, *ORDER)
+    of_key = Window.partitionBy(*key)
+    counts = dealt.groupBy("_part", *key).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumns({"_before": F.coalesce(before, F.lit(0)), "n": F.sum("_n").over(of_key)}).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("_part", *key).orderBy(*ORDER)) - 1
+    return _beside(dealt, small(counts), key).withColumn("rn", rank + F.col("_before")).drop("_part", "_before")
+
+
+def _beside(dealt: DataFrame, carried: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """dealt with the columns of carried, which has one row a range and key (null keys are equal)."""
+    names = ("_part", *key)
+    right = carried.select(*[F.col(c).alias(f"_of_{c}") for c in names], *[c for c in carried.columns if c not in names])
+    on = [dealt[c].eqNullSafe(right[f"_of_{c}"]) for c in names]
+    return dealt.join(right, on).drop(*[f"_of_{c}" for c in names])
+
+
+def _with_neighbours(series: DataFrame, *key: str) -> DataFrame:
+    """series dealt by ranges, with _before and _after (t, value) of each row's neighbours in its key, null at the ends."""
+    dealt = ranges(series, *key, *ORDER)
+    point, order = F.struct("t", "value"), F.struct(*ORDER)
+    ends = dealt.groupBy("_part", *key).agg(F.min_by(point, order).alias("_first"), F.max_by(point, order).alias("_last"))
+    w = Window.partitionBy(*key).orderBy("_part")
+    ends = ends.withColumns({"_left": F.lag("_last").over(w), "_right": F.lead("_first").over(w)}).drop("_first", "_last")
+    inside = Window.partitionBy("_part", *key).orderBy(*ORDER)
+    rows = _beside(dealt, small(ends), key)
+    near = {"_before": F.coalesce(F.lag(point).over(inside), F.col("_left")), "_after": F.coalesce(F.lead(point).over(inside), F.col("_right"))}
+    return rows.withColumns(near).drop("_left", "_right")
+
+
+def _running(rows: DataFrame, value: Column, of: Callable[[Column], Column], merge: Callable[[Column], Column], name: str, *key: str) -> DataFrame:
+    """rows (dealt by ranges) with the running aggregate `of` of value in order; ranges before carry theirs over."""
+    order = Window.partitionBy("_part", *key).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    rows = held(rows.withColumn(name, of(value).over(order)))
+    last = rows.groupBy("_part", *key).agg(F.max_by(name, F.struct(*ORDER)).alias("_end"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("_carried", merge(F.col("_end")).over(before)).drop("_end")
+    return _beside(rows, small(last), key)
 
 
 def _rank_low(v: Column) -> Column:
@@ -59,24 +100,25 @@ def decimate_min_max(series: DataFrame, max_points: int, *key: str) -> DataFrame
 
 def reduce_runs(series: DataFrame, *key: str) -> DataFrame:
     """The first point of each run of equal values, and the last point unless the last kept one has its time."""
-    w = Window.partitionBy(*key).orderBy(*ORDER)
-    before = F.lag("value").over(w)
+    rows = _with_neighbours(series, *key)
+    before = F.col("_before.value")
     # Spark holds NaN equal to NaN; here every NaN differs from what is before it
-    change = F.lag("t").over(w).isNull() | F.isnan("value") | F.isnan(before) | (before != F.col("value"))
-    rows = series.withColumn("_starts", change)
-    rows = rows.withColumn("_kept_t", F.last(F.when(F.col("_starts"), F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_last", F.lead("t").over(w).isNull())
-    return rows.filter(F.col("_starts") | (F.col("_last") & (F.col("_kept_t") != F.col("t")))).drop("_starts", "_kept_t", "_last")
+    rows = rows.withColumn("_starts", F.coalesce(F.col("_before").isNull() | F.isnan("value") | F.isnan(before) | (before != F.col("value")), F.lit(False)))
+    kept = F.when(F.col("_starts"), F.col("t"))
+    newest = lambda c: F.last(c, ignorenulls=True)
+    rows = _running(rows, kept, newest, newest, "_kept", *key).withColumn("_kept", F.coalesce("_kept", "_carried"))
+    return rows.filter(F.col("_starts") | (F.col("_after").isNull() & (F.col("_kept") != F.col("t")))).select(*series.columns)
 
 
 def segments(series: DataFrame, *key: str) -> DataFrame:
     """Runs of equal values as (t0, t_end, value): a run ends where the next starts, the last at its own last time."""
-    w = Window.partitionBy(*key).orderBy(*ORDER)
-    change = F.lag("t").over(w).isNull() | ~F.lag("value").over(w).eqNullSafe(F.col("value"))
-    rows = series.withColumn("_run", F.sum(change.cast("int")).over(w))
-    runs = rows.groupBy(*key, "_run").agg(F.min("t").alias("t0"), F.max("t").alias("_own_end"), F.first("value").alias("value"))
-    after = F.lead("t0").over(Window.partitionBy(*key).orderBy("_run"))
-    return runs.withColumn("t_end", F.coalesce(after, F.col("_own_end"))).filter("value is not null").select(*key, "t0", "t_end", "value")
+    rows = _with_neighbours(series, *key)
+    change = F.col("_before").isNull() | ~F.col("_before.value").eqNullSafe(F.col("value"))
+    starts = rows.filter(change).select(*key, F.col("t").alias("t0"), "idx", "value")
+    ends = rows.filter(F.col("_after").isNull()).select(*key, F.col("t").alias("_own_end"))
+    as_series = _with_neighbours(starts.withColumnRenamed("t0", "t"), *key)
+    as_series = as_series.join(small(ends).select(*[F.col(k).alias(f"_of_{k}") for k in key], "_own_end"), [as_series[k].eqNullSafe(F.col(f"_of_{k}")) for k in key])
+    return as_series.filter("value is not null").select(*key, F.col("t").alias("t0"), F.coalesce("_after.t", "_own_end").alias("t_end"), "value")
 
 
 def fold(level: DataFrame, *key: str) -> DataFrame:
@@ -92,7 +134,7 @@ def pyramid(series: DataFrame, *key: str, depth: int = 12) -> list[DataFrame]:
     """Levels from the raw series up, each folded from the one below, until no bucket is complete."""
     levels = [series]
     while len(levels) <= depth:
-        above = fold(levels[-1], *key).persist()
+        above = held(fold(levels[-1], *key))
         if above.isEmpty():
             break
         levels.append(above)

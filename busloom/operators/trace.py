@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import FRAME_KEY, STREAM_KEY
+from ..model import FRAME_KEY, STREAM_KEY, held, ranges, small
 from ..plans.catalog import Catalog
 from ..plans.predicate import compiled, filter_frames, to_column
 from ..sources.dbc import Message
@@ -77,14 +77,14 @@ def key_rates(frames: DataFrame, *key: str) -> DataFrame:
     """Per key: count, last idx and rate in event time.
 
     The rate is (n - 1) / span over the frames of the last second before the key's last frame; with one frame there,
-    one over the last distinct step; 0 below two distinct timestamps. One shuffle: the window and the aggregate share
-    their partitioning.
+    one over the last distinct step; 0 below two distinct timestamps. Two partial aggregates: the keys' last times are a
+    small table, against which all frames are counted where they are; no frame is shuffled.
     """
-    w = Window.partitionBy(*key)
-    last = F.max("timestamp_ns").over(w)
+    last = small(frames.groupBy(*key).agg(F.max("timestamp_ns").alias("_last")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_last"))
+    rows = frames.join(last, [frames[k].eqNullSafe(last[f"_k{i}"]) for i, k in enumerate(key)])
     recent = F.col("timestamp_ns") > F.col("_last") - SECOND_NS
     before = F.when(F.col("timestamp_ns") < F.col("_last"), F.col("timestamp_ns"))
-    g = frames.withColumn("_last", last).groupBy(*key).agg(
+    g = rows.groupBy(*key).agg(
         F.count("*").alias("count"),
         F.max("idx").alias("last_idx"),
         F.max("timestamp_ns").alias("_max"),
@@ -144,7 +144,7 @@ def by_id_page(frames: DataFrame, catalog: Catalog, start: int = 0, end: int | N
     rows = decode_frames(latest_by_key(frames, start, end), catalog)
     if predicate is not None:
         rows = rows.filter(to_column(predicate))
-    rows = rows.persist()
+    rows = held(rows)  # one row a key
     count = rows.count()
     first, last = page_bounds(count, offset, limit)
     return rows.orderBy(*by_id_order(sort_key, descending, bus_names)).offset(first).limit(last - first), count
@@ -153,17 +153,19 @@ def by_id_page(frames: DataFrame, catalog: Catalog, start: int = 0, end: int | N
 def index_at(frames: DataFrame, times: DataFrame) -> DataFrame:
     """For rows (event, ns): the first idx with timestamp_ns >= ns, else the number of rows.
 
-    Frames and events are sorted together by time in ranges; within a range the next frame comes from a backward window,
-    and past its end from the later ranges' minima (one row a range), so no task sees all rows.
+    Frames and events are sorted together by time in ranges; within a range the least idx from a time on is a running
+    minimum from the newest row down, and past the range's end it comes from the later ranges' minima (one row a range),
+    so no task sees all rows and each reads its range once.
     """
     both = frames.select(F.col("timestamp_ns").alias("ns"), "idx", F.lit(None).cast("string").alias("event")).unionByName(
         times.select("ns", F.lit(None).cast("long").alias("idx"), F.col("event").cast("string").alias("event"))
     )
-    dealt = both.repartitionByRange("ns").withColumn("_part", F.spark_partition_id()).persist()
+    dealt = ranges(both, "ns")
     low = dealt.groupBy("_part").agg(F.min("idx").alias("_low"))
     after = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
     later = low.withColumn("_later", F.min("_low").over(after)).drop("_low")
-    inside = Window.partitionBy("_part").orderBy("ns").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # equal times are peers of the running range, so a frame at the event's own time counts
+    inside = Window.partitionBy("_part").orderBy(F.desc("ns")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = dealt.withColumn("_next", F.min("idx").over(inside)).filter("event is not null").join(F.broadcast(later), "_part")
     total = frames.agg(F.count("*").alias("_total"))
     return found.crossJoin(F.broadcast(total)).select("event", "ns", F.coalesce(F.least("_next", "_later"), F.col("_next"), F.col("_later"), F.col("_total")).alias("idx"))
@@ -178,7 +180,7 @@ def filtered_position_at(frames: DataFrame, matches: DataFrame, times: DataFrame
     both = matches.select("idx", F.lit(1).alias("_match"), F.lit(None).cast("string").alias("event"), F.lit(None).cast("long").alias("ns")).unionByName(
         at.select("idx", F.lit(0).alias("_match"), "event", "ns")
     )
-    dealt = both.repartitionByRange("idx").withColumn("_part", F.spark_partition_id()).persist()
+    dealt = ranges(both, "idx")
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("_part").agg(F.sum("_match").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     inside = Window.partitionBy("_part").orderBy("idx", "_match").rowsBetween(Window.unboundedPreceding, 0)

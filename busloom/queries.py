@@ -180,16 +180,12 @@ def latest_per_mux(spark: SparkSession, d: str) -> DataFrame:
     return out.select("bus_id", "id", "extended", "selector", "idx", "count", F.round("rate", 6).alias("rate"))
 
 
-@query("""SELECT bus_id, id, extended, idx, ord FROM (SELECT *, row_number() OVER (ORDER BY k % 256 DESC, bus_id, channel, id, extended) AS ord FROM (
- SELECT *, row_number() OVER (PARTITION BY bus_id, channel, id, extended ORDER BY idx DESC) AS rn FROM f) WHERE rn = 1 AND mode < 2) WHERE ord <= 10""")
+@query("""SELECT bus_id, channel, id, extended, idx, message, matches FROM (SELECT *, row_number() OVER (ORDER BY idx DESC, bus_id, channel, id, extended) AS place, count(*) OVER () AS matches FROM (
+ SELECT *, CASE WHEN extended THEN 'X' ELSE 'M' END || id AS message, row_number() OVER (PARTITION BY bus_id, channel, id, extended ORDER BY idx DESC) AS rn FROM f) WHERE rn = 1 AND mode < 2) WHERE place > 5 AND place <= 15""")
 def by_id_page(spark: SparkSession, d: str) -> DataFrame:
     tree = {"any": [{"signal_equals": {"name": "Mode", "value": v}} for v in (0, 1)]}
-    rows = decode.decode_frames(trace.latest_by_key(frames(spark, d)), sample_catalog()).filter(predicate.to_column(tree))
-    k = F.element_at(F.filter("signals", lambda s: s["name"] == "K"), 1)["value"]
-    page = rows.withColumn("_k", k).orderBy(F.desc("_k"), *trace.by_id_order(None)).limit(10)
-    ranked = page.withColumn("_o", F.struct((-F.col("_k")).alias("k"), "bus_id", "channel", "id", "extended"))
-    every = ranked.agg(F.array_sort(F.collect_list("_o")).alias("all"))
-    return ranked.crossJoin(F.broadcast(every)).select("bus_id", "id", "extended", "idx", F.array_position("all", F.col("_o")).alias("ord"))
+    page, count = trace.by_id_page(frames(spark, d), sample_catalog(), predicate=tree, sort_key="idx", descending=True, offset=5, limit=10)
+    return page.select("bus_id", "channel", "id", "extended", "idx", "message", F.lit(count).cast("long").alias("matches"))
 
 
 @query("SELECT DISTINCT bus_id, id, extended FROM f")
@@ -207,10 +203,11 @@ def fps_by_direction(spark: SparkSession, d: str) -> DataFrame:
     return trace.fps(frames(spark, d), "direction")
 
 
-@query("""SELECT o_orderkey AS event, epoch_us(o_orderdate) * 1000 AS ns, coalesce((SELECT min(idx) FROM f WHERE timestamp_ns >= epoch_us(o_orderdate) * 1000), (SELECT count(*) FROM f)) AS idx
-FROM (SELECT o_orderkey, min(o_orderdate) + INTERVAL 2920 DAY AS o_orderdate FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1)""")
+@query(""", x AS (SELECT timestamp_ns, min(least_idx) AS least_idx FROM (SELECT timestamp_ns, min(idx) OVER (ORDER BY timestamp_ns DESC) AS least_idx FROM f) GROUP BY ALL),
+o AS (SELECT o_orderkey AS event, epoch_us(min(o_orderdate) + INTERVAL 2920 DAY) * 1000 AS ns FROM orders GROUP BY 1)
+SELECT event, ns, coalesce(least_idx, (SELECT count(*) FROM f)) AS idx FROM o ASOF LEFT JOIN x ON o.ns <= x.timestamp_ns""")
 def index_at_time(spark: SparkSession, d: str) -> DataFrame:
-    orders = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 50 = 0").groupBy("o_orderkey").agg(F.min("o_orderdate").alias("at"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_orderkey").agg(F.min("o_orderdate").alias("at"))
     times = orders.select(F.col("o_orderkey").alias("event"), (F.unix_micros(F.expr("cast(at as timestamp) + interval 2920 days")) * 1000).alias("ns"))
     return trace.index_at(frames(spark, d), times).select(F.col("event").cast("long").alias("event"), "ns", "idx")
 
@@ -398,22 +395,26 @@ def time_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
-    """An event for every 97th frame, at its row."""
-    return frames(spark, d).filter("idx % 97 = 3").select(F.col("idx").alias("anchor"), F.lit(0).alias("rank"), F.concat(F.lit("note"), F.col("idx").cast("string")).alias("event"))
+    """An event for every order, at the row of its key."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.select(F.col("o_orderkey").cast("long").alias("anchor"), F.col("o_custkey").cast("long").alias("rank"), F.concat(F.lit("note"), F.col("o_orderkey").cast("string")).alias("event"))
 
 
-@query(""", u AS (SELECT idx AS anchor, 1 AS is_frame, idx, NULL AS event FROM f UNION ALL SELECT idx, 0, NULL, 'note' || idx FROM f WHERE idx % 97 = 3)
-SELECT anchor, is_frame, idx, event, row_number() OVER (ORDER BY anchor, is_frame) AS place FROM u""")
+@query(""", n AS (SELECT o_orderkey AS anchor, o_custkey AS rank, 'note' || o_orderkey AS event FROM orders WHERE o_orderkey <= (SELECT count(*) FROM f)),
+u AS (SELECT idx AS anchor, 1 AS is_frame, 0 AS rank, idx, NULL AS event FROM f UNION ALL SELECT anchor, 0, rank, NULL, event FROM n)
+SELECT anchor, is_frame, idx, event, row_number() OVER (ORDER BY anchor, is_frame, rank, event) AS place FROM u""")
 def interleaved_events(spark: SparkSession, d: str) -> DataFrame:
     every = frames(spark, d)
     merged = trace.interleave_events(every, _notes(spark, d), every.count())
-    return model.with_dense_index(merged, "anchor", "is_frame", "rank", name="place").select("anchor", "is_frame", "idx", "event", (F.col("place") + 1).alias("place"))
+    return model.with_dense_index(merged, "anchor", "is_frame", "rank", "event", name="place").select("anchor", "is_frame", "idx", "event", (F.col("place") + 1).alias("place"))
 
 
-@query(", m AS (SELECT idx FROM f WHERE id BETWEEN 256 AND 260) SELECT 'note' || f.idx AS event, f.timestamp_ns AS ns, (SELECT count(*) FROM m WHERE m.idx < f.idx) - 5 AS position FROM f WHERE f.idx % 97 = 3")
+@query(""", x AS (SELECT timestamp_ns, min(least_idx) AS least_idx FROM (SELECT timestamp_ns, min(idx) OVER (ORDER BY timestamp_ns DESC) AS least_idx FROM f) GROUP BY ALL),
+m AS (SELECT idx, count(*) FILTER (id BETWEEN 256 AND 260) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f)
+SELECT 'note' || f.idx AS event, f.timestamp_ns AS ns, before - 5 AS position FROM f JOIN x USING (timestamp_ns) JOIN m ON m.idx = x.least_idx""")
 def filtered_positions(spark: SparkSession, d: str) -> DataFrame:
     every = frames(spark, d)
-    times = every.filter("idx % 97 = 3").select(F.concat(F.lit("note"), F.col("idx").cast("string")).alias("event"), F.col("timestamp_ns").alias("ns"))
+    times = every.select(F.concat(F.lit("note"), F.col("idx").cast("string")).alias("event"), F.col("timestamp_ns").alias("ns"))
     matches = predicate.filter_frames(every, {"id_range": [256, 260]}, sample_catalog())
     return trace.filtered_position_at(every, matches, times, 5)
 
@@ -460,23 +461,22 @@ def half_run_retention(spark: SparkSession, d: str) -> DataFrame:
     return measure.retention(value_series(spark, d).select("bus_id", "t", F.col("value").alias("v")), "bus_id").withColumn("retention", F.round("retention", 9))
 
 
-@query("SELECT idx, counter AS n FROM (SELECT idx, (first_value(counter) OVER w + row_number() OVER w) % 16 AS counter FROM f WHERE bus_id = 'pt' AND id = 257 AND NOT extended WINDOW w AS (PARTITION BY bus_id ORDER BY idx))")
+@query("SELECT idx, (first_value(counter) OVER w + row_number() OVER w) % 16 AS n FROM f WINDOW w AS (PARTITION BY bus_id, id, extended ORDER BY idx)")
 def calculated_counter(spark: SparkSession, d: str) -> DataFrame:
     from .operators import encode
 
     message = sample_catalog().find("pt", 257, False)
-    own = frames(spark, d).filter("bus_id = 'pt' AND id = 257 AND NOT extended")
-    return encode.apply_calc(own, message, "bus_id").select("idx", decode.raw_value(message.signal("Counter")).alias("n"))
+    out = encode.apply_calc(frames(spark, d), message, "bus_id", "id", "extended")
+    return out.select("idx", decode.raw_value(message.signal("Counter")).alias("n"))
 
 
-@query("SELECT idx, CAST(least(floor(raw * 0.01 + 0.5), 255) AS BIGINT) AS k FROM f WHERE idx % 7 = 0")
+@query("SELECT idx, CAST(least(floor(raw * 0.01 + 0.5), 255) AS BIGINT) AS k FROM f")
 def encoded_signal(spark: SparkSession, d: str) -> DataFrame:
     from .operators import encode
 
     message = sample_catalog().find("pt", 257, False)
-    own = frames(spark, d).filter("idx % 7 = 0")
     value = decode.signal_value(message.signal("Value"), message)
-    out = encode.encode_frames(own, message, {"K": value})
+    out = encode.encode_frames(frames(spark, d), message, {"K": value})
     return out.select("idx", decode.raw_value(message.signal("K")).alias("k"))
 
 
@@ -495,3 +495,59 @@ def log_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     mode = decode.mux_selector(sample_catalog().find("pt", 257, False))
     messages = frames(spark, d).select("idx", F.col("bus_id").alias("source"), mode.alias("template"), F.col("timestamp_ns").alias("t"))
     return live.rate_limited(messages, 20, 86_400_000_000_000).select("idx", "shown")
+
+
+@query("SELECT o_orderkey AS pos, f.idx, bus_id, timestamp_ns FROM orders JOIN f ON f.idx = o_custkey")
+def fetched_rows(spark: SparkSession, d: str) -> DataFrame:
+    wanted = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").cast("long").alias("idx"))
+    return trace.rows_at(frames(spark, d), wanted).select("pos", "idx", "bus_id", "timestamp_ns")
+
+
+@query(""", w AS (SELECT min(t) + 100000 AS a, min(t) + 400000 AS b FROM s)
+SELECT bus_id, count(*) FILTER (t BETWEEN a AND b) AS points, min(value) FILTER (t BETWEEN a AND b) AS "min", max(value) FILTER (t BETWEEN a AND b) AS "max",
+ arg_max(value, idx) FILTER (t <= a) AS value_a, arg_max(value, idx) FILTER (t <= b) AS value_b, round(arg_max(value, idx) FILTER (t <= b) - arg_max(value, idx) FILTER (t <= a), 6) AS delta FROM s, w GROUP BY ALL""")
+def measurement_set(spark: SparkSession, d: str) -> DataFrame:
+    s = value_series(spark, d)
+    start = s.agg(F.min("t")).first()[0] or 0.0
+    out = series.measurements(s, start + 100000, start + 400000, "bus_id")
+    return out.select("bus_id", "points", "min", "max", "value_a", "value_b", F.round("delta", 6).alias("delta"))
+
+
+@query(", w AS (SELECT min(t) + 100000 AS a FROM s) SELECT bus_id, count(*) FILTER (t >= a AND t < a + 100000) AS points FROM s, w GROUP BY ALL")
+def window_points(spark: SparkSession, d: str) -> DataFrame:
+    s = value_series(spark, d)
+    start = s.agg(F.min("t")).first()[0] or 0.0
+    return series.window_count(s, start + 100000, start + 200000, "bus_id")
+
+
+@query("SELECT min(t) AS t0, max(t) AS t1 FROM s")
+def series_span(spark: SparkSession, d: str) -> DataFrame:
+    return series.time_span(value_series(spark, d))
+
+
+@query(_MODE + """, c AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> value THEN 1 ELSE 0 END) OVER (PARTITION BY bus_id ORDER BY t, idx) AS run FROM m),
+g AS (SELECT bus_id, run, min(t) AS t0, max(t) AS own, min(value) AS value FROM c GROUP BY ALL),
+p AS (SELECT bus_id, value, t0, coalesce(lead(t0) OVER (PARTITION BY bus_id ORDER BY run), own) AS t1 FROM g)
+SELECT a.bus_id, greatest(a.t0, b.t0) AS from_t, least(a.t1, b.t1) AS to_t FROM p a JOIN p b ON a.bus_id = 'pt' AND b.bus_id = 'body' AND a.value = 0 AND b.value = 3 AND a.t0 < b.t1 AND b.t0 < a.t1""")
+def lane_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    runs = series.segments(mode_series(spark, d), "bus_id")
+    span = lambda bus, mode: runs.filter((F.col("bus_id") == bus) & (F.col("value") == mode)).select(F.lit("pt").alias("bus_id"), F.col("t0").alias("from_t"), F.col("t_end").alias("to_t"))
+    return series.overlaps(span("pt", 0), span("body", 3), "bus_id")
+
+
+@query(_VERIFY + " SELECT idx, CASE WHEN bad THEN 'counter_skip' END AS finding FROM f LEFT JOIN (SELECT idx, bad FROM x WHERE bad) USING (idx)")
+def rows_with_violations(spark: SparkSession, d: str) -> DataFrame:
+    every = frames(spark, d)
+    return verify.with_violations(every, every, sample_catalog()).select("idx", "finding")
+
+
+@query("SELECT CAST(sum(1000.0 / (10 + k % 90)) AS DECIMAL(18, 4)) AS rate_hz FROM f")
+def schedule_rate(spark: SparkSession, d: str) -> DataFrame:
+    k = decode.raw_value(sample_catalog().find("pt", 257, False).signal("K"))
+    out = measure.schedule_rate(frames(spark, d).select((F.lit(10) + F.pmod(k, F.lit(90))).alias("period_ms")))
+    return out.select(F.col("rate_hz").cast("decimal(18,4)").alias("rate_hz"))
+
+
+@query("SELECT idx, channel, bus_id FROM (SELECT *, row_number() OVER (PARTITION BY bus_id, id, extended ORDER BY idx DESC) AS rn FROM f WHERE idx >= 1000 AND idx < 6000) WHERE rn = 1")
+def latest_in_range(spark: SparkSession, d: str) -> DataFrame:
+    return trace.latest_by_key(frames(spark, d), 1000, 6000, "bus_id", "id", "extended").select("idx", "channel", "bus_id")
