@@ -151,3 +151,32 @@ def follow_window(edge_s: float, width_s: float, start_s: float = 0.0) -> tuple[
 def centered_window(at_s: float, width_s: float) -> tuple[float, float]:
     first = max(0.0, at_s - width_s / 2)
     return first, first + width_s
+
+
+#: seconds of 2000-01-01: an origin before it names no instant
+WALL_CLOCK_FLOOR = 946_684_800
+
+
+def has_wall_clock(origin_seconds: Column) -> Column:
+    """Whether an origin is an instant of the calendar rather than the start of a relative timeline."""
+    return F.coalesce(origin_seconds >= WALL_CLOCK_FLOOR, F.lit(False))
+
+
+def rate_text(rate: Column) -> Column:
+    """Messages a second: blank for none, one decimal below 100, whole numbers above."""
+    return F.when(rate <= 0, "").when(rate < 100, F.format_string("%.1f", rate)).otherwise(F.floor(rate + 0.5).cast("string"))
+
+
+def float_text(value: Column, figures: int = 6, below: float = 1e-4, above: float = 1e6, decimals: int = 5) -> Column:
+    """A number with `figures` significant figures and no trailing zeros; exponential outside [below, above)."""
+    size = F.abs(value)
+    rounded = F.format_string(f"%.{figures - 1}e", value).cast("double").cast("decimal(38,14)").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(rounded, "0+$", ""), r"\.$", "")
+    scientific = F.regexp_replace(F.format_string(f"%.{decimals}e", value), "e([+-])0([0-9])$", "e$1$2")
+    odd = value.isNull() | F.isnan(value) | (size == float("inf"))
+    return F.when(odd, "\u2014").when(value == 0, "0").when((size < below) | (size >= above), scientific).otherwise(plain)
+
+
+def signal_color(pick: Column, generated: Column, stable: Column) -> Column:
+    """A signal's colour: the user's pick, else a generator's, else the stable one of its identity."""
+    return F.coalesce(F.when(pick != "", pick), generated, stable)

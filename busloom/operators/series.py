@@ -121,13 +121,13 @@ def segments(series: DataFrame, *key: str) -> DataFrame:
     return as_series.filter("value is not null").select(*key, F.col("t").alias("t0"), F.coalesce("_after.t", "_own_end").alias("t_end"), "value")
 
 
-def fold(level: DataFrame, *key: str) -> DataFrame:
+def fold(level: DataFrame, *key: str, with_bucket: bool = False) -> DataFrame:
     """The next coarser level: least and greatest point of each complete bucket of BRANCH points (one if they coincide)."""
     rows = numbered(level, *key).withColumn("bucket", F.floor(F.col("rn") / BRANCH))
     full = rows.filter((F.col("bucket") + 1) * BRANCH <= F.col("n"))
     ends = _extremes(full, list(key))
     keep = ends.select(*key, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rn"))
-    return full.join(keep, [*key, "rn"]).select(*level.columns)
+    return full.join(keep, [*key, "rn"]).select(*level.columns, *(["bucket"] if with_bucket else []))
 
 
 def pyramid(series: DataFrame, *key: str, depth: int = 12) -> list[DataFrame]:

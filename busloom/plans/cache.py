@@ -13,36 +13,64 @@ Wanted = tuple[str, int, bool, str]
 
 
 class SeriesCache:
-    """Series under root/fingerprint=<hex>/level=<n>. A change of databases changes fingerprints, so stale tables are
-    never read, and returning to an earlier schema finds its tables again. Directories are listed by Spark's file system."""
+    """Series of one capture under root/capture=<name>/fingerprint=<hex>/level=<n>.
 
-    def __init__(self, spark: SparkSession, root: str, catalog: Catalog):
-        self.spark, self.root, self.catalog = spark, root.rstrip("/"), catalog
+    A change of databases changes fingerprints and another capture has another name, so stale tables are never read, and
+    returning to an earlier schema finds its tables again. Frames that came after the last call are decoded and appended,
+    and each level is extended by the buckets that they complete; frames that came late in time rebuild the levels. What
+    is stored is read off the tables, so a failed extension is repeated by the next call.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, catalog: Catalog, capture: str = "0"):
+        self.spark, self.root, self.catalog = spark, f"{root.rstrip('/')}/capture={capture}", catalog
 
     def path(self, wanted: Wanted, level: int = 0) -> str:
         return f"{self.root}/fingerprint={self.catalog.fingerprint(*wanted):016x}/level={level}"
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
     def exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        fs, p = self._fs(f"{path}/_SUCCESS")
+        return fs.exists(p)
 
     def levels(self, frames: DataFrame, wanted: Wanted) -> list[DataFrame]:
-        """The series' pyramid, decoded and folded once, then read back."""
-        if not self.exists(self.path(wanted)):
-            raw = decode_series(frames, self.catalog, [wanted]).select("bus_id", "signal", "idx", "t", "value")
-            raw.write.mode("overwrite").parquet(self.path(wanted))
-        out = [self.spark.read.parquet(self.path(wanted))]
+        """The series' pyramid with every frame given, decoded and folded only where it is not stored yet."""
+        base = self.path(wanted)
+        edge = None
+        if self.exists(base):
+            edge = self.spark.read.parquet(base).agg(F.max("idx").alias("idx"), F.max("t").alias("t")).first()
+        new = frames if edge is None or edge["idx"] is None else frames.filter(F.col("idx") > edge["idx"])
+        raw = decode_series(new, self.catalog, [wanted]).select("bus_id", "signal", "idx", "t", "value")
+        late = False
+        if edge is not None and edge["t"] is not None:
+            late = not raw.filter(F.col("t") < edge["t"]).isEmpty()
+        raw.write.mode("append").parquet(base)
+        out = [self.spark.read.parquet(base)]
         while True:
-            above = self.path(wanted, len(out))
-            if not self.exists(above):
-                folded = series_ops.fold(out[-1], "bus_id", "signal")
-                folded.write.mode("overwrite").parquet(above)
-            level = self.spark.read.parquet(above)
+            level = self._extend(out[-1], self.path(wanted, len(out)), late)
             if level.isEmpty():
                 return out
             out.append(level)
 
+    def _extend(self, below: DataFrame, path: str, rebuild: bool) -> DataFrame:
+        """The level at path, from the complete buckets of the level below; `bucket` numbers them."""
+        done = -1
+        if rebuild and self.exists(path):
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+        elif self.exists(path):
+            done = self.spark.read.parquet(path).agg(F.max("bucket")).first()[0]
+            done = -1 if done is None else done
+        total, skip = below.count(), (done + 1) * series_ops.BRANCH
+        columns = ["bus_id", "signal", "idx", "t", "value"]
+        # one series in order: what is folded already are its first points
+        tail = below.select(*columns).orderBy(F.desc("t"), F.desc("idx")).limit(max(0, total - skip))
+        folded = series_ops.fold(tail, "bus_id", "signal", with_bucket=True)
+        folded.select(*columns, (F.col("bucket") + done + 1).cast("long").alias("bucket")).write.mode("append").parquet(path)
+        return self.spark.read.parquet(path)
+
 
 def import_capture(frames: DataFrame, mapping: DataFrame, path: str, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
     """Window, route, guard and number frames of a reader (file, object_no order), write them partitioned by coarse row

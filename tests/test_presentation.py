@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from busloom.functions import presentation as p
-from busloom.model import load_frames
+from busloom.model import free, load_frames
 from busloom.plans.cache import SeriesCache, import_capture
 from busloom.queries import sample_catalog
 from busloom.sources import blf
@@ -40,4 +40,35 @@ def test_import_and_cache(spark, tmp_path):
     cache = SeriesCache(spark, str(tmp_path / "cache"), sample_catalog())
     key = ("pt", 257, False, "Value")
     first = [x.count() for x in cache.levels(load_frames(spark, "/root/testdata/sf0.001"), key)]
-    assert first[0] > 0 and [x.count() for x in cache.levels(frames.limit(0), key)] == first
+    assert first[0] > 0 and [x.count() for x in cache.levels(load_frames(spark, "/root/testdata/sf0.001").limit(0), key)] == first
+
+
+def test_cache_grows(spark, tmp_path):
+    """A cache extended frame by frame equals one built at once; captures don't share tables; late frames rebuild."""
+    every = load_frames(spark, "/root/testdata/sf0.01").filter("bus_id = 'pt' and id = 257 and not extended")
+    frames = spark.createDataFrame(every.collect(), every.schema).persist()
+    key = ("pt", 257, False, "Value")
+    top = frames.agg({"idx": "max"}).first()[0]
+
+    def points(levels):
+        return [sorted((r.idx, r.value) for r in x.select("idx", "value").collect()) for x in levels]
+
+    whole = points(SeriesCache(spark, str(tmp_path), sample_catalog(), "whole").levels(frames, key))
+    cache = SeriesCache(spark, str(tmp_path), sample_catalog(), "parts")
+    for share in (0.2, 0.5, 1.0):
+        got = points(cache.levels(frames.filter(frames.idx <= int(top * share)), key))
+    assert len(whole) > 2 and got == whole
+    late = SeriesCache(spark, str(tmp_path), sample_catalog(), "late")
+    moved = frames.withColumn("timestamp_ns", (F.lit(2 * 10**18) - frames.timestamp_ns))
+    late.levels(moved.filter(frames.idx <= top // 2), key)
+    assert points(late.levels(moved, key)) == points(SeriesCache(spark, str(tmp_path), sample_catalog(), "moved").levels(moved, key))
+    free()
+
+
+def test_more_texts(spark):
+    row = spark.range(1).select(
+        p.bytes_text(F.lit(b"\x0a\xff")), p.rate_text(F.lit(0.0)), p.rate_text(F.lit(9.96)), p.rate_text(F.lit(100.4)), p.has_wall_clock(F.lit(1.7e9)), p.has_wall_clock(F.lit(5.0)), p.has_wall_clock(F.lit(None)),
+        *[p.float_text(F.lit(v).cast("double")) for v in (0.0, 1.5, 123456.789, 0.00012345678, 0.00001, 1e6, -2.5e-7, float("nan"), 99.0)],
+        p.signal_color(F.lit(""), F.lit(None), F.lit("s")), p.signal_color(F.lit("p"), F.lit("g"), F.lit("s")),
+    ).first()
+    assert list(row) == ["0A FF", "", "10.0", "100", True, False, False, "0", "1.5", "123457", "0.000123457", "1.00000e-5", "1.00000e+6", "-2.50000e-7", "\u2014", "99", "s", "p"]
