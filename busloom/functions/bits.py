@@ -43,20 +43,28 @@ def word(data: Column, k: int) -> Column:
     return F.conv(part, 16, 10).cast("long")
 
 
-def raw_bits(data: Column, start: int, size: int, little: bool) -> Column:
-    """The field's bits as a LONG (bit pattern); null if the payload lacks one of its bytes or the size is unusable."""
+def words_of(data: Column, fields: list[tuple[int, int, bool]]) -> Column:
+    """The payload's length in bytes, then all words that fields (start, size, little) reach into."""
+    count = max((byte // 4 + 1 for f in fields for byte, *_ in runs(*f) or ()), default=0)
+    return F.array(F.length(data).cast("long"), *[word(data, k) for k in range(count)])
+
+
+def raw_bits(data: Column, start: int, size: int, little: bool, words: Column | None = None) -> Column:
+    """The field's bits as a LONG (bit pattern); null if the payload lacks one of its bytes or the size is unusable.
+    With `words` (a column of words_of) the payload itself is not read."""
     parts = runs(start, size, little)
     if parts is None:
         return F.lit(None).cast("long")
-    words = {k: word(data, k) for k in sorted({byte // 4 for byte, *_ in parts})}
+    needed = sorted({byte // 4 for byte, *_ in parts})
+    word_at = {k: word(data, k) if words is None else F.get(words, k + 1) for k in needed}
     value = None
     for byte, low, width, at in parts:
         shift = 8 * (3 - byte % 4) + low
-        bits = F.shiftright(words[byte // 4], shift).bitwiseAND(F.lit((1 << width) - 1))
+        bits = F.shiftright(word_at[byte // 4], shift).bitwiseAND(F.lit((1 << width) - 1))
         bits = F.shiftleft(bits, at) if at else bits
         value = bits if value is None else value.bitwiseOR(bits)
     last = max(byte for byte, *_ in parts)
-    return F.when(F.length(data) > last, value)
+    return F.when((F.length(data) if words is None else F.get(words, 0)) > last, value)
 
 
 def sign_extend(value: Column, size: int) -> Column:

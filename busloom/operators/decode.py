@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.bits import ieee, raw_bits, sign_extend, unsigned
+from ..functions.bits import ieee, raw_bits, sign_extend, unsigned, words_of
 from ..plans.catalog import Catalog, message_table
 from ..sources.dbc import Message, Signal
 
@@ -70,8 +70,8 @@ def signal_value(signal: Signal, message: Message, data: Column | str = "data",
     return value if when is None else F.when(when, value)
 
 
-def signal_struct(signal: Signal, message: Message, data: Column) -> Column:
-    raw = raw_value(signal, data)
+def signal_struct(signal: Signal, raw: Column, selector: Column | None) -> Column:
+    """A signal of a frame from its raw bits, null where the frame does not carry it."""
     built = F.struct(
         F.lit(signal.name).alias("name"),
         F.lit(signal.unit).alias("unit"),
@@ -82,8 +82,16 @@ def signal_struct(signal: Signal, message: Message, data: Column) -> Column:
         F.lit(signal.hex).alias("hex"),
         label(signal, raw).alias("label"),
     )
-    when = applies(signal, message, data)
-    return F.when(raw.isNotNull() if when is None else when & raw.isNotNull(), built)
+    there = raw.isNotNull()
+    if isinstance(signal.mux, int):
+        there = there & (F.lit(False) if selector is None else F.coalesce(selector == signal.mux, F.lit(False)))
+    return F.when(there, built)
+
+
+def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that later expressions may read any number of times: a generator of one row, through which the
+    optimiser pushes conditions on other columns but doesn't copy the value into each of its uses."""
+    return rows.select("*", F.inline_outer(F.array(F.struct(value.alias(name)))))
 
 
 def mux_selector(message: Message, data: Column | str = "data") -> Column:
@@ -114,15 +122,22 @@ def decode_frames(frames: DataFrame, catalog: Catalog) -> DataFrame:
     """
     layouts: dict[tuple[Signal, ...], tuple[int, Message]] = {}
     keys = {(bus, m.id, m.extended): layouts.setdefault(m.signals, (len(layouts), m))[0] for bus, m, _ in catalog.winners()}
-    empty = F.lit(None).cast(f"array<{SIGNAL_TYPE}>")
-    arrays = []
+    none, one = F.lit(None).cast(f"array<{SIGNAL_TYPE}>"), f"array<{SIGNAL_TYPE}>"
+    empty = F.array().cast(one)
+    fields = [(s.start, s.size, s.little) for _, m in layouts.values() for s in m.signals]
+    raws, arrays = [], []
     for _, m in layouts.values():
-        parts = [signal_struct(s, m, F.col("data")) for s in m.signals]
-        arrays.append(F.filter(F.array(*parts), lambda s: s.isNotNull()) if parts else F.array().cast(f"array<{SIGNAL_TYPE}>"))
+        raws.append(F.array(*[raw_bits(F.col("data"), s.start, s.size, s.little, F.col("_words")) for s in m.signals]).cast("array<bigint>"))
+        selector = next((F.get("_raw", i) for i, s in enumerate(m.signals) if s.mux == "M"), None)
+        parts = [signal_struct(s, F.get("_raw", i), selector) for i, s in enumerate(m.signals)]
+        # flatten, unlike a filter by a lambda, stays in generated code
+        arrays.append(F.flatten(F.array(*[F.when(p.isNotNull(), F.array(p)).otherwise(empty) for p in parts])) if parts else empty)
     winners = message_table(frames.sparkSession, catalog).select("bus_id", "id", "extended", "message", "ecu", F.col("length").alias("expected_length"))
     named = keyed(winners, keys, "_layout", "left")
     joined = frames.join(F.broadcast(named), ["bus_id", "id", "extended"], "left")
-    return joined.withColumn("signals", by_number("_layout", arrays, empty)).drop("_layout")
+    read = computed_once(joined, "_words", F.when(F.col("_layout").isNotNull(), words_of(F.col("data"), fields)))
+    read = computed_once(read, "_raw", by_number("_layout", raws, F.lit(None).cast("array<bigint>")))
+    return read.withColumn("signals", by_number("_layout", arrays, none)).drop("_layout", "_words", "_raw")
 
 
 def decode_series(frames: DataFrame, catalog: Catalog, wanted: list[tuple[str, int, bool, str]]) -> DataFrame:
