@@ -109,13 +109,18 @@ def latest_by_key(frames: DataFrame, start: int = 0, end: int | None = None, *ke
     return latest.join(stats, on).select(*[latest[c] for c in latest.columns], "count", "rate")
 
 
-def latest_per_mux(frames: DataFrame, catalog: Catalog, start: int = 0, end: int | None = None) -> DataFrame:
-    """Per (bus, id, extended, selector) its last frame in the range, count and rate; the whole history counts."""
+def with_selector(frames: DataFrame, catalog: Catalog) -> DataFrame:
+    """The multiplexed frames with their selector's value; others go."""
     layouts: dict[object, tuple[int, Message]] = {}
     keys = {(bus, m.id, m.extended): layouts.setdefault(m.multiplexor, (len(layouts), m))[0] for bus, m, _ in catalog.winners() if m.multiplexor is not None}
     selectors = [mux_selector(m) for _, m in layouts.values()]
     chosen = keyed(frames, keys, "_layout").withColumn("selector", by_number("_layout", selectors, F.lit(None).cast("long")))
-    return latest_by_key(chosen.drop("_layout").filter("selector is not null"), start, end, *STREAM_KEY, "selector")
+    return chosen.drop("_layout").filter("selector is not null")
+
+
+def latest_per_mux(frames: DataFrame, catalog: Catalog, start: int = 0, end: int | None = None) -> DataFrame:
+    """Per (bus, id, extended, selector) its last frame in the range, count and rate; the whole history counts."""
+    return latest_by_key(with_selector(frames, catalog), start, end, *STREAM_KEY, "selector")
 
 
 #: sort columns of the by-id view; texts before their decoding default

@@ -89,6 +89,19 @@ def _fields(frames: DataFrame, streams: list[tuple[str, Message]]) -> DataFrame:
     return out.withColumns({"_has_counter": F.col("_config").isin(counters), "_has_crc": F.col("_config").isin(sums)})
 
 
+def _crc_finding() -> Column:
+    return F.when(F.col("_has_crc"), F.when(F.col("_sent_crc").isNull() | F.col("_own_crc").isNull(), "truncated").when(F.col("_sent_crc") != F.col("_own_crc"), "crc_mismatch"))
+
+
+def checksum_findings(frames: DataFrame, catalog: Catalog) -> DataFrame:
+    """(idx, bus_id, id, extended, finding) of Rx data frames whose checksum is wrong or cut off. Each frame is judged by
+    itself, so frames may be a stream."""
+    streams = [(bus, m) for bus, m in configured(catalog) if m.crc]
+    wanted = (F.col("direction") == "Rx") & F.col("kind").isin("classic", "fd")
+    rows = _fields(frames.filter(wanted), streams) if streams else frames.limit(0).withColumns({"_has_crc": F.lit(False), "_sent_crc": F.lit(None).cast("long"), "_own_crc": F.lit(None).cast("long")})
+    return rows.withColumn("finding", _crc_finding()).filter("finding is not null").select("idx", *STREAM_KEY, "finding")
+
+
 def verify_frames(frames: DataFrame, catalog: Catalog) -> DataFrame:
     """Configured Rx data frames with finding (null if valid): counter_skip, truncated or crc_mismatch."""
     streams = configured(catalog)
@@ -102,7 +115,7 @@ def verify_frames(frames: DataFrame, catalog: Catalog) -> DataFrame:
         F.col("_has_counter"),
         F.when(F.col("_counter").isNull(), "truncated").when(F.col("_before").isNotNull() & (F.pmod(F.col("_before") + F.col("_step"), F.col("_modulo")) != F.col("_counter")), "counter_skip"),
     )
-    crc = F.when(F.col("_has_crc"), F.when(F.col("_sent_crc").isNull() | F.col("_own_crc").isNull(), "truncated").when(F.col("_sent_crc") != F.col("_own_crc"), "crc_mismatch"))
+    crc = _crc_finding()
     out = rows.withColumn("finding", F.coalesce(counter, crc)).withColumn("expected", F.pmod(F.col("_before") + F.col("_step"), F.col("_modulo")))
     return out.select(*frames.columns, "finding", F.when(F.col("finding") == "counter_skip", F.col("expected")).alias("expected_counter"))
 

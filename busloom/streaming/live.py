@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from ..model import STREAM_KEY, guard, route
 from ..operators.decode import raw_value
-from ..operators.verify import configured, rollover
+from ..operators.trace import with_selector
+from ..operators.verify import checksum_findings, configured, rollover
 from ..plans.catalog import Catalog
 
 
@@ -40,6 +41,32 @@ def fps(stream: DataFrame, *by: str, late: str = "5 seconds") -> DataFrame:
     return event_time(stream).withWatermark("ts", late).groupBy(F.window("ts", "1 second"), *by).agg(F.count("*").alias("fps"))
 
 
+def latest_per_mux(stream: DataFrame, catalog: Catalog) -> DataFrame:
+    """Update-mode state: per (bus, id, extended, selector) the last idx, its frame and the count so far."""
+    return latest(with_selector(stream, catalog), *STREAM_KEY, "selector")
+
+
+def rates(stream: DataFrame, *key: str, window: str = "1 second", late: str = "5 seconds") -> DataFrame:
+    """Per key and window of event time: frames, their first and last time and the rate between them (0 for one frame)."""
+    timed = event_time(stream).withWatermark("ts", late)
+    g = timed.groupBy(F.window("ts", window), *key).agg(F.count("*").alias("count"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
+    span = (F.col("last_ns") - F.col("first_ns")) / F.lit(1e9)
+    return g.withColumn("rate", F.when(span > 0, (F.col("count") - 1) / span).otherwise(F.lit(0.0)))
+
+
+def verify_checksums(stream: DataFrame, catalog: Catalog) -> DataFrame:
+    """Checksum findings of a stream: no state, so late and repeated frames are judged alike."""
+    return checksum_findings(stream, catalog)
+
+
+def looped(frames: DataFrame, laps: int) -> DataFrame:
+    """A capture played `laps` times over: lap n is shifted by n times (last - first time) and numbered on."""
+    span = frames.agg((F.max("timestamp_ns") - F.min("timestamp_ns")).alias("_span"), (F.max("idx") + 1).alias("_rows"))
+    every = frames.crossJoin(F.broadcast(span)).withColumn("_lap", F.explode(F.sequence(F.lit(0), F.lit(laps - 1))))  # one row
+    moved = {"timestamp_ns": F.col("timestamp_ns") + F.col("_lap") * F.col("_span"), "idx": F.col("idx") + F.col("_lap") * F.col("_rows")}
+    return every.withColumns(moved).select(*frames.columns)
+
+
 _VERDICT = "idx long, bus_id string, id long, extended boolean, finding string"
 
 

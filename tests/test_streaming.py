@@ -4,8 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from busloom.model import load_frames
-from busloom.operators import verify
+from busloom.operators import encode, trace, verify
+from busloom.plans import predicate
+from busloom.plans.catalog import Catalog
+from busloom.plans.filter_index import FilterIndex
+from busloom.plans.session import Session
 from busloom.queries import sample_catalog
+from busloom.sources.dbc import CrcConfig, Database, Message, Signal
 from busloom.streaming import live
 
 DATA = "/root/testdata/sf0.001"
@@ -42,6 +47,50 @@ def test_counters(spark, source):
     assert batch and sorted((r.idx, r.finding) for r in spark.table("counter_out").collect()) == batch
 
 
+def test_latest_per_mux(spark, source):
+    _run(live.latest_per_mux(_stream(spark, source), sample_catalog()), "mux_out", "complete")
+    key = ("bus_id", "id", "extended", "selector")
+    want = sorted((*[r[k] for k in key], r.idx, r["count"]) for r in trace.latest_per_mux(spark.read.parquet(source), sample_catalog()).collect())
+    assert want and sorted((*[r[k] for k in key], r.frame.idx, r["count"]) for r in spark.table("mux_out").collect()) == want
+
+
+def test_rates_and_laps(spark, source):
+    _run(live.rates(_stream(spark, source), "bus_id", window="1 day"), "rates_out", "complete")
+    got = spark.table("rates_out").agg(F.sum("count"), F.min("first_ns"), F.max("last_ns")).first()
+    frames = spark.read.parquet(source)
+    assert tuple(got) == tuple(frames.agg(F.count("*"), F.min("timestamp_ns"), F.max("timestamp_ns")).first())
+    laps = live.looped(frames, 3)
+    n, first, last = frames.agg(F.count("*"), F.min("timestamp_ns"), F.max("timestamp_ns")).first()
+    assert laps.agg(F.count_distinct("idx"), F.min("timestamp_ns"), F.max("timestamp_ns")).first()[:] == (3 * n, first, last + 2 * (last - first))
+
+
+def test_checksums(spark):
+    crc = CrcConfig("Sum", "CRC-8/SAE-J1850", 0, 56)
+    message = Message(5, False, "M", 8, "E", (Signal("Sum", 56, 8, True, False, 1.0, 0.0, 0.0, 0.0, ""),), crc=crc)
+    catalog = Catalog().add(Database("d", (message,)), ["a"])
+    rows = [(i, "a", 5, False, "Rx", "classic", bytes([i] * 7 + [0])) for i in range(20)]
+    frames = encode.apply_calc(spark.createDataFrame(rows, "idx long, bus_id string, id long, extended boolean, direction string, kind string, data binary"), message, "bus_id")
+    bad = frames.withColumn("data", F.when(F.col("idx") == 3, F.lit(bytes(8))).when(F.col("idx") == 4, F.lit(b"\1")).otherwise(F.col("data")))
+    assert [(r.idx, r.finding) for r in verify.checksum_findings(bad, catalog).orderBy("idx").collect()] == [(3, "crc_mismatch"), (4, "truncated")]
+    assert verify.checksum_findings(frames, catalog).count() == 0 and verify.checksum_findings(frames, Catalog()).count() == 0
+    assert {r.idx for r in live.verify_checksums(bad, catalog).collect()} == {3, 4}
+
+
+def test_filter_index(spark, source, tmp_path):
+    """Extended after each append, the index equals the filter over everything; pages equal those of a recount."""
+    every, catalog, tree = spark.read.parquet(source), sample_catalog(), {"all": [{"bus": "pt"}, {"signal_equals": {"name": "Mode", "value": 1}}]}
+    index = FilterIndex(spark, str(tmp_path), catalog, tree)
+    for rows in (0, 300, 300, 301, 1000):
+        some = every.filter(F.col("idx") < rows)
+        want = sorted(r.idx for r in predicate.filter_frames(some, tree, catalog).collect())
+        assert sorted(r.idx for r in index.matches(some).collect()) == want
+    for from_end in (False, True):
+        (a, n, first), (b, m, place) = index.page(every, 5, 10, from_end), trace.filtered_page(every, tree, catalog, 5, 10, from_end)
+        assert (n, first, [r.idx for r in a.collect()]) == (m, place, [r.idx for r in b.collect()])
+    other = FilterIndex(spark, str(tmp_path), catalog, tree, Session().started(0))
+    assert other.folder != index.folder and other.page(every.limit(0), 0, 5)[1] == 0
+
+
 def test_clock(spark):
     rows = [("s", i, i * 100_000_000, 0 if i < 3 else 2_000_000) for i in range(10)]
     out = live.correct_clock(spark.createDataFrame(rows, "session string, idx long, timestamp_ns long, target_ns long"), "session").orderBy("idx").collect()
