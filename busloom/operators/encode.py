@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.bits import positions
 from ..functions.crc import crc, lookup
+from ..model import small, with_dense_index
 from ..plans.catalog import Catalog
 from ..sources.dbc import CounterConfig, CrcConfig, Message, Signal
 from .decode import raw_value
@@ -279,7 +280,10 @@ def fan_out(sent: DataFrame, participants: DataFrame) -> DataFrame:
 
 
 def batches_by_route(frames: DataFrame) -> DataFrame:
-    """(destination, frames in order) with destinations by first appearance: for frames (destination, ord, data)."""
-    g = frames.groupBy("destination").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "data"))).alias("frames"))
-    return g.orderBy("first")
-
+    """Frames (destination, ord, ...) with the place of their batch and in it: batches stand by their destination's first
+    frame, frames by ord. A batch stays rows, however many frames one destination has; sort by (batch, place) to send."""
+    first = frames.groupBy("destination").agg(F.min("ord").alias("_first"))
+    batch = small(first.withColumn("batch", F.row_number().over(Window.orderBy("_first", "destination")) - 1).drop("_first"))  # one row a destination
+    placed = with_dense_index(frames, "destination", "ord", name="_at")
+    start = small(placed.groupBy("destination").agg(F.min("_at").alias("_start")))
+    return placed.join(start, "destination").join(batch, "destination").withColumn("place", F.col("_at") - F.col("_start")).drop("_at", "_start")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def rx_gap_stats(frames: DataFrame, min_gaps: int = 50, median_range_ns: tuple[int, int] = (1_000_000, 2_000_000_000)) -> DataFrame:
@@ -57,16 +61,23 @@ def retention(samples: DataFrame, *key: str) -> DataFrame:
 
 
 def smoothed(samples: DataFrame, alpha: float = 0.3, *key: str) -> DataFrame:
-    """Exponential moving average in order of t; a raw 0 snaps to 0. Folded over each group's ordered array."""
-    ordered = samples.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s"))
-    start = F.array().cast("array<struct<t:bigint,v:double>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))["v"]
-        v = F.when(x["v"] == 0, 0.0).otherwise(F.coalesce(last + alpha * (x["v"] - last), x["v"]))
-        return F.concat(acc, F.array(F.struct(x["t"].cast("bigint").alias("t"), v.alias("v"))))
-
-    return ordered.select(*key, F.inline(F.aggregate("s", start, step)))
+    """Exponential moving average in order of t; a raw 0 snaps to 0. Each group streams through in order, one number of
+    state, as every value depends on the one before."""
+    schema = T.StructType([*(samples.schema[k] for k in key), T.StructField("t", T.LongType()), T.StructField("v", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last = None, None
+        for pdf in batches:
+            out = []
+            for own, v in zip(pdf[list(key)].itertuples(index=False, name=None), pdf["v"], strict=True):
+                if own != group:
+                    group, last = own, None
+                last = 0.0 if v == 0 else v if last is None else last + alpha * (v - last)
+                out.append(last)
+            yield pdf.assign(v=out)
+
+    rows = samples.select(*key, F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"))
+    return rows.repartition(*(key or [F.lit(0)])).sortWithinPartitions(*key, "t").mapInPandas(run, schema)
 
 
 def wire_bits() -> tuple[Column, Column]:

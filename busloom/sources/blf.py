@@ -252,12 +252,20 @@ class _Out:
         self.parts.append(OBJECT.pack(b"LOBJ", OBJECT.size, 1, total, T_CONTAINER) + CONTAINER.pack(ZLIB, len(data)) + packed + bytes(total % 4))
         self.whole += OBJECT.size + CONTAINER.size + len(data)
 
-    def close(self, last_ns: int) -> bytes:
+    def flush(self) -> None:
         if self.buffer:
             self._flush(len(self.buffer))
+
+    def close(self, last_ns: int) -> bytes:
+        self.flush()
         body = b"".join(self.parts)
-        head = FILE_HEADER.pack(b"LOGG", FILE_HEADER_SIZE, 5, 0, 0, 0, 2, 6, 8, 1, FILE_HEADER_SIZE + len(body), self.whole, self.count, 0, *_system_time(self.start_ns), *_system_time(last_ns))
-        return head.ljust(FILE_HEADER_SIZE, b"\0") + body
+        return header(self.start_ns, last_ns, len(body), self.whole, self.count) + body
+
+
+def header(start_ns: int, last_ns: int, size: int, whole: int, objects: int) -> bytes:
+    """The head of a file of `size` bytes of containers, which hold `whole` bytes (head included) and so many objects."""
+    head = FILE_HEADER.pack(b"LOGG", FILE_HEADER_SIZE, 5, 0, 0, 0, 2, 6, 8, 1, FILE_HEADER_SIZE + size, whole, objects, 0, *_system_time(start_ns), *_system_time(last_ns))
+    return head.ljust(FILE_HEADER_SIZE, b"\0")
 
 
 def object_of(r: dict) -> tuple[int, bytes]:
@@ -373,8 +381,61 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BlfDataSource)
 
 
+_CONTAINERS = "part int, seq long, data binary, whole long, objects long"
+
+
+def _packed(frames: DataFrame, start_ns: int) -> DataFrame:
+    """The containers of each partition's frames, in order; a task holds one container at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seq = TaskContext.get().partitionId(), 0
+        out = _Out(start_ns, [], bytearray(), whole=0)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                for r in batch.slice(i, 4096).to_pylist():
+                    kind, body = object_of(r)
+                    out.add(kind, r["timestamp_ns"], body)
+                if out.parts:
+                    yield rows(part, seq, out)
+                    seq += 1
+        out.flush()
+        if out.parts:
+            yield rows(part, seq, out)
+
+    def rows(part: int, seq: int, out: _Out) -> pa.RecordBatch:
+        data = b"".join(out.parts)
+        batch = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([data], pa.binary()), pa.array([out.whole], pa.int64()), pa.array([out.count], pa.int64())], ["part", "seq", "data", "whole", "objects"])
+        out.parts, out.whole, out.count = [], 0, 0
+        return batch
+
+    return frames.mapInArrow(run, _CONTAINERS)
+
+
 def save_blf(frames: DataFrame, path: str) -> None:
-    """One file of the whole capture in row order, written atomically by one task: a log file is one stream by format.
-    Use df.write.format("blf") to write a file per partition."""
-    register(frames.sparkSession)
-    frames.orderBy("idx").coalesce(1).write.format("blf").mode("overwrite").save(path)
+    """One file of the whole capture in row order under path, in any store that Spark writes.
+
+    Frames are packed into containers by range partitions in parallel and written aside; then the head and the containers
+    are streamed into the file one after the other, as a log file is one stream by format, and the file is moved in place.
+    """
+    spark = frames.sparkSession
+    first, last = frames.agg(F.min("timestamp_ns"), F.max("timestamp_ns")).first()
+    start_ns = (first or 0) // 1_000_000 * 1_000_000
+    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    _packed(frames.orderBy("idx"), start_ns).write.parquet(aside)
+    packed = spark.read.parquet(aside)
+    size, whole, objects = (x or 0 for x in packed.agg(F.sum(F.length("data")), F.sum("whole"), F.sum("objects")).first())
+    jvm = spark.sparkContext._jvm
+    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    unfinished = jvm.org.apache.hadoop.fs.Path(source, "capture.tmp")
+    stream = fs.create(unfinished)
+    stream.write(bytearray(header(start_ns, last or 0, size, FILE_HEADER_SIZE + whole, objects)))
+    for row in packed.orderBy("part", "seq").select("data").toLocalIterator():
+        stream.write(row["data"])
+    stream.close()
+    fs.delete(target, True)
+    fs.mkdirs(target)
+    fs.rename(unfinished, jvm.org.apache.hadoop.fs.Path(target, "part-00000.blf"))
+    fs.delete(source, True)

@@ -166,6 +166,12 @@ def test_arbitration(spark):
     assert encode.fan_out(sent, members).filter("acknowledged").count() == 5
 
 
+def test_route_batches(spark):
+    rows = [("b", 3, b"3"), ("a", 5, b"5"), ("b", 1, b"1"), ("c", 2, b"2"), ("a", 4, b"4")]
+    out = encode.batches_by_route(spark.createDataFrame(rows, "destination string, ord long, data binary")).orderBy("batch", "place").collect()
+    assert [(r.destination, r.batch, r.place, bytes(r.data)) for r in out] == [("b", 0, 0, b"1"), ("b", 0, 1, b"3"), ("c", 1, 0, b"2"), ("a", 2, 0, b"4"), ("a", 2, 1, b"5")]
+
+
 def test_schedule(spark):
     entries = spark.createDataFrame([("a", 10), ("b", 25), ("c", 0)], "entry string, period_ms int")
     out = encode.schedule(entries, 0, 1_000_000_000)

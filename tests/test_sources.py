@@ -42,6 +42,7 @@ def test_many_containers():
 def test_spark_formats(spark, tmp_path):
     frames = spark.createDataFrame([tuple(f[k] for k in f) for f in _frames()], "idx long, timestamp_ns long, channel int, id long, extended boolean, direction string, kind string, data binary, brs boolean, esi boolean, dlc int")
     blf.save_blf(frames, str(tmp_path / "out"))
+    blf.register(spark)
     assert spark.read.format("blf").load(str(tmp_path / "out")).count() == 23
     read = blf.read_blf(spark, str(tmp_path / "out"))
     assert [r.id for r in read.orderBy("object_no").collect()] == [f["id"] for f in _frames()]
@@ -52,6 +53,19 @@ def test_spark_formats(spark, tmp_path):
     assert {r.bus_id for r in routed.collect()} == {"a", "b"} and model.guard(routed, START + 3000).agg(F.min("timestamp_ns")).first()[0] == START + 3000
 
 
+def test_parallel_save(spark, tmp_path):
+    """Containers packed by several tasks make one file, whose head tells what it holds."""
+    rows = [dict(_frames()[8], idx=i, timestamp_ns=START + 1000 * i, id=i % 2000) for i in range(20_000)]
+    frames = spark.createDataFrame([tuple(r[k] for k in _frames()[0]) for r in rows], "idx long, timestamp_ns long, channel int, id long, extended boolean, direction string, kind string, data binary, brs boolean, esi boolean, dlc int")
+    blf.save_blf(frames.repartition(5), str(tmp_path / "out"))
+    (name,) = [f for f in (tmp_path / "out").iterdir() if f.suffix == ".blf"]
+    content = name.read_bytes()
+    got = list(blf.parse(content, "f"))
+    assert [r[4] for r in got] == [r["id"] for r in rows] and [f.name for f in tmp_path.iterdir()] == ["out"]
+    size, whole, objects = blf.FILE_HEADER.unpack_from(content)[10:13]
+    assert (size, objects) == (len(content), 20_000) and whole > size
+
+
 def test_other_objects(spark, tmp_path):
     out = blf._Out(START // 1_000_000 * 1_000_000, [], bytearray())
     out.add(blf.T_STATISTIC, START, blf.STATISTIC.pack(1, 250, 1, 2, 3, 4, 5, 6) + bytes(4))
