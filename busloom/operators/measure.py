@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .series import numbered
+
 
 def rx_gap_stats(frames: DataFrame, min_gaps: int = 50, median_range_ns: tuple[int, int] = (1_000_000, 2_000_000_000)) -> DataFrame:
     """Per (bus, id), addressing modes together: receive gaps in arrival order (never negative), their lower-middle
@@ -53,8 +55,7 @@ def summary(samples: DataFrame, *key: str) -> DataFrame:
 
 def retention(samples: DataFrame, *key: str) -> DataFrame:
     """Mean of the second half of the samples over the mean of the first (the middle one counts to the second)."""
-    by = Window.partitionBy(*key)
-    ranked = samples.withColumn("_rn", F.row_number().over(by.orderBy("t")) - 1).withColumn("_half", F.floor(F.count("*").over(by) / 2))
+    ranked = numbered(samples.select(*key, "t", "v", F.lit(0).alias("idx")), *key).withColumns({"_rn": F.col("rn"), "_half": F.floor(F.col("n") / 2)})
     first = F.avg(F.when(F.col("_rn") < F.col("_half"), F.col("v")))
     second = F.avg(F.when(F.col("_rn") >= F.col("_half"), F.col("v")))
     return ranked.groupBy(*key).agg(F.try_divide(second, first).alias("retention"))

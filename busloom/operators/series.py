@@ -142,17 +142,18 @@ def pyramid(series: DataFrame, *key: str, depth: int = 12) -> list[DataFrame]:
 
 
 def window_slice(series: DataFrame, start: float, end: float, *key: str, widen: int = 2) -> DataFrame:
-    """Points of [start, end) and `widen` more on each side."""
-    w = Window.partitionBy(*key).orderBy(*ORDER)
-    inside = (F.col("t") >= start) & (F.col("t") < end)
-    # a window without points still has its neighbours: the last `widen` before start, the first `widen` from end on
-    before = F.count(F.when(F.col("t") >= start, 1)).over(w.rowsBetween(1, widen)) > 0
-    is_tail = F.count("*").over(w.rowsBetween(1, widen)) < widen
-    after = F.count(F.when(F.col("t") < end, 1)).over(w.rowsBetween(-widen, -1)) > 0
-    is_head = F.count("*").over(w.rowsBetween(-widen, -1)) < widen
-    early, late = F.col("t") < start, F.col("t") >= end
-    keep = inside | (early & (before | is_tail)) | (late & (after | is_head))
-    return series.withColumn("_keep", keep).filter("_keep").drop("_keep")
+    """Points of [start, end) and `widen` more on each side: the last ones before start and the first from end on, of
+    which each task passes on no more than `widen` a key."""
+    t = F.col("t")
+    inside = series.filter((t >= start) & (t < end))
+
+    def nearest_of(rows: DataFrame, *order: Column) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= widen).drop("_rank")
+
+    early = nearest_of(series.filter(t < start), *[F.desc(c) for c in ORDER])
+    late = nearest_of(series.filter(t >= end), *[F.asc(c) for c in ORDER])
+    return inside.unionByName(early).unionByName(late)
 
 
 def window_count(series: DataFrame, start: float, end: float, *key: str) -> DataFrame:
@@ -214,7 +215,7 @@ def extrapolated_spans(served: DataFrame, raw: DataFrame, start: float, end: flo
     gap is over GAP_FACTOR mean raw intervals and the raw series has at most one point in [a, b)."""
     w = Window.partitionBy(*key).orderBy(*ORDER)
     # raw points from each served time on: position of the time among raw points
-    position = raw.select(*key, "t").withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy("t"))).groupBy(*key, "t").agg(F.min("_rn").alias("_pos"))
+    position = numbered(raw.select(*key, *ORDER), *key).groupBy(*key, "t").agg(F.min("rn").alias("_pos"))
     rates = series_rate(raw, *key).select(*key, "rate")
     rows = served.join(position, [*key, "t"], "left").join(rates, list(key), "left")
     rows = rows.withColumns({"_b": F.lead("t").over(w), "_bpos": F.lead("_pos").over(w)})
