@@ -30,15 +30,15 @@ def test_decode(spark, catalog):
     wide = bytearray(16)
     wide[0:1] = b"\x00"
     wide[1:3] = struct.pack("<h", -5)
-    wide[4:8] = struct.pack("<f", 47.5)
-    rows = [frame(0, b"\x10\x27\x01\0\x05\0\0\0"), frame(1, b"\x10"), frame(2, bytes(wide), 512, True, kind="fd"), frame(3, b"\0" * 8, 999), frame(4, b"\x10\x27" + b"\0" * 6, bus="z"), frame(5, b"\x01\x12\x34\0\0\0\xc0\x7f", 512, True)]
+    wide[8:12] = struct.pack("<f", 47.5)
+    rows = [frame(0, b"\x10\x27\x01\0\x05\0\0\0"), frame(1, b"\x10"), frame(2, bytes(wide), 512, True, kind="fd"), frame(3, b"\0" * 8, 999), frame(4, b"\x10\x27" + b"\0" * 6, bus="z"), frame(5, b"\x01\x12\x34\0\0\0\0\0\0\0\xc0\x7f", 512, True)]
     out = {r.idx: r for r in decode.decode_frames(spark.createDataFrame(rows, FIELDS), catalog).collect()}
     named = lambda i: {s.name: s for s in out[i].signals}
     assert named(0)["Fast"].value == pytest.approx(100.0) and named(0)["Gear"].label == "R"
     assert out[1].message == "Speed" and out[1].signals == []
-    assert named(2)["A"].value == pytest.approx(-40.5) and named(2)["A"].raw_signed == -5 and named(2)["Lat"].value == 47.5 and "B" not in named(2)
+    assert named(2)["A"].value == pytest.approx(-40.5) and named(2)["A"].raw_signed == -5 and named(2)["Flow"].value == 47.5 and "B" not in named(2)
     assert out[3].message is None and out[3].signals is None and out[4].message is None
-    assert named(5)["B"].raw_unsigned == 0x1234 and math.isnan(named(5)["Lat"].value)
+    assert named(5)["B"].raw_unsigned == 0x1234 and math.isnan(named(5)["Flow"].value)
 
 
 def test_floats(spark):

@@ -20,7 +20,7 @@ BO_ 2147484160 Wide: 16 Vector__XXX
  SG_ Sel M : 0|4@1+ (1,0) [0|3] "" GW
  SG_ A m0 : 8|16@1- (0.1,-40) [0|0] "degC" GW
  SG_ B m1 : 15|16@0+ (1,0) [0|0] "" GW
- SG_ Lat : 32|32@1+ (1,0) [0|0] "deg" GW
+ SG_ Flow : 64|32@1+ (1,0) [0|0] "l/min" GW
 
 CM_ BO_ 256 "say ""BO_"" here";
 BA_DEF_ BO_ "GenMsgSendType" ENUM "Cyclic","OnEvent";
@@ -31,7 +31,7 @@ BA_ "AcmeCrc" SG_ 256 Sum "alg=CRC-8/SAE-J1850;range=0:56;prefix=A3";
 BA_ "AcmeDisplay" SG_ 256 Sum "radix=hex";
 BA_ "AcmeDisplay" SG_ 256 Fast "radix=hex";
 VAL_ 256 Gear 0 "P" 1 "R";
-SIG_VALTYPE_ 2147484160 Lat : 1;
+SIG_VALTYPE_ 2147484160 Flow : 1;
 """
 
 
@@ -43,8 +43,8 @@ def test_parse():
     assert speed.counter == counter_config("Alive", "increment=1;rollover=15")
     assert speed.crc == CrcConfig("Sum", "CRC-8/SAE-J1850", 0, 56, b"\xa3")
     assert speed.signal("Sum").hex and not speed.signal("Fast").hex and len(d.warnings) == 1
-    assert speed.signal("Gear").is_enum and wide.multiplexor.name == "Sel" and wide.signal("Lat").is_float
-    assert speed.signal("Fast").decimals == 2 and wide.signal("Lat").decimals is None
+    assert speed.signal("Gear").is_enum and wide.multiplexor.name == "Sel" and wide.signal("Flow").is_float
+    assert speed.signal("Fast").decimals == 2 and wide.signal("Flow").decimals is None
 
 
 def test_bad_texts():
