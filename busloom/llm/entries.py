@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, decontamination, language_id, licences, media, mixing, near_dedup, private_data, quality, token_counts
+from . import class_lm, decontamination, language_id, licences, media, mixing, near_dedup, private_data, quality, simhash, spelling, token_counts, vector_codes
 from .store import read_table
 
 
@@ -51,6 +51,18 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(read_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,11 +76,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_media_columns,
         op9_private_data,
         op10_licence_scan,
+        op11_spelling_variants,
+        op12_simhash_near_dedup,
+        op13_vector_codes,
     )
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _vector_nearest(n: int, book: str) -> str:
+    """a<n>: the nearest entry i of each distinct part, ties to the lower, and its squared distance e."""
+    gap = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(d.v, b.v)])"
+    return f"a{n} AS (SELECT q, v, n, min((e, i))[2] AS i, min((e, i))[1] AS e FROM (SELECT d.q, d.v, n, CAST({gap} AS BIGINT) AS e, i FROM d JOIN {book} b USING (q)) GROUP BY ALL)"
+
+
+def _vector_round(n: int) -> str:
+    """b<n>: the codebook after one more round."""
+    floored = "CAST(floor(sum(n * x) / sum(n)) AS BIGINT)"
+    means = f"SELECT q, i, list(f ORDER BY j) AS v FROM (SELECT q, i, j, {floored} AS f FROM (SELECT q, i, n, unnest(v) AS x, unnest(range(len(v))) AS j FROM a{n}) GROUP BY ALL) GROUP BY ALL"
+    return f"{_vector_nearest(n, f'b{n - 1}')}, m{n} AS ({means}), b{n} AS (SELECT q, i, coalesce(m.v, b.v) AS v FROM b{n - 1} b LEFT JOIN m{n} m USING (q, i)),\n"
+
+
 #: only what SQL can express; the others are tested against brute-force versions
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": f"""
@@ -91,4 +121,30 @@ p AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(i, i + k
 t AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM h) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)""",
+    # crc32 by its table of 256 entries, made by the polynomial's rule
+    "op11_spelling_variants": f"""
+WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+u AS (SELECT r, d, w, count(*) AS n FROM (SELECT row_number() OVER () AS r, coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all({_FOLD}, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY ALL),
+b AS (SELECT w, n, [CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT) FOR i IN range(len(x) // 2)] AS b FROM (SELECT w, n, hex(d || ':' || w) AS x FROM u)),
+h AS (SELECT w, n, xor(list_reduce([4294967295] || b, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM b, t),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+o AS (SELECT DISTINCT x.word, x.n, v.word AS shorter, v.n AS m FROM x JOIN v ON x.rest = v.word),
+e AS (SELECT y.word, z.word AS near, z.n FROM x y JOIN x z USING (i, rest) WHERE y.word <> z.word UNION ALL SELECT word, shorter, m FROM o UNION ALL SELECT shorter, word, n FROM o),
+f AS (SELECT word, count(*) AS n_near, -min((-n, near))[1] AS m, min((-n, near))[2] AS near FROM e GROUP BY 1),
+g AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN near END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN f USING (word)),
+c(word, root) AS (SELECT word, word FROM g UNION SELECT c.word, g.form FROM c JOIN g ON c.root = g.word WHERE g.form IS NOT NULL)
+SELECT g.word, n, n_near, form, form_n, c.root FROM g JOIN c USING (word) JOIN (SELECT word AS w FROM g WHERE form IS NULL) q ON q.w = c.root""",
+    "op13_vector_codes": f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c FROM embeddings
+ WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT max(len(c)) // 16 AS s FROM k),
+p AS (SELECT r, q, c[q * s + 1:q * s + s] AS v FROM k, s, range(16) AS t(q)),
+d AS (SELECT q, v, count(*) AS n FROM p GROUP BY ALL),
+b0 AS (SELECT q, CAST(i AS BIGINT) AS i, v FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, c) - 1 AS i FROM k QUALIFY i < 64) USING (r)),
+{"".join(_vector_round(n) for n in (1, 2))}{_vector_nearest(3, "b2")},
+w AS (SELECT r, vec_id, label, string_agg(format('{{:02x}}', i), '' ORDER BY q) AS code, CAST(sum(e) AS BIGINT) AS error FROM k JOIN p USING (r) JOIN a3 USING (q, v) GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY q, i)) FROM b2) AS codebooks_sha256 FROM w""",
 }

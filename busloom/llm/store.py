@@ -16,16 +16,20 @@ ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: folders of applications that name none, by application id
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in the cluster's spark.checkpoint.dir. Where that is unset, a local master (tests, a
     laptop) gets a folder of its own; a cluster must name one, as its machines don't share local folders."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    given = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not given:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        given = "file://" + tempfile.mkdtemp(prefix="busloom-")
-        spark.conf.set("spark.checkpoint.dir", given)
-    return f"{given.rstrip('/')}/busloom-{spark.sparkContext.applicationId}"
+        given = _own[app] = "file://" + tempfile.mkdtemp(prefix="busloom-")
+    return f"{given.rstrip('/')}/busloom-{app}"
 
 
 def release(spark: SparkSession) -> None:

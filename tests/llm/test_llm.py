@@ -609,4 +609,4 @@ def test_stored_trees(spark):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in entries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entries.QUERIES) == list(range(1, 14))
