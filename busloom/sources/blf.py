@@ -1,6 +1,10 @@
 """BLF log files: frames and markers in, frames and markers out.
 
-Reading any store Spark reads: `read_blf` loads files as binary rows and parses them in tasks, one file a row.
+A file is one stream of containers that each hold compressed objects, and objects may go on in the next container.
+`read_blf` reads byte ranges of files in as many tasks: a probe finds in each range the first container and the first
+object (by signatures that chain), walks the objects that start there and reports where the next ones must start; the
+reports of a file are compared in order, a range whose guess was wrong is walked again from the place known by then, and
+counts number the objects. So ranges give the rows that one walk of the file gives, whatever the payloads hold.
 `spark.read.format("blf")` and `df.write.format("blf")` (after `register`) work on paths that all machines mount.
 """
 
@@ -14,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +26,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .ranges import FETCH_BYTES, MOST_TASKS, RANGE_BYTES, Source, file_ranges
+
 # Fixed values of the format: struct layouts, object types and flags
 FILE_HEADER = struct.Struct("<4sLBBBBBBBBQQLL8H8H")
 FILE_HEADER_SIZE = 144
@@ -75,26 +82,134 @@ def dlc_of(length: int) -> int:
     return next(i for i, n in enumerate(FD_LENGTHS) if n >= length)
 
 
-def objects(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(type, offset from start in ns, body) of all objects, which may straddle containers."""
-    at, rest = struct.unpack_from("<L", content, 4)[0], b""
-    while at + OBJECT.size <= len(content):
-        sign, header, _, size, kind = OBJECT.unpack_from(content, at)
-        if sign != b"LOBJ":
+@dataclass
+class Report:
+    """What a walk found: the range's first container and the stream bytes before its first object, its objects, the
+    bytes of its containers, the first container past it and the stream bytes from there to the next object (-1: none)."""
+
+    at: int
+    skip: int
+    objects: int = 0
+    bytes: int = 0
+    after: int = 0
+    tail: int = 0
+
+
+def _head(source: Source, at: int) -> tuple[int, int, int] | None:
+    """(header size, size, type) of the object at a position, None if there is none."""
+    raw = source.read(at, OBJECT.size)
+    if len(raw) < OBJECT.size:
+        return None
+    sign, header, _, size, kind = OBJECT.unpack(raw)
+    return (header, size, kind) if sign == b"LOBJ" and size >= header >= OBJECT.size else None
+
+
+def _pieces(source: Source, at: int) -> Iterator[tuple[int, int, bytes]]:
+    """(position, position of the next, stream bytes) of containers, and of objects outside of any, from `at` on."""
+    while at + OBJECT.size <= source.size:
+        head = _head(source, at)
+        if head is None:
             raise BlfError(f"no object at byte {at}")
-        body = content[at + header : at + size] if kind != T_CONTAINER else content[at + OBJECT.size : at + size]
-        at += size + size % 4
+        _, size, kind = head
+        after = at + size + size % 4
         if kind != T_CONTAINER:
-            yield from _walk(content[at - size - size % 4 : at])[0]
+            yield at, after, source.read(at, size)
+        else:
+            method, whole = CONTAINER.unpack(source.read(at + OBJECT.size, CONTAINER.size))
+            data = source.read(at + OBJECT.size + CONTAINER.size, size - OBJECT.size - CONTAINER.size)
+            if method == ZLIB:
+                data = zlib.decompress(data, 15, whole)
+            elif method != NO_COMPRESSION:
+                raise BlfError(f"unknown compression {method}")
+            yield at, after, data
+        at = after
+
+
+def _first_container(source: Source, start: int, stop: int) -> int | None:
+    """The first position in [start, stop) from which objects chain through the range."""
+    at = start
+    while at < stop:
+        block = source.read(at, min(FETCH_BYTES, stop - at + 3))
+        found = block.find(b"LOBJ")
+        if found < 0:
+            at += max(1, len(block) - 3)
             continue
-        method, whole = CONTAINER.unpack_from(body)
-        data = body[CONTAINER.size :]
-        if method == ZLIB:
-            data = zlib.decompress(data, 15, whole)
-        elif method != NO_COMPRESSION:
-            raise BlfError(f"unknown compression {method}")
-        found, rest = _walk(rest + data)
-        yield from found
+        at += found
+        if at >= stop:
+            return None
+        place = at
+        while place < stop and (head := _head(source, place)) is not None:
+            place += head[1] + head[1] % 4
+        if place >= stop or place + OBJECT.size > source.size:
+            return at
+        at += 4
+    return None
+
+
+def _first_object(data: bytes) -> int | None:
+    """Where the first object starts: a signature whose object ends at the next one, or past the data."""
+    at = data.find(b"LOBJ")
+    while at >= 0:
+        if at + OBJECT.size > len(data):
+            return None
+        _, header, _, size, _ = OBJECT.unpack_from(data, at)
+        end = at + size
+        if size >= header >= OBJECT.size and (end + 7 > len(data) or 0 <= data.find(b"LOBJ", end, end + 7) - end <= 3):
+            return at
+        at = data.find(b"LOBJ", at + 1)
+    return None
+
+
+def walk(source: Source, report: Report, stop: int, known: bool = True) -> Iterator[tuple[int, int, bytes]]:
+    """(type, offset from start in ns, body) of the objects that start in the containers from report.at to before `stop`.
+
+    The last one is read on from the containers behind. `report` is filled in; unless the first object's place is known,
+    it is guessed (report.skip stays negative where there is no guess).
+    """
+    buffer, skip, left, done = b"", report.skip if known else None, None, 0
+    report.after = report.at
+    for at, after, data in _pieces(source, report.at):
+        if left is None and at >= stop:  # what the buffer holds up to here is the range's own
+            if skip is None:
+                return
+            if skip > 0:  # one object goes through the whole range
+                report.tail = skip
+                return
+            left = len(buffer)
+        if left is None:
+            report.after, report.bytes = after, report.bytes + len(data)
+            if skip is None:
+                buffer += data
+                skip = _first_object(buffer)
+                if skip is None:
+                    continue
+                report.skip, data, buffer = skip, buffer, b""
+            cut = min(skip, len(data))
+            skip -= cut
+            found, buffer = _walk(buffer + data[cut:])
+            report.objects += len(found)
+            yield from found
+            continue
+        buffer += data
+        start = buffer.find(b"LOBJ", done)
+        while 0 <= start < left:  # begun in the range
+            size = OBJECT.unpack_from(buffer, start)[3] if start + OBJECT.size <= len(buffer) else len(buffer)
+            if start + size > len(buffer) or start + OBJECT.size > len(buffer):
+                break
+            done = start + size
+            found, _ = _walk(buffer[start:done])
+            report.objects += len(found)
+            yield from found
+            start = buffer.find(b"LOBJ", done)
+        if start >= left:
+            report.tail = start - left
+            return
+    report.tail = -1  # the file ends
+
+
+def objects(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(type, offset from start in ns, body) of all objects, which may straddle containers."""
+    yield from walk(Source(content), Report(struct.unpack_from("<L", content, 4)[0], 0), len(content))
 
 
 def _walk(data: bytes) -> tuple[list[tuple[int, int, bytes]], bytes]:
@@ -195,23 +310,95 @@ def _rows(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(as_arrow(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
 
-def read_blf(spark: SparkSession, path: str | list[str], markers: bool = False, extras: bool = False) -> DataFrame:
-    """Frames (or markers, or the other objects) of files in any store that Spark reads. (file, object_no) is the order of
-    the file."""
+_REPORTS = "file string, part long, start long, stop long, at long, skip long, objects long, after long, tail long"
+_RANGES = "file string, part long, stop long, at long, skip long, first_no long, start_ns long"
+
+
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The reports of ranges (file, part, start, stop) that are guessed; at is -1 where nothing chains."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            source, report = Source(r["file"]), Report(-1, -1)
+            try:
+                at = _first_container(source, r["start"], r["stop"]) if r["part"] else None
+                if at is not None:
+                    report.at = at
+                    for _ in walk(source, report, r["stop"], known=False):
+                        pass
+            except (BlfError, zlib.error, struct.error):
+                report = Report(-1, -1)
+            source.close()
+            out.append((*r.values(), report.at, report.skip, report.objects, report.after, report.tail))
+        names = [x.split()[0] for x in _REPORTS.split(", ")]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "file" else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names)
+
+
+def _stitched(reports: pd.DataFrame) -> pd.DataFrame:
+    """One file's ranges from what is known of the ranges before; a range whose guess differs is walked again."""
+    reports = reports.sort_values("part")
+    file = reports["file"].iloc[0]
+    source = Source(file)
+    head = source.read(0, FILE_HEADER_SIZE)
+    if len(head) < FILE_HEADER_SIZE or head[:4] != b"LOGG":
+        raise BlfError(f"{file} has no BLF signature")
+    start_ns = _start_ns(FILE_HEADER.unpack_from(head)[14:22])
+    at, skip, number, out = struct.unpack_from("<L", head, 4)[0], 0, 0, []
+    for r in reports.itertuples():
+        if skip < 0 or at >= r.stop:
+            continue
+        report = Report(at, skip, r.objects, 0, r.after, r.tail)
+        if (r.at, r.skip) != (at, skip):
+            report = Report(at, skip)
+            for _ in walk(source, report, r.stop):
+                pass
+        out.append((file, r.part, r.stop, at, skip, number, start_ns))
+        at, skip, number = report.after, report.tail, number + report.objects
+    source.close()
+    return pd.DataFrame(out, columns=[x.split()[0] for x in _RANGES.split(", ")])
+
+
+def blf_ranges(spark: SparkSession, path: str | list[str], size: int = RANGE_BYTES) -> tuple[DataFrame, int]:
+    """(the exact ranges of files, their number): where each range's first object starts and which number it has."""
+    ranges, n = file_ranges(spark, path, size)
+    reports = ranges.mapInArrow(_probed, _REPORTS)
+    return reports.groupBy("file").applyInPandas(_stitched, _RANGES), n  # a few numbers a range
+
+
+def _rows_of(source: Source, r: dict, markers: bool, extras: bool) -> Iterator[tuple]:
+    for n, (kind, offset, body) in enumerate(walk(source, Report(r["at"], r["skip"]), r["stop"]), r["first_no"]):
+        at = r["start_ns"] + offset
+        if extras:
+            if found := extra_of(kind, body):
+                yield (r["file"], n, at, *found)
+        elif markers:
+            if kind == T_MARKER:
+                yield (r["file"], n, at, *marker_of(body))
+        elif frame := frame_of(kind, body):
+            yield (r["file"], n, at, *frame)
+
+
+def read_blf(spark: SparkSession, path: str | list[str], markers: bool = False, extras: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Frames (or markers, or the other objects) of files, read by as many tasks as they have ranges. (file, object_no) is
+    the order of the file. Tasks open files where pyarrow's file systems reach them: local and mounted paths, HDFS, S3, GCS."""
     schema = EXTRAS if extras else MARKERS if markers else FRAMES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
-                for row in parse_extras(content, file) if extras else parse(content, file, markers):
+            for r in batch.to_pylist():
+                source, rows = Source(r["file"]), []
+                for row in _rows_of(source, r, markers, extras):
                     rows.append(row)
                     if len(rows) == 20_000:
                         yield _rows(schema, rows)
                         rows = []
-                yield _rows(schema, rows)
+                source.close()
+                if rows:
+                    yield _rows(schema, rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    ranges, n = blf_ranges(spark, path, range_bytes)
+    return ranges.repartition(min(n, MOST_TASKS)).mapInArrow(run, schema)
 
 
 def blf_census(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -306,22 +493,32 @@ def build(frames: Iterator[dict], markers: list[dict] = (), start_ns: int | None
 
 
 @dataclass
-class _File(InputPartition):
-    path: str
+class _Range(InputPartition):
+    range: dict
 
 
 class _Reader(DataSourceReader):
+    """Partitions are byte ranges. The format plans outside of any job, so it walks each file once to know them; read_blf
+    finds them in parallel."""
+
     def __init__(self, options, markers: bool):
-        self.path, self.markers = options["path"], markers
+        self.path, self.markers, self.size = options["path"], markers, int(options.get("range_bytes", RANGE_BYTES))
 
     def partitions(self):
-        if os.path.isdir(self.path):
-            return [_File(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.endswith(".blf")]
-        return [_File(self.path)]
+        path = self.path.removeprefix("file:")
+        files = [os.path.join(path, f) for f in sorted(os.listdir(path)) if f.endswith(".blf")] if os.path.isdir(path) else [path]
+        out = []
+        for file in files:
+            whole = os.path.getsize(file)
+            starts = range(0, max(1, whole), self.size)
+            reports = pd.DataFrame([(file, k, a, min(whole, a + self.size), -1, -1, 0, 0, 0) for k, a in enumerate(starts)], columns=[x.split()[0] for x in _REPORTS.split(", ")])
+            out += [_Range(r) for r in _stitched(reports).to_dict("records")]
+        return out
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            yield from parse(f.read(), partition.path, self.markers)
+        source = Source(partition.range["file"])
+        yield from _rows_of(source, partition.range, self.markers, False)
+        source.close()
 
 
 @dataclass

@@ -1,5 +1,7 @@
 """Log files: round trips."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,86 @@ def test_other_objects(spark, tmp_path):
     assert [(r.kind, r.text) for r in rows] == [("statistic", None), ("text", "abc"), ("comment", "hi"), ("lost_begin", None), ("lost_end", None)]
     assert rows[0].numbers["bus_load"] == 250 and rows[4].numbers == {"queue": 9, "first_lost_ns": 11, "events": 12}
     assert len(list(blf.parse(content, "f"))) == 1
+
+
+def _as_rows(df):
+    return sorted((tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in df.collect()), key=lambda r: (r[0], r[1]))
+
+
+def _log(path, n, start=START):
+    """A log whose objects straddle containers; payloads and texts hold false signatures, one text fills many containers."""
+    rng = random.Random(n)
+    out = blf._Out(start // 1_000_000 * 1_000_000, [], bytearray())
+    for i in range(n):
+        if i % 40 == 7:
+            text = b"LOBJ" + bytes([rng.choice(b"LOBJ\x20\x01")]) * rng.randrange(9)
+            out.add(blf.T_TEXT, start + i, blf.TEXT.pack(7, 0, len(text)) + text)
+        elif i % 50 == 9:
+            out.add(blf.T_MARKER, start + i, blf.marker_body("g", "LOBJ", f"id-{i}", i))
+        elif i == n // 2:
+            # an inner log that chains by itself, larger than a container and stored as it is
+            inner = b"".join(blf.OBJECT.pack(b"LOBJ", 32, 1, 48, blf.T_CAN) + blf.OBJECT_V1.pack(2, 0, 0, k) + rng.randbytes(16) for k in range(9000))
+            out.add(blf.T_TEXT, start + i, blf.TEXT.pack(1, 0, len(inner)) + inner)
+        else:
+            data = b"LOBJ\x10\x00\x01\x00" if i % 3 == 0 else rng.randbytes(8)
+            out.add(*(lambda o, i=i: (o[0], start + i, o[1]))(blf.object_of(dict(_frames()[8], id=i % 2000, data=data))))
+    content = out.close(start + n)
+    path.write_bytes(content)
+    return content
+
+
+def test_ranges_of_one_file(spark, tmp_path):
+    """One file read by many tasks gives the rows of one walk, wherever ranges are cut and whatever the payloads hold."""
+    want, extras, marks = [], [], []
+    for name, n in (("a.blf", 9000), ("b.blf", 2500)):
+        content = _log(tmp_path / name, n)
+        want += blf.parse(content, f"file:{tmp_path / name}")
+        marks += blf.parse(content, f"file:{tmp_path / name}", markers=True)
+        extras += blf.parse_extras(content, f"file:{tmp_path / name}")
+    for size in (7_001, 40_000, 1 << 20):
+        got = blf.read_blf(spark, str(tmp_path), range_bytes=size)
+        assert got.rdd.getNumPartitions() > 1 or size == 1 << 20
+        assert _as_rows(got) == want
+    assert _as_rows(blf.read_blf(spark, str(tmp_path), markers=True, range_bytes=30_000)) == marks
+    got = blf.read_blf(spark, str(tmp_path), extras=True, range_bytes=30_000).orderBy("file", "object_no").collect()
+    assert [(r.object_no, r.kind, r.text) for r in got] == [(r[1], r[3], r[5]) for r in extras]
+    blf.register(spark)
+    plain = blf.read_blf(spark, str(tmp_path)).drop("file").exceptAll(spark.read.format("blf").option("range_bytes", "20000").load(str(tmp_path)).drop("file"))
+    assert plain.isEmpty()
+    split = spark.read.format("blf").option("range_bytes", "20000").load(str(tmp_path / "a.blf"))
+    assert split.rdd.getNumPartitions() > 5
+
+
+def test_stitched_guesses(spark, tmp_path):
+    """Wrong guesses, even ones that chain, don't change what is read."""
+    _log(tmp_path / "a.blf", 3000)
+    ranges, _ = blf.file_ranges(spark, str(tmp_path / "a.blf"), 9_000)
+    reports = next(blf._probed(iter(ranges.toArrow().combine_chunks().to_batches()))).to_pandas()
+    right = blf._stitched(reports)
+    wrong = reports.assign(at=reports["at"] + 16, skip=3, objects=5, tail=1)
+    assert blf._stitched(wrong).equals(right) and len(right) > 3
+
+
+def test_plain_guesses(spark, tmp_path):
+    """On ordinary logs the probes guess right, so no range is walked again."""
+    rng = random.Random(3)
+    frames = [dict(_frames()[8], timestamp_ns=START + i, data=rng.randbytes(8)) for i in range(12_000)]
+    (tmp_path / "a.blf").write_bytes(blf.build(frames)[0])
+    ranges, _ = blf.file_ranges(spark, str(tmp_path / "a.blf"), 40_000)
+    reports = next(blf._probed(iter(ranges.toArrow().combine_chunks().to_batches()))).to_pandas()
+    both = reports.merge(blf._stitched(reports), on="part", suffixes=("", "_right")).query("part > 0")
+    assert len(both) >= 3 and (both["at"] == both["at_right"]).all() and (both["skip"] == both["skip_right"]).all()
+
+
+def test_beyond_a_cell(spark, tmp_path):
+    """A file of over 2 GiB, which no binary cell holds (its head leaves a hole before the first container)."""
+    content = bytearray(_log(tmp_path / "b.blf", 300))
+    first = (1 << 31) + 12_345_680
+    content[4:8] = first.to_bytes(4, "little")
+    with (tmp_path / "big.blf").open("wb") as f:
+        f.write(content[: blf.FILE_HEADER_SIZE])
+        f.seek(first)
+        f.write(content[blf.FILE_HEADER_SIZE :])
+    got = blf.read_blf(spark, str(tmp_path / "big.blf"))
+    want = blf.read_blf(spark, str(tmp_path / "b.blf"))
+    assert got.drop("file").exceptAll(want.drop("file")).isEmpty() and got.count() == want.count() > 250
