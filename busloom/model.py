@@ -104,6 +104,24 @@ def with_dense_index(frames: DataFrame, *order: str, name: str = "idx") -> DataF
     return numbered.drop("_part", "_offset")
 
 
+def beside(dealt: DataFrame, carried: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """dealt with the columns of carried, which has one row a range and key (null keys are equal)."""
+    names = ("_part", *key)
+    right = carried.select(*[F.col(c).alias(f"_of_{c}") for c in names], *[c for c in carried.columns if c not in names])
+    on = [dealt[c].eqNullSafe(right[f"_of_{c}"]) for c in names]
+    return dealt.join(right, on).drop(*[f"_of_{c}" for c in names])
+
+
+def running_max(rows: DataFrame, value: Column, name: str, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """rows with the greatest value of their key up to them in order: rows are dealt by ranges of (key, order), and each
+    range passes one number a key to the later ones."""
+    dealt = ranges(rows.withColumn(name, value), *key, *order)
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = dealt.groupBy("_part", *key).agg(F.max(name).alias("_top")).withColumn("_carried", F.max("_top").over(before)).drop("_top")
+    inside = Window.partitionBy("_part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return beside(dealt, small(carried), key).withColumn(name, F.greatest(F.max(name).over(inside), "_carried")).drop("_part", "_carried")
+
+
 def _byte(value: Column) -> Column:
     return F.lpad(F.hex(value), 2, "0")
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import held, ranges, small
+from ..model import beside, held, ranges, small
 
 BRANCH, GAP_FACTOR = 8, 10.0
 ORDER = ("t", "idx")
@@ -26,15 +26,7 @@ def numbered(series: DataFrame, *key: str) -> DataFrame:
     before = F.sum("_n").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumns({"_before": F.coalesce(before, F.lit(0)), "n": F.sum("_n").over(of_key)}).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_part", *key).orderBy(*ORDER)) - 1
-    return _beside(dealt, small(counts), key).withColumn("rn", rank + F.col("_before")).drop("_part", "_before")
-
-
-def _beside(dealt: DataFrame, carried: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """dealt with the columns of carried, which has one row a range and key (null keys are equal)."""
-    names = ("_part", *key)
-    right = carried.select(*[F.col(c).alias(f"_of_{c}") for c in names], *[c for c in carried.columns if c not in names])
-    on = [dealt[c].eqNullSafe(right[f"_of_{c}"]) for c in names]
-    return dealt.join(right, on).drop(*[f"_of_{c}" for c in names])
+    return beside(dealt, small(counts), key).withColumn("rn", rank + F.col("_before")).drop("_part", "_before")
 
 
 def _with_neighbours(series: DataFrame, *key: str) -> DataFrame:
@@ -45,7 +37,7 @@ def _with_neighbours(series: DataFrame, *key: str) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("_part")
     ends = ends.withColumns({"_left": F.lag("_last").over(w), "_right": F.lead("_first").over(w)}).drop("_first", "_last")
     inside = Window.partitionBy("_part", *key).orderBy(*ORDER)
-    rows = _beside(dealt, small(ends), key)
+    rows = beside(dealt, small(ends), key)
     near = {"_before": F.coalesce(F.lag(point).over(inside), F.col("_left")), "_after": F.coalesce(F.lead(point).over(inside), F.col("_right"))}
     return rows.withColumns(near).drop("_left", "_right")
 
@@ -57,7 +49,7 @@ def _running(rows: DataFrame, value: Column, of: Callable[[Column], Column], mer
     last = rows.groupBy("_part", *key).agg(F.max_by(name, F.struct(*ORDER)).alias("_end"))
     before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("_carried", merge(F.col("_end")).over(before)).drop("_end")
-    return _beside(rows, small(last), key)
+    return beside(rows, small(last), key)
 
 
 def _rank_low(v: Column) -> Column:

@@ -77,11 +77,14 @@ def import_capture(frames: DataFrame, mapping: DataFrame, path: str, start_ns: i
     number, and read them back: row-number statistics and partitions prune pages."""
     from ..model import guard, route, with_dense_index
     from ..operators.trace import time_window
+    from ..sources.mdf4 import with_emission_key
 
-    order = [c for c in ("file", "timestamp_ns", "group", "object_no", "record_no") if c in frames.columns]
-    order = [c for c in order if c != "timestamp_ns"] if "object_no" in frames.columns else order
+    if "record_no" in frames.columns:  # groups are merged as their next frames fall due
+        frames, order = with_emission_key(frames), ["file", "_due", "group", "record_no"]
+    else:
+        order = [c for c in ("file", "object_no") if c in frames.columns] if "object_no" in frames.columns else [c for c in ("file", "timestamp_ns", "group") if c in frames.columns]
     kept = guard(route(time_window(frames.withColumn("idx", F.lit(0)), start_ns, end_ns), mapping))
-    numbered = with_dense_index(kept, *order)
+    numbered = with_dense_index(kept, *order).drop("_due")
     numbered.withColumn("block", F.floor(F.col("idx") / 50_000_000)).write.mode("overwrite").partitionBy("block").parquet(path)
     return frames.sparkSession.read.parquet(path)
 

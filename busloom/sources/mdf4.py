@@ -1,8 +1,12 @@
 """MDF 4.x files: bus frames, recorded signals, events and attachments in; sorted finalized files out.
 
-Reads sorted and unsorted, finalized and unfinalized files with plain, deflated and listed data blocks. A file is parsed
-by one task from a binary row, so any store that Spark reads works. Rows carry (group, record_no); the emission order
-is (timestamp_ns, group, record_no).
+Reads sorted and unsorted, finalized and unfinalized files with plain, deflated and listed data blocks. One task a file
+follows the links of its blocks by seeks, without reading data, and cuts the records into ranges; as many tasks read the
+ranges, whose fields are taken from a (record, byte) matrix at once. Sorted groups are cut by arithmetic. Unsorted ones (of
+records that only their ids tell apart) are walked first, every data block by a task of its own, to mark where ranges
+start and to count the records before them; an unknown id, or a record that its block cuts off, ends that block.
+
+Rows carry (group, record_no); emission_order() gives the order in which a merge of the groups by their next times emits.
 """
 
 from __future__ import annotations
@@ -14,11 +18,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..model import running_max
+from .ranges import FETCH_BYTES, MOST_TASKS, RANGE_BYTES, Source, file_ranges
+
 # Fixed values of the format: block layouts, channel and data types
 HEAD = struct.Struct("<4s4xQQ")
 HD = struct.Struct("<QhhBBBxdd")
@@ -30,6 +37,10 @@ AT = struct.Struct("<HH4x16sQQ")
 DZ = struct.Struct("<2sBxIQQ")
 MASTER, FIXED = 2, 0
 UINT_LE, UINT_BE, INT_LE, INT_BE, FLOAT_LE, FLOAT_BE, BYTES = 0, 1, 2, 3, 4, 5, 10
+#: bytes fetched at once while links are followed, and records that are taken apart at once
+META_BYTES, ROWS = 1 << 16, 1 << 16
+#: seconds beyond which a time does not fit 63 bits of nanoseconds
+MOST_SECONDS = 7e9
 FRAME_GROUPS = {"CAN_DataFrame": "data", "CAN_ErrorFrame": "error", "CAN_RemoteFrame": "remote"}
 
 _fields = lambda *x: T.StructType([T.StructField(n, t) for n, t in x])
@@ -60,18 +71,34 @@ class Channel:
     composed: list[Channel] = field(default_factory=list)
 
 
+@dataclass
+class Block:
+    """A data block: its kind, where its bytes stand, how many are stored and how many they are."""
+
+    kind: bytes
+    at: int
+    stored: int
+    size: int
+    method: int = 0
+    parameter: int = 0
+    first: int = 0  # of the data group's bytes
+
+
 @dataclass
 class Group:
     index: int
     name: str
     record_id: int
-    record_id_size: int
+    data_group: int
     data_bytes: int
     invalid_bytes: int
     cycles: int
     channels: list[Channel]
     source: int = 0
-    records: list[bytes] = field(default_factory=list)
+
+    @property
+    def step(self) -> int:
+        return self.data_bytes + self.invalid_bytes
 
     @property
     def master(self) -> Channel | None:
@@ -86,31 +113,63 @@ class Group:
         return None
 
 
+@dataclass
+class DataGroup:
+    record_id_size: int
+    #: by record id: (group, whether it holds values of variable length)
+    groups: dict[int, tuple[Group, bool]]
+    blocks: list[Block]
+
+    @property
+    def sorted(self) -> bool:
+        return not self.record_id_size and len(self.groups) == 1
+
+
 class File:
-    def __init__(self, content: bytes):
-        if content[:8] not in (b"MDF     ", b"UnFinMF "):
+    """The block graph of a file; data is read by ranges only."""
+
+    def __init__(self, content: bytes | str):
+        self.source = Source(content, META_BYTES)
+        head = self.source.read(0, 64)
+        if head[:8] not in (b"MDF     ", b"UnFinMF "):
             raise MdfError("no MDF signature")
-        self.content, self.finalized = content, content[:8] == b"MDF     "
-        if struct.unpack_from("<H", content, 28)[0] < 400:
+        self.finalized = head[:8] == b"MDF     "
+        if struct.unpack_from("<H", head, 28)[0] < 400:
             raise MdfError("not version 4")
+        self.top = 0
         links, data = self._block(64, b"##HD")
         self.start_ns = HD.unpack_from(data)[0]
         self.links = links
         self.groups: list[Group] = []
+        self.data_groups: list[DataGroup] = []
         at = links[0]
         while at:
             own, data = self._block(at, b"##DG")
             self._data_group(own, data[0])
             at = own[0]
+        for own in self.data_groups:  # an unfinalized writer may not have set the size of the file's last block
+            if not self.finalized and own.blocks and own.blocks[-1].size == 0 and own.blocks[-1].at == self.top + HEAD.size:
+                own.blocks[-1].size = own.blocks[-1].stored = self.source.size - own.blocks[-1].at
+        self.data = Source(content)
+
+    def close(self) -> None:
+        self.source.close()
+        self.data.close()
+
+    def _links(self, at: int) -> tuple[bytes, tuple[int, ...], int, int]:
+        """(kind, links, where the data starts, where it ends)."""
+        kind, size, n = HEAD.unpack(self.source.read(at, HEAD.size))
+        first = at + HEAD.size + 8 * n
+        last = self.source.size if size < HEAD.size + 8 * n else min(at + size, self.source.size)
+        links = struct.unpack(f"<{n}Q", self.source.read(at + HEAD.size, 8 * n))
+        self.top = max(self.top, at, *links)
+        return kind, links, first, last
 
     def _block(self, at: int, sign: bytes | None = None) -> tuple[tuple[int, ...], bytes]:
-        kind, size, n = HEAD.unpack_from(self.content, at)
+        kind, links, first, last = self._links(at)
         if sign and kind != sign:
             raise MdfError(f"expected {sign!r} at byte {at}")
-        links = struct.unpack_from(f"<{n}Q", self.content, at + HEAD.size)
-        first = at + HEAD.size + 8 * n
-        last = at + size if size >= HEAD.size + 8 * n else len(self.content)
-        return links, self.content[first : min(last, len(self.content))]
+        return links, self.source.read(first, last - first)
 
     def text(self, at: int) -> str:
         return self._block(at)[1].split(b"\0")[0].decode("utf-8", "replace") if at else ""
@@ -125,62 +184,46 @@ class File:
                 refs, c = self._block(links[4], b"##CC")
                 ctype, _, _, n_refs, n_vals, _, _ = CC.unpack_from(c)
                 vals = list(struct.unpack_from(f"<{n_vals}d", c, CC.size))
-                texts = [self.text(r) if r and self.content[r : r + 4] in (b"##TX", b"##MD") else "" for r in refs[4 : 4 + n_refs]]
+                texts = [self.text(r) if r and self.source.read(r, 4) in (b"##TX", b"##MD") else "" for r in refs[4 : 4 + n_refs]]
                 conversion = ctype, vals, texts
             own = Channel(self.text(links[2]), kind, data_type, bit_offset, byte_offset, bits, self.text(links[6]), conversion, invalid if flags & 2 else None)
-            if links[1] and self.content[links[1] : links[1] + 4] == b"##CN":
+            if links[1] and self.source.read(links[1], 4) == b"##CN":
                 own.composed = self._channels(links[1])
             out.append(own)
             at = links[0]
         return out
 
     def _data_group(self, links: tuple[int, ...], record_id_size: int) -> None:
-        own, at = [], links[1]
+        own, at, number = {}, links[1], len(self.data_groups)
         while at:
             g, data = self._block(at, b"##CG")
             record_id, cycles, flags, _, size, invalid = CG.unpack_from(data)
             source = self._block(g[3])[1][0] if g[3] else 0
-            group = Group(len(self.groups), self.text(g[2]), record_id, record_id_size, size, invalid, cycles, self._channels(g[1]), source)
+            group = Group(len(self.groups), self.text(g[2]), record_id, number, size, invalid, cycles, self._channels(g[1]), source)
             if not flags & 1:
                 self.groups.append(group)
-            own.append((group, bool(flags & 1)))
+            own[record_id] = group, bool(flags & 1)
             at = g[0]
-        data = b"".join(self._chunks(links[2]))
-        if not record_id_size and len(own) == 1:
-            group, step = own[0][0], own[0][0].data_bytes + own[0][0].invalid_bytes
-            n = len(data) // step if step else 0
-            n = min(n, group.cycles) if self.finalized else n
-            group.records = [data[i * step : (i + 1) * step] for i in range(n)]
-            return
-        by_id, at = {g.record_id: (g, v) for g, v in own}, 0
-        while at + record_id_size <= len(data):
-            found = by_id.get(int.from_bytes(data[at : at + record_id_size], "little"))
-            if found is None:  # an unknown record id ends the chunk
-                break
-            at += record_id_size
-            group, variable = found
-            step = 4 + int.from_bytes(data[at : at + 4], "little") if variable else group.data_bytes + group.invalid_bytes
-            if at + step > len(data):
-                break
-            if not variable:
-                group.records.append(data[at : at + step])
-            at += step
-
-    def _chunks(self, at: int) -> Iterator[bytes]:
+        blocks, first = [], 0
+        for block in self._blocks(links[2]):
+            block.first = first
+            first += block.size
+            blocks.append(block)
+        self.data_groups.append(DataGroup(record_id_size, own, blocks))
+
+    def _blocks(self, at: int) -> Iterator[Block]:
+        seen = set()
         while at:
-            kind = self.content[at : at + 4]
-            links, data = self._block(at)
-            if kind in (b"##DT", b"##SD", b"##RD"):
-                yield data
+            if at in seen:
+                raise MdfError(f"data blocks link in a circle at byte {at}")
+            seen.add(at)
+            kind, links, first, last = self._links(at)
+            if kind in (b"##DT", b"##DV", b"##SD", b"##RD"):
+                yield Block(b"DT", first, last - first, last - first)
                 return
             if kind == b"##DZ":
-                _, method, parameter, original, size = DZ.unpack_from(data)
-                plain = zlib.decompress(data[DZ.size : DZ.size + size])
-                if method == 1 and parameter:
-                    rows = original // parameter
-                    cut = rows * parameter
-                    plain = np.frombuffer(plain[:cut], np.uint8).reshape(parameter, rows).T.tobytes() + plain[cut:]
-                yield plain
+                _, method, parameter, original, size = DZ.unpack(self.source.read(first, DZ.size))
+                yield Block(b"DZ", first + DZ.size, size, original, method, parameter)
                 return
             if kind == b"##HL":
                 at = links[0]
@@ -189,81 +232,192 @@ class File:
                 raise MdfError(f"unexpected data block {kind!r}")
             for part in links[1:]:
                 if part:
-                    yield from self._chunks(part)
+                    yield from self._blocks(part)
             at = links[0]
 
-    def raw(self, record: bytes, c: Channel) -> int | float | bytes | None:
-        """A channel's stored value; None if invalid or out of the record."""
-        first, last = c.byte_offset, c.byte_offset + (c.bit_offset + c.bit_count + 7) // 8
-        if last > len(record):
-            return None
-        part = record[first:last]
-        if c.data_type >= 6:
-            return part
-        if c.data_type in (FLOAT_LE, FLOAT_BE):
-            order = "<" if c.data_type == FLOAT_LE else ">"
-            return struct.unpack(order + {16: "e", 32: "f", 64: "d"}[c.bit_count], part)[0]
-        value = int.from_bytes(part, "little" if c.data_type in (UINT_LE, INT_LE) else "big") >> c.bit_offset
-        value &= (1 << c.bit_count) - 1
-        return value - (1 << c.bit_count) if c.data_type in (INT_LE, INT_BE) and value >> c.bit_count - 1 else value
-
-    def number(self, group: Group, record: bytes, c: Channel) -> float | None:
-        """The physical value; value tables keep the code."""
-        if c.invalid_bit is not None and group.invalid_bytes:
-            byte = group.data_bytes + c.invalid_bit // 8
-            if byte < len(record) and record[byte] >> c.invalid_bit % 8 & 1:
-                return None
-        value = self.raw(record, c)
-        if value is None or isinstance(value, bytes):
-            return None
-        if c.conversion and c.conversion[0] == 1 and len(c.conversion[1]) >= 2:
-            return c.conversion[1][0] + c.conversion[1][1] * value
-        return float(value)
-
-    def time_ns(self, group: Group, record: bytes) -> int | None:
-        seconds = self.number(group, record, group.master)
-        return None if seconds is None else self.start_ns + max(0, round(seconds * 1e9))
+    def bytes_of(self, block: Block, first: int, last: int) -> bytes:
+        """Bytes [first, last) of what a data block holds."""
+        if block.kind == b"DT":
+            return self.data.read(block.at + first, last - first)
+        plain = zlib.decompress(self.data.read(block.at, block.stored))
+        if block.method == 1 and block.parameter:
+            rows = block.size // block.parameter
+            cut = rows * block.parameter
+            plain = np.frombuffer(plain[:cut], np.uint8).reshape(block.parameter, rows).T.tobytes() + plain[cut:]
+        return plain[first:last]
+
+    def records_of(self, group: Group, first: int, last: int) -> np.ndarray:
+        """Records [first, last) of a sorted group as (record, byte); they may go on from one data block to the next."""
+        a, b = first * group.step, last * group.step
+        parts = [self.bytes_of(k, max(0, a - k.first), min(k.size, b - k.first)) for k in self.data_groups[group.data_group].blocks if k.first < b and k.first + k.size > a]
+        return np.frombuffer(b"".join(parts), np.uint8).reshape(-1, group.step)
+
+    def count(self, group: Group) -> int:
+        """Records of a sorted group."""
+        blocks = self.data_groups[group.data_group].blocks
+        n = (blocks[-1].first + blocks[-1].size) // group.step if blocks and group.step else 0
+        return min(n, group.cycles) if self.finalized else n
+
+    def walk(self, data_group: int, block: int, first: int = 0, last: int | None = None) -> Iterator[tuple[int, Group | None, bytes, int, int]]:
+        """(position, group or None, bytes, where in them the record is) of a block's records that start in [first, last)."""
+        own, k = self.data_groups[data_group], self.data_groups[data_group].blocks[block]
+        last, width = k.size if last is None else last, own.record_id_size
+        data, base, at = b"", first, first
+        if k.kind == b"DZ":
+            data, base = self.bytes_of(k, 0, k.size), 0
+
+        def need(n: int) -> bool:
+            nonlocal data, base
+            if at + n > base + len(data) and k.kind == b"DT":
+                data, base = self.bytes_of(k, at, min(k.size, at + max(n, FETCH_BYTES))), at
+            return at + n <= base + len(data)
+
+        while at < last:
+            if not need(width):
+                return
+            found = own.groups.get(int.from_bytes(data[at - base : at - base + width], "little"))
+            if found is None:
+                return
+            group, variable = found
+            size = group.step
+            if variable:
+                if not need(width + 4):
+                    return
+                size = 4 + int.from_bytes(data[at - base + width : at - base + width + 4], "little")
+            if not need(width + size):
+                return
+            yield at, None if variable else group, data, at - base + width, at - base + width + size
+            at += width + size
+
+    def marks(self, data_group: int, block: int, size: int) -> Iterator[tuple[int, int, dict[int, int]]]:
+        """(first, last, records by group) of ranges of about `size` bytes of an unsorted block."""
+        start, counts, end = 0, {}, self.data_groups[data_group].blocks[block].size
+        for at, group, *_ in self.walk(data_group, block):
+            if at - start >= size:
+                yield start, at, counts
+                start, counts = at, {}
+            if group is not None:
+                counts[group.index] = counts.get(group.index, 0) + 1
+        yield start, end, counts
+
+    def plan(self, size: int) -> Iterator[dict]:
+        """Ranges of records of about `size` bytes: (data_group, group, block, first, last), of unsorted groups whole blocks
+        with group -1."""
+        for number, own in enumerate(self.data_groups):
+            if own.sorted:
+                group, variable = next(iter(own.groups.values()))
+                if variable or not group.step:
+                    continue
+                n, many = self.count(group), max(1, size // group.step)
+                for first in range(0, n, many):
+                    yield {"data_group": number, "group": group.index, "block": -1, "first": first, "last": min(n, first + many)}
+            else:
+                for k in range(len(own.blocks)):
+                    yield {"data_group": number, "group": -1, "block": k, "first": 0, "last": own.blocks[k].size}
+
+    def pieces(self, r: dict) -> Iterator[tuple[Group, int, np.ndarray]]:
+        """(group, number of the first record, records) of a range; of an unsorted one `base` has the records before."""
+        if r["group"] >= 0:
+            group = self.groups[r["group"]]
+            for first in range(r["first"], r["last"], ROWS):
+                yield group, first, self.records_of(group, first, min(r["last"], first + ROWS))
+            return
+        held: dict[int, list[bytes]] = {}
+        base = dict(r["base"])
+
+        def out(g: int) -> tuple[Group, int, np.ndarray]:
+            records = np.frombuffer(b"".join(held[g]), np.uint8).reshape(len(held[g]), -1)
+            first, base[g] = base.get(g, 0), base.get(g, 0) + len(held[g])
+            held[g] = []
+            return self.groups[g], first, records
+
+        for _, group, data, first, last in self.walk(r["data_group"], r["block"], r["first"], r["last"]):
+            if group is not None:
+                held.setdefault(group.index, []).append(data[first:last])
+                if len(held[group.index]) == ROWS:
+                    yield out(group.index)
+        for g in held:
+            if held[g]:
+                yield out(g)
+
+    def all_pieces(self, size: int = RANGE_BYTES) -> Iterator[tuple[Group, int, np.ndarray]]:
+        """The pieces of the whole file."""
+        before: dict[tuple[int, int], int] = {}
+        for r in self.plan(size):
+            if r["group"] >= 0:
+                yield from self.pieces(r)
+                continue
+            for first, last, counts in self.marks(r["data_group"], r["block"], size):
+                yield from self.pieces(r | {"first": first, "last": last, "base": {g: before.get((r["data_group"], g), 0) for g in counts}})
+                for g, n in counts.items():
+                    before[r["data_group"], g] = before.get((r["data_group"], g), 0) + n
+
+    def time_ns(self, group: Group, records: np.ndarray) -> pa.Array:
+        seconds, valid = number(group, records, group.master)
+        valid = valid & (np.abs(seconds) < MOST_SECONDS)  # not so for not-a-number
+        ns = self.start_ns + np.maximum(0, np.rint(np.where(valid, seconds, 0) * 1e9)).astype(np.int64)
+        return pa.array(ns, mask=~valid)
+
+    def frame_columns(self, group: Group, first: int, records: np.ndarray) -> list[pa.Array]:
+        structure, kind = group.frames
+        part = {c.name.rpartition(".")[2]: c for c in structure.composed}
+        if "ID" not in part:
+            raise MdfError(f"group {group.index} has no frame id")
+        n = len(records)
+
+        def get(name: str) -> np.ndarray:
+            v = raw(records, part[name]) if name in part else None
+            return np.zeros(n, np.int64) if v is None or v.ndim > 1 else v.astype(np.int64)
+
+        fd = get("EDL") != 0 if kind == "data" else np.zeros(n, bool)
+        data = raw(records, part["DataBytes"]) if kind == "data" and "DataBytes" in part else None
+        data = np.zeros((n, 0), np.uint8) if data is None else data
+        length = np.minimum(data.shape[1], get("DataLength") if "DataLength" in part else data.shape[1])
+        payload = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.py_buffer(data[np.arange(data.shape[1]) < length[:, None]].tobytes())])
+        kinds = np.where(fd, "fd", "classic") if kind == "data" else np.full(n, kind)
+        flag = lambda name: pa.array(get(name) != 0, mask=~fd)
+        dlc = pa.nulls(n, pa.int32()) if kind == "error" else pa.array((get("DLC") & 15).astype(np.int32))
+        return [
+            pa.array(np.full(n, group.index, np.int32)), pa.array(first + np.arange(n)), self.time_ns(group, records), pa.array(np.maximum(0, get("BusChannel") - 1).astype(np.int32)),
+            pa.array(get("ID") & 0x1FFFFFFF), pa.array(get("IDE") != 0), pa.array(np.where(get("Dir") == 0, "Rx", "Tx")), pa.array(kinds), payload, flag("BRS"), flag("ESI"), dlc,
+        ]
+
+    def signal_columns(self, group: Group, first: int, records: np.ndarray) -> Iterator[list[pa.Array]]:
+        n, time = len(records), self.time_ns(group, records)
+        for c in group.channels:
+            if c.kind == MASTER:
+                continue
+            value, valid = number(group, records, c)
+            keep = pa.array(valid & ~np.asarray(time.is_null()))
+            names = [pa.array([x] * n, pa.string()) for x in (group.name, c.name, c.unit)]
+            yield [a.filter(keep) for a in (pa.array(np.full(n, group.index, np.int32)), *names, pa.array(first + np.arange(n)), time, pa.array(value))]
+
+    def columns(self, what: str, pieces: Iterator[tuple[Group, int, np.ndarray]]) -> Iterator[list[pa.Array]]:
+        """Columns of the frames or signals among pieces."""
+        for group, first, records in pieces:
+            if group.master is None or (group.frames is None) != (what == "signals"):
+                continue
+            if what == "signals":
+                yield from self.signal_columns(group, first, records)
+            else:
+                yield self.frame_columns(group, first, records)
+
+    def _tuples(self, what: str) -> Iterator[tuple]:
+        for columns in self.columns(what, self.all_pieces()):
+            yield from zip(*(c.to_pylist() for c in columns), strict=True)
 
     def frame_rows(self) -> Iterator[tuple]:
-        for g in self.groups:
-            if g.frames is None or g.master is None:
-                continue
-            structure, kind = g.frames
-            part = {c.name.rpartition(".")[2]: c for c in structure.composed}
-            if "ID" not in part:
-                raise MdfError(f"group {g.index} has no frame id")
-
-            def get(record: bytes, name: str, part=part) -> int:
-                value = self.raw(record, part[name]) if name in part else 0
-                return int(value) if isinstance(value, int | float) else 0
-
-            for n, r in enumerate(g.records):
-                fd = kind == "data" and get(r, "EDL") != 0
-                data = b""
-                if kind == "data" and "DataBytes" in part:
-                    data = self.raw(r, part["DataBytes"]) or b""
-                    data = data[: get(r, "DataLength")] if "DataLength" in part else data
-                names = {"data": "fd" if fd else "classic"}
-                yield (g.index, n, self.time_ns(g, r), max(0, get(r, "BusChannel") - 1), get(r, "ID") & 0x1FFFFFFF, get(r, "IDE") != 0, "Rx" if get(r, "Dir") == 0 else "Tx", names.get(kind, kind), data, get(r, "BRS") != 0 if fd else None, get(r, "ESI") != 0 if fd else None, None if kind == "error" else get(r, "DLC") & 15)
+        return self._tuples("frames")
 
     def signal_rows(self) -> Iterator[tuple]:
-        for g in self.groups:
-            if g.frames is not None or g.master is None:
-                continue
-            for c in g.channels:
-                if c.kind == MASTER:
-                    continue
-                for n, r in enumerate(g.records):
-                    t, v = self.time_ns(g, r), self.number(g, r, c)
-                    if t is not None and v is not None:
-                        yield g.index, g.name, c.name, c.unit, n, t, v
+        return self._tuples("signals")
 
     def table_rows(self) -> Iterator[tuple]:
         for g in self.groups:
             for c in g.channels:
                 if c.conversion and c.conversion[0] == 7:
-                    for raw, label in zip(c.conversion[1], c.conversion[2], strict=False):
-                        yield g.index, c.name, int(raw), label
+                    for code, label in zip(c.conversion[1], c.conversion[2], strict=False):
+                        yield g.index, c.name, int(code), label
 
     def event_rows(self) -> Iterator[tuple]:
         at = self.links[4]
@@ -282,37 +436,155 @@ class File:
             yield self.text(links[1]), self.text(links[2]), zlib.decompress(content) if flags & 2 and content else content
             at = links[0]
 
-    def group_rows(self) -> Iterator[tuple]:
+    def group_rows(self, counts: dict[int, int] | None = None) -> Iterator[tuple]:
+        if counts is None:
+            counts = {}
+            for g, _, records in self.all_pieces():
+                counts[g.index] = counts.get(g.index, 0) + len(records)
         for g in self.groups:
             kind = g.frames[1] if g.frames else "signal"
-            yield g.index, g.name, kind, len(g.channels), len(g.records), kind == "signal" and g.source == 2
-
+            yield g.index, g.name, kind, len(g.channels), counts.get(g.index, 0), kind == "signal" and g.source == 2
 
-_WHAT = {"frames": (FRAMES, File.frame_rows), "signals": (SIGNALS, File.signal_rows), "events": (EVENTS, File.event_rows), "attachments": (ATTACHMENTS, File.attachment_rows), "tables": (TABLES, File.table_rows), "groups": (GROUPS, File.group_rows)}
 
-
-def read_mdf(spark: SparkSession, path: str | list[str], what: str = "frames") -> DataFrame:
-    """Rows of files: frames, signals, events, attachments, tables (value to text) or groups (a census)."""
-    schema, rows_of = _WHAT[what]
+def raw(records: np.ndarray, c: Channel) -> np.ndarray | None:
+    """A channel's stored values, one a record (bytes as rows of a matrix); None if out of the record."""
+    first, last = c.byte_offset, c.byte_offset + (c.bit_offset + c.bit_count + 7) // 8
+    if last > records.shape[1]:
+        return None
+    part = records[:, first:last]
+    if c.data_type > FLOAT_BE:
+        return part
+    big = c.data_type in (UINT_BE, INT_BE, FLOAT_BE)
+    if c.data_type in (FLOAT_LE, FLOAT_BE):
+        return np.ascontiguousarray(part).view(f"{'>' if big else '<'}f{c.bit_count // 8}")[:, 0]
+    part = part[:, ::-1] if big else part
+    words = np.zeros((len(records), 16), np.uint8)
+    words[:, : min(16, part.shape[1])] = part[:, :16]
+    low, high = words.view("<u8").T
+    shift = np.uint64(c.bit_offset % 64)
+    value = low >> shift | (high << (np.uint64(64) - shift) if shift else np.uint64(0))
+    if c.bit_count < 64:
+        value = value & np.uint64((1 << c.bit_count) - 1)
+    if c.data_type in (INT_LE, INT_BE):
+        unused = 64 - min(64, c.bit_count)
+        return (value << np.uint64(unused)).view(np.int64) >> unused
+    return value
+
+
+def number(group: Group, records: np.ndarray, c: Channel) -> tuple[np.ndarray, np.ndarray]:
+    """(physical values, whether valid); value tables keep the code."""
+    values, valid = raw(records, c), np.ones(len(records), bool)
+    if values is None or values.ndim > 1:
+        return np.zeros(len(records)), ~valid
+    if c.invalid_bit is not None and group.invalid_bytes:
+        byte = group.data_bytes + c.invalid_bit // 8
+        if byte < records.shape[1]:
+            valid = records[:, byte] >> c.invalid_bit % 8 & 1 == 0
+    values = values.astype(np.float64)
+    if c.conversion and c.conversion[0] == 1 and len(c.conversion[1]) >= 2:
+        values = c.conversion[1][0] + c.conversion[1][1] * values
+    return values, valid
+
+
+_META = {"events": (EVENTS, File.event_rows), "attachments": (ATTACHMENTS, File.attachment_rows), "tables": (TABLES, File.table_rows)}
+_PLAN = _fields(("file", _S), ("data_group", _I), ("group", _I), ("block", _I), ("first", _L), ("last", _L), ("counts", T.MapType(_I, _L)))
+
+
+def _arrow(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    arrow = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+
+def _planned(size: int, batches: Iterator[pa.RecordBatch], marks: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of _PLAN: of whole files their plan; with marks, of unsorted blocks their ranges and counts."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            f, rows = File(r["file"]), []
+            if marks:
+                rows = [(r["file"], r["data_group"], -1, r["block"], a, b, list(c.items())) for a, b, c in f.marks(r["data_group"], r["block"], size)]
+            else:
+                rows = [(r["file"], *p.values(), []) for p in f.plan(size)]
+            f.close()
+            if rows:
+                yield _arrow(rows, _PLAN)
+
+
+def mdf_ranges(spark: SparkSession, path: str | list[str], size: int = RANGE_BYTES) -> tuple[DataFrame, int]:
+    """(the ranges of files' records with the records of each group before them, an upper bound of their number)."""
+    files, _ = file_ranges(spark, path, 1 << 62)
+    plan = files.select("file").mapInArrow(lambda b: _planned(size, b, False), _PLAN)
+    _, n = file_ranges(spark, path, size)
+    tasks = min(n, MOST_TASKS)
+    mixed = plan.filter("group < 0").repartition(tasks).mapInArrow(lambda b: _planned(size, b, True), _PLAN)
+    before = Window.partitionBy("file", "data_group", "key").orderBy("block", "first").rowsBetween(Window.unboundedPreceding, -1)
+    counted = mixed.select("file", "data_group", "block", "first", "last", F.explode_outer("counts").alias("key", "n"))
+    based = counted.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row a range
+    based = based.groupBy("file", "data_group", "block", "first", "last").agg(F.map_from_entries(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "base")))).alias("base"), F.map_from_entries(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "n")))).alias("counts"))
+    based = based.select("file", "data_group", F.lit(-1).alias("group"), "block", "first", "last", "counts", "base")
+    whole = plan.filter("group >= 0").select("file", "data_group", "group", "block", "first", "last", F.create_map("group", F.col("last") - F.col("first")).alias("counts"), F.create_map("group", F.lit(0).cast("long")).alias("base"))
+    return whole.unionByName(based), tasks
+
+
+def read_mdf(spark: SparkSession, path: str | list[str], what: str = "frames", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Rows of files: frames, signals, events, attachments, tables (value to text) or groups (a census). Tasks open files
+    where pyarrow's file systems reach them: local and mounted paths, HDFS, S3, GCS."""
+    if what in _META:
+        schema, rows_of = _META[what]
+
+        def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for file in batch.column(0).to_pylist():
+                    f = File(file)
+                    rows = [(file, *row) for row in rows_of(f)]
+                    f.close()
+                    if rows:
+                        yield _arrow(rows, schema)
+
+        return file_ranges(spark, path, 1 << 62)[0].select("file").mapInArrow(described, schema)
+    ranges, tasks = mdf_ranges(spark, path, range_bytes)
+    if what == "groups":
+        counts = ranges.select("file", F.explode("counts").alias("key", "n")).groupBy("file", "key").agg(F.sum("n").alias("n"))
+        counts = counts.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("counts"))
+        files = file_ranges(spark, path, 1 << 62)[0].select("file").join(counts, "file", "left")
+
+        def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    f = File(r["file"])
+                    rows = [(r["file"], *row) for row in f.group_rows(dict(r["counts"] or []))]
+                    f.close()
+                    if rows:
+                        yield _arrow(rows, GROUPS)
+
+        return files.mapInArrow(census, GROUPS)
+    schema = {"frames": FRAMES, "signals": SIGNALS}[what]
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[str, File] = {}
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
-                for row in rows_of(File(content)):
-                    rows.append((file, *row))
-                    if len(rows) == 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+            for r in batch.to_pylist():
+                if r["file"] not in opened:
+                    for f in opened.values():
+                        f.close()
+                    opened = {r["file"]: File(r["file"])}
+                f = opened[r["file"]]
+                for columns in f.columns(what, f.pieces(r | {"base": dict(r["base"] or [])})):
+                    columns = [pa.array([r["file"]] * len(columns[0]), pa.string()), *columns]
+                    yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return ranges.drop("counts").repartition(tasks).mapInArrow(run, schema)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+def with_emission_key(frames: DataFrame) -> DataFrame:
+    """frames with `_due`, the latest time of their group up to them: a merge that always takes the group whose next frame is
+    earliest emits by (_due, group, record_no), also where a group's times fall back. Ranges of records carry it over."""
+    return running_max(frames, F.col("timestamp_ns"), "_due", ("file", "group"), ("record_no",))
 
 
 def emission_order(frames: DataFrame) -> DataFrame:
-    return frames.orderBy("file", "timestamp_ns", "group", "record_no")
+    """frames as a merge of each file's groups by their next frames emits them, ties in the order of groups."""
+    return with_emission_key(frames).orderBy("file", "_due", "group", "record_no").drop("_due")
 
 
 def mdf_census(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -24,10 +24,10 @@ def _open(path: str) -> pa.NativeFile:
 
 
 class Source:
-    """Bytes of a file by position, fetched in blocks of at least FETCH_BYTES; or of a bytes object."""
+    """Bytes of a file by position, fetched in blocks of at least `fetch` bytes; or of a bytes object."""
 
-    def __init__(self, path: str | bytes):
-        self.path = path
+    def __init__(self, path: str | bytes, fetch: int = FETCH_BYTES):
+        self.path, self.fetch = path, fetch
         self._file = None if isinstance(path, bytes) else _open(path)
         self.size = len(path) if self._file is None else self._file.size()
         self._at, self._block = 0, path if self._file is None else b""
@@ -36,7 +36,7 @@ class Source:
         """Up to n bytes from position at; fewer at the end of the file."""
         if self._file is not None and not (self._at <= at and at + n <= self._at + len(self._block)):
             self._at = at
-            self._block = self._file.read_at(max(0, min(max(n, FETCH_BYTES), self.size - at)), at)
+            self._block = self._file.read_at(max(0, min(max(n, self.fetch), self.size - at)), at)
         return self._block[at - self._at : at - self._at + n]
 
     def close(self) -> None:

@@ -3,6 +3,7 @@
 import struct
 import zlib
 
+import numpy as np
 import pytest
 
 from busloom.sources import mdf4
@@ -59,6 +60,106 @@ def test_unfinalized_and_damaged():
         mdf4.File(b"x" * 100)
 
 
+def _unsorted(path, n, unknown_at=None):
+    """An unsorted file: classic and FD frames under record ids in two data blocks, values of variable length between."""
+    frames = [dict(_frames()[8], idx=i, timestamp_ns=START + i * 1000, id=i % 500, data=bytes([i % 256, i // 256 % 256] * 4)) for i in range(n)]
+    content = bytearray(mdf4.build(frames[:1]))
+    b = mdf4._Blocks()
+    b.out = content
+    cg = content.index(b"##CG")
+    size = mdf4.CG.unpack_from(content, cg + 24 + 48)[4]
+    mdf4.CG.pack_into(content, cg + 24 + 48, 7, 0, 6, ord("."), size, 0)
+    other = b.add(b"##CG", [0] * 6, mdf4.CG.pack(9, 0, 1, 0, 4, 0))
+    b.link(cg, 0, other)
+
+    def record(f):
+        return b"\x07" + struct.pack("<dBIBB", (f["timestamp_ns"] - START) / 1e9, f["channel"] + 1, f["id"], 8, 8) + f["data"] + b"\x09" + struct.pack("<L", f["idx"] % 7) + bytes(f["idx"] % 7)
+
+    parts = [b"".join(map(record, frames[: n // 3])), b"".join(map(record, frames[n // 3 :]))]
+    if unknown_at is not None:
+        parts[0] = b"".join(map(record, frames[:unknown_at])) + b"\x55" * 40
+        frames = frames[:unknown_at] + frames[n // 3 :]
+    blocks = [b.add(b"##DT", [], parts[0])]
+    packed = zlib.compress(parts[1])
+    blocks.append(b.add(b"##DZ", [], mdf4.DZ.pack(b"DT", 0, 0, len(parts[1]), len(packed)) + packed))
+    dl = b.add(b"##DL", [0, *blocks], struct.pack("<B3xIQQ", 0, 2, 0, len(parts[0])))
+    dg = content.index(b"##DG")
+    b.link(dg, 2, dl)
+    b.out[dg + 24 + 32] = 1  # size of the record ids
+    path.write_bytes(bytes(b.out))
+    return frames
+
+
+def test_ranges_of_one_file(spark, tmp_path):
+    """Sorted, deflated and unsorted files read by many tasks give the rows of one walk."""
+    frames = [dict(_frames()[i % 23], timestamp_ns=START + i * 1000, id=i) for i in range(4000)]
+    signals = [{"name": "S", "unit": "V", "points": [(START + i, i / 8) for i in range(3000)]}]
+    (tmp_path / "a.mf4").write_bytes(mdf4.build(frames, signals))
+    path = str(tmp_path / "a.mf4")
+    for size in (3_000, 100_000):
+        got = mdf4.read_mdf(spark, path, range_bytes=size)
+        rows = sorted(tuple(r)[1:] for r in got.collect())
+        assert rows == sorted(mdf4.File(path).frame_rows()) and len(rows) == 4000
+    assert got.rdd.getNumPartitions() > 1
+    rows = mdf4.read_mdf(spark, path, "signals", range_bytes=5_000).collect()
+    assert sorted(r.value for r in rows) == [i / 8 for i in range(3000)] and {(r.unit, r.name) for r in rows} == {("V", "S")}
+    frames = _unsorted(tmp_path / "u.mf4", 3000)
+    for size in (2_000, 1 << 20):
+        rows = mdf4.read_mdf(spark, str(tmp_path / "u.mf4"), range_bytes=size).orderBy("record_no").collect()
+        assert [r.record_no for r in rows] == list(range(3000))
+        assert [(r.timestamp_ns, r.id, bytes(r.data)) for r in rows] == [(f["timestamp_ns"], f["id"], f["data"]) for f in frames]
+    census = {r.group: r.records for r in mdf4.read_mdf(spark, str(tmp_path / "u.mf4"), "groups", range_bytes=2_000).collect()}
+    assert census == {0: 3000, 1: 0, 2: 0}
+    assert len(list(mdf4.File(str(tmp_path / "u.mf4")).frame_rows())) == 3000
+
+
+def test_unknown_record_id(spark, tmp_path):
+    """An id that no group has ends its data block; the next block is read."""
+    frames = _unsorted(tmp_path / "u.mf4", 900, unknown_at=100)
+    rows = mdf4.read_mdf(spark, str(tmp_path / "u.mf4"), range_bytes=1_000).orderBy("record_no").collect()
+    assert [r.id for r in rows] == [f["id"] for f in frames] and len(rows) == 700
+
+
+def test_fields():
+    """Bit fields of every order, sign and width against whole-number arithmetic."""
+    rng = np.random.default_rng(2)
+    records = rng.integers(0, 256, (40, 20), dtype=np.uint8)
+    for _ in range(300):
+        kind = int(rng.integers(0, 4))
+        bit, bits, byte = int(rng.integers(0, 8)), int(rng.integers(1, 65)), int(rng.integers(0, 12))
+        c = mdf4.Channel("c", 0, kind, bit, byte, bits, "", None, None)
+        got = mdf4.raw(records, c)
+        size = (bit + bits + 7) // 8
+        if byte + size > 20:
+            assert got is None
+            continue
+        for r, v in zip(records, got, strict=True):
+            whole = int.from_bytes(r[byte : byte + size].tobytes(), "little" if kind in (0, 2) else "big") >> bit & (1 << bits) - 1
+            assert int(v) == (whole - (1 << bits) if kind > 1 and whole >> (bits - 1) else whole)
+
+
+def _merged(groups):
+    """A merge that takes the group whose next time is earliest, ties to the first group."""
+    heads, out = [0] * len(groups), []
+    while True:
+        ready = [(g[heads[i]], i) for i, g in enumerate(groups) if heads[i] < len(g)]
+        if not ready:
+            return out
+        _, i = min(ready)
+        out.append((i, heads[i]))
+        heads[i] += 1
+
+
+def test_emission_order(spark):
+    """Groups whose times fall back come out as a merge by next frames gives them."""
+    rng = np.random.default_rng(4)
+    groups = [sorted(rng.integers(0, 50, 80).tolist(), reverse=True), np.sort(rng.integers(0, 50, 90)).tolist(), rng.integers(0, 50, 200).tolist(), [7]]
+    rows = [("f", g, n, t) for g, times in enumerate(groups) for n, t in enumerate(times)]
+    frames = spark.createDataFrame(rows, "file string, group int, record_no long, timestamp_ns long").repartition(5)
+    got = [(r["group"], r.record_no) for r in mdf4.emission_order(frames).collect()]
+    assert got == _merged(groups)
+
+
 def test_spark(spark, tmp_path):
     path = tmp_path / "a.mf4"
     path.write_bytes(mdf4.build(_frames(), [{"name": "S", "points": [(START, 1.0)]}]))
