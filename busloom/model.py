@@ -80,6 +80,12 @@ def free() -> None:
         _held.pop().unpersist()
 
 
+def same(left: DataFrame, right: DataFrame, key: tuple[str, ...] | list[str], prefix: str = "_of_") -> tuple[DataFrame, list[Column]]:
+    """(right with its key columns renamed, conditions that join it to left on equal keys, nulls equal)."""
+    named = right.withColumnsRenamed({k: f"{prefix}{k}" for k in key})
+    return named, [left[k].eqNullSafe(named[f"{prefix}{k}"]) for k in key]
+
+
 def small(df: DataFrame) -> DataFrame:
     """df computed once and broadcast if it has at most SMALL rows; as it is otherwise, so that the join shuffles."""
     rows = df.limit(SMALL + 1).collect()
@@ -122,6 +128,19 @@ def running_max(rows: DataFrame, value: Column, name: str, key: tuple[str, ...],
     return beside(dealt, small(carried), key).withColumn(name, F.greatest(F.max(name).over(inside), "_carried")).drop("_part", "_carried")
 
 
+def last_before(rows: DataFrame, value: Column, name: str, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """rows with the last non-null value of their key before them in order, dealt and carried as in running_max."""
+    dealt = ranges(rows.withColumn("_value", value), *key, *order)
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.filter("_value is not null").groupBy("_part", *key).agg(F.max_by("_value", F.struct(*order)).alias("_end"))
+    parts = dealt.select("_part", *key).distinct().withColumn("_end", F.lit(None).cast(dealt.schema["_value"].dataType))
+    ends = ends.unionByName(parts).groupBy("_part", *key).agg(F.max("_end").alias("_end"))
+    ends = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    inside = Window.partitionBy("_part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    near = F.last("_value", ignorenulls=True).over(inside)
+    return beside(dealt, small(ends), key).withColumn(name, F.coalesce(near, "_carried")).drop("_part", "_carried", "_value")
+
+
 def _byte(value: Column) -> Column:
     return F.lpad(F.hex(value), 2, "0")
 

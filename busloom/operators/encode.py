@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 
 from ..functions.bits import positions
 from ..functions.crc import crc, lookup
-from ..model import small, with_dense_index
+from ..model import same, small, with_dense_index
 from ..plans.catalog import Catalog
 from ..sources.dbc import CounterConfig, CrcConfig, Message, Signal
 from .decode import raw_value
+from .series import numbered
 from .verify import resolve
 
 
@@ -114,15 +115,17 @@ def apply_calc(frames: DataFrame, message: Message, *key: str, counter: CounterC
     """Frames of one message with their counter stepped per key in idx order, then the checksum over the updated bytes.
 
     The counter is the first frame's own value plus the increment times the rank, so it needs no sequential state: a
-    window rank and one first value.
+    rank by ranges and one first value a key.
     """
     counter, checksum = merge_calc(message, counter, checksum)
-    order = Window.partitionBy(*key).orderBy("idx")
     out = frames.withColumn("_count", F.lit(None).cast("long"))
     if counter:
         modulo = (counter.rollover if counter.rollover is not None else (1 << message.signal(counter.signal).size) - 1) + 1
-        seed = F.first(raw_value(message.signal(counter.signal))).over(order)
-        out = out.withColumn("_count", F.pmod(seed + F.row_number().over(order) * counter.increment, F.lit(modulo)))
+        seeds = frames.groupBy(*key).agg(F.min_by(F.struct(raw_value(message.signal(counter.signal)).alias("v")), "idx")["v"].alias("_seed"))
+        ranked = numbered(frames.withColumn("t", F.lit(0)), *key)
+        of, on = same(ranked, small(seeds), key)
+        step = F.pmod(F.col("_seed") + (F.col("rn") + 1) * counter.increment, F.lit(modulo))
+        out = ranked.join(of, on).select(*frames.columns, step.alias("_count"))
     count_at, crc_at = message.signal(counter.signal) if counter else None, message.signal(checksum.signal) if checksum else None
     params = lookup(checksum.algorithm) if checksum else None
 

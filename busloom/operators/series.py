@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import beside, held, ranges, small
+from ..model import beside, held, ranges, running_max, same, small, with_dense_index
 
 BRANCH, GAP_FACTOR = 8, 10.0
 ORDER = ("t", "idx")
@@ -205,28 +205,72 @@ def time_span(series: DataFrame) -> DataFrame:
 def extrapolated_spans(served: DataFrame, raw: DataFrame, start: float, end: float, *key: str) -> DataFrame:
     """(key, from_t, to_t) drawn without data: before the first served point, after the last, and between two where the
     gap is over GAP_FACTOR mean raw intervals and the raw series has at most one point in [a, b)."""
-    w = Window.partitionBy(*key).orderBy(*ORDER)
     # raw points from each served time on: position of the time among raw points
-    position = numbered(raw.select(*key, *ORDER), *key).groupBy(*key, "t").agg(F.min("rn").alias("_pos"))
-    rates = series_rate(raw, *key).select(*key, "rate")
-    rows = served.join(position, [*key, "t"], "left").join(rates, list(key), "left")
-    rows = rows.withColumns({"_b": F.lead("t").over(w), "_bpos": F.lead("_pos").over(w)})
-    gap = (F.col("_b") - F.col("t") > GAP_FACTOR / F.col("rate")) & (F.col("_bpos") - F.col("_pos") <= 1)
-    inner = rows.filter(gap).select(*key, F.col("t").alias("from_t"), F.col("_b").alias("to_t"))
+    position = numbered(raw.select(*key, *ORDER), *key).groupBy(*key, "t").agg(F.min("rn").alias("value"))
+    placed, on = same(served, position, [*key, "t"])
+    rows = served.select(*key, *ORDER).join(placed, on, "left").select(*key, *ORDER, "value")
+    rows = _with_neighbours(rows, *key)
+    rates, on = same(rows, small(series_rate(raw, *key).select(*key, "rate")), key)
+    rows = rows.join(rates, on, "left")
+    gap = (F.col("_after.t") - F.col("t") > GAP_FACTOR / F.col("rate")) & (F.col("_after.value") - F.col("value") <= 1)
+    inner = rows.filter(gap).select(*key, F.col("t").alias("from_t"), F.col("_after.t").alias("to_t"))
     ends = served.groupBy(*key).agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
     head = ends.filter(F.col("_first") > start).select(*key, F.lit(start).alias("from_t"), F.col("_first").alias("to_t"))
     tail = ends.filter(F.col("_last") < end).select(*key, F.col("_last").alias("from_t"), F.lit(end).alias("to_t"))
     return head.unionByName(inner).unionByName(tail)
 
 
-def value_at(series: DataFrame, times: DataFrame, *key: str) -> DataFrame:
-    """Per key and time x of times (x): the last value at or before x, null before the first. One sorted union."""
+#: times that are compared with each sample one by one; more are placed by ranges
+FEW = 64
+#: times, or columns of a merge, that meet a series or a span in one join key
+BLOCK = 4096
+
+
+def _interval(series: DataFrame, times: DataFrame) -> DataFrame:
+    """series with `_i`, how many of the numbered times (x, i) come before each sample: both are dealt together by ranges of
+    time, and earlier ranges pass on one number each."""
+    marks = times.select(F.col("x").alias("t"), F.lit(1).alias("_mark"), (F.col("i") + 1).alias("_count"), F.lit(None).cast(series.schema).alias("_row"))
+    both = series.select("t", F.lit(0).alias("_mark"), F.lit(None).cast("long").alias("_count"), F.struct(*series.columns).alias("_row")).unionByName(marks)
+    placed = running_max(both, F.col("_count"), "_i", (), ("t", "_mark"))
+    return placed.filter("_mark = 0").select("_row.*", F.coalesce("_i", F.lit(0)).alias("_i"))
+
+
+def as_of(series: DataFrame, times: DataFrame, *key: str) -> DataFrame:
+    """Per key and distinct time x of times: (key, i, x, value, genuine), i numbering the times, value the last one at or
+    before x (null before the first), genuine where a sample stands at x itself. Samples without a value don't count.
+
+    A few times are looked up in one partial aggregate. Many are numbered; each sample goes to the first time not before it,
+    the last sample of each (key, time) is kept, and values are carried over the grid of keys and times by ranges.
+    """
+    asked = held(with_dense_index(times.select("x").filter("x is not null").distinct(), "x", name="i"))
+    n = asked.count()
+    some = series.filter("value is not null").select(*key, *ORDER, "value")
     keys = series.select(*key).distinct()
-    asked = keys.crossJoin(F.broadcast(times.select("x"))).select(*key, F.col("x").alias("t"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("_ask"))
-    both = series.select(*key, "t", "idx", "value", F.lit(0).alias("_ask")).unionByName(asked)
-    w = Window.partitionBy(*key).orderBy("t", "_ask", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_ask") == 0, F.struct("value")), ignorenulls=True).over(w)
-    return both.withColumn("_v", last).filter("_ask = 1").select(*key, F.col("t").alias("x"), F.col("_v.value").alias("value"))
+    if n <= FEW:
+        cells = []
+        for r in asked.orderBy("i").collect():
+            due = F.col("t") <= r.x
+            last = F.max_by(F.when(due & F.col("value").isNotNull(), F.struct("t", "value")), F.when(due & F.col("value").isNotNull(), F.struct(*ORDER)))
+            cells.append(F.struct(F.lit(r.i).alias("i"), F.lit(r.x).alias("x"), last.alias("p")))
+        none = F.array().cast("array<struct<i:bigint,x:double,p:struct<t:double,value:double>>>")
+        found = series.groupBy(*key).agg((F.array(*cells) if cells else none).alias("_cells"))
+        out = found.select(*key, F.explode("_cells").alias("_c")).select(*key, "_c.*")
+        return out.select(*key, "i", "x", F.col("p.value").alias("value"), F.coalesce(F.col("p.t") == F.col("x"), F.lit(False)).alias("genuine"))
+    point = F.max_by(F.struct("value", "t"), F.struct(*ORDER)).alias("_point")
+    last = _interval(some, asked).filter(F.col("_i") < n).groupBy(*key, "_i").agg(point)
+    blocks = keys.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // BLOCK).cast("long"))).alias("_block"))
+    grid = blocks.join(asked.withColumn("_block", F.floor(F.col("i") / BLOCK)), "_block")
+    kept = last.select(*key, F.col("_i").alias("t"), F.lit(0).alias("idx"), F.lit(None).cast("double").alias("x"), F.col("_point").alias("_p"))
+    both = kept.unionByName(grid.select(*key, F.col("i").alias("t"), F.lit(1).alias("idx"), F.col("x").cast("double").alias("x"), F.lit(None).cast(kept.schema["_p"].dataType).alias("_p")))
+    newest = lambda c: F.last(c, ignorenulls=True)
+    rows = _running(ranges(both, *key, *ORDER), F.col("_p"), newest, newest, "_now", *key).filter("idx = 1")
+    rows = rows.withColumn("_now", F.coalesce("_now", "_carried"))
+    return rows.select(*key, F.col("t").alias("i"), "x", F.col("_now.value").alias("value"), F.coalesce(F.col("_now.t") == F.col("x"), F.lit(False)).alias("genuine"))
+
+
+def value_at(series: DataFrame, times: DataFrame, *key: str) -> DataFrame:
+    """Per key and distinct time x of times (x): the last value at or before x, null before the first."""
+    return as_of(series, times, *key).select(*key, "x", "value")
 
 
 def cursor_stats(series: DataFrame, a: float, b: float, *key: str) -> DataFrame:
@@ -245,16 +289,64 @@ def measurements(series: DataFrame, a: float, b: float, *key: str) -> DataFrame:
     return out.withColumns({"a": F.lit(float(a)), "b": F.lit(float(b)), "dt": F.lit(dt), "frequency": F.lit(1 / dt if dt else None).cast("double"), "delta": F.col("value_b") - F.col("value_a")})
 
 
-def merge_series(series: DataFrame, key: str) -> DataFrame:
-    """(t, series key, value) over the union of all times, each series held forward from its own points; a series of one
-    point holds everywhere. Long form: pivot only for an explicit list of series."""
-    times = series.select("t").distinct()
-    keys = series.groupBy(key).agg(F.count("*").alias("_n"), F.min_by("value", "t").alias("_only"))
-    grid = times.crossJoin(F.broadcast(keys))
-    own = series.groupBy(key, "t").agg(F.max_by("value", "idx").alias("value"))
-    full = grid.join(own, [key, "t"], "left")
-    held = F.last("value", ignorenulls=True).over(Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    return full.withColumn("_held", held).select("t", key, F.when(F.col("_n") == 1, F.col("_only")).otherwise(F.col("_held")).alias("value"), F.col("value").isNotNull().alias("genuine"))
+def merge_series(series: DataFrame, key: str, spans: DataFrame | None = None, window: tuple[float, float] | None = None) -> DataFrame:
+    """(i, t, series key, value, genuine) over the union of all times, numbered by i, each series held forward from its own
+    points; a series of one point holds everywhere. Long form: pivot only for an explicit list of series.
+
+    Interior extrapolated spans (key, from_t, to_t) add their middle as a time of its own. Where all series together have
+    one time, the ends of `window` are added.
+    """
+    ends = series.groupBy(key).agg(F.count("*").alias("_n"), F.min_by("value", "t").alias("_only"), F.min("t").alias("_first"), F.max("t").alias("_last"))
+    ends = small(ends)
+    times = series.select(F.col("t").alias("x"))
+    if spans is not None:
+        of, on = same(spans, ends, [key])
+        inner = spans.join(of, on).filter((F.col("from_t") >= F.col("_first")) & (F.col("to_t") <= F.col("_last")))
+        times = times.unionByName(inner.select(((F.col("from_t") + F.col("to_t")) / 2).alias("x")))
+    times = times.distinct()
+    if window is not None and window[0] < window[1] and times.limit(2).count() == 1:
+        times = times.unionByName(times.sparkSession.createDataFrame([(float(x),) for x in window], "x double"))
+    rows = as_of(series, times, key)
+    of, on = same(rows, ends, [key])
+    value = F.when(F.col("_n") == 1, F.col("_only")).otherwise(F.col("value"))
+    return rows.join(of, on).select("i", F.col("x").alias("t"), key, value.alias("value"), "genuine")
+
+
+def split_extrapolated(merged: DataFrame, series: DataFrame, spans: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(merged rows, blanked where a stroke would be extrapolation; (key, i0, i1) stretches to draw dashed instead).
+
+    A span (key, from_t, to_t) runs from the last column at or before it (or the first) to the first at or after it (or the
+    last); it counts where both carry a value. It blanks the columns between, and its far column too where the series has
+    no sample that far. Spans of a series must not overlap. Span ends are placed among the columns by ranges of time, and
+    stretches are cut at edges of BLOCK columns, so that rows meet them by equal (key, block).
+    """
+    columns = held(merged.select("i", "t").distinct())
+    n = columns.count()
+    wide = held(spans.select(key, "from_t", "to_t").withColumn("_id", F.monotonically_increasing_id()))
+    mark = lambda c, o: wide.select(F.col(c).alias("t"), F.lit(o).alias("_o"), F.lit(None).cast("long").alias("i"), "_id")
+    # an end stands before the column of its time, a start behind it
+    both = columns.select("t", F.lit(1).alias("_o"), F.col("i").cast("long").alias("i"), F.lit(None).cast("long").alias("_id")).unionByName(mark("to_t", 0)).unionByName(mark("from_t", 2))
+    placed = running_max(both, F.col("i"), "_at", (), ("t", "_o")).filter("_o <> 1")
+    placed = placed.groupBy("_id").agg(F.max(F.when(F.col("_o") == 2, F.col("_at"))).alias("i0"), F.max(F.when(F.col("_o") == 0, F.col("_at"))).alias("i1"))
+    last = small(series.groupBy(key).agg(F.max("t").alias("_last")))
+    of, on = same(wide, last, [key])
+    bounded = F.coalesce(F.col("_last") >= F.col("to_t"), F.lit(False))
+    found = wide.join(of, on, "left").select("_id", key, bounded.alias("_bounded")).join(placed, "_id")
+    found = found.withColumns({"i0": F.coalesce("i0", F.lit(0)), "i1": F.least(F.coalesce(F.col("i1") + 1, F.lit(0)), F.lit(n - 1))}).filter("i1 > i0")
+    valued = merged.filter("value is not null").select(key, F.col("i").cast("long").alias("i"))
+    ends = found.select("_id", key, F.explode(F.array("i0", "i1")).alias("i"))
+    of, on = same(ends, valued, [key, "i"])
+    carried = ends.join(of, on, "left_semi").groupBy("_id").agg(F.count("*").alias("_n")).filter("_n = 2")
+    found = held(found.join(carried, "_id", "left_semi"))
+    to = F.when(F.col("_bounded"), F.col("i1") - 1).otherwise(F.col("i1"))
+    cut = found.select(key, (F.col("i0") + 1).alias("_a"), to.alias("_b")).filter("_a <= _b")
+    cut = cut.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_a") / BLOCK), F.floor(F.col("_b") / BLOCK))))
+    rows = merged.withColumn("_block", F.floor(F.col("i") / BLOCK))
+    of, on = same(rows, cut, [key, "_block"])
+    on.append(F.col("i").between(F.col("_a"), F.col("_b")))
+    blank = rows.join(of, on, "left_semi").withColumn("value", F.lit(None).cast("double"))
+    out = blank.unionByName(rows.join(of, on, "left_anti")).drop("_block")
+    return out, found.select(key, "i0", "i1")
 
 
 def thin_markers(points: DataFrame, start: float, end: float, max_points: int, *key: str) -> DataFrame:
@@ -281,7 +373,20 @@ def unit_ranges(extent: DataFrame) -> DataFrame:
 
 
 def overlaps(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
-    """Intersections of spans (from_t, to_t) of two tables within a key."""
-    x, y = a.alias("x"), b.alias("y")
-    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key] + [F.col("x.from_t") < F.col("y.to_t"), F.col("y.from_t") < F.col("x.to_t")]
-    return x.join(y, on).select(*[F.col(f"x.{k}") for k in key], F.greatest("x.from_t", "y.from_t").alias("from_t"), F.least("x.to_t", "y.to_t").alias("to_t"))
+    """Intersections of spans (from_t, to_t) of two tables within a key.
+
+    Spans are cut at the edges of buckets as wide as their mean length, so they make few cells each, and meet by equal (key,
+    bucket); a pair is told in the bucket where its intersection starts, so once. A long lane is many join keys.
+    """
+    size = a.select("from_t", "to_t").unionByName(b.select("from_t", "to_t")).filter("to_t > from_t").agg(F.avg(F.col("to_t") - F.col("from_t")).alias("mean")).first()
+    width = float(size["mean"] or 0) or 1.0
+    bucket = lambda c: F.floor(F.col(c) / width)
+
+    def cut(spans: DataFrame, name: str) -> DataFrame:
+        cells = spans.filter("to_t >= from_t").select(*key, F.col("from_t").alias(f"_{name}0"), F.col("to_t").alias(f"_{name}1"))
+        return cells.withColumn("_bucket", F.explode(F.sequence(bucket(f"_{name}0"), bucket(f"_{name}1"))))
+
+    x, y = cut(a, "x"), cut(b, "y")
+    start = F.greatest("_x0", "_y0")
+    on = (F.col("_x0") < F.col("_y1")) & (F.col("_y0") < F.col("_x1")) & (F.floor(start / width) == F.col("_bucket"))
+    return x.join(y, [*key, "_bucket"]).filter(on).select(*key, start.alias("from_t"), F.least("_x1", "_y1").alias("to_t"))

@@ -7,11 +7,11 @@ named before the checksum's.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.crc import crc_column, lookup
-from ..model import STREAM_KEY
+from ..model import STREAM_KEY, last_before
 from ..plans.catalog import Catalog
 from ..sources.dbc import CounterConfig, CrcConfig, Message
 from .decode import by_number, keyed, raw_value
@@ -108,9 +108,7 @@ def verify_frames(frames: DataFrame, catalog: Catalog) -> DataFrame:
     wanted = F.col("direction").isin("Rx") & F.col("kind").isin("classic", "fd")
     ids = sorted({m.id for _, m in streams})
     rows = _fields(frames.filter(wanted & F.col("id").isin(ids)), streams)
-    w = Window.partitionBy(*STREAM_KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last("_counter", ignorenulls=True).over(w)
-    rows = rows.withColumn("_before", before)
+    rows = last_before(rows, F.col("_counter"), "_before", STREAM_KEY, ("idx",))
     counter = F.when(
         F.col("_has_counter"),
         F.when(F.col("_counter").isNull(), "truncated").when(F.col("_before").isNotNull() & (F.pmod(F.col("_before") + F.col("_step"), F.col("_modulo")) != F.col("_counter")), "counter_skip"),

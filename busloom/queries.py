@@ -286,6 +286,23 @@ def extrapolated(spark: SparkSession, d: str) -> DataFrame:
     return series.extrapolated_spans(s, s, start - 2000, start + 1e9, "bus_id")
 
 
+@query(""", w AS (SELECT min(t) - 1000 AS a, min(t) + 1000 + 1e9 AS b FROM s), es AS (SELECT bus_id, count(*) AS n, min(t) AS mn, max(t) AS mx FROM s GROUP BY 1),
+x AS (SELECT s.bus_id, t, lead(t) OVER (PARTITION BY bus_id ORDER BY t, idx) AS bt, n, mn, mx FROM s JOIN es USING (bus_id)),
+sp AS (SELECT bus_id, t AS a, bt AS b FROM x WHERE bt - t > 10 / ((n - 1) / (mx - mn)) UNION ALL SELECT bus_id, w.a, mn FROM es, w WHERE mn > w.a UNION ALL SELECT bus_id, mx, w.b FROM es, w WHERE mx < w.b),
+c AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT t FROM s UNION SELECT (a + b) / 2 FROM sp JOIN es USING (bus_id) WHERE a >= mn AND b <= mx)),
+g AS (SELECT c.i, c.t, es.bus_id, s.value FROM c CROSS JOIN es LEFT JOIN s ON s.t = c.t AND s.bus_id = es.bus_id),
+m AS (SELECT i, bus_id, last_value(value IGNORE NULLS) OVER (PARTITION BY bus_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value, value IS NOT NULL AS genuine FROM g),
+p AS (SELECT bus_id, coalesce((SELECT max(i) FROM c WHERE t <= a), 0) AS i0, coalesce((SELECT min(i) FROM c WHERE t >= b), (SELECT max(i) FROM c)) AS i1, mx >= b AS bounded FROM sp JOIN es USING (bus_id)),
+q AS (SELECT p.bus_id, i0 + 1 AS lo, CASE WHEN bounded THEN i1 - 1 ELSE i1 END AS hi FROM p JOIN m y ON y.bus_id = p.bus_id AND y.i = i0 AND y.value IS NOT NULL JOIN m z ON z.bus_id = p.bus_id AND z.i = i1 AND z.value IS NOT NULL WHERE i1 > i0)
+SELECT m.i, m.bus_id, CASE WHEN NOT EXISTS (SELECT 1 FROM q WHERE q.bus_id = m.bus_id AND m.i BETWEEN lo AND hi) THEN value END AS value, genuine FROM m""")
+def split_strokes(spark: SparkSession, d: str) -> DataFrame:
+    """The merged series, blanked where a stroke would be extrapolation."""
+    s = model.held(value_series(spark, d))
+    start = (s.agg(F.min("t")).first()[0] or 0.0) - 1000
+    spans = model.held(series.extrapolated_spans(s, s, start, start + 2000 + 1e9, "bus_id"))
+    return series.split_extrapolated(model.held(series.merge_series(s, "bus_id", spans)), s, spans, "bus_id")[0].select("i", "bus_id", "value", "genuine")
+
+
 @query(""", w AS (SELECT min(t) AS a FROM s), q AS (SELECT a + 86400.0 * i AS x FROM w, (SELECT unnest([0, 1, 2, 5, 9]) AS i))
 SELECT bus_id, x, (SELECT arg_max(value, idx) FROM s WHERE s.bus_id = b.bus_id AND t <= x) AS value FROM (SELECT DISTINCT bus_id FROM s) b, q""")
 def value_at_cursor(spark: SparkSession, d: str) -> DataFrame:
@@ -308,7 +325,7 @@ def cursor_stats(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT u.t, b.bus_id, s.value FROM u CROSS JOIN b LEFT JOIN s ON s.t = u.t AND s.bus_id = b.bus_id)
 SELECT t, bus_id, last_value(value IGNORE NULLS) OVER (PARTITION BY bus_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value, value IS NOT NULL AS genuine FROM g""")
 def merged_series(spark: SparkSession, d: str) -> DataFrame:
-    return series.merge_series(value_series(spark, d), "bus_id")
+    return series.merge_series(value_series(spark, d), "bus_id").drop("i")
 
 
 @query(""", w AS (SELECT min(t) + 100000 AS a, min(t) + 200000 AS b FROM s), r AS (SELECT s.*, row_number() OVER (PARTITION BY bus_id ORDER BY t, idx) AS rn,
@@ -320,9 +337,9 @@ def window_slice(spark: SparkSession, d: str) -> DataFrame:
     return series.window_slice(s, start + 100000, start + 200000, "bus_id").select("bus_id", "idx")
 
 
-@query(""", r AS (SELECT bus_id, id, idx, greatest(timestamp_ns - lag(timestamp_ns) OVER (PARTITION BY bus_id, id ORDER BY idx), 0) AS gap FROM f WHERE direction = 'Rx'),
-g AS (SELECT *, row_number() OVER (PARTITION BY bus_id, id ORDER BY gap, idx) - 1 AS rn, count(*) OVER (PARTITION BY bus_id, id) AS n FROM r WHERE gap IS NOT NULL),
-m AS (SELECT *, max(CASE WHEN rn = n // 2 THEN gap END) OVER (PARTITION BY bus_id, id) AS med, max(CASE WHEN rn = n * 95 // 100 THEN gap END) OVER (PARTITION BY bus_id, id) AS p95 FROM g)
+@query(""", r AS (SELECT bus_id, id, idx, timestamp_ns - lag(timestamp_ns) OVER (PARTITION BY bus_id, id ORDER BY idx) AS step FROM f WHERE direction = 'Rx'),
+g AS (SELECT *, greatest(step, 0) AS gap, row_number() OVER (PARTITION BY bus_id, id ORDER BY greatest(step, 0), idx) - 1 AS rn, count(*) OVER (PARTITION BY bus_id, id) AS n FROM r WHERE step IS NOT NULL),
+m AS (SELECT *, max(CASE WHEN rn = n // 2 THEN gap END) OVER (PARTITION BY bus_id, id) AS med, max(CASE WHEN rn = CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT) THEN gap END) OVER (PARTITION BY bus_id, id) AS p95 FROM g)
 SELECT bus_id, id, count(*) AS gaps, min(med) AS median_ns, min(p95) AS p95_ns, count(*) FILTER (gap < med // 2) AS short FROM m WHERE n >= 10 GROUP BY ALL HAVING min(med) > 0""")
 def rx_gaps(spark: SparkSession, d: str) -> DataFrame:
     return measure.rx_gap_stats(frames(spark, d), 10, (1, 1 << 62)).drop("ratio", "short_share")
@@ -356,29 +373,45 @@ def bus_load(spark: SparkSession, d: str) -> DataFrame:
     return frames(spark, d).groupBy("bus_id").agg(F.sum(measure.frame_duration_ns(500_000, 2_000_000)).alias("busy_ns"))
 
 
-@query("SELECT 'pt' AS bus_id, 256 + i AS id, false AS extended, 'main' AS winner, 'alt' AS loser FROM (SELECT unnest(range(4)) AS i)")
+def _traffic(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of each (bus, id, extended)."""
+    return frames(spark, d).groupBy(*model.STREAM_KEY).agg(F.count("*").alias("frames"))
+
+
+@query(""", n AS (SELECT bus_id, id, extended, count(*) AS frames FROM f GROUP BY ALL)
+SELECT c.*, coalesce(frames, 0) AS frames FROM (SELECT 'pt' AS bus_id, 256 + i AS id, false AS extended, 'main' AS winner, 'alt' AS loser FROM (SELECT unnest(range(4)) AS i)) c LEFT JOIN n USING (bus_id, id, extended)""")
 def schema_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return cat.collision_table(spark, sample_catalog()).drop("winner_message", "loser_message")
+    """Ids that two databases define on one bus, and the frames that are decoded by the first."""
+    clashes = cat.collision_table(spark, sample_catalog()).drop("winner_message", "loser_message")
+    return clashes.join(_traffic(spark, d), list(model.STREAM_KEY), "left").fillna(0, ["frames"])
 
 
-@query("""SELECT b AS bus_id, 256 + i AS id, e AS extended, 'Mode' AS signal, r AS raw, ['idle', 'run', 'hold', 'fault'][r + 1] AS label
+@query(""", v AS (SELECT b AS bus_id, 256 + i AS id, e AS extended, 'Mode' AS signal, r AS raw, ['idle', 'run', 'hold', 'fault'][r + 1] AS label
 FROM (SELECT unnest(['pt', 'batt', 'body']) AS b), (SELECT unnest(range(16)) AS i), (SELECT unnest([true, false]) AS e), (SELECT unnest(range(4)) AS r)
-UNION ALL SELECT 'pt', 256 + i, false, 'Extra', r, ['idle', 'run', 'hold', 'fault'][r + 1] FROM (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS r)""")
+UNION ALL SELECT 'pt', 256 + i, false, 'Extra', r, ['idle', 'run', 'hold', 'fault'][r + 1] FROM (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS r)),
+n AS (SELECT bus_id, id, extended, 'Mode' AS signal, mode AS raw, count(*) AS frames FROM f GROUP BY ALL UNION ALL SELECT bus_id, id, extended, 'Extra', k % 16, count(*) FROM f WHERE bus_id = 'pt' AND id < 260 AND NOT extended GROUP BY ALL)
+SELECT v.*, coalesce(frames, 0) AS frames FROM v LEFT JOIN n USING (bus_id, id, extended, signal, raw)""")
 def value_tables(spark: SparkSession, d: str) -> DataFrame:
-    return cat.value_table(spark, sample_catalog())
-
-
-@query(""", p AS (SELECT bus_id || '/' || ecu || '/' || m || '/' || sig AS path, CASE WHEN bus_id = 'batt' THEN 'Battery' WHEN sig = 'Counter' THEN 'Counters' ELSE '' END AS section FROM (
- SELECT b AS bus_id, 'ECU' || (i % 4) AS ecu, CASE WHEN e THEN 'X' ELSE 'M' END || (256 + i) AS m, sig FROM (SELECT unnest(['pt', 'batt', 'body']) AS b), (SELECT unnest(range(16)) AS i), (SELECT unnest([true, false]) AS e),
- (SELECT unnest(['Value', 'SignedValue', 'K', 'Mode', 'Counter', 'Even', 'Odd', 'BigValue']) AS sig) UNION ALL SELECT 'pt', 'ALT', 'Alt' || i, 'Extra' FROM (SELECT unnest(range(4)) AS i)))
-SELECT section, count(*) AS signals, min(path) AS first_path FROM p GROUP BY ALL""")
+    """Every labelled value of the catalogue, and the frames that carry it."""
+    labels = cat.value_table(spark, sample_catalog())
+    wanted = sorted({(r.bus_id, r.id, r.extended, r.signal) for r in labels.select("bus_id", "id", "extended", "signal").collect()})
+    seen = decode.decode_series(frames(spark, d), sample_catalog(), wanted).groupBy(*model.STREAM_KEY, "signal", F.col("value").cast("long").alias("raw")).agg(F.count("*").alias("frames"))
+    return labels.join(seen, [*model.STREAM_KEY, "signal", "raw"], "left").fillna(0, ["frames"])
+
+
+@query(""", p AS (SELECT bus_id, id, extended, bus_id || '/' || ecu || '/' || m || '/' || sig AS path, CASE WHEN bus_id = 'batt' THEN 'Battery' WHEN sig = 'Counter' THEN 'Counters' ELSE '' END AS section FROM (
+ SELECT b AS bus_id, 256 + i AS id, e AS extended, 'ECU' || (i % 4) AS ecu, CASE WHEN e THEN 'X' ELSE 'M' END || (256 + i) AS m, sig FROM (SELECT unnest(['pt', 'batt', 'body']) AS b), (SELECT unnest(range(16)) AS i), (SELECT unnest([true, false]) AS e),
+ (SELECT unnest(['Value', 'SignedValue', 'K', 'Mode', 'Counter', 'Even', 'Odd', 'BigValue']) AS sig) UNION ALL SELECT 'pt', 256 + i, false, 'ALT', 'Alt' || i, 'Extra' FROM (SELECT unnest(range(4)) AS i))),
+n AS (SELECT bus_id, id, extended, count(*) AS frames FROM f GROUP BY ALL)
+SELECT section, count(*) AS signals, min(path) AS first_path, CAST(coalesce(sum(frames), 0) AS BIGINT) AS frames FROM p LEFT JOIN n USING (bus_id, id, extended) GROUP BY section""")
 def section_arrangement(spark: SparkSession, d: str) -> DataFrame:
-    rows = cat.signal_table(spark, sample_catalog())
+    """Sections of the catalogue's signals, and the frames that carry the signals of each."""
+    rows = cat.signal_table(spark, sample_catalog()).join(_traffic(spark, d), list(model.STREAM_KEY), "left")
     ext = F.when(F.col("extended"), "x").otherwise("s")
-    rows = rows.select(F.concat_ws("|", "bus_id", F.concat_ws(":", ext, F.col("id").cast("string"), "signal")).alias("identity"), "path", F.col("path").alias("ordinal"))
+    rows = rows.select(F.concat_ws("|", "bus_id", F.concat_ws(":", ext, F.col("id").cast("string"), "signal")).alias("identity"), "path", F.col("path").alias("ordinal"), "frames")
     given = trace.Sections(["Battery", "Counters", "Battery"], patterns={"Battery": ["^batt/", "("], "Counters": ["/Counter$"]})
     out = trace.arrange_sections(rows, given)
-    return out.filter("not is_header").groupBy("section").agg(F.count("*").alias("signals"), F.min("path").alias("first_path"))
+    return out.filter("not is_header").groupBy("section").agg(F.count("*").alias("signals"), F.min("path").alias("first_path"), F.coalesce(F.sum("frames"), F.lit(0)).alias("frames"))
 
 
 @query("SELECT idx, CASE channel WHEN 0 THEN 'first' ELSE 'second' END AS bus_id FROM f WHERE channel IN (0, 2)")
