@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import class_lm, decontamination, language_id, licences, media, mixing, near_dedup, private_data, quality, simhash, spelling, token_counts, vector_codes
 from .store import read_table
@@ -16,7 +17,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.drop("n_near", "item_ids", "near_ids", "hit_at")
+    return found.withColumn("near_ids", F.array_join("near_ids", ",")).drop("item_ids", "hit_at")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +119,21 @@ bw AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (
 dw AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
 h AS (SELECT r, i, k, item FROM dw JOIN bw USING (k, g)),
 p AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS q FROM h) GROUP BY 1),
-t AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM h) GROUP BY 1)
+t AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM h) GROUP BY 1),
+tk AS (SELECT r, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
+df AS (SELECT term, count(*) AS n FROM tk GROUP BY 1),
+bp AS (SELECT row_number() OVER () AS pid, w FROM (SELECT DISTINCT w FROM b WHERE len(w) > 0)),
+bc AS (SELECT pid, term, off, n FROM (SELECT pid, unnest(w) AS term, unnest(range(len(w))) AS off FROM bp) JOIN df USING (term)),
+bs AS (SELECT pid, s, least(13, len(w)) AS k FROM (SELECT pid, w, unnest(range(len(w) - least(13, len(w)) + 1)) AS s FROM bp)),
+pk AS (SELECT pid, s, term, off, row_number() OVER (PARTITION BY pid, s ORDER BY n, term, off) AS rank FROM bs JOIN bc USING (pid) WHERE off >= s AND off < s + k QUALIFY rank <= 3),
+pm AS (SELECT DISTINCT pid, s, rank, r, pos - off AS start FROM pk JOIN tk USING (term)),
+ps AS (SELECT pid, s, max(rank) AS size FROM pk GROUP BY ALL),
+pf AS (SELECT x.pid, x.s, x.r, x.start, count(DISTINCT y.rank) AS got FROM pm x JOIN pm y ON x.pid = y.pid AND x.s = y.s AND x.r = y.r AND x.rank = 1 AND (y.rank = 1 AND y.start = x.start OR y.rank > 1 AND abs(y.start - x.start) <= 4) GROUP BY ALL),
+pn AS (SELECT DISTINCT r, b.item FROM pf JOIN ps USING (pid, s) JOIN bp USING (pid) JOIN b ON b.w = bp.w WHERE got = size AND b.item IS NOT NULL),
+nr AS (SELECT r, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_ids FROM (SELECT r, item FROM pn EXCEPT SELECT r, item FROM h) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
- coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)""",
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(near_ids, '') AS near_ids
+FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r) LEFT JOIN nr USING (r)""",
     # crc32 by its table of 256 entries, made by the polynomial's rule
     "op11_spelling_variants": f"""
 WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
