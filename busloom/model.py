@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,10 +77,35 @@ def held(df: DataFrame) -> DataFrame:
     return _held[-1]
 
 
+#: folders of applications that name none, by application id, and the tables written there
+_own: dict[str, str] = {}
+_settled: list[tuple[SparkSession, str]] = []
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written once to the folder that spark.checkpoint.dir names and read back: for what several steps read, and where
+    plans would grow with every step. A local session that names no folder gets one of its own."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own[app] = "file://" + tempfile.mkdtemp(prefix="busloom-")
+    path = f"{folder.rstrip('/')}/busloom-{app}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _settled.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def free() -> None:
-    """Unpersist what held() kept, once the results that read it have been used."""
+    """Let go of what held() and settled() kept, once the results that read it have been used."""
     while _held:
         _held.pop().unpersist()
+    while _settled:
+        spark, path = _settled.pop()
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def same(left: DataFrame, right: DataFrame, key: tuple[str, ...] | list[str], prefix: str = "_of_") -> tuple[DataFrame, list[Column]]:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import beside, held, ranges, running_max, same, small, with_dense_index
+from ..model import beside, held, ranges, running_max, same, settled, small, with_dense_index
 
 BRANCH, GAP_FACTOR = 8, 10.0
 ORDER = ("t", "idx")
@@ -113,13 +113,17 @@ def segments(series: DataFrame, *key: str) -> DataFrame:
     return as_series.filter("value is not null").select(*key, F.col("t").alias("t0"), F.coalesce("_after.t", "_own_end").alias("t_end"), "value")
 
 
+def fold_buckets(full: DataFrame, *key: str) -> DataFrame:
+    """Of rows (rn, bucket, ...) of complete buckets: the least and the greatest point of each (one if they coincide)."""
+    ends = _extremes(full, list(key))
+    return full.join(ends.select(*key, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rn")), [*key, "rn"])
+
+
 def fold(level: DataFrame, *key: str, with_bucket: bool = False) -> DataFrame:
     """The next coarser level: least and greatest point of each complete bucket of BRANCH points (one if they coincide)."""
     rows = numbered(level, *key).withColumn("bucket", F.floor(F.col("rn") / BRANCH))
     full = rows.filter((F.col("bucket") + 1) * BRANCH <= F.col("n"))
-    ends = _extremes(full, list(key))
-    keep = ends.select(*key, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rn"))
-    return full.join(keep, [*key, "rn"]).select(*level.columns, *(["bucket"] if with_bucket else []))
+    return fold_buckets(full, *key).select(*level.columns, *(["bucket"] if with_bucket else []))
 
 
 def pyramid(series: DataFrame, *key: str, depth: int = 12) -> list[DataFrame]:
@@ -320,9 +324,10 @@ def split_extrapolated(merged: DataFrame, series: DataFrame, spans: DataFrame, k
     no sample that far. Spans of a series must not overlap. Span ends are placed among the columns by ranges of time, and
     stretches are cut at edges of BLOCK columns, so that rows meet them by equal (key, block).
     """
-    columns = held(merged.select("i", "t").distinct())
+    merged = settled(merged)
+    columns = settled(merged.select("i", "t").distinct())
     n = columns.count()
-    wide = held(spans.select(key, "from_t", "to_t").withColumn("_id", F.monotonically_increasing_id()))
+    wide = settled(spans.select(key, "from_t", "to_t").withColumn("_id", F.monotonically_increasing_id()))
     mark = lambda c, o: wide.select(F.col(c).alias("t"), F.lit(o).alias("_o"), F.lit(None).cast("long").alias("i"), "_id")
     # an end stands before the column of its time, a start behind it
     both = columns.select("t", F.lit(1).alias("_o"), F.col("i").cast("long").alias("i"), F.lit(None).cast("long").alias("_id")).unionByName(mark("to_t", 0)).unionByName(mark("from_t", 2))
@@ -337,7 +342,7 @@ def split_extrapolated(merged: DataFrame, series: DataFrame, spans: DataFrame, k
     ends = found.select("_id", key, F.explode(F.array("i0", "i1")).alias("i"))
     of, on = same(ends, valued, [key, "i"])
     carried = ends.join(of, on, "left_semi").groupBy("_id").agg(F.count("*").alias("_n")).filter("_n = 2")
-    found = held(found.join(carried, "_id", "left_semi"))
+    found = settled(found.join(carried, "_id", "left_semi"))
     to = F.when(F.col("_bounded"), F.col("i1") - 1).otherwise(F.col("i1"))
     cut = found.select(key, (F.col("i0") + 1).alias("_a"), to.alias("_b")).filter("_a <= _b")
     cut = cut.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_a") / BLOCK), F.floor(F.col("_b") / BLOCK))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import settled, with_dense_index
 from ..operators import series as series_ops
 from ..operators.decode import decode_series
 from .catalog import Catalog
@@ -12,13 +13,18 @@ from .catalog import Catalog
 Wanted = tuple[str, int, bool, str]
 
 
+COLUMNS = ("bus_id", "signal", "idx", "t", "value")
+
+
 class SeriesCache:
     """Series of one capture under root/capture=<name>/fingerprint=<hex>/level=<n>.
 
     A change of databases changes fingerprints and another capture has another name, so stale tables are never read, and
-    returning to an earlier schema finds its tables again. Frames that came after the last call are decoded and appended,
-    and each level is extended by the buckets that they complete; frames that came late in time rebuild the levels. What
-    is stored is read off the tables, so a failed extension is repeated by the next call.
+    returning to an earlier schema finds its tables again. Points are stored with their number in the series (`rn`), so
+    what a level still has to fold are the points from the last complete bucket on: at most BRANCH - 1 stored ones and
+    those that came since. Only these are read, numbered (by ranges, from the stored count on) and appended. Frames that
+    came late in time rebuild the tables. What is stored is read off the tables, so a failed extension is repeated by the
+    next call.
     """
 
     def __init__(self, spark: SparkSession, root: str, catalog: Catalog, capture: str = "0"):
@@ -35,47 +41,71 @@ class SeriesCache:
         fs, p = self._fs(f"{path}/_SUCCESS")
         return fs.exists(p)
 
+    def _append(self, points: DataFrame, stored: int, path: str) -> DataFrame:
+        """points (COLUMNS and more) appended to the table, numbered in order of time from the stored count on."""
+        numbered = with_dense_index(points, "t", "idx", name="rn")
+        numbered.withColumn("rn", (F.col("rn") + stored).cast("long")).write.mode("append").parquet(path)
+        return self.spark.read.parquet(path)
+
     def levels(self, frames: DataFrame, wanted: Wanted) -> list[DataFrame]:
         """The series' pyramid with every frame given, decoded and folded only where it is not stored yet."""
         base = self.path(wanted)
         edge = None
         if self.exists(base):
-            edge = self.spark.read.parquet(base).agg(F.max("idx").alias("idx"), F.max("t").alias("t")).first()
+            edge = self.spark.read.parquet(base).agg(F.max("idx").alias("idx"), F.max("t").alias("t"), F.max("rn").alias("rn")).first()
         new = frames if edge is None or edge["idx"] is None else frames.filter(F.col("idx") > edge["idx"])
-        raw = decode_series(new, self.catalog, [wanted]).select("bus_id", "signal", "idx", "t", "value")
-        late = False
-        if edge is not None and edge["t"] is not None:
-            late = not raw.filter(F.col("t") < edge["t"]).isEmpty()
-        raw.write.mode("append").parquet(base)
-        out = [self.spark.read.parquet(base)]
+        raw = decode_series(new, self.catalog, [wanted]).select(*COLUMNS)
+        stored = 0 if edge is None or edge["rn"] is None else edge["rn"] + 1
+        if stored and not raw.filter(F.col("t") < edge["t"]).isEmpty():
+            raw, stored = settled(self.spark.read.parquet(base).select(*COLUMNS).unionByName(raw)), 0
+            fs, folder = self._fs(base.rpartition("/")[0])
+            fs.delete(folder, True)
+        out = [self._append(raw, stored, base)]
         while True:
-            level = self._extend(out[-1], self.path(wanted, len(out)), late)
+            level = self._extend(out[-1], self.path(wanted, len(out)))
             if level.isEmpty():
                 return out
             out.append(level)
 
-    def _extend(self, below: DataFrame, path: str, rebuild: bool) -> DataFrame:
+    def _extend(self, below: DataFrame, path: str) -> DataFrame:
         """The level at path, from the complete buckets of the level below; `bucket` numbers them."""
-        done = -1
-        if rebuild and self.exists(path):
-            fs, p = self._fs(path)
-            fs.delete(p, True)
-        elif self.exists(path):
-            done = self.spark.read.parquet(path).agg(F.max("bucket")).first()[0]
-            done = -1 if done is None else done
-        total, skip = below.count(), (done + 1) * series_ops.BRANCH
-        columns = ["bus_id", "signal", "idx", "t", "value"]
-        # one series in order: what is folded already are its first points
-        tail = below.select(*columns).orderBy(F.desc("t"), F.desc("idx")).limit(max(0, total - skip))
-        folded = series_ops.fold(tail, "bus_id", "signal", with_bucket=True)
-        folded.select(*columns, (F.col("bucket") + done + 1).cast("long").alias("bucket")).write.mode("append").parquet(path)
-        return self.spark.read.parquet(path)
+        branch = series_ops.BRANCH
+        stored, done = 0, -1
+        if self.exists(path):
+            last = self.spark.read.parquet(path).agg(F.max("rn").alias("rn"), F.max("bucket").alias("bucket")).first()
+            stored, done = (-1 if last["rn"] is None else last["rn"]) + 1, -1 if last["bucket"] is None else last["bucket"]
+        top = below.agg(F.max("rn")).first()[0]
+        full = ((-1 if top is None else top) + 1) // branch  # complete buckets
+        if full <= done + 1 and self.exists(path):
+            return self.spark.read.parquet(path)
+        rows = below.filter((F.col("rn") >= (done + 1) * branch) & (F.col("rn") < full * branch))
+        rows = rows.withColumn("bucket", F.floor(F.col("rn") / branch).cast("long"))
+        return self._append(series_ops.fold_buckets(rows, "bus_id", "signal").select(*COLUMNS, "bucket"), stored, path)
+
+    def evict(self, most_bytes: int, keep: list[Wanted]) -> int:
+        """Bytes freed: parked series (of other schemas than the catalogue's `keep`) go, those untouched longest first, until
+        all tables of the capture take at most `most_bytes`."""
+        fs, root = self._fs(self.root)
+        if not fs.exists(root):
+            return 0
+        used = {self.path(w).split("/")[-2] for w in keep}
+        folders = [s.getPath() for s in fs.listStatus(root)]
+        size = {f.getName(): fs.getContentSummary(f).getLength() for f in folders}
+        touched = {f.getName(): max([s.getModificationTime() for s in fs.listStatus(f)] or [0]) for f in folders}
+        total, freed = sum(size.values()), 0
+        for folder in sorted(folders, key=lambda f: (touched[f.getName()], f.getName())):
+            if total - freed <= most_bytes:
+                break
+            if folder.getName() not in used:
+                fs.delete(folder, True)
+                freed += size[folder.getName()]
+        return freed
 
 
 def import_capture(frames: DataFrame, mapping: DataFrame, path: str, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
     """Window, route, guard and number frames of a reader (file, object_no order), write them partitioned by coarse row
     number, and read them back: row-number statistics and partitions prune pages."""
-    from ..model import guard, route, with_dense_index
+    from ..model import guard, route
     from ..operators.trace import time_window
     from ..sources.mdf4 import with_emission_key
 

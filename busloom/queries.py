@@ -297,10 +297,10 @@ q AS (SELECT p.bus_id, i0 + 1 AS lo, CASE WHEN bounded THEN i1 - 1 ELSE i1 END A
 SELECT m.i, m.bus_id, CASE WHEN NOT EXISTS (SELECT 1 FROM q WHERE q.bus_id = m.bus_id AND m.i BETWEEN lo AND hi) THEN value END AS value, genuine FROM m""")
 def split_strokes(spark: SparkSession, d: str) -> DataFrame:
     """The merged series, blanked where a stroke would be extrapolation."""
-    s = model.held(value_series(spark, d))
+    s = model.settled(value_series(spark, d))
     start = (s.agg(F.min("t")).first()[0] or 0.0) - 1000
-    spans = model.held(series.extrapolated_spans(s, s, start, start + 2000 + 1e9, "bus_id"))
-    return series.split_extrapolated(model.held(series.merge_series(s, "bus_id", spans)), s, spans, "bus_id")[0].select("i", "bus_id", "value", "genuine")
+    spans = model.settled(series.extrapolated_spans(s, s, start, start + 2000 + 1e9, "bus_id"))
+    return series.split_extrapolated(series.merge_series(s, "bus_id", spans), s, spans, "bus_id")[0].select("i", "bus_id", "value", "genuine")
 
 
 @query(""", w AS (SELECT min(t) AS a FROM s), q AS (SELECT a + 86400.0 * i AS x FROM w, (SELECT unnest([0, 1, 2, 5, 9]) AS i))

@@ -58,6 +58,13 @@ def test_cache_grows(spark, tmp_path):
     for share in (0.2, 0.5, 1.0):
         got = points(cache.levels(frames.filter(frames.idx <= int(top * share)), key))
     assert len(whole) > 2 and got == whole
+    parts = spark.read.parquet(cache.path(key))
+    assert sorted(r.rn for r in parts.select("rn").collect()) == list(range(len(whole[0])))
+    assert cache.evict(0, [key]) == 0 and cache.exists(cache.path(key)), "what is in use stays"
+    other = ("pt", 257, False, "K")
+    cache.levels(frames, other)
+    assert cache.evict(1 << 40, [key]) == 0 and cache.evict(0, [key]) > 0
+    assert not cache.exists(cache.path(other)) and points(cache.levels(frames, key)) == whole
     late = SeriesCache(spark, str(tmp_path), sample_catalog(), "late")
     moved = frames.withColumn("timestamp_ns", (F.lit(2 * 10**18) - frames.timestamp_ns))
     late.levels(moved.filter(frames.idx <= top // 2), key)
