@@ -8,11 +8,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .payloads import matrix
+
 
 @dataclass(frozen=True)
 class CrcParams:
@@ -185,6 +188,23 @@ def crc(data: bytes, p: CrcParams) -> int:
     return (_reflect(r, p.width) if p.refout else r) ^ p.xorout
 
 
+def crc_rows(rows: np.ndarray, p: CrcParams, prefix: bytes = b"") -> np.ndarray:
+    """Checksums (unsigned 64-bit) of prefix and each row of a byte matrix: one step a byte, all rows at once."""
+    w = max(p.width, 8)
+    mask, table = np.uint64((1 << w) - 1), np.array(_table(p.width, p.poly), np.uint64)
+    turned = np.array([_reflect(b, 8) if p.refin else b for b in range(256)], np.uint64)
+    r = np.full(len(rows), p.init << (w - p.width), np.uint64)
+    for column in [*(np.full(len(rows), b, np.uint8) for b in prefix), *rows.T]:
+        r = ((r << np.uint64(8)) ^ table[((r >> np.uint64(w - 8)) ^ turned[column]) & np.uint64(0xFF)]) & mask
+    r >>= np.uint64(w - p.width)
+    if p.refout:
+        back = np.zeros_like(r)
+        for k in range(p.width):
+            back |= (r >> np.uint64(k) & np.uint64(1)) << np.uint64(p.width - 1 - k)
+        r = back
+    return r ^ np.uint64(p.xorout)
+
+
 def lookup(algorithm: str | CrcParams) -> CrcParams:
     if isinstance(algorithm, CrcParams):
         return algorithm
@@ -196,7 +216,7 @@ def lookup(algorithm: str | CrcParams) -> CrcParams:
 def crc_column(data: Column, algorithm: str | CrcParams, first: int, last: int, prefix: bytes = b"") -> Column:
     """Checksum of prefix and bytes [first, last) as a LONG bit pattern; null if the payload is shorter.
 
-    CRC-32/ISO-HDLC without a prefix stays in the JVM; others run Arrow-batched.
+    CRC-32/ISO-HDLC stays in the JVM; others are computed for a batch of payloads at once.
     """
     p = lookup(algorithm)
     enough = F.length(data) >= last
@@ -204,11 +224,8 @@ def crc_column(data: Column, algorithm: str | CrcParams, first: int, last: int,
     if p == named()["CRC-32/ISO-HDLC"][0]:
         return F.when(enough, F.crc32(F.concat(F.lit(prefix), part)))
 
-    def run(payloads: pd.Series) -> pd.Series:
-        return payloads.map(lambda b: None if b is None else _signed(crc(prefix + bytes(b), p))).astype("Int64")
-
-    return F.when(enough, F.pandas_udf(run, T.LongType())(F.when(enough, part)))
-
+    def run(payloads: pa.Array) -> pa.Array:
+        rows, _ = matrix(payloads, last - first)
+        return pa.array(crc_rows(rows[:, : last - first], p, prefix).view(np.int64), mask=np.asarray(payloads.is_null()))
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+    return F.when(enough, F.arrow_udf(run, T.LongType())(F.when(enough, part)))

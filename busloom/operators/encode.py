@@ -8,13 +8,16 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.bits import positions
-from ..functions.crc import crc, lookup
+from ..functions.bits import positions, runs
+from ..functions.crc import crc_rows, lookup
+from ..functions.payloads import binary, matrix, names_where, put
 from ..model import same, small, with_dense_index
 from ..plans.catalog import Catalog
 from ..sources.dbc import CounterConfig, CrcConfig, Message, Signal
@@ -67,6 +70,21 @@ def physical_to_raw(signal: Signal, value: float) -> tuple[int, bool]:
     return kept & (1 << signal.size) - 1, kept != whole
 
 
+def raw_rows(signal: Signal, value: np.ndarray) -> np.ndarray:
+    """physical_to_raw of many values, as unsigned 64-bit patterns."""
+    with np.errstate(all="ignore"):
+        x = (value - signal.offset) / signal.factor if signal.factor else np.full(len(value), np.nan)
+        if signal.is_float:
+            return x.astype(np.float32).view(np.uint32).astype(np.uint64) if signal.size == 32 else x.view(np.uint64)
+        whole = np.where(x >= 0, 1.0, -1.0) * np.floor(np.abs(x) + 0.5)
+        low, high = limits(signal)
+        over, under = ~np.isfinite(x) | (whole >= float(high)), whole <= float(low)
+        inside = np.where(over | under, 0.0, whole)
+        kept = inside.astype(np.int64).view(np.uint64) if signal.signed else inside.astype(np.uint64)
+    mask = (1 << signal.size) - 1
+    return np.where(over, np.uint64(high & mask), np.where(under, np.uint64(low & mask), kept & np.uint64(mask)))
+
+
 def raw_column(signal: Signal, value: Column) -> Column:
     """physical_to_raw for integer signals of up to 53 bits, as a Column."""
     low, high = limits(signal)
@@ -86,21 +104,22 @@ def encode_frames(frames: DataFrame, message: Message, values: dict[str, Column]
     skipped = sorted(set(values) - set(names))
     specs = [message.signal(n) for n in names]
 
-    def run(data: pd.Series, *columns: pd.Series) -> pd.DataFrame:
-        out, written, left = [], [], []
-        for row in zip(data, *columns, strict=True):
-            payload = bytearray(row[0]) if row[0] is not None else bytearray(message.length)
-            done, not_done = [], list(skipped)
-            for s, v in zip(specs, row[1:], strict=True):
-                ok = v is not None and not pd.isna(v) and put_bits(payload, s, physical_to_raw(s, float(v))[0])
-                (done if ok else not_done).append(s.name)
-            out.append(bytes(payload))
-            written.append(done)
-            left.append(not_done)
-        return pd.DataFrame({"data": out, "written": written, "skipped": left})
+    places = [runs(x.start, x.size, x.little) for x in specs]
+
+    def run(data: pa.Array, *columns: pa.Array) -> pa.Array:
+        rows, length = matrix(data, message.length)
+        length = np.where(np.asarray(data.is_null()), message.length, length)
+        done = np.zeros((len(rows), len(specs)), bool)
+        for k, (signal, place, column) in enumerate(zip(specs, places, columns, strict=True)):
+            value = column.to_numpy(zero_copy_only=False).astype(np.float64)
+            given = ~np.asarray(column.is_null()) & ~np.isnan(value)
+            done[:, k] = put(rows, length, place, raw_rows(signal, value), given)
+        left = np.concatenate([np.ones((len(rows), len(skipped)), bool), ~done], axis=1)
+        parts = [binary(rows, length), names_where(names, done), names_where([*skipped, *names], left)]
+        return pa.StructArray.from_arrays(parts, ["data", "written", "skipped"])
 
     schema = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("written", T.ArrayType(T.StringType())), T.StructField("skipped", T.ArrayType(T.StringType()))])
-    packed = F.pandas_udf(run, schema)(F.col("data"), *[values[n].cast("double") for n in names])
+    packed = F.arrow_udf(run, schema)(F.col("data"), *[values[n].cast("double") for n in names])
     return frames.withColumn("_e", packed).withColumns({"data": F.col("_e.data"), "written": F.col("_e.written"), "skipped": F.col("_e.skipped")}).drop("_e")
 
 
@@ -129,20 +148,20 @@ def apply_calc(frames: DataFrame, message: Message, *key: str, counter: CounterC
     count_at, crc_at = message.signal(counter.signal) if counter else None, message.signal(checksum.signal) if checksum else None
     params = lookup(checksum.algorithm) if checksum else None
 
-    def run(data: pd.Series, count: pd.Series) -> pd.Series:
-        done = []
-        for payload, n in zip(data, count, strict=True):
-            buffer = bytearray(payload or b"")
-            if count_at is not None and not pd.isna(n):
-                put_bits(buffer, count_at, int(n))
-            if crc_at is not None:
-                first, last = checksum.first_bit // 8, (checksum.first_bit + checksum.bits) // 8
-                if len(buffer) >= last:
-                    put_bits(buffer, crc_at, crc(checksum.prefix + bytes(buffer[first:last]), params))
-            done.append(bytes(buffer))
-        return pd.Series(done)
-
-    return out.withColumn("data", F.pandas_udf(run, T.BinaryType())("data", "_count")).drop("_count")
+    place = lambda x: None if x is None else runs(x.start, x.size, x.little)
+    count_runs, crc_runs = place(count_at), place(crc_at)
+
+    def run(data: pa.Array, count: pa.Array) -> pa.Array:
+        rows, length = matrix(data, 1)
+        if count_runs is not None:
+            put(rows, length, count_runs, count.fill_null(0).to_numpy().astype(np.uint64), ~np.asarray(count.is_null()))
+        if crc_runs is not None:
+            first, last = checksum.first_bit // 8, (checksum.first_bit + checksum.bits) // 8
+            if rows.shape[1] >= last:
+                put(rows, length, crc_runs, crc_rows(rows[:, first:last], params, checksum.prefix), length >= last)
+        return binary(rows, length)
+
+    return out.withColumn("data", F.arrow_udf(run, T.BinaryType())("data", "_count")).drop("_count")
 
 
 def stagger_ns(identity: Column, period_ms: Column) -> Column:

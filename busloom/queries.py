@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import model
+from .functions.bits import raw_bits
+from .functions.crc import crc_column
 from .operators import decode, measure, series, trace, verify
 from .plans import catalog as cat
 from .plans import predicate
-from .sources.dbc import CounterConfig, Database, Message, Signal
+from .sources.dbc import CounterConfig, CrcConfig, Database, Message, Signal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -513,6 +515,31 @@ def encoded_signal(spark: SparkSession, d: str) -> DataFrame:
     return out.select("idx", decode.raw_value(message.signal("K")).alias("k"))
 
 
+_TABLES = """, t8 AS (SELECT list(v ORDER BY i) AS v8 FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c >= 128 THEN xor((c * 2) & 255, 29) ELSE c * 2 END) AS v FROM range(256) AS r(i))),
+t16 AS (SELECT list(v ORDER BY i) AS u FROM (SELECT i, list_reduce([i * 256] || range(8), lambda c, k: CASE WHEN c >= 32768 THEN xor((c * 2) & 65535, 4129) ELSE c * 2 END) AS v FROM range(256) AS r(i))),
+y AS (SELECT *, [raw % 256, raw // 256, k % 256, mode, counter, k % 256, raw // 256, raw % 256] AS b FROM f)"""
+
+
+@query(_TABLES + """ SELECT idx, xor(list_reduce([255::BIGINT] || b, lambda c, x: v8[xor(c, x) + 1]), 255) AS crc8,
+ list_reduce([65535::BIGINT, 90, 1] || b[2:7], lambda c, x: xor((c * 256) & 65535, u[xor(c >> 8, x) + 1])) AS crc16 FROM y, t8, t16""")
+def payload_checksums(spark: SparkSession, d: str) -> DataFrame:
+    """CRC-8/SAE-J1850 of whole payloads; CRC-16/IBM-3740 of bytes 1 to 6 behind two bytes of their own."""
+    data = F.col("data")
+    return frames(spark, d).select("idx", crc_column(data, "CRC-8/SAE-J1850", 0, 8).alias("crc8"), crc_column(data, "CRC-16/IBM-3740", 1, 7, b"\x5a\x01").alias("crc16"))
+
+
+@query(_TABLES + """, z AS (SELECT idx, b, (first_value(counter) OVER w + row_number() OVER w) % 16 AS n FROM y WINDOW w AS (PARTITION BY bus_id, id, extended ORDER BY idx))
+SELECT idx, n, xor(list_reduce([255::BIGINT, 90] || b[1:4] || [n], lambda c, x: v8[xor(c, x) + 1]), 255) AS crc FROM z, t8""")
+def calculated_checksum(spark: SparkSession, d: str) -> DataFrame:
+    """Counters stepped per stream, then a checksum over the stepped bytes."""
+    from .operators import encode
+
+    message = sample_catalog().find("pt", 257, False)
+    rule = CrcConfig("Odd", "CRC-8/SAE-J1850", 0, 40, b"\x5a")
+    out = encode.apply_calc(frames(spark, d), message, "bus_id", "id", "extended", checksum=rule)
+    return out.select("idx", decode.raw_value(message.signal("Counter")).alias("n"), raw_bits(F.col("data"), 40, 8, True).alias("crc"))
+
+
 @query("SELECT idx FROM f WHERE idx > (SELECT max(idx) FROM f) - 300")
 def drop_oldest(spark: SparkSession, d: str) -> DataFrame:
     from .streaming import live
