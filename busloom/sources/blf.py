@@ -10,7 +10,6 @@ counts number the objects. So ranges give the rows that one walk of the file giv
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -20,13 +19,14 @@ from datetime import UTC, datetime, timedelta
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .ranges import FETCH_BYTES, MOST_TASKS, RANGE_BYTES, Source, file_ranges
+from .ranges import FETCH_BYTES, MOST_TASKS, RANGE_BYTES, Source, file_ranges, join_pieces, store_of, write_piece
 
 # Fixed values of the format: struct layouts, object types and flags
 FILE_HEADER = struct.Struct("<4sLBBBBBBBBQQLL8H8H")
@@ -505,11 +505,15 @@ class _Reader(DataSourceReader):
         self.path, self.markers, self.size = options["path"], markers, int(options.get("range_bytes", RANGE_BYTES))
 
     def partitions(self):
-        path = self.path.removeprefix("file:")
-        files = [os.path.join(path, f) for f in sorted(os.listdir(path)) if f.endswith(".blf")] if os.path.isdir(path) else [path]
+        store, inner = store_of(self.path)
+        found = store.get_file_info(inner)
+        files = sorted(store.get_file_info(fs.FileSelector(inner)), key=lambda f: f.path) if found.type == fs.FileType.Directory else [found]
         out = []
-        for file in files:
-            whole = os.path.getsize(file)
+        for info in files:
+            if found.type == fs.FileType.Directory and not info.path.endswith(".blf"):
+                continue
+            file = self.path + info.path.removeprefix(inner)
+            whole = info.size
             starts = range(0, max(1, whole), self.size)
             reports = pd.DataFrame([(file, k, a, min(whole, a + self.size), -1, -1, 0, 0, 0) for k, a in enumerate(starts)], columns=[x.split()[0] for x in _REPORTS.split(", ")])
             out += [_Range(r) for r in _stitched(reports).to_dict("records")]
@@ -534,24 +538,26 @@ class _Writer(DataSourceWriter):
     def write(self, rows):
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
         content, _, _ = build(r.asDict() for r in rows)
-        temporary = os.path.join(self.path, f".{uuid.uuid4().hex}.tmp")
-        with open(temporary, "wb") as f:
-            f.write(content)
-        return _Written(temporary, os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.blf"))
+        store, folder = store_of(self.path)
+        store.create_dir(folder, recursive=True)
+        temporary = f"{folder}/.{uuid.uuid4().hex}.tmp"
+        write_piece(self.path.rstrip("/") + temporary.removeprefix(folder), iter([content]))
+        return _Written(temporary, f"{folder}/part-{TaskContext.get().partitionId():05d}.blf")
 
     def commit(self, messages):
+        store, folder = store_of(self.path)
         if self.overwrite:
-            for f in os.listdir(self.path):
-                if f.endswith(".blf"):
-                    os.remove(os.path.join(self.path, f))
+            for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                if f.path.endswith(".blf"):
+                    store.delete_file(f.path)
         for m in filter(None, messages):
-            os.replace(m.temporary, m.final)
+            store.move(m.temporary, m.final)
 
     def abort(self, messages):
+        store, _ = store_of(self.path)
         for m in filter(None, messages):
-            os.remove(m.temporary)
+            store.delete_file(m.temporary)
 
 
 class BlfDataSource(DataSource):
@@ -578,61 +584,47 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BlfDataSource)
 
 
-_CONTAINERS = "part int, seq long, data binary, whole long, objects long"
-
-
-def _packed(frames: DataFrame, start_ns: int) -> DataFrame:
-    """The containers of each partition's frames, in order; a task holds one container at a time."""
+def _packed(frames: DataFrame, start_ns: int, folder: str) -> DataFrame:
+    """Each partition's frames as containers in a piece of its own under folder: (part, path, size, whole, objects)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
         out = _Out(start_ns, [], bytearray(), whole=0)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                for r in batch.slice(i, 4096).to_pylist():
-                    kind, body = object_of(r)
-                    out.add(kind, r["timestamp_ns"], body)
-                if out.parts:
-                    yield rows(part, seq, out)
-                    seq += 1
-        out.flush()
-        if out.parts:
-            yield rows(part, seq, out)
-
-    def rows(part: int, seq: int, out: _Out) -> pa.RecordBatch:
-        data = b"".join(out.parts)
-        batch = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([data], pa.binary()), pa.array([out.whole], pa.int64()), pa.array([out.count], pa.int64())], ["part", "seq", "data", "whole", "objects"])
-        out.parts, out.whole, out.count = [], 0, 0
-        return batch
-
-    return frames.mapInArrow(run, _CONTAINERS)
+
+        def containers() -> Iterator[bytes]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 4096):
+                    for r in batch.slice(i, 4096).to_pylist():
+                        kind, body = object_of(r)
+                        out.add(kind, r["timestamp_ns"], body)
+                    yield b"".join(out.parts)
+                    out.parts = []
+            out.flush()
+            yield b"".join(out.parts)
+
+        path = f"{folder}/{uuid.uuid4().hex}"
+        size = write_piece(path, containers())
+        row = (TaskContext.get().partitionId(), path, size, out.whole, out.count)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "path", "size", "whole", "objects"])
+
+    return frames.mapInArrow(run, "part long, path string, size long, whole long, objects long")
 
 
 def save_blf(frames: DataFrame, path: str) -> None:
-    """One file of the whole capture in row order under path, in any store that Spark writes.
+    """One file of the whole capture in row order under path, in any store that pyarrow writes.
 
-    Frames are packed into containers by range partitions in parallel and written aside; then the head and the containers
-    are streamed into the file one after the other, as a log file is one stream by format, and the file is moved in place.
+    Range partitions pack their frames into containers and write them aside as pieces, in parallel; then one task streams
+    the head and the pieces into the file, which is moved in place. The driver sees a row a piece.
     """
     spark = frames.sparkSession
     first, last = frames.agg(F.min("timestamp_ns"), F.max("timestamp_ns")).first()
     start_ns = (first or 0) // 1_000_000 * 1_000_000
     aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    _packed(frames.orderBy("idx"), start_ns).write.parquet(aside)
-    packed = spark.read.parquet(aside)
-    size, whole, objects = (x or 0 for x in packed.agg(F.sum(F.length("data")), F.sum("whole"), F.sum("objects")).first())
-    jvm = spark.sparkContext._jvm
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    unfinished = jvm.org.apache.hadoop.fs.Path(source, "capture.tmp")
-    stream = fs.create(unfinished)
-    stream.write(bytearray(header(start_ns, last or 0, size, FILE_HEADER_SIZE + whole, objects)))
-    for row in packed.orderBy("part", "seq").select("data").toLocalIterator():
-        stream.write(row["data"])
-    stream.close()
-    fs.delete(target, True)
-    fs.mkdirs(target)
-    fs.rename(unfinished, jvm.org.apache.hadoop.fs.Path(target, "part-00000.blf"))
-    fs.delete(source, True)
+    store, inner = store_of(aside)
+    store.create_dir(inner, recursive=True)
+    pieces = sorted(_packed(frames.orderBy("idx"), start_ns, aside).collect())
+    size, whole, objects = (sum(p[c] for p in pieces) for c in ("size", "whole", "objects"))
+    head = header(start_ns, last or 0, size, FILE_HEADER_SIZE + whole, objects)
+    join_pieces(spark, head, [p["path"] for p in pieces], path, "part-00000.blf")
+    store.delete_dir(inner)

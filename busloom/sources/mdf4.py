@@ -12,6 +12,7 @@ Rows carry (group, record_no); emission_order() gives the order in which a merge
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.payloads import matrix
 from ..model import running_max
-from .ranges import FETCH_BYTES, MOST_TASKS, RANGE_BYTES, Source, file_ranges
+from .ranges import FETCH_BYTES, MOST_TASKS, RANGE_BYTES, Source, file_ranges, join_pieces, store_of, write_piece
 
 # Fixed values of the format: block layouts, channel and data types
 HEAD = struct.Struct("<4s4xQQ")
@@ -617,9 +619,21 @@ class _Blocks:
 _MEMBERS = (("BusChannel", 8, 0, 8), ("ID", 9, 0, 29), ("IDE", 12, 5, 1), ("Dir", 12, 6, 1), ("DLC", 13, 0, 4), ("EDL", 13, 4, 1), ("BRS", 13, 5, 1), ("ESI", 13, 6, 1), ("DataLength", 14, 0, 8))
 
 
-def build(frames: list[dict], signals: list[dict] = (), events: list[dict] = (), attachments: list[tuple[str, bytes]] = (), start_ns: int | None = None) -> bytes:
+@dataclass
+class Written:
+    """Frames of a kind that stand in data blocks behind the head: their number, most payload bytes, and the block sizes."""
+
+    count: int = 0
+    most: int = 0
+    sizes: list[int] = field(default_factory=list)
+
+
+def build(frames: list[dict], signals: list[dict] = (), events: list[dict] = (), attachments: list[tuple[str, bytes]] = (), start_ns: int | None = None, written: dict[str, Written] | None = None) -> bytes:
     """A sorted, finalized 4.10 file: data, error and remote frames in groups of their own, one group per signal
-    {name, unit, points: [(ns, value)]}, events {timestamp_ns, label, comment}, embedded attachments."""
+    {name, unit, points: [(ns, value)]}, events {timestamp_ns, label, comment}, embedded attachments.
+
+    With `written` (by kind) it is the head of a file whose frames follow in data blocks, listed by where they will stand.
+    """
     times = [f["timestamp_ns"] for f in frames] + [e["timestamp_ns"] for e in events] + [t for s in signals for t, _ in s["points"]]
     start = min(times, default=0) if start_ns is None else start_ns
     b = _Blocks()
@@ -631,18 +645,26 @@ def build(frames: list[dict], signals: list[dict] = (), events: list[dict] = (),
     def channel(name: str, kind: int, data_type: int, byte: int, bit: int, bits: int, unit: str = "", sync: int = 0) -> int:
         return b.add(b"##CN", [0, 0, b.text(name), 0, 0, 0, b.text(unit), 0], CN.pack(kind, sync, data_type, bit, byte, bits, 0, 0, 0, 0, *[0.0] * 6))
 
-    def group(name: str, first: int, size: int, records: list[bytes], bus: int) -> None:
+    lists: list[tuple[int, list[int]]] = []
+
+    def group(name: str, first: int, size: int, records: list[bytes], bus: int, given: Written | None = None) -> None:
         nonlocal last
         source = b.add(b"##SI", [b.text(name), 0, 0], struct.pack("<BBB5x", 2 if bus else 0, bus, 0)) if bus else 0
-        cg = b.add(b"##CG", [0, first, b.text(name), source, 0, 0], CG.pack(0, len(records), 6 if bus else 0, ord(".") if bus else 0, size, 0))
-        data = b.add(b"##DT", [], b"".join(records))
+        cg = b.add(b"##CG", [0, first, b.text(name), source, 0, 0], CG.pack(0, given.count if given else len(records), 6 if bus else 0, ord(".") if bus else 0, size, 0))
+        if given:
+            starts = np.concatenate([[0], np.cumsum([n - HEAD.size for n in given.sizes])]).astype(int)[:-1]
+            data = b.add(b"##DL", [0] * (len(given.sizes) + 1), struct.pack("<B3xI", 0, len(given.sizes)) + struct.pack(f"<{len(starts)}Q", *starts))
+            lists.append((data, given.sizes))
+        else:
+            data = b.add(b"##DT", [], b"".join(records))
         dg = b.add(b"##DG", [0, cg, data, 0], struct.pack("<B7x", 0))
         b.link(*last, dg)
         last = (dg, 0)
 
     for name, kind in FRAME_GROUPS.items():
         own = [f for f in frames if (f["kind"] if f["kind"] in ("error", "remote") else "data") == kind]
-        most = max([len(f["data"] or b"") for f in own], default=0)
+        given = written.get(kind, Written()) if written is not None else None
+        most = given.most if given else max([len(f["data"] or b"") for f in own], default=0)
         first = channel("time", MASTER, FLOAT_LE, 0, 0, 64, "s", 1)
         parent = channel(name, FIXED, BYTES, 8, 0, (7 + most) * 8)
         b.link(first, 0, parent)
@@ -661,7 +683,7 @@ def build(frames: list[dict], signals: list[dict] = (), events: list[dict] = (),
             dlc = len(data) if dlc is None else dlc
             flags = dlc & 15 | (1 << 4 if f["kind"] == "fd" else 0) | (1 << 5 if f.get("brs") else 0) | (1 << 6 if f.get("esi") else 0)
             records.append(struct.pack("<dBIBB", (f["timestamp_ns"] - start) / 1e9, (f["channel"] or 0) + 1, word, flags, len(data)) + data.ljust(most, b"\0"))
-        group(name, first, 15 + most, records, 2)
+        group(name, first, 15 + most, records, 2, given)
     for s in signals:
         first = channel("time", MASTER, FLOAT_LE, 0, 0, 64, "s", 1)
         b.link(first, 0, channel(s["name"], FIXED, FLOAT_LE, 8, 0, 64, s.get("unit", "")))
@@ -676,15 +698,79 @@ def build(frames: list[dict], signals: list[dict] = (), events: list[dict] = (),
         at = b.add(b"##AT", [0, b.text(name), b.text("application/octet-stream"), 0], AT.pack(1, 0, bytes(16), len(content), len(content)) + content)
         b.link(*before, at)
         before = (at, 0)
+    if lists:
+        b.out += bytes(-len(b.out) % 8)
+        at = len(b.out)
+        for block, sizes in lists:
+            for k, size in enumerate(sizes):
+                b.link(block, k + 1, at)
+                at += size + -size % 8
     return bytes(b.out)
 
 
-def save_mdf(frames: DataFrame, path: str, **parts) -> DataFrame:
-    """(path, content) of one file of the whole capture in row order; a file is one stream by format, so one task builds it."""
+def _records(batch: pa.RecordBatch, start_ns: int, most: int) -> bytes:
+    """Frames of one kind as records of 15 + most bytes."""
+    n = batch.num_rows
+    column = lambda name, default=0: batch.column(name).fill_null(default).to_numpy(zero_copy_only=False)
+    data, length = matrix(batch.column("data"), most)
+    is_ = lambda name, value: np.asarray(batch.column(name).fill_null("")) == value
+    word = column("id").astype(np.uint32) | column("extended", False).astype(np.uint32) << 29 | is_("direction", "Tx").astype(np.uint32) << 30
+    dlc = np.where(np.asarray(batch.column("dlc").is_null()), length, column("dlc"))
+    flags = dlc.astype(np.uint8) & 15 | is_("kind", "fd").astype(np.uint8) << 4 | column("brs", False).astype(np.uint8) << 5 | column("esi", False).astype(np.uint8) << 6
+    seconds = (column("timestamp_ns") - start_ns) / 1e9
+    parts = [seconds.astype("<f8").view(np.uint8).reshape(n, 8), (column("channel") + 1).astype(np.uint8)[:, None], word.astype("<u4").view(np.uint8).reshape(n, 4), flags[:, None], length.astype(np.uint8)[:, None], data[:, :most]]
+    return np.concatenate(parts, axis=1).tobytes()
+
+
+def save_mdf(frames: DataFrame, path: str, **parts) -> None:
+    """One file of the whole capture in row order under path, in any store that pyarrow writes.
+
+    Range partitions write the records of each kind of frame aside as a data block of their own, in parallel; the head
+    lists the blocks at the places that their sizes give, and one task streams head and blocks into the file. `parts` are
+    build()'s signals, events and attachments, given by the caller. The driver sees a row a block.
+    """
+    spark = frames.sparkSession
     columns = ("idx", "timestamp_ns", "channel", "id", "extended", "direction", "kind", "data", "brs", "esi", "dlc")
+    of = F.when(F.col("kind").isin("error", "remote"), F.col("kind")).otherwise("data")
+    size = F.coalesce(F.max(F.length("data")), F.lit(0))
+    found = {r["of"]: r for r in frames.groupBy(of.alias("of")).agg(F.count("*").alias("n"), F.min("timestamp_ns").alias("first"), size.alias("most")).collect()}
+    written = {kind: Written(r["n"], r["most"]) for kind, r in found.items()}
+    given = [e["timestamp_ns"] for e in parts.get("events", ())] + [t for s in parts.get("signals", ()) for t, _ in s["points"]]
+    start = parts.pop("start_ns", None)
+    start = min([r["first"] for r in found.values()] + given, default=0) if start is None else start
+    most = {kind: w.most for kind, w in written.items()}
+    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    store, inner = store_of(aside)
+    store.create_dir(inner, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([build(rows, **parts)], pa.binary())], ["path", "content"])
+        from pyspark import TaskContext
 
-    return frames.select(*columns).orderBy("idx").coalesce(1).mapInArrow(run, "path string, content binary")
+        open_, names = {}, {kind: f"{aside}/{uuid.uuid4().hex}" for kind in most}
+        for batch in batches:
+            kinds = np.asarray(batch.column("of"))
+            for kind in np.unique(kinds):
+                if kind not in open_:
+                    own, at = store_of(names[kind])
+                    open_[kind] = [own.open_output_stream(at), 0]
+                data = _records(batch.filter(pa.array(kinds == kind)), start, most[kind])
+                open_[kind][0].write(data)
+                open_[kind][1] += len(data)
+        part = TaskContext.get().partitionId()
+        for kind, (stream, n) in open_.items():
+            stream.write(bytes(-n % 8))
+            stream.close()
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, str(kind), names[kind], n)], ["part", "kind", "path", "size"])
+
+    rows = frames.select(*columns, of.alias("of")).orderBy("idx").mapInArrow(run, "part long, kind string, path string, size long").collect()
+    pieces: list[str] = []
+    for kind in FRAME_GROUPS.values():
+        for r in sorted(rows):
+            if r["kind"] == kind:
+                # a block's own head is a piece too
+                header = f"{aside}/{uuid.uuid4().hex}"
+                write_piece(header, iter([HEAD.pack(b"##DT", HEAD.size + r["size"], 0)]))
+                written[kind].sizes.append(HEAD.size + r["size"])
+                pieces += [header, r["path"]]
+    join_pieces(spark, build([], start_ns=start, written=written, **parts), pieces, path, "part-00000.mf4")
+    store.delete_dir(inner)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -15,14 +18,53 @@ RANGE_BYTES, FETCH_BYTES = 64 << 20, 4 << 20
 MOST_TASKS = 20_000
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """(the file system of a path, the path in it): local and mounted paths, and the stores that pyarrow knows."""
+    local = re.fullmatch(r"(?:file:/*)?(/.*|[^:]*)", re.sub("^file:/+", "/", path))
+    return (fs.LocalFileSystem(), os.path.abspath(local.group(1))) if local else fs.FileSystem.from_uri(path)
+
+
 def _open(path: str) -> pa.NativeFile:
-    local = re.fullmatch(r"(?:file:)?(/.*)", re.sub("^file:/+", "/", path))
-    if local:
-        return fs.LocalFileSystem().open_input_file(local.group(1))
-    store, inner = fs.FileSystem.from_uri(path)
+    store, inner = store_of(path)
     return store.open_input_file(inner)
 
 
+def write_piece(path: str, chunks: Iterator[bytes]) -> int:
+    """Bytes written to a new file."""
+    store, inner = store_of(path)
+    size = 0
+    with store.open_output_stream(inner) as out:
+        for chunk in chunks:
+            out.write(chunk)
+            size += len(chunk)
+    return size
+
+
+def join_pieces(spark: SparkSession, head: bytes, pieces: list[str], folder: str, name: str) -> None:
+    """folder with one file: the head, then the pieces in order. One task streams them, as a file is one stream by format;
+    what was in the folder goes when the new file is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+
+                def chunks(r=r):
+                    yield r["head"]
+                    for piece in r["pieces"]:
+                        with _open(piece) as f:
+                            while block := f.read(FETCH_BYTES):
+                                yield block
+
+                yield pa.RecordBatch.from_arrays([pa.array([write_piece(r["to"], chunks())])], ["size"])
+
+    unfinished = f"{folder.rstrip('/')}-{uuid.uuid4().hex}.tmp"
+    spark.createDataFrame([(bytearray(head), pieces, unfinished)], "head binary, pieces array<string>, to string").coalesce(1).mapInArrow(run, "size long").collect()
+    store, inner = store_of(folder)
+    store.create_dir(inner, recursive=True)
+    store.delete_dir_contents(inner)
+    store.move(store_of(unfinished)[1], f"{inner}/{name}")
+
+
 class Source:
     """Bytes of a file by position, fetched in blocks of at least `fetch` bytes; or of a bytes object."""
 

@@ -166,5 +166,20 @@ def test_spark(spark, tmp_path):
     assert mdf4.read_mdf(spark, str(path)).count() == 23
     (c,) = mdf4.mdf_census(spark, str(path)).collect()
     assert (c.channels, c.frames, c.signal_groups, c.samples) == ([0, 1, 2], 23, 1, 1)
-    again = spark.createDataFrame([tuple(f[k] for k in f) for f in _frames()], "idx long, timestamp_ns long, channel int, id long, extended boolean, direction string, kind string, data binary, brs boolean, esi boolean, dlc int")
-    assert bytes(mdf4.save_mdf(again, "p").first().content) == mdf4.build(_frames())
+
+
+def test_parallel_save(spark, tmp_path):
+    """Blocks written by several tasks make one file that reads as what one build of all frames gives."""
+    frames = [dict(_frames()[i % 23], idx=i, timestamp_ns=START + i * 1000, id=i % 2000) for i in range(3000)]
+    schema = "idx long, timestamp_ns long, channel int, id long, extended boolean, direction string, kind string, data binary, brs boolean, esi boolean, dlc int"
+    df = spark.createDataFrame([tuple(f[k] for k in f) for f in frames], schema).repartition(5)
+    more = {"signals": [{"name": "S", "points": [(START + 9, 1.5)]}], "events": [{"timestamp_ns": START + 5, "label": "x"}], "attachments": [("a.dbc", b"VERSION")]}
+    mdf4.save_mdf(df, str(tmp_path / "out"), **more)
+    (name,) = (tmp_path / "out").iterdir()
+    got, want = mdf4.File(str(name)), mdf4.File(mdf4.build(frames, **more))
+    assert list(got.frame_rows()) == list(want.frame_rows()) and list(got.signal_rows()) == list(want.signal_rows())
+    assert list(got.event_rows()) == list(want.event_rows()) and list(got.attachment_rows()) == list(want.attachment_rows()) and list(got.group_rows()) == list(want.group_rows())
+    assert [f.name for f in tmp_path.iterdir()] == ["out"] and name.read_bytes().count(b"##DL") == 3
+    assert mdf4.read_mdf(spark, str(tmp_path / "out"), range_bytes=9_000).count() == 3000
+    mdf4.save_mdf(df.limit(0), str(tmp_path / "none"))
+    assert mdf4.read_mdf(spark, str(tmp_path / "none")).count() == 0
