@@ -8,12 +8,17 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import with_dense_index
 from ..operators.decode import decode_frames
 from ..operators.trace import page_bounds
 from .catalog import Catalog
 from .predicate import filter_frames
+from .retention import retained
 from .session import Session
 
+#: matches from an end of the index up to which a page is found by a top-k
+NEAR = 100_000
+
 
 class FilterIndex:
     """Matches (idx) under root/session=<n>/filter=<digest>/part=<rows scanned>.
@@ -50,12 +55,20 @@ class FilterIndex:
             parts.append((top + 1, path))
         return self.spark.read.schema("idx long").parquet(*[p for _, p in parts]) if parts else frames.select("idx").limit(0)
 
-    def page(self, frames: DataFrame, offset: int, limit: int, from_end: bool = False) -> tuple[DataFrame, int, int]:
-        """(decoded page of matches, their number, the page's first position), as trace.filtered_page without recounting."""
-        found = self.matches(frames)
+    def page(self, frames: DataFrame, offset: int, limit: int, from_end: bool = False, first: int = 0) -> tuple[DataFrame, int, int]:
+        """(decoded page of matches, their number, the page's first position), as trace.filtered_page without recounting.
+        Matches before the low-water mark `first` are gone. A page far from both ends is found by numbering the matches by
+        ranges, so no task keeps all that come before it."""
+        found = retained(self.matches(frames), first)
         count = found.count()
         start, end = page_bounds(count, offset, limit, from_end)
-        wanted = found.orderBy(F.desc("idx")).limit(end - start) if from_end else found.orderBy("idx").offset(start).limit(end - start)
+        size = end - start
+        if start + size <= NEAR:
+            wanted = found.orderBy("idx").offset(start).limit(size)
+        elif count - start <= NEAR:
+            wanted = found.orderBy(F.desc("idx")).limit(count - start).orderBy("idx").limit(size)
+        else:
+            wanted = with_dense_index(found.withColumn("at", F.col("idx")), "at", name="rn").filter(F.col("rn").between(start, end - 1))
         rows = [r["idx"] for r in wanted.collect()]  # one page
         page = frames.filter(F.col("idx").isin(rows)) if rows else frames.limit(0)
         return decode_frames(page, self.catalog).orderBy("idx"), count, start

@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import model
 from .functions.bits import raw_bits
 from .functions.crc import crc_column
-from .operators import decode, measure, series, trace, verify
+from .operators import decode, measure, report, series, trace, verify
 from .plans import catalog as cat
 from .plans import predicate
 from .sources.dbc import CounterConfig, CrcConfig, Database, Message, Signal
@@ -515,6 +515,43 @@ def encoded_signal(spark: SparkSession, d: str) -> DataFrame:
     return out.select("idx", decode.raw_value(message.signal("K")).alias("k"))
 
 
+_SAMPLES = """, h AS (SELECT bus_id, floor((t - a) / 43200) * 43200.0 + 43200.0 AS elapsed_s, count(*) AS n FROM f, (SELECT min(t) AS a FROM f) GROUP BY ALL),
+q AS (SELECT bus_id, elapsed_s, CAST(sum(n) OVER (PARTITION BY bus_id ORDER BY elapsed_s) AS BIGINT) AS n FROM h)"""
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """Frames so far at the end of each half day of each bus: a run's samples (elapsed_s, count, buffer)."""
+    every = frames(spark, d)
+    start = (every.agg(F.min("timestamp_ns")).first()[0] or 0) / 1e9
+    half_days = F.floor((F.col("timestamp_ns") / F.lit(1e9) - F.lit(start)) / 43200)
+    counts = every.groupBy("bus_id", (half_days * 43200.0 + 43200.0).alias("elapsed_s")).agg(F.count("*").alias("n"))  # a row a half day
+    total = F.sum("n").over(Window.partitionBy("bus_id").orderBy("elapsed_s"))
+    return counts.select("bus_id", "elapsed_s", total.alias("count"), F.least(total, F.lit(5000)).alias("buffer"))
+
+
+@query(_SAMPLES + """, l AS (SELECT bus_id, max(elapsed_s) AS t, max(n) AS frames FROM q GROUP BY 1), m AS (SELECT q.bus_id, min(elapsed_s) AS ht, arg_min(n, elapsed_s) AS hn FROM q JOIN l USING (bus_id) WHERE n >= frames // 2 GROUP BY 1),
+k AS (SELECT bus_id, min((n - pn) / (elapsed_s - pt)) AS slow FROM (SELECT *, lag(n) OVER w AS pn, lag(elapsed_s) OVER w AS pt FROM q WINDOW w AS (PARTITION BY bus_id ORDER BY elapsed_s)) GROUP BY 1),
+r AS (SELECT bus_id, frames, t AS elapsed_s, frames / t AS fps, CASE WHEN t > ht THEN hn / ht ELSE frames / t END AS a, CASE WHEN t > ht THEN (frames - hn) / (t - ht) ELSE frames / t END AS b, slow FROM l JOIN m USING (bus_id) JOIN k USING (bus_id))
+SELECT bus_id, frames, elapsed_s, round(fps, 9) AS fps, round(a, 9) AS fps_first_half, round(b, 9) AS fps_second_half, round(b / a, 9) AS retention, round(slow, 9) AS slowest_fps FROM r""")
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    out = report.run_report(_samples(spark, d), "bus_id")
+    return out.withColumns({c: F.round(c, 9) for c in ("fps", "fps_first_half", "fps_second_half", "retention", "slowest_fps")})
+
+
+@query(_SAMPLES + """, x AS (SELECT 'frames' AS metric, bus_id AS run, CAST(max(n) AS DOUBLE) AS value FROM q GROUP BY bus_id UNION ALL SELECT 'half_days', bus_id, CAST(count(*) AS DOUBLE) FROM q GROUP BY bus_id UNION ALL SELECT 'other', bus_id, 1.0 FROM q GROUP BY bus_id),
+z AS (SELECT metric, avg(value) AS base, CASE WHEN metric = 'frames' THEN 1.25 ELSE 1.0 END AS factor, CASE WHEN metric = 'frames' THEN 10.0 ELSE 0.5 END AS floor FROM x WHERE metric <> 'other' GROUP BY metric),
+g AS (SELECT metric, run, base, value AS current FROM x JOIN z USING (metric) WHERE metric = 'frames' UNION ALL SELECT metric, NULL, min(base), median(value) FROM x JOIN z USING (metric) WHERE metric = 'half_days' GROUP BY metric)
+SELECT metric, run, round(base, 6) AS baseline, round(current, 6) AS current, round(base * factor + floor, 6) AS "limit", current <= base * factor + floor AS pass FROM g JOIN (SELECT metric, factor, floor FROM z) USING (metric)""")
+def regression_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Each bus as a run, judged against the mean of all; the number of half days as a drift, by its median."""
+    of = _samples(spark, d).groupBy("bus_id").agg(F.max("count").cast("double").alias("frames"), F.count("*").cast("double").alias("half_days"), F.lit(1.0).alias("other"))
+    runs = model.held(of.unpivot("bus_id", ["frames", "half_days", "other"], "metric", "value").withColumnRenamed("bus_id", "run"))
+    first = F.col("metric") == "frames"
+    baseline = runs.filter("metric <> 'other'").groupBy("metric").agg(F.avg("value").alias("value"))
+    baseline = baseline.select("metric", "value", F.when(first, 1.25).otherwise(1.0).alias("factor"), F.when(first, 10.0).otherwise(0.5).alias("floor"), F.when(first, "worst").otherwise("drift").alias("family"))
+    return report.gate(runs, baseline).withColumns({c: F.round(c, 6) for c in ("baseline", "current", "limit")})
+
+
 _TABLES = """, t8 AS (SELECT list(v ORDER BY i) AS v8 FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c >= 128 THEN xor((c * 2) & 255, 29) ELSE c * 2 END) AS v FROM range(256) AS r(i))),
 t16 AS (SELECT list(v ORDER BY i) AS u FROM (SELECT i, list_reduce([i * 256] || range(8), lambda c, k: CASE WHEN c >= 32768 THEN xor((c * 2) & 65535, 4129) ELSE c * 2 END) AS v FROM range(256) AS r(i))),
 y AS (SELECT *, [raw % 256, raw // 256, k % 256, mode, counter, k % 256, raw // 256, raw % 256] AS b FROM f)"""
