@@ -78,15 +78,17 @@ class Table:
 
 
 def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The largest set of most frequent tokens seen twice or more that `limit` holds: by counts, so ties stay together."""
+    """About `limit` most frequent tokens seen twice or more (all, if there are fewer). Of the count that is left cut in two,
+    those tokens stay whose hash is in the share that fits, so ties are split the same way each time."""
     levels = counts.filter("n > 1").groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(limit).collect()
-    least, held = None, 0
+    least, held, split, share = None, 0, None, 0.0
     for level in levels:
-        held += level["words"]
-        if held > limit:
+        if held + level["words"] > limit:
+            split, share = level["n"], (limit - held) / level["words"]
             break
-        least = level["n"]
-    return counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
+        least, held = level["n"], held + level["words"]
+    part = (F.col("n") == F.lit(split)) & (F.pmod(F.xxhash64("token"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return counts.filter(F.coalesce(F.col("n") >= F.lit(least), F.lit(False)) | F.coalesce(part, F.lit(False)))
 
 
 def _previous(unit: np.ndarray, n: np.ndarray, end_unit: int) -> np.ndarray:

@@ -272,3 +272,14 @@ def test_folder_of_its_own(tmp_path):
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root, "TMPDIR": str(tmp_path)}
     done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_tied_seeds(spark):
+    """Equally frequent tokens are split and not dropped, the same way each time."""
+    from busloom.llm import class_lm
+
+    counts = spark.createDataFrame([(i * 7919, 5) for i in range(3000)] + [(-1 - i, 9) for i in range(100)] + [(10**9 + i, 1) for i in range(500)], "token long, n long")
+    got = [{r.token for r in class_lm._most_frequent(counts.repartition(k), 1000).collect()} for k in (2, 5)]
+    assert got[0] == got[1] and {-1 - i for i in range(100)} <= got[0] and 850 < len(got[0]) < 1150
+    assert class_lm._most_frequent(counts, 10**6).count() == 3100 and class_lm._most_frequent(counts.limit(0), 10).count() == 0
+    assert 20 < class_lm._most_frequent(counts, 50).count() < 90
