@@ -71,7 +71,7 @@ def test_encode_and_calc(spark, catalog):
     sent = encode.apply_calc(out.select(*rows.columns), message, "bus_id")
     back = decode.decode_series(sent, catalog, [("x", 256, False, n) for n in ("Fast", "Alive")])
     got = {(r.idx, r.signal): r.value for r in back.collect()}
-    assert [got[i, "Fast"] for i in range(40)] == pytest.approx(list(range(40))) and [got[i, "Alive"] for i in range(40)] == [(i + 1) % 16 for i in range(40)]
+    assert [got[i, "Fast"] for i in range(40)] == pytest.approx(list(range(40))) and [got[i, "Alive"] for i in range(40)] == [3 * (i + 1) % 14 for i in range(40)]
     assert verify.violations(sent, catalog).count() == 0
     broken = sent.withColumn("data", F.when(F.col("idx") == 7, F.overlay("data", F.lit(b"\xff"), F.lit(3))).when(F.col("idx") == 9, F.lit(b"\0")).otherwise(F.col("data"))).filter("idx <> 20")
     assert [(r.idx, r.finding) for r in verify.violations(broken, catalog).collect()] == [(7, "crc_mismatch"), (9, "truncated"), (10, "counter_skip"), (21, "counter_skip")]

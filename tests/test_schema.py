@@ -26,8 +26,8 @@ CM_ BO_ 256 "say ""BO_"" here";
 BA_DEF_ BO_ "GenMsgSendType" ENUM "Cyclic","OnEvent";
 BA_ "GenMsgCycleTime" BO_ 256 0;
 BA_ "GenMsgSendType" BO_ 256 1;
-BA_ "AcmeCounter" SG_ 256 Alive "increment=1;rollover=15";
-BA_ "AcmeCrc" SG_ 256 Sum "alg=CRC-8/SAE-J1850;range=0:56;prefix=A3";
+BA_ "AcmeCounter" SG_ 256 Alive "increment=3;rollover=13";
+BA_ "AcmeCrc" SG_ 256 Sum "alg=CRC-8/BLUETOOTH;range=8:48;prefix=0C71";
 BA_ "AcmeDisplay" SG_ 256 Sum "radix=hex";
 BA_ "AcmeDisplay" SG_ 256 Fast "radix=hex";
 VAL_ 256 Gear 0 "P" 1 "R";
@@ -40,8 +40,8 @@ def test_parse():
     speed, wide = d.messages
     assert (speed.id, speed.extended, speed.cycle_ms, speed.send_type, speed.fd) == (256, False, 0, "OnEvent", False)
     assert (wide.id, wide.extended, wide.fd, wide.brs, wide.transmitter) == (512, True, True, True, "")
-    assert speed.counter == counter_config("Alive", "increment=1;rollover=15")
-    assert speed.crc == CrcConfig("Sum", "CRC-8/SAE-J1850", 0, 56, b"\xa3")
+    assert speed.counter == counter_config("Alive", "rollover=13;increment=3")
+    assert speed.crc == CrcConfig("Sum", "CRC-8/BLUETOOTH", 8, 48, b"\x0c\x71")
     assert speed.signal("Sum").hex and not speed.signal("Fast").hex and len(d.warnings) == 1
     assert speed.signal("Gear").is_enum and wide.multiplexor.name == "Sel" and wide.signal("Flow").is_float
     assert speed.signal("Fast").decimals == 2 and wide.signal("Flow").decimals is None
