@@ -3,13 +3,17 @@
 Tokens are the words of a text (runs of non-space, A-Z lower-cased) and one end. Learned from the training rows only:
 
 * the count of every token, summed by Spark over the whole corpus;
-* seed classes: bigram counts over the SEEDS most frequent tokens (all others are one unit) are summed by Spark, and an
-  exchange clustering gives these tokens classes: each in turn moves to the class that most raises the likelihood of the
-  class bigrams, for ROUNDS rounds. Its table of at most (SEEDS + 1) squared cells is all that the driver holds;
-* classes of all other tokens seen twice or more, whatever their number: Spark counts each token's neighbours by seed
-  class, and each token is exchanged into the class that most raises the likelihood, to first order in its counts;
+* seed classes: bigram counts over the most frequent tokens, the seeds (all others are one unit), are summed by Spark, and
+  an exchange clustering gives these tokens classes: each in turn moves to the class that most raises the likelihood of the
+  class bigrams, for ROUNDS rounds. Its table of at most (seeds + 1) squared cells is all that the driver holds;
+* classes of all other tokens seen twice or more, whatever their number: Spark counts each token's seed neighbours once. A
+  round exchanges every such token into the class that most raises the likelihood, to first order in its counts, all at the
+  same time; the class tables are then summed over all tokens, seeds too. Rounds go on until the likelihood of class and
+  seed class rises by less than RISE of itself (at most PASSES); the best round's tables give the classes;
 * class transitions, counted over the whole training corpus under these classes.
 
+Sizes follow the corpus: V tokens seen twice or more give 2 * V ** (1/3) classes and 96 * V ** (1/4) seeds (`sizes`).
+
 A token's probability is P(class | previous class) * P(token | class). Transitions are smoothed with the class
 frequencies. Tokens seen once and unknown ones are one more class: emissions there have 0.1 added per token and one share
 for unknown ones. So the probabilities of all known tokens and the unknown one sum to one after every token. The first
@@ -34,13 +38,19 @@ from .language_id import held_out
 from .store import settle
 from .tokens import as_bytes, batches, mix
 
-SEEDS, CLASSES, ROUNDS, HEAD = 2000, 60, 4, 65_536
-#: number of the class of tokens seen once and unknown ones
-RARE = CLASSES
+ROUNDS, PASSES, RISE, HEAD = 4, 6, 1e-3, 65_536
 _ADD = 0.1
+#: a class in a stored sequence; 2 * V ** (1/3) stays below 65,536 up to 3.5e13 tokens
+_CODE = np.dtype("<u2")
 END = int(mix(np.array([0xE05], np.uint64)).view(np.int64)[0])
 
 
+def sizes(words: int) -> tuple[int, int]:
+    """(classes, seeds) for a corpus of `words` tokens seen twice or more. One more class, numbered `classes`, holds tokens
+    seen once and unknown ones."""
+    return max(2, round(2 * words ** (1 / 3))), max(2, round(96 * words**0.25))
+
+
 def _token_rows(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, token hashes with an end after each text, tokens per text)."""
     for first, w in batches(texts):
@@ -98,11 +108,11 @@ def _previous(unit: np.ndarray, n: np.ndarray, end_unit: int) -> np.ndarray:
     return prev
 
 
-def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, units: int, fixed: np.ndarray) -> np.ndarray:
-    """Class of each unit from bigram counts (left, right, n). Units with fixed >= 0 keep that class."""
-    classes = CLASSES + int((fixed >= 0).sum())
+def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, units: int, fixed: np.ndarray, groups: int) -> np.ndarray:
+    """Class of each unit, one of `groups`, from bigram counts (left, right, n). Units with fixed >= 0 keep that class."""
+    classes = groups + int((fixed >= 0).sum())
     size = np.bincount(left, n, units)
-    cls = np.where(fixed >= 0, fixed, np.arange(units) % CLASSES)
+    cls = np.where(fixed >= 0, fixed, np.arange(units) % groups)
 
     def table(key, other):
         order = np.argsort(key, kind="stable")
@@ -112,7 +122,17 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, units: int, fix
     big = np.bincount(cls[left] * classes + cls[right], n, classes * classes).reshape(classes, classes)
     total = np.bincount(cls, size, classes)
     f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    base = f(big)
     diag = np.arange(classes)
+
+    def put(c, left_c, right_c, own, sign):
+        big[:, c] += sign * left_c
+        big[c, :] += sign * right_c
+        big[c, c] += sign * own
+        np.maximum(big[:, c], 0, out=big[:, c])
+        np.maximum(big[c, :], 0, out=big[c, :])
+        base[:, c], base[c, :] = f(big[:, c]), f(big[c, :])
+
     for _ in range(ROUNDS):
         moved = 0
         for w in np.flatnonzero((fixed < 0) & (size > 0)):
@@ -122,88 +142,115 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, units: int, fix
             others, counts = li[la[w] : la[w + 1]], ln[la[w] : la[w + 1]]
             left_c = np.bincount(cls[others], np.where(others == w, 0, counts), classes)
             a = cls[w]
-            big[:, a] -= left_c
-            big[a, :] -= right_c
-            big[a, a] -= own
+            put(a, left_c, right_c, own, -1)
             total[a] -= size[w]
-            np.maximum(big, 0, out=big)
-            base = f(big)
-            into, out_of = f(big + left_c[:, None]) - base, f(big + right_c[None, :]) - base
-            both = f(big[diag, diag] + left_c + right_c + own) - base[diag, diag]
-            gain = into.sum(0) - into[diag, diag] + out_of.sum(1) - out_of[diag, diag] + both - 2 * (f(total + size[w]) - f(total))
-            b = int(gain[:CLASSES].argmax())
+            # classes that stand on neither side of w change nothing
+            before, after = np.flatnonzero(left_c), np.flatnonzero(right_c)
+            into = (f(big[before] + left_c[before, None]) - base[before]).sum(0)
+            out_of = (f(big[:, after] + right_c[None, after]) - base[:, after]).sum(1)
+            corner, was = big[diag, diag], base[diag, diag]
+            both = f(corner + left_c + right_c + own) - f(corner + left_c) - f(corner + right_c) + was
+            gain = into + out_of + both - 2 * (f(total + size[w]) - f(total))
+            b = int(gain[:groups].argmax())
             if gain[b] <= gain[a] + 1e-9:
                 b = a
             moved += a != b
             cls[w] = b
-            big[:, b] += left_c
-            big[b, :] += right_c
-            big[b, b] += own
+            put(b, left_c, right_c, own, 1)
             total[b] += size[w]
         if not moved:
             break
     return cls
 
 
-def _emitted(rows: DataFrame, seeds) -> DataFrame:
-    """(token, slot, n): how often a neighbour of seed class k stands before (slot k) or after (slot CLASSES + k) a token."""
+def _neighbours(rows: DataFrame, seeds, units: int) -> DataFrame:
+    """(token, slot, n): how often seed u stands before (slot u) or after (slot units + u) a token."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = int(seeds.value.find(np.array([END]), -1)[0][0])
         for batch in batches_:
             for _, token, n in _token_rows(as_bytes(batch.column(0))):
-                (cls,) = seeds.value.find(token, -1)
+                (unit,) = seeds.value.find(token, -1)
                 kind, number = np.unique(token, return_inverse=True)
-                before = _previous(cls, n, int(seeds.value.find(np.array([END]), -1)[0][0]))
-                after = np.empty_like(cls)
-                after[:-1] = cls[1:]
+                before = _previous(unit, n, end)
+                after = np.empty_like(unit)
+                after[:-1] = unit[1:]
                 after[np.cumsum(n) - 1] = -1  # nothing follows an end
-                code = np.concatenate([number[before >= 0] * (2 * CLASSES) + before[before >= 0], number[after >= 0] * (2 * CLASSES) + CLASSES + after[after >= 0]])
+                code = np.concatenate([number[x >= 0] * (2 * units) + side * units + x[x >= 0] for side, x in enumerate((before, after))])
                 code, times = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kind[code // (2 * CLASSES)]), pa.array((code % (2 * CLASSES)).astype(np.int32)), pa.array(times.astype(np.int32))], ["token", "slot", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(kind[code // (2 * units)]), pa.array((code % (2 * units)).astype(np.int32)), pa.array(times.astype(np.int32))], ["token", "slot", "n"])
 
     return rows.select("text").mapInArrow(run, "token long, slot int, n int")
 
 
-def assign(slot: np.ndarray, n: np.ndarray, start: np.ndarray, big: np.ndarray) -> np.ndarray:
-    """The class of each token whose neighbours (slot, n) begin at `start`, given class bigram counts of the seeds.
+def first_order(tables: np.ndarray) -> np.ndarray:
+    """What a neighbour in each slot of `tables` (2 * classes, classes) adds to the likelihood of a token in each class.
+
+    tables[k, c] counts neighbours of class k before tokens of class c, tables[classes + k, c] those after them. Putting a
+    token into class c gains, to first order, the sum of log P(k | c) over its neighbours, here smoothed by k's share."""
+    sides = tables.reshape(2, -1, tables.shape[1])
+    share = (sides.sum(2, keepdims=True) + _ADD) / (sides.sum((1, 2), keepdims=True) + _ADD * sides.shape[1])
+    return np.log((sides + share) / (sides.sum(1, keepdims=True) + 1)).reshape(tables.shape)
+
+
+def likelihood(tables: np.ndarray) -> float:
+    """Log-likelihood of neighbour classes given token classes, above that of the classes by themselves."""
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    return sum(f(x) - f(x.sum(0)) - f(x.sum(1)) + f(x.sum()) for x in tables.reshape(2, -1, tables.shape[1]))
+
+
+def by_class(slot: np.ndarray, n: np.ndarray, row: np.ndarray, rows: int, unit_cls: np.ndarray, classes: int) -> np.ndarray:
+    """Counts (rows, 2 * classes) of neighbours (row, slot, n) by their class."""
+    units = len(unit_cls)
+    by = unit_cls[slot % units] + classes * (slot // units)
+    return np.bincount(row * (2 * classes) + by, n, rows * 2 * classes).reshape(rows, 2 * classes)
 
-    The likelihood's gain by putting a token of left counts l and right counts r into class c is, to first order,
-    sum l[k] log(big[k, c] / size[c]) + sum r[k] log(big[c, k] / size[c]), here with counts smoothed by the classes' shares.
-    """
-    big = big[:CLASSES, :CLASSES]
-    size = np.maximum(big.sum(1), big.sum(0)) + 1
-    share = size / size.sum()
-    log = np.log(np.concatenate([(big + share[:, None]) / size, ((big + share) / size[:, None]).T]))
-    return np.add.reduceat(log[slot] * n[:, None], start, axis=0).argmax(1) if len(start) else np.zeros(0, np.int64)
 
+def best_class(profile: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """The class of each profile (rows, 2 * classes) that gains most; of equals the first, so the first of all without any."""
+    return np.round(profile @ log, 6).argmax(1)
 
-def _assigned(contexts: DataFrame, shared) -> DataFrame:
-    """(token, cls) of every token of contexts (token, slot, n)."""
 
-    def out(token: np.ndarray, slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(token[start]), pa.array(assign(slot, n, start, shared.value).astype(np.int32))], ["token", "cls"])
+def _exchanged(batch: pa.RecordBatch, log: np.ndarray, unit_cls: np.ndarray, rows: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(classes, their profiles) of parts of a batch that ends in unit, slots and times: a seed's own, else the best."""
+    classes = log.shape[1]
+    for first in range(0, batch.num_rows, rows):
+        unit, slots, times = (c.slice(first, rows) for c in batch.columns[-3:])
+        of = np.repeat(np.arange(len(slots)), slots.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        profile = by_class(slots.flatten().to_numpy(), times.flatten().to_numpy(), of, len(slots), unit_cls, classes)
+        unit = unit.fill_null(-1).to_numpy(zero_copy_only=False)
+        yield np.where(unit >= 0, unit_cls[unit], best_class(profile, log)), profile
+
+
+def _summed(packed: DataFrame, log: np.ndarray, unit_cls: np.ndarray) -> np.ndarray:
+    """The class tables after every token but the seeds went to its best class."""
+    shared = packed.sparkSession.sparkContext.broadcast((log, unit_cls))
+    classes = log.shape[1]
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3  # the last token's rows so far
+        total = np.zeros((classes, 2 * classes))
         for batch in batches_:
-            part = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            cut = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
-            if cut:
-                yield out(*(x[:cut] for x in part))
-            held = [x[cut:] for x in part]
-        yield out(*held)
+            for cls, profile in _exchanged(batch, *shared.value):
+                order = np.argsort(cls, kind="stable")
+                start = np.flatnonzero(np.diff(cls[order], prepend=-1))
+                total[cls[order][start]] += np.add.reduceat(profile[order], start, axis=0)
+        total = total.T
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total.ravel()[found].astype(np.int64))], ["cell", "n"])
 
-    return contexts.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, cls int")
+    cells = packed.select("unit", "slots", "times").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    return np.bincount(cells.column("cell").to_numpy(), cells.column("n").to_numpy(), 2 * classes * classes).reshape(2 * classes, classes)
 
 
-def classes_of(train: DataFrame, counts: DataFrame) -> DataFrame:
-    """(token, n, cls) of every token of the training rows (text); counts (token, n) are theirs."""
+def classes_of(train: DataFrame, counts: DataFrame, words: int) -> DataFrame:
+    """(token, n, cls) of every token of the training rows (text); counts (token, n) are theirs, `words` of them over one."""
     spark = train.sparkSession
-    top = _most_frequent(counts, SEEDS).toArrow()
+    classes, limit = sizes(words)
+    top = _most_frequent(counts, limit).toArrow()
     token = top.column("token").to_numpy()
-    order = np.lexsort((token, -top.column("n").to_numpy()))
-    seeds = spark.sparkContext.broadcast(Table(token[order], np.arange(len(token))))
+    token = token[np.lexsort((token, -top.column("n").to_numpy()))]
+    seeds = spark.sparkContext.broadcast(Table(token, np.arange(len(token))))
     units = len(token) + 1
 
     def bigrams(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,28 +267,50 @@ def classes_of(train: DataFrame, counts: DataFrame) -> DataFrame:
     pair, n = pairs.column("pair").to_numpy(), pairs.column("n").to_numpy().astype(float)
     left, right = pair // units, pair % units
     fixed = np.full(units, -1)
-    fixed[-1] = RARE
-    cls = exchange(left, right, n, units, fixed)
-    big = np.bincount(cls[left] * (CLASSES + 1) + cls[right], n, (CLASSES + 1) ** 2).reshape(CLASSES + 1, CLASSES + 1)
-    seeded = spark.sparkContext.broadcast(Table(token[order], cls[:-1]))
-    known = pa.table({"token": pa.array(token[order]), "seed": pa.array(cls[:-1].astype(np.int32))})
-    contexts = _emitted(train, seeded).groupBy("token", "slot").agg(F.sum("n").alias("n"))
-    other = settle(_assigned(contexts, spark.sparkContext.broadcast(big)))
-    seed = F.broadcast(spark.createDataFrame(known))  # at most SEEDS rows
-    out = counts.join(other, "token", "left").join(seed, "token", "left")
-    # a token beside no seed goes where the ends are followed from, the first class; tokens seen once are rare
-    return settle(out.select("token", "n", F.when(F.col("n") < 2, RARE).otherwise(F.coalesce("seed", "cls", F.lit(0))).alias("cls")))
-
-
-def _sequences(rows: DataFrame, classes: DataFrame, tokens: int, known: int) -> tuple[DataFrame, np.ndarray]:
+    fixed[-1] = classes
+    unit_cls = exchange(left, right, n, units, fixed, classes)[:-1]
+    if not len(unit_cls):  # no token is seen twice
+        return counts.select("token", "n", F.lit(classes).alias("cls"))
+    # neighbours of each token, counted once: at most two numbers a seed and token
+    contexts = _neighbours(train, seeds, units - 1).groupBy("token", "slot").agg(F.sum("n").cast("int").alias("n"))
+    lists = contexts.groupBy("token").agg(F.collect_list(F.struct("slot", "n")).alias("beside"))
+    seed = F.broadcast(spark.createDataFrame(pa.table({"token": token, "unit": np.arange(len(token), dtype=np.int32)})))  # the seeds
+    packed = counts.filter("n > 1").join(lists, "token", "left").join(seed, "token", "left")
+    packed = settle(packed.select("token", "n", "unit", F.col("beside.slot").alias("slots"), F.col("beside.n").alias("times")))
+
+    inside = (left < units - 1) & (right < units - 1)
+    pair = unit_cls[left[inside]] * classes + unit_cls[right[inside]]
+    big = np.bincount(pair, n[inside], classes * classes).reshape(classes, classes)
+    tables = np.concatenate([big, big.T])
+    best, log = -np.inf, first_order(tables)
+    for _ in range(PASSES):
+        tables = _summed(packed, first_order(tables), unit_cls)
+        now = likelihood(tables)
+        enough = now < best + RISE * abs(best)
+        if now > best:
+            best, log = now, first_order(tables)
+        if enough:
+            break
+    shared = spark.sparkContext.broadcast((log, unit_cls))
+
+    def last(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            cls = np.concatenate([np.zeros(0, np.int32), *(cls.astype(np.int32) for cls, _ in _exchanged(batch, *shared.value))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cls)], ["token", "n", "cls"])
+
+    kept = packed.mapInArrow(last, "token long, n long, cls int")
+    return settle(kept.unionByName(counts.filter("n < 2").select("token", "n", F.lit(classes).alias("cls"))))
+
+
+def _sequences(rows: DataFrame, classes: DataFrame, tokens: int, known: int, rare_cls: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, held_out, n_tokens, n_known, base, emit, seq) per row, stored: log10 probabilities of the tokens by themselves
-    and within their classes, and the classes as bytes; and the size of each class."""
+    and within their classes, and the classes as two bytes each; and the size of each class. rare_cls is the last class."""
     spark = rows.sparkSession
-    sizes = {r["cls"]: (r["n"], r["words"]) for r in classes.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
-    size = np.array([sizes.get(c, (0, 0))[0] for c in range(CLASSES + 1)], float)
+    held = {r["cls"]: (r["n"], r["words"]) for r in classes.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    size = np.array([held.get(c, (0, 0))[0] for c in range(rare_cls + 1)], float)
     base_log = math.log10(tokens + _ADD * (known + 1))
     log_size = np.log10(np.maximum(size, 1))
-    log_size[RARE] = math.log10(size[RARE] + _ADD * (sizes.get(RARE, (0, 0))[1] + 1))
+    log_size[rare_cls] = math.log10(size[rare_cls] + _ADD * (held.get(rare_cls, (0, 0))[1] + 1))
     top = _most_frequent(classes, HEAD).toArrow()
     shared = spark.sparkContext.broadcast(Table(*(top.column(c).to_numpy() for c in ("token", "n", "cls"))))
 
@@ -249,14 +318,14 @@ def _sequences(rows: DataFrame, classes: DataFrame, tokens: int, known: int) ->
         for batch in batches_:
             columns: list[list] = [[] for _ in range(7)]
             for _, token, n in _token_rows(as_bytes(batch.column(batch.num_columns - 1))):
-                count, cls = shared.value.find(token, 0, 255)
+                count, cls = shared.value.find(token, 0, -1)
                 at = np.cumsum(n) - n
-                inside = cls != 255
+                inside = cls >= 0
                 log = np.log10(np.maximum(count, 1))
-                seq = cls.astype(np.uint8)
+                seq = cls.astype(_CODE)
                 out = np.flatnonzero(~inside)
                 cut = np.searchsorted(out, at[1:])
-                sums = (n, *(np.add.reduceat(x, at) for x in (inside.astype(np.int64), np.where(inside, np.log10(count + _ADD) - base_log, 0.0), np.where(inside, log - log_size[np.minimum(cls, RARE)], 0.0))))
+                sums = (n, *(np.add.reduceat(x, at) for x in (inside.astype(np.int64), np.where(inside, np.log10(count + _ADD) - base_log, 0.0), np.where(inside, log - log_size[cls], 0.0))))
                 for c, x in zip(columns, sums, strict=False):
                     c += x.tolist()
                 columns[4] += [x.tobytes() for x in np.split(seq, at[1:])]
@@ -270,8 +339,8 @@ def _sequences(rows: DataFrame, classes: DataFrame, tokens: int, known: int) ->
     given = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     part = settle(given.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, emit double, seq binary, at array<int>, rest array<long>"))
     rare = part.select("row", F.inline(F.arrays_zip("at", "rest"))).withColumnRenamed("rest", "token").join(classes, "token", "left")
-    rare = rare.select("row", "at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(RARE)).alias("cls"))
-    log = F.when(F.col("cls") == RARE, F.log10(F.col("n") + _ADD)).otherwise(F.log10("n")) - F.get(F.array(*[F.lit(float(x)) for x in log_size]), F.col("cls"))
+    rare = rare.select("row", "at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(rare_cls)).alias("cls"))
+    log = F.when(F.col("cls") == rare_cls, F.log10(F.col("n") + _ADD)).otherwise(F.log10("n")) - F.get(F.array(*[F.lit(float(x)) for x in log_size]), F.col("cls"))
     rare = rare.groupBy("row").agg(
         F.sum((F.col("n") > 0).cast("long")).alias("more"),
         F.sum(F.log10(F.col("n") + _ADD) - base_log).alias("rare_base"),
@@ -285,7 +354,7 @@ def _sequences(rows: DataFrame, classes: DataFrame, tokens: int, known: int) ->
         for batch in batches_:
             seqs = []
             for seq, at, cls in zip(batch.column(6), batch.column(7), batch.column(8), strict=True):
-                own = np.frombuffer(seq.as_py(), np.uint8)
+                own = np.frombuffer(seq.as_py(), _CODE)
                 if at.is_valid:
                     own = own.copy()
                     own[at.values.to_numpy()] = cls.values.to_numpy()
@@ -296,29 +365,27 @@ def _sequences(rows: DataFrame, classes: DataFrame, tokens: int, known: int) ->
     return settle(filled), size
 
 
-def _pairs(seqs: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(seqs: list[bytes], end: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """(class pairs of all tokens, where each sequence starts)."""
-    n = np.array([len(s) for s in seqs], np.int64)
-    cls = np.frombuffer(b"".join(seqs), np.uint8)
-    return _previous(cls, n, end).astype(np.int64) * (CLASSES + 1) + cls, np.cumsum(n) - n
+    n = np.array([len(s) // _CODE.itemsize for s in seqs], np.int64)
+    cls = np.frombuffer(b"".join(seqs), _CODE).astype(np.int64)
+    return _previous(cls, n, end) * classes + cls, np.cumsum(n) - n
 
 
-def transitions(sequences: DataFrame, end: int) -> np.ndarray:
-    """log10 P(class | previous class), learned from the sequences that are not held out."""
+def transitions(sequences: DataFrame, end: int, classes: int) -> np.ndarray:
+    """log10 P(class | previous class) of `classes` classes, learned from the sequences that are not held out."""
 
     def count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES + 1) ** 2, np.int64)
+        total = np.zeros(classes**2, np.int64)
         for batch in batches_:
             if batch.num_rows:
-                total += np.bincount(_pairs(batch.column(0).to_pylist(), end)[0], minlength=len(total))
+                total += np.bincount(_pairs(batch.column(0).to_pylist(), end, classes)[0], minlength=len(total))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["pair", "n"])
 
-    big = np.zeros((CLASSES + 1) ** 2)
-    for r in sequences.filter("not held_out").select("seq").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        big[r["pair"]] = r["n"]
-    big = big.reshape(CLASSES + 1, CLASSES + 1)
-    prior = (big.sum(0) + _ADD) / (big.sum() + _ADD * (CLASSES + 1))
+    pairs = sequences.filter("not held_out").select("seq").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    big = np.bincount(pairs.column("pair").to_numpy(), pairs.column("n").to_numpy(), classes**2).reshape(classes, classes)
+    prior = (big.sum(0) + _ADD) / (big.sum() + _ADD * classes)
     return np.log10((big + prior) / (big.sum(1, keepdims=True) + 1))
 
 
@@ -327,19 +394,20 @@ def class_scores(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(0, 10).alias("held_out"))
     train = rows.filter("not held_out").select("text")
     counts = settle(train.mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    tokens, known = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    classes = classes_of(train, counts)
-    sequences, _ = _sequences(rows, classes, tokens, known)
+    tokens, known, words = (x or 0 for x in counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") > 1)).first())
+    rare, _ = sizes(words)
+    classes = classes_of(train, counts, words)
+    sequences, _ = _sequences(rows, classes, tokens, known, rare)
     ends = classes.filter(F.col("token") == END).first()
-    end = ends["cls"] if ends else RARE
-    shared = docs.sparkSession.sparkContext.broadcast(transitions(sequences, end))
+    end = ends["cls"] if ends else rare
+    shared = docs.sparkSession.sparkContext.broadcast(transitions(sequences, end, rare + 1))
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = shared.value.ravel()
         for batch in batches_:
             sums = np.zeros(0)
             if batch.num_rows:
-                pair, at = _pairs(batch.column(6).to_pylist(), end)
+                pair, at = _pairs(batch.column(6).to_pylist(), end, rare + 1)
                 sums = np.add.reduceat(step[pair], at)
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "emit", "step"])
 

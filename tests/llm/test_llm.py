@@ -394,6 +394,8 @@ def test_class_model(spark, empty):
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert class_lm.class_scores(empty).count() == 0
+    once = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")  # nothing is seen twice
+    assert [(r.n_tokens, r.n_known) for r in class_lm.class_scores(once).collect()] == [(4, 4)]
 
 
 def _likelihood(left, right, n, cls):
@@ -406,19 +408,18 @@ def _likelihood(left, right, n, cls):
 
 def test_exchange(monkeypatch):
     """Two alternating groups of words become two classes, and no single move then raises the likelihood."""
-    monkeypatch.setattr(class_lm, "CLASSES", 2)
     rng = np.random.default_rng(3)
     group = np.arange(12) % 3 == 0
     pairs = [(a, b, int(rng.integers(5, 50))) for a in range(12) for b in range(12) if group[a] != group[b]]
     left, right, n = (np.array(x) for x in zip(*pairs, strict=True))
-    cls = class_lm.exchange(left, right, n.astype(float), 12, np.full(12, -1))
+    cls = class_lm.exchange(left, right, n.astype(float), 12, np.full(12, -1), 2)
     assert len(set(cls[group])) == 1 and len(set(cls[~group])) == 1 and set(cls) == {0, 1}
     rows = [(a, b, int(rng.integers(1, 9))) for a in range(15) for b in range(15) if rng.random() < 0.4]
     left, right, n = (np.array(x) for x in zip(*rows, strict=True))
     n = np.concatenate([n, n]).astype(float)
     left, right = np.concatenate([left, right]), np.concatenate([right, left])  # as many on either side
     monkeypatch.setattr(class_lm, "ROUNDS", 50)
-    cls = class_lm.exchange(left, right, n, 15, np.full(15, -1))
+    cls = class_lm.exchange(left, right, n, 15, np.full(15, -1), 2)
     best = _likelihood(left, right, n, cls)
     for w in range(15):
         other = cls.copy()
@@ -427,28 +428,81 @@ def test_exchange(monkeypatch):
 
 
 def test_assigned():
-    """A token goes to the class whose neighbours it shares."""
-    big = np.ones((class_lm.CLASSES + 1,) * 2)
-    big[3, 5] = big[5, 7] = big[4, 6] = big[6, 8] = 1000
-    slot = np.array([3, class_lm.CLASSES + 7, 4, class_lm.CLASSES + 8, 4])
-    assert class_lm.assign(slot, np.array([2, 2, 1, 5, 9]), np.array([0, 2, 4]), big).tolist() == [5, 6, 6]
-    assert len(class_lm.assign(slot[:0], slot[:0], slot[:0], big)) == 0
+    """A token goes to the class whose neighbours it shares; of equals, and without neighbours, to the first."""
+    classes, unit_cls = 9, np.array([3, 4, 7, 8, 3])
+    tables = np.ones((2 * classes, classes))
+    tables[3, 5] = tables[classes + 7, 5] = tables[4, 6] = tables[classes + 8, 6] = 1000
+    row, slot, n = np.array([0, 0, 1, 1, 2, 2]), np.array([0, 5 + 2, 1, 5 + 3, 1, 4]), np.array([2, 2, 1, 5, 9, 1])
+    profile = class_lm.by_class(slot, n, row, 4, unit_cls, classes)
+    expect = np.zeros((4, 2 * classes))
+    for r, s, k in zip(row, slot, n, strict=True):
+        expect[r, unit_cls[s % 5] + classes * (s // 5)] += k
+    assert (profile == expect).all()
+    assert class_lm.best_class(profile, class_lm.first_order(tables)).tolist() == [5, 6, 6, 0]
+    assert class_lm.best_class(profile[:0], class_lm.first_order(tables)).tolist() == []
+
+
+def test_sizes():
+    """Classes and seeds follow the vocabulary."""
+    assert class_lm.sizes(0) == (2, 2) and class_lm.sizes(10**6) == (200, 3036) and class_lm.sizes(10**9) == (2000, 17071)
+
+
+def test_exchange_rounds(spark, monkeypatch):
+    """Each round's tables equal plain counts over the corpus, and further rounds raise the likelihood of the classes."""
+    real = spark.read.parquet(f"{DATA}/documents.parquet").limit(300)
+    train = settle(real.select("text"))
+    counts = settle(train.mapInArrow(class_lm._counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    often = counts.filter("n > 1").count()
+    seen, summed = [], class_lm._summed
+
+    def watch(packed, log, unit_cls):
+        seen.append((log, unit_cls, summed(packed, log, unit_cls)))
+        return seen[-1][-1]
+
+    monkeypatch.setattr(class_lm, "_summed", watch)
+    found = {r.token: r.cls for r in class_lm.classes_of(train, counts, often).collect()}
+    classes, limit = class_lm.sizes(often)
+    assert set(found.values()) <= set(range(classes + 1)) and len(found) == counts.count()
+    assert 2 <= len(seen) <= class_lm.PASSES
+    top = class_lm._most_frequent(counts, limit).toPandas().sort_values(["n", "token"], ascending=[False, True]).token.tolist()
+    unit = {t: i for i, t in enumerate(top)}
+    beside: dict = {}
+    for r in train.collect():
+        t = word_hash(words(r.text)).view(np.int64).tolist() + [class_lm.END]
+        for a, b in zip([class_lm.END, *t], t, strict=False):
+            if a in unit:
+                beside.setdefault(b, []).append(unit[a])
+        for a, b in zip(t, t[1:], strict=False):
+            if b in unit:
+                beside.setdefault(a, []).append(len(top) + unit[b])
+    once = {r.token for r in counts.filter("n < 2").collect()}
+    for log, cls, tables in seen:
+        expect = np.zeros((2 * classes, classes))
+        for t, slots in beside.items():
+            if t not in once:
+                own = np.bincount([cls[s % len(top)] + classes * (s // len(top)) for s in slots], minlength=2 * classes)
+                expect[:, cls[unit[t]] if t in unit else np.round(own @ log, 6).argmax()] += own
+        assert (tables == expect).all()
+    assert all(found[t] == cls[u] for t, u in unit.items())
+    rise = [class_lm.likelihood(tables) for *_, tables in seen]
+    assert max(rise[1:]) > rise[0]
 
 
 def test_class_score(spark, monkeypatch):
     """`score` equals a plain recomputation from the classes, whose probabilities sum to one after every class."""
-    monkeypatch.setattr(class_lm, "SEEDS", 40)
     monkeypatch.setattr(class_lm, "HEAD", 100)
     real = spark.read.parquet(f"{DATA}/documents.parquet").limit(120)
     real = settle(real.unionByName(spark.createDataFrame([(10**9, None)], "doc_id long, text string"), allowMissingColumns=True))
     texts = {r.doc_id: [*words(r.text), None] for r in real.collect()}
     train = real.filter(~language_id.held_out(0, 10)).select(F.col("text"))
     counts = settle(train.mapInArrow(class_lm._counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    found = {r.token: (r.n, r.cls) for r in class_lm.classes_of(train, counts).collect()}
-    assert {c for n, c in found.values() if n < 2} == {class_lm.RARE} and len({c for n, c in found.values() if n > 1}) > 20
+    often = counts.filter("n > 1").count()
+    last, _ = class_lm.sizes(often)
+    found = {r.token: (r.n, r.cls) for r in class_lm.classes_of(train, counts, often).collect()}
+    assert {c for n, c in found.values() if n < 2} == {last} and len({c for n, c in found.values() if n > 1}) > last * 0.6
     hashes = {w: int(h) for t in texts.values() for w, h in zip(t[:-1], word_hash(t[:-1]).view(np.int64), strict=True)} | {None: class_lm.END}
-    cls = lambda w: found.get(hashes[w], (0, class_lm.RARE))
-    k = class_lm.CLASSES + 1
+    cls = lambda w: found.get(hashes[w], (0, last))
+    k = last + 1
     big = np.zeros((k, k))
     for i, t in texts.items():
         if zlib.crc32(str(i).encode()) % 10:
@@ -457,10 +511,10 @@ def test_class_score(spark, monkeypatch):
     prior = (big.sum(0) + 0.1) / (big.sum() + 0.1 * k)
     step = (big + prior) / (big.sum(1, keepdims=True) + 1)
     size = np.bincount([c for _, c in found.values()], [n for n, _ in found.values()], k)
-    rare = size[-1] + 0.1 * (sum(c == class_lm.RARE for _, c in found.values()) + 1)
-    emit = lambda n, c: n / size[c] if c < class_lm.RARE else (n + 0.1) / rare
+    rare = size[-1] + 0.1 * (sum(c == last for _, c in found.values()) + 1)
+    emit = lambda n, c: n / size[c] if c < last else (n + 0.1) / rare
     every = np.bincount([c for _, c in found.values()], [emit(n, c) for n, c in found.values()], k)
-    every[-1] += emit(0, class_lm.RARE)
+    every[-1] += emit(0, last)
     assert step.sum(1) == pytest.approx(1) and all(every[c] == pytest.approx(1) for c in range(k) if size[c])
     for r in class_lm.class_scores(real).collect():
         t = texts[r.doc_id]
