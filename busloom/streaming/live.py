@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..model import STREAM_KEY, guard, route
 from ..operators.decode import raw_value
-from ..operators.trace import with_selector
+from ..operators.trace import SECOND_NS, with_selector
 from ..operators.verify import checksum_findings, configured, rollover
 from ..plans.catalog import Catalog
 
@@ -54,6 +55,51 @@ def rates(stream: DataFrame, *key: str, window: str = "1 second", late: str = "5
     return g.withColumn("rate", F.when(span > 0, (F.col("count") - 1) / span).otherwise(F.lit(0.0)))
 
 
+def _trail(times: np.ndarray, before: int | None) -> tuple[list[int], int | None]:
+    """Of a key's times: those of its last second, and the greatest below the last one (`before` is one more of them)."""
+    last = times.max()
+    lower = times[times < last]
+    known = [int(lower.max())] if len(lower) else []
+    known += [] if before is None or before >= last else [before]
+    return np.sort(times[times > last - SECOND_NS]).tolist(), max(known, default=None)
+
+
+def key_rates(stream: DataFrame, *key: str) -> DataFrame:
+    """Update-mode state: per key of the frames so far count, last idx and rate, as `trace.key_rates` gives them for a batch.
+
+    Frames are reduced to a row a key, batch of rows and task before the shuffle, so a busy key sends a few rows and not its
+    frames. A key's state is its counters and the times of its last second. Order of arrival does not matter. Frames without
+    a time are left out."""
+    kinds = [stream.schema[k] for k in key]
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for own, part in pdf.groupby(list(key), dropna=False, sort=False):
+                times, before = _trail(part["timestamp_ns"].to_numpy(), None)
+                out.append((*(None if pd.isna(k) else k for k in own), len(part), int(part["idx"].max()), times, before))
+            yield pd.DataFrame(out, columns=[*key, "count", "last_idx", "times", "before"], dtype=object)
+
+    counters = [T.StructField("count", T.LongType()), T.StructField("last_idx", T.LongType())]
+    held = [*counters, T.StructField("times", T.ArrayType(T.LongType())), T.StructField("before", T.LongType())]
+    parts = stream.filter("timestamp_ns is not null").select(*key, "idx", "timestamp_ns").mapInPandas(reduced, T.StructType([*kinds, *held]))
+
+    def run(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, last_idx, times, before = state.get if state.exists else (0, -1, [], None)
+        for pdf in batches:
+            count, last_idx = count + int(pdf["count"].sum()), max(last_idx, int(pdf["last_idx"].max()))
+            below = [int(b) for b in pdf["before"].dropna()] + ([] if before is None else [before])
+            every = np.concatenate([np.array(times, np.int64), *(np.asarray(t, np.int64) for t in pdf["times"])])
+            times, before = _trail(every, max((b for b in below if b < every.max()), default=None))
+        state.update((count, last_idx, times, before))
+        span, step = (times[-1] - times[0]) / 1e9, 0.0 if before is None else (times[-1] - before) / 1e9
+        rate = (len(times) - 1) / span if span > 0 else 1 / step if step > 0 else 0.0
+        yield pd.DataFrame([(*own, count, last_idx, rate)], columns=[*key, "count", "last_idx", "rate"], dtype=object)
+
+    out = T.StructType([*kinds, *counters, T.StructField("rate", T.DoubleType())])
+    return parts.groupBy(*key).applyInPandasWithState(run, out, T.StructType(held), "update", GroupStateTimeout.NoTimeout)
+
+
 def verify_checksums(stream: DataFrame, catalog: Catalog) -> DataFrame:
     """Checksum findings of a stream: no state, so late and repeated frames are judged alike."""
     return checksum_findings(stream, catalog)

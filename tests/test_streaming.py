@@ -64,6 +64,48 @@ def test_rates_and_laps(spark, source):
     assert laps.agg(F.count_distinct("idx"), F.min("timestamp_ns"), F.max("timestamp_ns")).first()[:] == (3 * n, first, last + 2 * (last - first))
 
 
+def _key_rates(rows):
+    return {(r.bus_id, r.id, r.extended): (r["count"], r.last_idx, r.rate) for r in rows}
+
+
+def test_key_rates(spark, source):
+    """After all batches, each key's last row equals the batch operator's, times, counts and ties included."""
+    key = ("bus_id", "id", "extended")
+    q = live.key_rates(_stream(spark, source), *key).writeStream.format("memory").queryName("key_rates_out").outputMode("update").start()
+    q.processAllAvailable()
+    q.stop()
+    newest = spark.table("key_rates_out").groupBy(*key).agg(F.max_by(F.struct("count", "last_idx", "rate"), "count").alias("r")).select(*key, "r.*")
+    want = _key_rates(trace.key_rates(spark.read.parquet(source), *key).collect())
+    got = _key_rates(newest.collect())
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_key_rates_out_of_order(spark, tmp_path):
+    """After each batch the stream equals the batch operator over the frames so far, late, tied and lone frames included."""
+    second = 1_000_000_000
+    steps = [
+        [("a", 0, 5 * second), ("a", 1, 5 * second), ("b", 2, 7 * second)],
+        [("a", 3, 4 * second), ("b", 4, 7 * second - 400), ("c", 5, 1)],  # late frames
+        [("a", 6, 5 * second + 9), ("a", 7, 3 * second), ("b", 8, 9 * second), (None, 9, 2), (None, 10, 2 + second // 4)],
+        [("a", 11, 20 * second), ("c", 12, 1), ("b", 13, 9 * second - 1), ("a", 14, 19 * second)],
+    ]
+    schema, path = "bus_id string, idx long, timestamp_ns long", str(tmp_path / "in")
+    q, done = None, []
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        done += rows
+        if q is None:
+            q = live.key_rates(spark.readStream.schema(schema).parquet(path), "bus_id").writeStream.format("memory").queryName("late_out").outputMode("update").start()
+        q.processAllAvailable()
+        newest = {}
+        for r in spark.table("late_out").collect():
+            if r["count"] >= newest.get(r.bus_id, (0,))[0]:
+                newest[r.bus_id] = (r["count"], r.last_idx, r.rate)
+        want = {r.bus_id: (r["count"], r.last_idx, r.rate) for r in trace.key_rates(spark.createDataFrame(done, schema), "bus_id").collect()}
+        assert newest.keys() == want.keys() and all(newest[k] == pytest.approx(want[k], rel=1e-12) for k in want), i
+    q.stop()
+
+
 def test_checksums(spark):
     crc = CrcConfig("Sum", "CRC-8/SAE-J1850", 0, 56)
     message = Message(5, False, "M", 8, "E", (Signal("Sum", 56, 8, True, False, 1.0, 0.0, 0.0, 0.0, ""),), crc=crc)
