@@ -327,7 +327,8 @@ def cursor_stats(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT u.t, b.bus_id, s.value FROM u CROSS JOIN b LEFT JOIN s ON s.t = u.t AND s.bus_id = b.bus_id)
 SELECT t, bus_id, last_value(value IGNORE NULLS) OVER (PARTITION BY bus_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value, value IS NOT NULL AS genuine FROM g""")
 def merged_series(spark: SparkSession, d: str) -> DataFrame:
-    return series.merge_series(value_series(spark, d), "bus_id").drop("i")
+    s = model.settled(value_series(spark, d))
+    return series.merge_series(s, "bus_id", backwards=False).drop("i")
 
 
 @query(""", w AS (SELECT min(t) + 100000 AS a, min(t) + 200000 AS b FROM s), r AS (SELECT s.*, row_number() OVER (PARTITION BY bus_id ORDER BY t, idx) AS rn,

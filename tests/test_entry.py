@@ -4,9 +4,10 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from busloom import queries
+from busloom import model, queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,6 +38,23 @@ def test_against_sql(spark, db, name):
     assert got == sorted((tuple(_plain(r[i]) for i in at) for r in result.fetchall()), key=repr)
 
 
+def test_merged_series_of_shared_times(spark, tmp_path):
+    """Samples of a bus at one time are a row each, and a bus of one sample has no value before it."""
+    events = spark.read.parquet(f"{DATA}/events.parquet").filter("event_type in ('click', 'view', 'error')").limit(60).cache()
+    copies = events.unionByName(events.withColumn("event_id", events.event_id + 1000)).unionByName(events.limit(7))
+    one = events.orderBy("ts").offset(30).limit(1).withColumns({"event_type": F.lit("purchase"), "event_id": F.lit(5000).cast("long")})
+    copies.unionByName(one).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    events.unpersist()
+    got = entry.queries()["merged_series"](spark, str(tmp_path)).select("t", "bus_id", "value", "genuine").collect()
+    with duckdb.connect() as c:
+        c.execute("SET TimeZone = 'UTC'")
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = c.execute(f"SELECT t, bus_id, value, genuine FROM ({entry.oracle_sql()['merged_series']})").fetchall()
+    assert sorted(map(repr, (tuple(map(_plain, r)) for r in got))) == sorted(map(repr, (tuple(map(_plain, r)) for r in want)))
+    assert len(want) == 60 * 3 + 67 and sum(r[1] == "batt" and r[2] is None for r in want) == 30
+    model.free()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
 
