@@ -199,10 +199,26 @@ def clock_flips(status: DataFrame, warn_ns: int = 100_000_000) -> DataFrame:
 
 def rate_limited(messages: DataFrame, burst: int, window_ns: int = 1_000_000_000) -> DataFrame:
     """Log messages (source, template, t, ...) with `shown`: those with fewer than burst calls of the same source and
-    template in the window before; suppressed calls count too, and the first suppressed of a spell is marked."""
-    w = Window.partitionBy("source", "template").orderBy("t")
-    recent = F.count("*").over(w.rangeBetween(-window_ns + 1, 0)) - 1
-    out = messages.withColumn("shown", recent < burst)
+    template in the window before; suppressed calls count too, and the first suppressed of a spell is marked.
+
+    Time is cut into stretches as long as the window, so a window ends in its message's stretch and starts in the one before.
+    Each message is told in its own stretch and, bare, in the next, where it counts until its place in it is reached: running
+    counts by (source, template, stretch), linear in the messages."""
+    key, rest = ["source", "template"], [c for c in messages.columns if c not in ("source", "template")]
+    # floor(t / window_ns) in whole numbers
+    stretch = F.expr(f"t div {window_ns}L - if(t % {window_ns}L < 0, 1, 0)")
+    place = F.pmod("t", F.lit(window_ns).cast("long"))
+    whole = F.struct(*rest)
+    bare = F.when(F.lit(False), whole)
+    both = F.array(F.struct(F.lit(0).alias("_later"), whole.alias("_message")), F.struct(F.lit(1).alias("_later"), bare.alias("_message")))
+    told = messages.select(*key, stretch.alias("_stretch"), place.alias("_place"), F.inline(both))
+    told = told.filter("_later = 0 or _stretch is not null").withColumn("_stretch", F.col("_stretch") + F.col("_later"))
+    here = Window.partitionBy(*key, "_stretch").orderBy("_place")
+    passed = here.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    every = here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    recent = F.sum("_later").over(every) + F.sum(F.lit(1) - 2 * F.col("_later")).over(passed) - 1
+    out = told.withColumn("shown", recent < burst).filter("_later = 0").select(*key, "_message.*", "shown").select(*messages.columns, "shown")
+    w = Window.partitionBy(*key).orderBy("t")
     return out.withColumn("first_suppressed", ~F.col("shown") & F.coalesce(F.lag("shown").over(w), F.lit(True)))
 
 

@@ -1,5 +1,8 @@
 """Streaming results equal batch results."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +150,23 @@ def test_log_limits(spark):
     rows = [("a", "t", i * 10) for i in range(5)] + [("a", "t", 2_000_000_000)]
     out = live.rate_limited(spark.createDataFrame(rows, "source string, template string, t long"), 2).orderBy("t").collect()
     assert [r.shown for r in out] == [True, True, False, False, False, True] and [r.first_suppressed for r in out].count(True) == 1
+
+
+@pytest.mark.parametrize(("window", "burst"), [(10, 3), (7, 1), (1, 2), (1000, 40), (10, 0)])
+def test_log_limits_brute(spark, window, burst):
+    """Every message against a count by hand, with shared, negative and missing times; no frame slides with its row."""
+    rng = random.Random(window)
+    rows = [(rng.choice("ab"), rng.choice(["t", "u", None]), i, None if rng.random() < 0.05 else rng.randrange(-60, 140)) for i in range(400)]
+    df = spark.createDataFrame(rows, "source string, template string, idx long, t long").repartition(3)
+    out = live.rate_limited(df, burst, window)
+    assert out.columns == ["source", "template", "idx", "t", "shown", "first_suppressed"]
+
+    def recent(source, template, t):
+        own = [x for s, m, _, x in rows if (s, m) == (source, template)]
+        return sum(x is None if t is None else x is not None and t - window < x <= t for x in own) - 1
+
+    want = {i: recent(s, m, t) < burst for s, m, i, t in rows}
+    assert {r.idx: r.shown for r in out.collect()} == want and len(set(want.values())) == 1 + (burst > 0)
+    plan = out.select("idx", "shown")._jdf.queryExecution().executedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\(\w+, ([^,]+),", plan)
+    assert frames and all(start == "unboundedpreceding$()" for start in frames)
